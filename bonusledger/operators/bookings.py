@@ -1,0 +1,216 @@
+"""Operators over time entries: filters, quarter selection, time blocks, hour
+aggregates and the running / future sums.
+
+Input is the normalised entry schema (staff_name, booked_on, hours, month,
+quarter, proj_norm, ms_norm, ...).  Everything is a lazy DataFrame transform;
+group-level results are aggregated before any window so hot keys (the shared
+special project is booked by every employee) reach windows as a few rows.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import scalars as S
+
+ROW_KEY = ["proj_norm", "ms_norm"]
+
+
+# ---------------------------------------------------------------- filters (P*)
+
+def valid_entries(df: DataFrame) -> DataFrame:
+    """Staff name non-empty, package and date text present."""
+    return df.where(
+        (F.coalesce(F.col("staff_name"), F.lit("")) != "")
+        & F.col("work_package_name").isNotNull()
+    )
+
+
+def in_quarter(df: DataFrame, quarter: date | Column) -> DataFrame:
+    """Entries of one quarter (rows without a date drop out)."""
+    q = quarter if isinstance(quarter, Column) else F.lit(quarter)
+    return df.where(F.col("quarter") == q)
+
+
+def in_range(df: DataFrame, start: date, end: date) -> DataFrame:
+    """P5: inclusive date range; pushed to the scan as two range predicates."""
+    return df.where(F.col("booked_on").between(F.lit(start), F.lit(end)))
+
+
+def projects_matching(df: DataFrame, projects: list[str]) -> DataFrame:
+    """Project key equal to, or starting with, any listed value."""
+    if not projects:
+        return df
+    cond = F.col("proj_norm").isin(projects)
+    cond = reduce(lambda acc, p: acc | F.col("proj_norm").startswith(p), projects, cond)
+    return df.where(cond)
+
+
+def employees_matching(df: DataFrame, employees: list[str]) -> DataFrame:
+    """Exact, case-sensitive employee names."""
+    if not employees:
+        return df
+    return df.where(F.col("staff_name").isin(employees))
+
+
+def exclude_special(df: DataFrame) -> DataFrame:
+    """P8 (and P9, a subset of it): drop projects matching ^0.?0+ ."""
+    return df.where(~F.col("proj_norm").rlike(r"^0\.?0+"))
+
+
+def check_range(start: date, end: date, quarterly: bool = False) -> None:
+    """P10: driver-side parameter checks."""
+    if start > end:
+        raise ValueError("Startdatum muss vor dem Enddatum liegen.")
+    if quarterly:
+        days = (end - start).days + 1
+        if not 85 <= days <= 95:
+            raise ValueError("Quartalsbericht muss etwa 3 Monate umfassen.")
+
+
+# --------------------------------------------------- quarters
+
+def quarters_available(df: DataFrame) -> DataFrame:
+    """Each quarter with its sorted months present in the data."""
+    months = df.where(F.col("month").isNotNull()).select("quarter", "month").distinct()
+    return months.groupBy("quarter").agg(
+        F.sort_array(F.collect_list("month")).alias("months"),
+        F.count("*").alias("n_months"),
+    )
+
+
+def latest_quarter(df: DataFrame) -> DataFrame:
+    """The latest quarter with data and its months (one row)."""
+    qa = quarters_available(df)
+    top = qa.agg(F.max("quarter").alias("quarter"))
+    return qa.join(top, "quarter")
+
+
+def require_quarter(df: DataFrame, quarter: date) -> DataFrame:
+    """O2 with a requested quarter: the row if present; the caller raises on an
+    empty result (one tiny action on the driver)."""
+    return quarters_available(df).where(F.col("quarter") == F.lit(quarter))
+
+
+def quarter_months(quarter: date | Column) -> Column:
+    """T5, flexible variant: all three months of a quarter."""
+    q = quarter if isinstance(quarter, Column) else F.lit(quarter)
+    return F.sequence(q, F.add_months(q, 2), F.expr("interval 1 month"))
+
+
+# --------------------------------------------------------- aggregates (A*)
+
+def month_hours(df: DataFrame) -> DataFrame:
+    """A2: hours per (employee, month, project, milestone)."""
+    return df.groupBy("staff_name", "quarter", "month", *ROW_KEY).agg(
+        F.sum("hours").cast(S.HOURS).alias("hours")
+    )
+
+
+def quarter_hours(month_rows: DataFrame) -> DataFrame:
+    """A3 / A10: hours per (employee, quarter, project, milestone), rolled up from A2."""
+    return month_rows.groupBy("staff_name", "quarter", *ROW_KEY).agg(
+        F.sum("hours").cast(S.HOURS).alias("hours")
+    )
+
+
+def project_summary(df: DataFrame) -> DataFrame:
+    """Hours per (project, employee)."""
+    return df.groupBy("proj_norm", "staff_name").agg(F.sum("hours").cast(S.HOURS).alias("hours"))
+
+
+def employee_summary(df: DataFrame) -> DataFrame:
+    """Hours per (employee, project)."""
+    return df.groupBy("staff_name", "proj_norm").agg(F.sum("hours").cast(S.HOURS).alias("hours"))
+
+
+# ------------------------------------------------------------ windows (W*)
+
+def cumulative_quarter_hours(month_rows: DataFrame) -> DataFrame:
+    """An employee's hours on a key in the quarter up to and including the
+    month.  Partitions are (employee, key, quarter): at most three rows each."""
+    w = (
+        Window.partitionBy("staff_name", *ROW_KEY, "quarter")
+        .orderBy("month")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return month_rows.withColumn("cum_hours", F.sum("hours").over(w).cast(S.HOURS))
+
+
+def future_hours_all_staff(entries: DataFrame) -> DataFrame:
+    """Per (key, month) the hours of ALL employees on that key in later
+    months of the same quarter.  Pre-aggregated to (key, month) first, so the
+    window sees at most three rows per key whatever the skew."""
+    per_month = entries.groupBy(*ROW_KEY, "quarter", "month").agg(F.sum("hours").alias("key_hours"))
+    w = (
+        Window.partitionBy(*ROW_KEY, "quarter")
+        .orderBy("month")
+        .rowsBetween(1, Window.unboundedFollowing)
+    )
+    return per_month.select(
+        *ROW_KEY, "quarter", "month",
+        F.coalesce(F.sum("key_hours").over(w), F.lit(0)).cast(S.HOURS).alias("future_hours"),
+    )
+
+
+# ----------------------------------------------------------- blocks (T*)
+
+def month_blocks(df: DataFrame) -> DataFrame:
+    """One block per month present; start/end = the whole calendar month."""
+    return df.select(
+        S.month_label("month").alias("block_name"),
+        F.col("month").alias("block_start"),
+        F.last_day("month").alias("block_end"),
+    ).distinct()
+
+
+def week_blocks(df: DataFrame) -> DataFrame:
+    """T3 (D10): key = (ISO year, ISO week); start/end = first/last date present
+    over all employees."""
+    wk = df.where(F.col("booked_on").isNotNull()).groupBy(
+        F.extract(F.lit("YEAROFWEEK"), F.col("booked_on")).alias("iso_year"),
+        F.weekofyear("booked_on").alias("iso_week"),
+    ).agg(F.min("booked_on").alias("block_start"), F.max("booked_on").alias("block_end"))
+    return wk.select(
+        "iso_year", "iso_week",
+        S.week_label("iso_week", "block_start", "block_end").alias("block_name"),
+        "block_start", "block_end",
+    )
+
+
+def assign_blocks(df: DataFrame, grouping: str, start: date, end: date) -> DataFrame:
+    """Adds block_name, block_start, block_end to every entry.
+
+    Blocks partition the filtered entries, so this is a projection (plus one
+    aggregate join for weeks), never a union of copies (O4).
+    """
+    if grouping == "month":
+        return df.withColumns({
+            "block_name": S.month_label("month"),
+            "block_start": F.col("month"),
+            "block_end": F.last_day("month"),
+        })
+    if grouping == "week":
+        keyed = df.withColumns({
+            "iso_year": F.extract(F.lit("YEAROFWEEK"), F.col("booked_on")),
+            "iso_week": F.weekofyear("booked_on"),
+        })
+        return keyed.join(week_blocks(df), ["iso_year", "iso_week"])
+    if grouping == "period":
+        return df.withColumns({
+            "block_name": S.range_label(F.lit(start), F.lit(end)),
+            "block_start": F.lit(start),
+            "block_end": F.lit(end),
+        })
+    if grouping == "none":
+        return df.withColumns({
+            "block_name": F.lit(K.TOTAL_BLOCK_LABEL),
+            "block_start": F.lit(start),
+            "block_end": F.lit(end),
+        })
+    raise ValueError(f"unknown time grouping {grouping!r}")

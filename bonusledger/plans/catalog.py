@@ -1,0 +1,120 @@
+"""Registered queries: each takes (spark, sf_dir) and returns a lazy DataFrame
+over the bridge tables.  Parameters (report quarter, date range, filter lists)
+are the report parameters a user would pass; they never subset the data to make
+a check cheaper.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import bookings as BK
+from ..session import configure
+from ..sources import bridge as BR
+
+QUARTER = BR.REPORT_QUARTER
+Q_START = S.parse_quarter(QUARTER)
+RANGE = (date(1998, 1, 1), date(1998, 12, 31))
+PROJECTS = ["1003", "0000 Intern", "1017.01"]
+EMPLOYEES = ["Supplier#000000001", "Supplier#000000007", "Supplier#000000042"]
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return BR.bookings(spark, sf_dir)
+
+
+def project_summary(spark, sf_dir):
+    return BK.project_summary(_entries(spark, sf_dir))
+
+
+def employee_summary(spark, sf_dir):
+    return BK.employee_summary(_entries(spark, sf_dir))
+
+
+def date_range_filter(spark, sf_dir):
+    e = BK.in_range(_entries(spark, sf_dir), *RANGE)
+    return e.groupBy("proj_norm", "staff_name").agg(
+        F.sum("hours").cast(S.HOURS).alias("hours"), F.count("*").alias("n_entries")
+    )
+
+
+def project_prefix_filter(spark, sf_dir):
+    return BK.employee_summary(BK.projects_matching(_entries(spark, sf_dir), PROJECTS))
+
+
+def employee_filter(spark, sf_dir):
+    return BK.employee_summary(BK.employees_matching(_entries(spark, sf_dir), EMPLOYEES))
+
+
+def exclude_special(spark, sf_dir):
+    e = BK.exclude_special(_entries(spark, sf_dir))
+    return e.groupBy("proj_norm").agg(
+        F.sum("hours").cast(S.HOURS).alias("hours"), F.countDistinct("staff_name").alias("n_staff")
+    )
+
+
+def quarters_available(spark, sf_dir):
+    return BK.quarters_available(_entries(spark, sf_dir))
+
+
+def latest_quarter(spark, sf_dir):
+    return BK.latest_quarter(_entries(spark, sf_dir))
+
+
+def month_hours(spark, sf_dir):
+    return BK.month_hours(BK.in_quarter(_entries(spark, sf_dir), Q_START))
+
+
+def month_blocks(spark, sf_dir):
+    return BK.month_blocks(BK.in_range(_entries(spark, sf_dir), *RANGE))
+
+
+def week_blocks(spark, sf_dir):
+    return BK.week_blocks(BK.in_range(_entries(spark, sf_dir), *RANGE))
+
+
+def period_block(spark, sf_dir):
+    e = BK.assign_blocks(BK.in_range(_entries(spark, sf_dir), *RANGE), "period", *RANGE)
+    return e.groupBy("block_name", "block_start", "block_end", "staff_name").agg(
+        F.sum("hours").cast(S.HOURS).alias("hours")
+    )
+
+
+def total_block(spark, sf_dir):
+    e = BK.assign_blocks(BK.in_range(_entries(spark, sf_dir), *RANGE), "none", *RANGE)
+    return e.groupBy("block_name", "block_start", "block_end", "proj_norm").agg(
+        F.sum("hours").cast(S.HOURS).alias("hours")
+    )
+
+
+def cumulative_quarter_hours(spark, sf_dir):
+    return BK.cumulative_quarter_hours(month_hours(spark, sf_dir))
+
+
+def future_hours_all_staff(spark, sf_dir):
+    return BK.future_hours_all_staff(BK.in_quarter(_entries(spark, sf_dir), Q_START))
+
+
+QUERIES = {
+    "project_summary": project_summary,
+    "employee_summary": employee_summary,
+    "date_range_filter": date_range_filter,
+    "project_prefix_filter": project_prefix_filter,
+    "employee_filter": employee_filter,
+    "exclude_special": exclude_special,
+    "quarters_available": quarters_available,
+    "latest_quarter": latest_quarter,
+    "month_hours": month_hours,
+    "month_blocks": month_blocks,
+    "week_blocks": week_blocks,
+    "period_block": period_block,
+    "total_block": total_block,
+    "cumulative_quarter_hours": cumulative_quarter_hours,
+    "future_hours_all_staff": future_hours_all_staff,
+}
+FLAGSHIP = project_summary

@@ -1,0 +1,169 @@
+"""DuckDB SQL oracles for the registered queries.
+
+Written independently of the Spark code, straight from the model: the bridge
+(FIXTURES.md section 4) as CTEs, then one SELECT per query.  Aliases equal the
+Spark column names.  Hours/money are DECIMAL(18,2); percentages DOUBLE rounded
+to 2 places; dates DATE.
+"""
+
+from __future__ import annotations
+
+from ..functions import constants as K
+from ..sources import bridge as B
+
+Q_START = "DATE '1998-07-01'"
+Q_END = "DATE '1998-09-30'"
+RANGE_START = "DATE '1998-01-01'"
+RANGE_END = "DATE '1998-12-31'"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _case_type(names: list[str]) -> str:
+    return "CASE ptype " + " ".join(
+        f"WHEN {_lit(t)} THEN {_lit(n)}" for t, n in zip(B.PART_TYPES, names)
+    ) + " END"
+
+
+_SPECIAL = list(K.MONTHLY_BUDGETS) + list(K.QUARTERLY_BUDGETS)
+MS_EXPR = f"CASE WHEN n <= 2 THEN {_case_type(_SPECIAL)} ELSE {_case_type(B.REGULAR_MILESTONES)} END"
+PROJ_EXPR = ("CASE WHEN n = 1 THEN '0000 Intern' WHEN n = 2 THEN '0000.02 Verwaltung' "
+             "ELSE CAST(n + 1000 AS VARCHAR) || '.01 Projekt ' || CAST(n AS VARCHAR) END")
+
+
+def norm_ms_sql(x: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[•●]', '', 'g'), "
+            f"'^[-\\s]+', ''))")
+
+
+BOOKINGS = f"""
+bk0 AS (
+  SELECT s.s_name AS staff_name, CAST(substr(p.p_brand, 7) AS INTEGER) AS n, p.p_type AS ptype,
+         CAST(l.l_shipdate AS DATE) AS booked_on, CAST(l.l_quantity * 0.25 AS DECIMAL(18,2)) AS hours
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+),
+bookings AS (
+  SELECT staff_name, {PROJ_EXPR} AS project, {MS_EXPR} AS work_package_name, booked_on, hours,
+         CAST(date_trunc('month', booked_on) AS DATE) AS month,
+         CAST(date_trunc('quarter', booked_on) AS DATE) AS quarter
+  FROM bk0
+),
+entries AS (
+  SELECT *, trim(project) AS proj_norm, {norm_ms_sql('work_package_name')} AS ms_norm FROM bookings
+)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+SQL: dict[str, str] = {}
+
+SQL["project_summary"] = with_(BOOKINGS) + """
+SELECT proj_norm, staff_name, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries GROUP BY proj_norm, staff_name"""
+
+SQL["employee_summary"] = with_(BOOKINGS) + """
+SELECT staff_name, proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries GROUP BY staff_name, proj_norm"""
+
+SQL["date_range_filter"] = with_(BOOKINGS) + f"""
+SELECT proj_norm, staff_name, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, count(*) AS n_entries
+FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}
+GROUP BY proj_norm, staff_name"""
+
+SQL["project_prefix_filter"] = with_(BOOKINGS) + """
+SELECT staff_name, proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries
+WHERE proj_norm IN ('1003', '0000 Intern', '1017.01') OR starts_with(proj_norm, '1003')
+   OR starts_with(proj_norm, '0000 Intern') OR starts_with(proj_norm, '1017.01')
+GROUP BY staff_name, proj_norm"""
+
+SQL["employee_filter"] = with_(BOOKINGS) + """
+SELECT staff_name, proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries
+WHERE staff_name IN ('Supplier#000000001', 'Supplier#000000007', 'Supplier#000000042')
+GROUP BY staff_name, proj_norm"""
+
+SQL["exclude_special"] = with_(BOOKINGS) + """
+SELECT proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, count(DISTINCT staff_name) AS n_staff
+FROM entries WHERE NOT regexp_matches(proj_norm, '^0\\.?0+')
+GROUP BY proj_norm"""
+
+SQL["quarters_available"] = with_(BOOKINGS) + """
+SELECT quarter, list_sort(list(month)) AS months, count(*) AS n_months
+FROM (SELECT DISTINCT quarter, month FROM entries WHERE month IS NOT NULL)
+GROUP BY quarter"""
+
+SQL["latest_quarter"] = with_(BOOKINGS) + """
+SELECT quarter, list_sort(list(month)) AS months, count(*) AS n_months
+FROM (SELECT DISTINCT quarter, month FROM entries WHERE month IS NOT NULL)
+WHERE quarter = (SELECT max(quarter) FROM entries)
+GROUP BY quarter"""
+
+SQL["month_hours"] = with_(BOOKINGS) + f"""
+SELECT staff_name, quarter, month, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries WHERE quarter = {Q_START}
+GROUP BY staff_name, quarter, month, proj_norm, ms_norm"""
+
+_GERMAN_MONTHS_SQL = "[" + ", ".join(_lit(m) for m in K.GERMAN_MONTHS) + "]"
+
+
+def month_label_sql(d: str) -> str:
+    return f"({_GERMAN_MONTHS_SQL})[month({d})] || ' ' || CAST(year({d}) AS VARCHAR)"
+
+
+SQL["month_blocks"] = with_(BOOKINGS) + f"""
+SELECT DISTINCT {month_label_sql('month')} AS block_name, month AS block_start, last_day(month) AS block_end
+FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}"""
+
+SQL["week_blocks"] = with_(BOOKINGS) + f"""
+SELECT iso_year, iso_week,
+       'KW ' || CAST(iso_week AS VARCHAR) || ' (' || strftime(block_start, '%d.%m') || ' - '
+             || strftime(block_end, '%d.%m.%Y') || ')' AS block_name,
+       block_start, block_end
+FROM (SELECT isoyear(booked_on) AS iso_year, weekofyear(booked_on) AS iso_week,
+             min(booked_on) AS block_start, max(booked_on) AS block_end
+      FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}
+      GROUP BY 1, 2)"""
+
+SQL["period_block"] = with_(BOOKINGS) + f"""
+SELECT '01.01.1998 - 31.12.1998' AS block_name, {RANGE_START} AS block_start, {RANGE_END} AS block_end,
+       staff_name, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}
+GROUP BY staff_name"""
+
+SQL["total_block"] = with_(BOOKINGS) + f"""
+SELECT 'Gesamt' AS block_name, {RANGE_START} AS block_start, {RANGE_END} AS block_end,
+       proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}
+GROUP BY proj_norm"""
+
+MONTH_ROWS_BASE = f"""
+mh AS (
+  SELECT staff_name, quarter, month, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+  FROM entries WHERE quarter = {Q_START}
+  GROUP BY staff_name, quarter, month, proj_norm, ms_norm
+)"""
+
+SQL["cumulative_quarter_hours"] = with_(BOOKINGS, MONTH_ROWS_BASE) + """
+SELECT staff_name, quarter, month, proj_norm, ms_norm, hours,
+       CAST(sum(hours) OVER (PARTITION BY staff_name, proj_norm, ms_norm, quarter ORDER BY month
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS cum_hours
+FROM mh"""
+
+FUTURE = f"""
+km AS (
+  SELECT proj_norm, ms_norm, quarter, month, sum(hours) AS key_hours
+  FROM entries WHERE quarter = {Q_START} GROUP BY proj_norm, ms_norm, quarter, month
+),
+fut AS (
+  SELECT proj_norm, ms_norm, quarter, month,
+         CAST(coalesce(sum(key_hours) OVER (PARTITION BY proj_norm, ms_norm, quarter ORDER BY month
+              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS DECIMAL(18,2)) AS future_hours
+  FROM km
+)"""
+
+SQL["future_hours_all_staff"] = with_(BOOKINGS, FUTURE) + "SELECT * FROM fut"

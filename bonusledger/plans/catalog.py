@@ -118,3 +118,75 @@ QUERIES = {
     "future_hours_all_staff": future_hours_all_staff,
 }
 FLAGSHIP = project_summary
+
+
+# ------------------------------------------------------------ budget export
+
+from ..operators import budget as BU  # noqa: E402
+
+
+def _lines(spark, sf_dir):
+    configure(spark)
+    return BR.budget_lines(spark, sf_dir, QUARTER)
+
+
+def plan_actual(spark, sf_dir):
+    return BU.plan_actual(_lines(spark, sf_dir))
+
+
+def ffill_project(spark, sf_dir):
+    d = BU.prepare(_lines(spark, sf_dir))
+    return d.select("row_no", "pos", F.col("projekt").alias("project"), "changed", "is_top")
+
+
+def parent_map(spark, sf_dir):
+    return BU.parent_map(_lines(spark, sf_dir))
+
+
+def _records(spark, sf_dir):
+    return BU.budget_records(_lines(spark, sf_dir))
+
+
+def section_target_hours(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return r.select("project", "top_norm", "lookup_id", "target_hours", "actual_hours")
+
+
+def section_rates(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return r.select("project", "top_norm", "billing",
+                    *[F.round(c, 4).alias(c) for c in ("rate_sv", "rate_cad", "rate_adm")])
+
+
+def nachtrag_records(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return r.where(S.is_supplement_package("top_milestone")).select(
+        "project", "project_code", "top_milestone", "top_norm", "billing", "total_budget", "target_hours",
+        F.round("rate_sv", 4).alias("rate_sv"), "lookup_id",
+    )
+
+
+def budget_records(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return r.select(
+        "project", "project_code", "top_milestone", "top_norm", "billing", "total_budget", "billed", "cost",
+        "target_hours", "actual_hours",
+        *[F.round(c, 4).alias(c) for c in ("rate_sv", "rate_cad", "rate_adm")],
+        "lookup_key", "lookup_id",
+    )
+
+
+def budget_overview(spark, sf_dir):
+    return BU.budget_overview(_records(spark, sf_dir))
+
+
+QUERIES.update({
+    "plan_actual": plan_actual,
+    "ffill_project": ffill_project,
+    "parent_map": parent_map,
+    "section_target_hours": section_target_hours,
+    "section_rates": section_rates,
+    "nachtrag_records": nachtrag_records,
+    "budget_records": budget_records,
+    "budget_overview": budget_overview,
+})

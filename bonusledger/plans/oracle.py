@@ -167,3 +167,216 @@ fut AS (
 )"""
 
 SQL["future_hours_all_staff"] = with_(BOOKINGS, FUTURE) + "SELECT * FROM fut"
+
+
+# ------------------------------------------------------------ budget export
+
+_TYPES_VALUES = ", ".join(f"({_lit(t)}, {i + 2})" for i, t in enumerate(B.PART_TYPES))
+
+
+def de_sql(x: str) -> str:
+    s = f"replace(replace(trim({x}), '.', ''), ',', '.')"
+    return f"(CASE WHEN regexp_full_match({s}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST({s} AS DECIMAL(18,2)) END)"
+
+
+BUDGET_LINES = f"""
+brands AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part),
+booked AS (
+  SELECT CAST(substr(p.p_brand, 7) AS INTEGER) AS n, p.p_type AS ptype,
+         CAST(sum(CAST(l.l_quantity * 0.25 AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS booked
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE CAST(l.l_shipdate AS DATE) <= {Q_END}
+  GROUP BY 1, 2
+),
+types AS (SELECT * FROM (VALUES {_TYPES_VALUES}) t(ptype, k)),
+raw_lines AS (
+  SELECT n, 0 AS k, {PROJ_EXPR} AS projekte, NULL AS flag, '-' AS package, NULL AS soll_txt, NULL AS ist_txt,
+         NULL AS budget_txt, NULL AS sollhonorar_txt, NULL AS billed_txt, NULL AS cost_txt FROM brands
+  UNION ALL
+  SELECT n, 1, NULL, 'X', CASE n % 3 WHEN 0 THEN '(p) 1 Paket' WHEN 1 THEN '(aN) 1 Paket' ELSE '1 Paket' END,
+         NULL, NULL, NULL, CAST(n * 1000 AS VARCHAR) || ',00', NULL, CAST(n * 100 AS VARCHAR) || ',00' FROM brands
+  UNION ALL
+  SELECT b.n, t.k, NULL, NULL, '• ' || (CASE WHEN b.n <= 2 THEN {_case_type(_SPECIAL).replace('ptype', 't.ptype')}
+                                             ELSE {_case_type(B.REGULAR_MILESTONES).replace('ptype', 't.ptype')} END),
+         CASE WHEN b.n <> 2 THEN replace(CAST(CAST(coalesce(bk.booked, 0) * (0.8 + 0.1 * (b.n % 5)) AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END,
+         CASE WHEN b.n <> 2 THEN replace(CAST(coalesce(bk.booked, CAST(0 AS DECIMAL(18,2))) AS VARCHAR), '.', ',') END,
+         NULL, NULL, NULL, NULL
+  FROM brands b CROSS JOIN types t LEFT JOIN booked bk ON bk.n = b.n AND bk.ptype = t.ptype
+  UNION ALL
+  SELECT n, k, NULL, NULL, pk, '10,00', NULL, bt, NULL, NULL, NULL
+  FROM brands CROSS JOIN (VALUES (8, '''   SV', '900,00'), (9, '''   CAD', '700,00'), (10, '''   ADM', '500,00')) r(k, pk, bt)
+  UNION ALL
+  SELECT n, 11, NULL, NULL, 'NAT 01 Zusatz', '8,00', NULL, '400,00', NULL, NULL, NULL FROM brands WHERE n % 5 = 0
+),
+budget_lines AS (
+  SELECT 'bridge/budget.csv' AS file_path, CAST(n * 100 + k AS BIGINT) AS row_no, projekte, flag, package,
+         soll_txt, ist_txt, budget_txt, sollhonorar_txt, billed_txt, cost_txt
+  FROM raw_lines
+),
+bl1 AS (
+  SELECT *,
+    last_value(CASE WHEN trim(projekte) <> '' THEN projekte END IGNORE NULLS) OVER (
+      PARTITION BY file_path ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS proj_filled,
+    last_value(CASE WHEN trim(projekte) <> '' THEN projekte END IGNORE NULLS) OVER (
+      PARTITION BY file_path ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS proj_before,
+    row_number() OVER (PARTITION BY file_path ORDER BY row_no) - 1 AS pos,
+    trim(coalesce(package, '')) AS pkg,
+    upper(trim(coalesce(flag, ''))) = 'X' AS flag_x,
+    {de_sql('soll_txt')} AS soll, {de_sql('ist_txt')} AS ist, {de_sql('budget_txt')} AS budget,
+    {de_sql('sollhonorar_txt')} AS sollhonorar, {de_sql('billed_txt')} AS billed, {de_sql('cost_txt')} AS cost
+  FROM budget_lines
+),
+bl2 AS (
+  SELECT *, coalesce(trim(proj_filled), '') AS projekt, trim(proj_before) AS prev_projekt,
+         {norm_ms_sql('pkg')} AS ms, (pkg = '' OR pkg = '-') AS dash_empty
+  FROM bl1
+),
+bl3 AS (
+  SELECT *, (prev_projekt IS NULL OR projekt <> prev_projekt) AS changed, (flag_x AND NOT dash_empty) AS is_top
+  FROM bl2
+),
+bl4 AS (
+  SELECT *,
+    last_value(CASE WHEN is_top THEN pos END IGNORE NULLS) OVER (
+      PARTITION BY file_path ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x_pos,
+    last_value(CASE WHEN NOT dash_empty AND ms <> '' AND flag_x THEN ms
+                    WHEN changed OR dash_empty THEN chr(0) END IGNORE NULLS) OVER (
+      PARTITION BY file_path ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS parent_raw
+  FROM bl3
+),
+lines AS (
+  SELECT *, CASE WHEN parent_raw <> chr(0) THEN parent_raw END AS parent_run,
+         (NOT is_top AND NOT dash_empty AND x_pos IS NOT NULL AND pos - x_pos <= 79) AS in_section,
+         (contains(pkg, '''   SV') OR contains(pkg, '''   S V')) AS m_sv,
+         (contains(pkg, '''   CAD') OR contains(pkg, '''   C A D')) AS m_cad,
+         (contains(pkg, '''   ADM') OR contains(pkg, '''   A D M')) AS m_adm
+  FROM bl4
+),
+top AS (
+  SELECT file_path, x_pos, projekt AS project, regexp_extract(projekt, '^(\\S+)', 1) AS project_code,
+         pkg AS top_milestone, ms AS top_norm,
+         CASE WHEN package IS NULL THEN 'Unbekannt'
+              WHEN contains(lower(package), '(p)') THEN 'Pauschale'
+              WHEN contains(lower(package), '(an)') OR contains(lower(package), '(a.n.)') OR contains(lower(package), '(a n)') THEN 'Nachweis'
+              ELSE 'Unbekannt' END AS billing,
+         sollhonorar AS total_budget, billed, cost, soll AS own_soll, ist AS actual_hours
+  FROM lines WHERE is_top
+),
+sec AS (
+  SELECT file_path, x_pos,
+         sum(CASE WHEN soll > 0 THEN soll END) AS sub_soll,
+         arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE m_sv AND soll > 0) AS rate_sv,
+         arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE NOT m_sv AND m_cad AND soll > 0) AS rate_cad,
+         arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE NOT m_sv AND NOT m_cad AND m_adm AND soll > 0) AS rate_adm
+  FROM lines WHERE in_section GROUP BY file_path, x_pos
+),
+main_rec AS (
+  SELECT t.file_path, t.x_pos, 1 AS kind, t.x_pos AS pos, project, project_code, top_milestone, top_norm, billing,
+         total_budget, billed, cost,
+         CAST(CASE WHEN sub_soll > 0 THEN sub_soll ELSE own_soll END AS DECIMAL(18,2)) AS target_hours, actual_hours,
+         coalesce(rate_sv, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_sv,
+         coalesce(rate_cad, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_cad,
+         coalesce(rate_adm, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_adm
+  FROM top t LEFT JOIN sec s ON s.file_path = t.file_path AND s.x_pos = t.x_pos
+),
+supp0 AS (
+  SELECT l.file_path, l.x_pos, l.pos, l.pkg AS top_milestone, l.ms AS top_norm,
+         CASE WHEN contains(lower(l.package), '(p)') THEN 'Pauschale'
+              WHEN contains(lower(l.package), '(an)') OR contains(lower(l.package), '(a.n.)') OR contains(lower(l.package), '(a n)') THEN 'Nachweis'
+              ELSE 'Unbekannt' END AS own_billing,
+         coalesce(CASE WHEN l.budget <> 0 THEN l.budget END, CASE WHEN l.sollhonorar <> 0 THEN l.sollhonorar END) AS fee,
+         l.billed, l.cost, l.soll, l.ist
+  FROM lines l
+  WHERE l.in_section AND regexp_matches(lower(l.pkg), 'nat|nachtrag')
+),
+supp_rec AS (
+  SELECT s.file_path, s.x_pos, 0 AS kind, s.pos, t.project, t.project_code, s.top_milestone, s.top_norm,
+         CASE WHEN s.own_billing = 'Unbekannt' THEN t.billing ELSE s.own_billing END AS billing,
+         s.fee AS total_budget, s.billed, s.cost, CAST(s.soll AS DECIMAL(18,2)) AS target_hours, s.ist AS actual_hours,
+         CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_sv,
+         CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_cad,
+         CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_adm
+  FROM supp0 s JOIN top t ON t.file_path = s.file_path AND t.x_pos = s.x_pos
+  WHERE s.fee IS NOT NULL
+),
+cand AS (
+  SELECT *, x_pos * 128 + CASE WHEN kind = 1 THEN 127 ELSE pos - x_pos END AS emit_ord
+  FROM (SELECT * FROM main_rec UNION ALL SELECT * FROM supp_rec)
+),
+kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_path, project, top_norm ORDER BY emit_ord) AS rn FROM cand)
+  WHERE rn = 1
+),
+records AS (
+  SELECT file_path, project, project_code, top_milestone, top_norm, billing,
+         CAST(total_budget AS DECIMAL(18,2)) AS total_budget, CAST(billed AS DECIMAL(18,2)) AS billed,
+         CAST(cost AS DECIMAL(18,2)) AS cost, CAST(target_hours AS DECIMAL(18,2)) AS target_hours,
+         CAST(actual_hours AS DECIMAL(18,2)) AS actual_hours, rate_sv, rate_cad, rate_adm,
+         project || '||' || top_norm AS lookup_key,
+         CAST(row_number() OVER (PARTITION BY file_path ORDER BY emit_ord) AS INTEGER) AS lookup_id, kind
+  FROM kept
+),
+edges AS (
+  SELECT file_path, projekt, ms AS ms_norm, parent_run AS parent FROM lines
+  WHERE NOT dash_empty AND ms <> '' AND parent_run IS NOT NULL
+  UNION ALL
+  SELECT file_path, project, top_norm, top_norm FROM records WHERE kind = 0
+),
+pmap AS (
+  SELECT project_key, ms_norm, list_sort(list(DISTINCT parent)) AS parents
+  FROM (SELECT unnest(list_distinct(list_filter([projekt, regexp_extract(projekt, '^(\\S+)', 1)], lambda x: x <> ''))) AS project_key,
+               ms_norm, parent FROM edges)
+  GROUP BY project_key, ms_norm
+),
+plan AS (
+  SELECT projekt AS proj_norm, ms AS ms_norm,
+         CAST(coalesce(sum(soll), 0) AS DECIMAL(18,2)) AS soll, CAST(coalesce(sum(ist), 0) AS DECIMAL(18,2)) AS ist
+  FROM lines WHERE package IS NOT NULL AND pkg <> '-' AND pkg <> '' AND proj_filled IS NOT NULL
+  GROUP BY projekt, ms
+)"""
+
+SQL["plan_actual"] = with_(BUDGET_LINES) + """
+SELECT proj_norm, ms_norm, soll, ist,
+       round(CASE WHEN soll > 0 THEN CAST(ist AS DOUBLE) / CAST(soll AS DOUBLE) * 100.0
+                  WHEN ist > 0 THEN 999.0 ELSE 0.0 END, 2) AS pct
+FROM plan"""
+
+SQL["ffill_project"] = with_(BUDGET_LINES) + """
+SELECT row_no, pos, projekt AS project, changed, is_top FROM lines"""
+
+SQL["parent_map"] = with_(BUDGET_LINES) + """
+SELECT project_key, ms_norm, parents, CAST(len(parents) AS INTEGER) AS n_parents FROM pmap"""
+
+SQL["section_target_hours"] = with_(BUDGET_LINES) + """
+SELECT project, top_norm, lookup_id, target_hours, actual_hours FROM records"""
+
+SQL["section_rates"] = with_(BUDGET_LINES) + """
+SELECT project, top_norm, billing, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad,
+       round(rate_adm, 4) AS rate_adm FROM records"""
+
+SQL["nachtrag_records"] = with_(BUDGET_LINES) + """
+SELECT project, project_code, top_milestone, top_norm, billing, total_budget, target_hours,
+       round(rate_sv, 4) AS rate_sv, lookup_id
+FROM records WHERE regexp_matches(lower(top_milestone), 'nat|nachtrag')"""
+
+SQL["budget_records"] = with_(BUDGET_LINES) + """
+SELECT project, project_code, top_milestone, top_norm, billing, total_budget, billed, cost, target_hours,
+       actual_hours, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad, round(rate_adm, 4) AS rate_adm,
+       lookup_key, lookup_id
+FROM records"""
+
+SQL["budget_overview"] = with_(BUDGET_LINES) + """
+SELECT project, top_milestone, billing,
+       CASE WHEN target_hours > 0 THEN target_hours END AS target_hours,
+       CASE WHEN billing <> 'Unbekannt' AND (coalesce(rate_sv > 0, false) OR coalesce(rate_cad > 0, false) OR coalesce(rate_adm > 0, false))
+            THEN '✓ Vollständig' ELSE '⚠ Manual erforderlich' END AS status,
+       CASE WHEN total_budget > 0 THEN total_budget END AS total_budget,
+       CASE WHEN billed > 0 THEN billed ELSE CAST(0 AS DECIMAL(18,2)) END AS billed,
+       CAST(coalesce(total_budget, 0) - coalesce(billed, 0) AS DECIMAL(18,2)) AS available,
+       round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad, round(rate_adm, 4) AS rate_adm,
+       concat_ws('; ', CASE WHEN billing = 'Unbekannt' THEN 'Abrechnungsart wählen' END,
+                 CASE WHEN NOT (coalesce(rate_sv > 0, false) OR coalesce(rate_cad > 0, false) OR coalesce(rate_adm > 0, false))
+                      THEN 'Stundensätze eingeben' END) AS remark,
+       lookup_id
+FROM records"""

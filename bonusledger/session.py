@@ -84,3 +84,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     return spark
+
+
+def materialize(df, name: str):
+    """Writes ``df`` as parquet under the shared checkpoint folder and reads it
+    back: one computation, lineage cut, and the read side has exact sizes for
+    AQE and broadcast decisions.  Used for intermediate results that several
+    outputs read (the prepared budget lines)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -12,6 +12,8 @@ mapping itself is documented in FIXTURES.md section 4.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,7 +127,7 @@ def budget_lines(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER
             "k",
             F.concat(F.lit("• "), milestone_name(F.col("n"), F.col("ptype"))).alias("package"),
             F.when(F.col("n") != 2, _de_text(
-                (F.coalesce(F.col("booked"), F.lit(0)) * (F.lit(0.8) + F.lit(0.1) * (F.col("n") % 5))).cast(S.HOURS)
+                (F.coalesce(F.col("booked"), F.lit(0)) * (F.lit(Decimal("0.8")) + F.lit(Decimal("0.1")) * (F.col("n") % 5))).cast(S.HOURS)
             )).alias("soll_txt"),
             F.when(F.col("n") != 2, _de_text(F.coalesce(F.col("booked"), F.lit(0).cast(S.HOURS)))).alias("ist_txt"),
         )
@@ -138,6 +140,7 @@ def budget_lines(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER
         project_name(F.col("n")).alias("projekte"),
         null.alias("flag"),
         F.lit("-").alias("package"),
+        *[null.alias(c) for c in ("soll_txt", "ist_txt", "budget_txt", "sollhonorar_txt", "billed_txt", "cost_txt")],
     )
     top = brands.select(
         "n",
@@ -210,7 +213,7 @@ def adjustments(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER)
         givers.join(first, keys).join(second, keys, "left")
         .select(
             "staff_name", *keys,
-            (-(F.col("hours") / 2)).cast(S.HOURS).alias("adj_h"),
+            (-(F.col("hours") * F.lit(Decimal("0.5")))).cast(S.HOURS).alias("adj_h"),
             F.when(F.col("first") != F.col("staff_name"), F.col("first")).otherwise(F.col("second")).alias("assign_to"),
         )
     )

@@ -201,7 +201,10 @@ def budget_records(lines: DataFrame) -> DataFrame:
 def parent_map(lines: DataFrame) -> DataFrame:
     """W2 (+ W6 self-parents): (project_key, ms_norm) -> sorted distinct parents,
     emitted for the full name and for the project code."""
-    edges = budget_scan(lines)[1]
+    return parent_map_from_edges(budget_scan(lines)[1])
+
+
+def parent_map_from_edges(edges: DataFrame) -> DataFrame:
     keyed = edges.select(F.explode(S.project_keys("projekt")).alias("project_key"), "ms_norm", "parent")
     return keyed.groupBy("project_key", "ms_norm").agg(
         F.array_sort(F.collect_set("parent")).alias("parents")

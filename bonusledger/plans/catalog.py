@@ -190,3 +190,131 @@ QUERIES.update({
     "budget_records": budget_records,
     "budget_overview": budget_overview,
 })
+
+
+# ------------------------------------------------------------ month rules
+
+from ..operators import rules as RU  # noqa: E402
+
+
+def _quarter_entries(spark, sf_dir):
+    return BK.in_quarter(_entries(spark, sf_dir), Q_START)
+
+
+def _plan(spark, sf_dir):
+    return BU.plan_actual(_lines(spark, sf_dir))
+
+
+def _month_rows(spark, sf_dir):
+    return RU.month_rows(_quarter_entries(spark, sf_dir), _plan(spark, sf_dir))
+
+
+def _rows_adj(spark, sf_dir):
+    return RU.with_adjustments(_month_rows(spark, sf_dir), BR.adjustments(spark, sf_dir, QUARTER))
+
+
+def month_rows(spark, sf_dir):
+    return _month_rows(spark, sf_dir).drop("target_for_revenue")
+
+
+def coworkers(spark, sf_dir):
+    return RU.coworkers(_month_rows(spark, sf_dir))
+
+
+def hour_transfers(spark, sf_dir):
+    d = _rows_adj(spark, sf_dir)
+    return d.where(F.col("adj_h").isNotNull() | (F.col("from_others") > 0)).select(
+        "staff_name", "month", "proj_norm", "ms_norm", "hours", "adj_h", "assign_to", "transferable", "from_others"
+    )
+
+
+def _totals(spark, sf_dir):
+    return RU.month_totals(_rows_adj(spark, sf_dir))
+
+
+def month_totals(spark, sf_dir):
+    return _totals(spark, sf_dir).select("staff_name", "month", "total_hours", "bonus_base", "special_base")
+
+
+def bonus_totals(spark, sf_dir):
+    return _totals(spark, sf_dir).select(
+        "staff_name", "month", "bonus_base", "adj_regular", "bonus_total", "special_base", "adj_special",
+        "special_total", "assigned", "total_bonus",
+    )
+
+
+def transfer_sheet(spark, sf_dir):
+    t = _totals(spark, sf_dir)
+    return t.select("staff_name", S.month_label("month").alias("month_label"), "total_hours", "bonus_total",
+                    "special_total", "assigned", "total_bonus")
+
+
+def _resolved(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    records, _ = BU.budget_scan(lines), None
+    recs = records[0]
+    pmap = BU.parent_map_from_edges(records[1])
+    keys = _quarter_entries(spark, sf_dir).select("proj_norm", "ms_norm")
+    return RU.resolve_budget(keys, recs, pmap)
+
+
+def budget_resolve(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("proj_norm", "ms_norm", "res_id", "target_hours_q", "cost_s")
+
+
+def lookup_id_resolve(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.select("proj_norm", "ms_norm", "lookup_id", "billing",
+                    *[F.round(c, 4).alias(c) for c in ("rate_sv", "rate_cad", "rate_adm")], "budget_total")
+
+
+def _revenue(spark, sf_dir):
+    return RU.revenue_rows(_rows_adj(spark, sf_dir), _resolved(spark, sf_dir), BR.positions(spark, sf_dir))
+
+
+def revenue_rows(spark, sf_dir):
+    d = _revenue(spark, sf_dir)
+    return d.select(
+        "staff_name", "month", "proj_norm", "ms_norm", "position", "billing",
+        F.round("rate", 4).alias("rate"),
+        *[F.round(c, 2).alias(c) for c in ("revenue", "possible", "lost", "revenue_key")],
+    )
+
+
+def revenue_by_key(spark, sf_dir):
+    d = _revenue(spark, sf_dir)
+    return d.groupBy("proj_norm", "ms_norm", "month").agg(
+        F.round(F.sum("revenue"), 2).alias("revenue"),
+        F.round(F.sum("possible"), 2).alias("possible"),
+        F.count("*").alias("n_rows"),
+    )
+
+
+def quarter_milestones(spark, sf_dir):
+    return RU.quarter_milestones(_quarter_entries(spark, sf_dir), _plan(spark, sf_dir))
+
+
+def quarter_summary(spark, sf_dir):
+    return RU.quarter_summary(_rows_adj(spark, sf_dir), _plan(spark, sf_dir))
+
+
+def quarter_totals(spark, sf_dir):
+    return RU.quarter_totals(_totals(spark, sf_dir))
+
+
+QUERIES.update({
+    "month_rows": month_rows,
+    "coworkers": coworkers,
+    "hour_transfers": hour_transfers,
+    "month_totals": month_totals,
+    "bonus_totals": bonus_totals,
+    "transfer_sheet": transfer_sheet,
+    "budget_resolve": budget_resolve,
+    "lookup_id_resolve": lookup_id_resolve,
+    "revenue_rows": revenue_rows,
+    "revenue_by_key": revenue_by_key,
+    "quarter_milestones": quarter_milestones,
+    "quarter_summary": quarter_summary,
+    "quarter_totals": quarter_totals,
+})
+FLAGSHIP = month_rows

@@ -380,3 +380,341 @@ SELECT project, top_milestone, billing,
                       THEN 'Stundensätze eingeben' END) AS remark,
        lookup_id
 FROM records"""
+
+
+# ------------------------------------------------------------ month rules
+
+_BUDGET_RE = "(?i)(\\d+[\\.,]?\\d*)\\s*h\\s*(?:/|pro\\s+)(monat|quartal)"
+
+
+def _dict_case(col: str, table: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {_lit(k)} THEN CAST({v} AS DECIMAL(18,2))" for k, v in table.items()) + " END"
+
+
+MONTH_RULES = f"""
+mh2 AS (
+  SELECT *, CAST(sum(hours) OVER (PARTITION BY staff_name, proj_norm, ms_norm, quarter ORDER BY month
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS cum_hours
+  FROM mh
+),
+mr0 AS (
+  SELECT m.*, coalesce(p.soll, 0) AS csv_soll, coalesce(p.ist, 0) AS csv_ist, coalesce(f.future_hours, 0) AS future_hours,
+         CASE WHEN contains(lower(m.ms_norm), 'quartal') THEN 'quarterly' ELSE 'monthly' END AS milestone_type,
+         coalesce(starts_with(lower(trim(m.proj_norm)), '0000'), false) AS is_special,
+         {_dict_case('m.ms_norm', K.MONTHLY_BUDGETS)} AS mdict_h,
+         {_dict_case('m.ms_norm', K.QUARTERLY_BUDGETS)} AS qdict_h,
+         CASE WHEN regexp_extract(m.ms_norm, '{_BUDGET_RE}', 2) <> ''
+              THEN TRY_CAST(replace(regexp_extract(m.ms_norm, '{_BUDGET_RE}', 1), ',', '.') AS DECIMAL(18,2)) END AS nb_h,
+         CASE WHEN regexp_extract(m.ms_norm, '{_BUDGET_RE}', 2) <> ''
+              THEN lower(regexp_extract(m.ms_norm, '{_BUDGET_RE}', 2)) END AS nb_unit
+  FROM mh2 m LEFT JOIN plan p ON p.proj_norm = m.proj_norm AND p.ms_norm = m.ms_norm
+       LEFT JOIN fut f ON f.proj_norm = m.proj_norm AND f.ms_norm = m.ms_norm AND f.quarter = m.quarter AND f.month = m.month
+),
+mr1 AS (
+  SELECT *,
+    CASE WHEN milestone_type = 'monthly' AND mdict_h IS NOT NULL AND ((csv_soll = 0 AND csv_ist = 0) OR is_special)
+         THEN mdict_h ELSE csv_soll END AS soll1,
+    CASE WHEN milestone_type = 'monthly' AND mdict_h IS NOT NULL AND ((csv_soll = 0 AND csv_ist = 0) OR is_special)
+         THEN hours ELSE csv_ist END AS ist1
+  FROM mr0
+),
+mr2 AS (
+  SELECT *,
+    CAST(CASE WHEN milestone_type = 'monthly' THEN
+           CASE WHEN is_special AND mdict_h IS NOT NULL THEN mdict_h
+                WHEN is_special AND nb_unit = 'monat' AND nb_h IS NOT NULL THEN nb_h
+                ELSE soll1 END
+         ELSE CASE WHEN nb_unit = 'quartal' AND nb_h IS NOT NULL THEN nb_h
+                   WHEN qdict_h IS NOT NULL THEN qdict_h
+                   WHEN soll1 > 0 THEN soll1 ELSE 0 END END AS DECIMAL(18,2)) AS soll_raw,
+    CAST(CASE WHEN milestone_type = 'monthly' THEN
+           CASE WHEN is_special THEN hours ELSE ist1 - future_hours END
+         ELSE cum_hours END AS DECIMAL(18,2)) AS ist
+  FROM mr1
+),
+mr AS (
+  SELECT *, CASE WHEN soll_raw > 0 THEN CAST(ist AS DOUBLE) / CAST(soll_raw AS DOUBLE) * 100.0 ELSE 0.0 END AS pct_raw
+  FROM mr2
+),
+mrows AS (
+  SELECT staff_name, quarter, month, proj_norm, ms_norm, milestone_type, is_special, hours,
+         CASE WHEN milestone_type = 'quarterly' AND soll_raw = 0 THEN NULL ELSE soll_raw END AS soll,
+         ist,
+         CASE WHEN milestone_type = 'quarterly' AND soll_raw = 0 THEN NULL ELSE round(pct_raw, 2) END AS pct,
+         CASE WHEN soll_raw > 0 THEN pct_raw <= 100.0 ELSE true END AS eligible,
+         CASE WHEN soll_raw > 0 THEN CASE WHEN pct_raw < 90 THEN 'green' WHEN pct_raw <= 100 THEN 'yellow' ELSE 'red' END END AS status,
+         soll_raw AS target_for_revenue
+  FROM mr
+)"""
+
+ADJUST = """
+firsts AS (SELECT proj_norm, ms_norm, month, min(staff_name) AS first FROM mh GROUP BY proj_norm, ms_norm, month),
+seconds AS (
+  SELECT m.proj_norm, m.ms_norm, m.month, min(m.staff_name) AS second
+  FROM mh m JOIN firsts f ON f.proj_norm = m.proj_norm AND f.ms_norm = m.ms_norm AND f.month = m.month
+  WHERE m.staff_name <> f.first GROUP BY m.proj_norm, m.ms_norm, m.month
+),
+adjustments AS (
+  SELECT g.staff_name, g.proj_norm, g.ms_norm, g.month, CAST(-(g.hours * 0.5) AS DECIMAL(18,2)) AS adj_h,
+         CASE WHEN f.first <> g.staff_name THEN f.first ELSE s.second END AS assign_to
+  FROM mh g JOIN supplier sp ON sp.s_name = g.staff_name
+       JOIN firsts f ON f.proj_norm = g.proj_norm AND f.ms_norm = g.ms_norm AND f.month = g.month
+       LEFT JOIN seconds s ON s.proj_norm = g.proj_norm AND s.ms_norm = g.ms_norm AND s.month = g.month
+  WHERE sp.s_suppkey % 3 = 0
+),
+ra0 AS (
+  SELECT r.*, a.adj_h, a.assign_to,
+         CAST(CASE WHEN a.adj_h < 0 THEN greatest(CAST(0 AS DECIMAL(18,2)), least(r.hours, -a.adj_h)) ELSE 0 END AS DECIMAL(18,2)) AS transferable
+  FROM mrows r LEFT JOIN adjustments a
+    ON a.staff_name = r.staff_name AND a.proj_norm = r.proj_norm AND a.ms_norm = r.ms_norm AND a.month = r.month
+),
+recv AS (
+  SELECT proj_norm, ms_norm, month, assign_to AS staff_name, CAST(sum(transferable) AS DECIMAL(18,2)) AS from_others
+  FROM ra0 WHERE assign_to IS NOT NULL AND assign_to <> staff_name GROUP BY proj_norm, ms_norm, month, assign_to
+),
+ra AS (
+  SELECT ra0.*, CAST(coalesce(recv.from_others, 0) AS DECIMAL(18,2)) AS from_others
+  FROM ra0 LEFT JOIN recv ON recv.staff_name = ra0.staff_name AND recv.proj_norm = ra0.proj_norm
+       AND recv.ms_norm = ra0.ms_norm AND recv.month = ra0.month
+),
+totals AS (
+  SELECT staff_name, quarter, month,
+         CAST(coalesce(sum(hours), 0) AS DECIMAL(18,2)) AS total_hours,
+         CAST(coalesce(sum(CASE WHEN eligible AND NOT is_special THEN hours END), 0) AS DECIMAL(18,2)) AS bonus_base,
+         CAST(coalesce(sum(CASE WHEN eligible AND is_special THEN hours END), 0) AS DECIMAL(18,2)) AS special_base,
+         CAST(coalesce(sum(CASE WHEN NOT is_special THEN adj_h END), 0) AS DECIMAL(18,2)) AS adj_regular,
+         CAST(coalesce(sum(CASE WHEN is_special THEN adj_h END), 0) AS DECIMAL(18,2)) AS adj_special,
+         CAST(coalesce(sum(from_others), 0) AS DECIMAL(18,2)) AS assigned
+  FROM ra GROUP BY staff_name, quarter, month
+),
+totals2 AS (
+  SELECT *, CAST(bonus_base + adj_regular AS DECIMAL(18,2)) AS bonus_total,
+         CAST(special_base + adj_special AS DECIMAL(18,2)) AS special_total,
+         CAST(bonus_base + adj_regular + special_base + adj_special + assigned AS DECIMAL(18,2)) AS total_bonus
+  FROM totals
+)"""
+
+RULES = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, FUTURE, MONTH_RULES)
+RULES_ADJ = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, FUTURE, MONTH_RULES, ADJUST)
+
+SQL["month_rows"] = RULES + """
+SELECT staff_name, quarter, month, proj_norm, ms_norm, milestone_type, is_special, hours, soll, ist, pct, eligible, status
+FROM mrows"""
+
+SQL["coworkers"] = RULES + """
+SELECT r.proj_norm, r.ms_norm, r.month, r.staff_name, n.n_staff, n.n_staff - 1 AS n_others
+FROM mrows r JOIN (SELECT proj_norm, ms_norm, month, count(DISTINCT staff_name) AS n_staff FROM mrows
+                   GROUP BY proj_norm, ms_norm, month) n
+  ON n.proj_norm = r.proj_norm AND n.ms_norm = r.ms_norm AND n.month = r.month"""
+
+SQL["hour_transfers"] = RULES_ADJ + """
+SELECT staff_name, month, proj_norm, ms_norm, hours, adj_h, assign_to, transferable, from_others
+FROM ra WHERE adj_h IS NOT NULL OR from_others > 0"""
+
+SQL["month_totals"] = RULES_ADJ + """
+SELECT staff_name, month, total_hours, bonus_base, special_base FROM totals2"""
+
+SQL["bonus_totals"] = RULES_ADJ + """
+SELECT staff_name, month, bonus_base, adj_regular, bonus_total, special_base, adj_special, special_total,
+       assigned, total_bonus
+FROM totals2"""
+
+SQL["transfer_sheet"] = RULES_ADJ + f"""
+SELECT staff_name, {month_label_sql('month')} AS month_label, total_hours, bonus_total, special_total, assigned, total_bonus
+FROM totals2"""
+
+SQL["quarter_totals"] = RULES_ADJ + """
+SELECT staff_name, quarter,
+       CAST(sum(total_hours) AS DECIMAL(18,2)) AS total_hours, CAST(sum(bonus_base) AS DECIMAL(18,2)) AS bonus_base,
+       CAST(sum(special_base) AS DECIMAL(18,2)) AS special_base, CAST(sum(bonus_total) AS DECIMAL(18,2)) AS bonus_total,
+       CAST(sum(special_total) AS DECIMAL(18,2)) AS special_total, CAST(sum(assigned) AS DECIMAL(18,2)) AS assigned,
+       CAST(sum(total_bonus) AS DECIMAL(18,2)) AS total_bonus, count(*) AS n_months
+FROM totals2 GROUP BY staff_name, quarter"""
+
+
+def _keys_sql(name: str) -> str:
+    code = f"regexp_extract({name}, '^(\\S+)', 1)"
+    return (f"(CASE WHEN {name} = '' THEN CAST([] AS VARCHAR[]) WHEN {code} = {name} OR {code} = '' THEN [{name}] "
+            f"ELSE [{name}, {code}] END)")
+
+
+RESOLVE = f"""
+rkeys AS (SELECT DISTINCT proj_norm, ms_norm FROM mh),
+kk0 AS (SELECT proj_norm, ms_norm, {_keys_sql('proj_norm')} AS keys FROM rkeys),
+kk AS (
+  SELECT proj_norm, ms_norm, unnest(keys) AS key, unnest(generate_series(0, len(keys) - 1)) AS kpos FROM kk0
+),
+kkp AS (
+  SELECT kk.*, pm.parents, CAST(len(pm.parents) AS INTEGER) AS n_parents
+  FROM kk LEFT JOIN pmap pm ON pm.project_key = kk.key AND pm.ms_norm = kk.ms_norm
+),
+lt AS (
+  SELECT key, cand_ms, max(lookup_id) AS rid FROM (
+    SELECT unnest({_keys_sql('project')}) AS key, top_norm AS cand_ms, lookup_id FROM records
+    WHERE project NOT IN ('', '-', 'nan') AND top_norm <> '')
+  GROUP BY key, cand_ms
+),
+cands AS (
+  SELECT proj_norm, ms_norm, kpos * 2 AS prio, key, ms_norm AS cand_ms FROM kkp
+  UNION ALL
+  SELECT proj_norm, ms_norm, kpos * 2 + 1, key, parents[1] FROM kkp WHERE n_parents = 1
+),
+j3 AS (
+  SELECT c.proj_norm, c.ms_norm, arg_min(lt.rid, c.prio) AS res_id
+  FROM cands c JOIN lt ON lt.key = c.key AND lt.cand_ms = c.cand_ms GROUP BY c.proj_norm, c.ms_norm
+),
+idt AS (
+  SELECT ({_keys_sql('project')})[-1] AS key, top_norm AS cand_ms, max(lookup_id) AS lid FROM records
+  WHERE project NOT IN ('', '-', 'nan') AND top_norm <> '' GROUP BY 1, 2
+),
+prim AS (
+  SELECT k.proj_norm, k.ms_norm, arg_min(i.lid, k.kpos) AS primary_id
+  FROM kk k JOIN idt i ON i.key = k.key AND i.cand_ms = k.ms_norm GROUP BY k.proj_norm, k.ms_norm
+),
+par AS (
+  SELECT proj_norm, ms_norm, arg_min(parents[1], kpos) AS fb_parent FROM kkp WHERE n_parents >= 1
+  GROUP BY proj_norm, ms_norm
+),
+fb AS (
+  SELECT k.proj_norm, k.ms_norm, arg_min(i.lid, k.kpos) AS fallback_id
+  FROM kk k JOIN par p ON p.proj_norm = k.proj_norm AND p.ms_norm = k.ms_norm
+       JOIN idt i ON i.key = k.key AND i.cand_ms = p.fb_parent
+  GROUP BY k.proj_norm, k.ms_norm
+),
+res0 AS (
+  SELECT r.proj_norm, r.ms_norm, j3.res_id, prim.primary_id, fb.fallback_id,
+         coalesce(prim.primary_id, fb.fallback_id) AS lookup_id
+  FROM rkeys r LEFT JOIN j3 ON j3.proj_norm = r.proj_norm AND j3.ms_norm = r.ms_norm
+       LEFT JOIN prim ON prim.proj_norm = r.proj_norm AND prim.ms_norm = r.ms_norm
+       LEFT JOIN fb ON fb.proj_norm = r.proj_norm AND fb.ms_norm = r.ms_norm
+),
+res AS (
+  SELECT r.proj_norm, r.ms_norm, r.res_id, r.lookup_id,
+         CASE WHEN r.lookup_id IS NOT NULL THEN coalesce(b.billing, '') ELSE 'Unbekannt' END AS billing,
+         b.rate_sv, b.rate_cad, b.rate_adm, coalesce(b.total_budget, CAST(0 AS DECIMAL(18,2))) AS budget_total,
+         CASE WHEN (CASE WHEN r.res_id IS NOT NULL THEN r3.target_hours WHEN r.primary_id IS NOT NULL THEN rp.target_hours
+                         ELSE rf.target_hours END) <> 0
+              THEN (CASE WHEN r.res_id IS NOT NULL THEN r3.target_hours WHEN r.primary_id IS NOT NULL THEN rp.target_hours
+                         ELSE rf.target_hours END) END AS target_hours_q,
+         CASE WHEN r3.cost <> 0 THEN r3.cost END AS cost_s
+  FROM res0 r LEFT JOIN records b ON b.lookup_id = r.lookup_id
+       LEFT JOIN records r3 ON r3.lookup_id = r.res_id
+       LEFT JOIN records rp ON rp.lookup_id = r.primary_id
+       LEFT JOIN records rf ON rf.lookup_id = r.fallback_id
+)"""
+
+SQL["budget_resolve"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, RESOLVE) + """
+SELECT proj_norm, ms_norm, res_id, target_hours_q, cost_s FROM res"""
+
+SQL["lookup_id_resolve"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, RESOLVE) + """
+SELECT proj_norm, ms_norm, lookup_id, billing, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad,
+       round(rate_adm, 4) AS rate_adm, budget_total FROM res"""
+
+_POSITIONS_SQL = "[" + ", ".join(_lit(p) for p in K.POSITIONS) + "]"
+
+REVENUE = f"""
+positions AS (SELECT s_name AS staff_name, ({_POSITIONS_SQL})[s_suppkey % 5 + 1] AS position FROM supplier),
+rv0 AS (
+  SELECT ra.*, res.lookup_id, res.billing, res.rate_sv, res.rate_cad, res.rate_adm, res.budget_total,
+         coalesce(p.position, 'SV') AS position
+  FROM ra LEFT JOIN res ON res.proj_norm = ra.proj_norm AND res.ms_norm = ra.ms_norm
+       LEFT JOIN positions p ON p.staff_name = ra.staff_name
+),
+rv1 AS (
+  SELECT *,
+    CASE WHEN position = '-' THEN 0.0 WHEN lookup_id IS NULL THEN 0.0
+         WHEN position = 'CAD' THEN coalesce(rate_cad, 0.0) WHEN position = 'ADM' THEN coalesce(rate_adm, 0.0)
+         ELSE coalesce(rate_sv, 0.0) END AS rate,
+    CAST(coalesce(budget_total, 0) AS DOUBLE) AS rr, CAST(coalesce(target_for_revenue, 0) AS DOUBLE) AS dd,
+    CAST(coalesce(ist, 0) AS DOUBLE) AS ee, CAST(hours + from_others AS DOUBLE) AS fk
+  FROM rv0
+),
+rv2 AS (
+  SELECT *,
+    CASE WHEN position = '-' THEN 0.0
+         WHEN billing = 'Pauschale' THEN CASE WHEN rr = 0 OR dd = 0 THEN 0.0
+                                              ELSE greatest(0.0, least(rr * (fk / dd), rr - rr * (ee / dd))) END
+         ELSE rate * fk END AS revenue,
+    CASE WHEN position = '-' THEN 0.0
+         WHEN billing = 'Pauschale' THEN CASE WHEN rr = 0 OR dd = 0 THEN 0.0 ELSE rr * (fk / dd) END
+         ELSE rate * fk END AS possible
+  FROM rv1
+),
+rv AS (
+  SELECT rv2.*, rv2.possible - rv2.revenue AS lost, k.revenue_key
+  FROM rv2 JOIN (SELECT proj_norm, ms_norm, month, sum(revenue) AS revenue_key FROM rv2 GROUP BY 1, 2, 3) k
+    ON k.proj_norm = rv2.proj_norm AND k.ms_norm = rv2.ms_norm AND k.month = rv2.month
+)"""
+
+_REV = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, FUTURE, MONTH_RULES, ADJUST, RESOLVE, REVENUE)
+
+SQL["revenue_rows"] = _REV + """
+SELECT staff_name, month, proj_norm, ms_norm, position, billing, round(rate, 4) AS rate,
+       round(revenue, 2) AS revenue, round(possible, 2) AS possible, round(lost, 2) AS lost,
+       round(revenue_key, 2) AS revenue_key
+FROM rv"""
+
+SQL["revenue_by_key"] = _REV + """
+SELECT proj_norm, ms_norm, month, round(sum(revenue), 2) AS revenue, round(sum(possible), 2) AS possible,
+       count(*) AS n_rows
+FROM rv GROUP BY proj_norm, ms_norm, month"""
+
+SQL["quarter_milestones"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE) + f"""
+, qh AS (
+  SELECT staff_name, quarter, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+  FROM mh GROUP BY staff_name, quarter, proj_norm, ms_norm
+),
+qm AS (
+  SELECT q.*, CAST(CASE
+      WHEN regexp_extract(q.ms_norm, '{_BUDGET_RE}', 2) <> '' AND lower(regexp_extract(q.ms_norm, '{_BUDGET_RE}', 2)) = 'quartal'
+           AND TRY_CAST(replace(regexp_extract(q.ms_norm, '{_BUDGET_RE}', 1), ',', '.') AS DECIMAL(18,2)) IS NOT NULL
+        THEN TRY_CAST(replace(regexp_extract(q.ms_norm, '{_BUDGET_RE}', 1), ',', '.') AS DECIMAL(18,2))
+      WHEN {_dict_case('q.ms_norm', K.QUARTERLY_BUDGETS)} IS NOT NULL THEN {_dict_case('q.ms_norm', K.QUARTERLY_BUDGETS)}
+      WHEN coalesce(p.soll, 0) > 0 THEN p.soll ELSE 0 END AS DECIMAL(18,2)) AS q_soll
+  FROM qh q LEFT JOIN plan p ON p.proj_norm = q.proj_norm AND p.ms_norm = q.ms_norm
+  WHERE contains(lower(q.ms_norm), 'quartal')
+)
+SELECT staff_name, quarter, proj_norm, ms_norm, CASE WHEN q_soll > 0 THEN q_soll END AS q_soll, hours AS q_ist,
+       CASE WHEN q_soll > 0 THEN round(CAST(hours AS DOUBLE) / CAST(q_soll AS DOUBLE) * 100.0, 2) END AS pct,
+       CASE WHEN q_soll > 0 THEN CASE WHEN CAST(hours AS DOUBLE) / CAST(q_soll AS DOUBLE) * 100.0 < 90 THEN 'green'
+                                      WHEN CAST(hours AS DOUBLE) / CAST(q_soll AS DOUBLE) * 100.0 <= 100 THEN 'yellow'
+                                      ELSE 'red' END END AS status
+FROM qm"""
+
+SQL["quarter_summary"] = RULES_ADJ + f"""
+, qs0 AS (
+  SELECT staff_name, quarter, proj_norm, ms_norm,
+         CAST(sum(hours) AS DECIMAL(18,2)) AS q_hours,
+         CAST(sum(hours + transferable + from_others) AS DECIMAL(18,2)) AS q_total,
+         CAST(sum(coalesce(adj_h, 0)) AS DECIMAL(18,2)) AS q_adj,
+         CAST(sum(from_others) AS DECIMAL(18,2)) AS q_from_others
+  FROM ra GROUP BY staff_name, quarter, proj_norm, ms_norm
+),
+qs1 AS (
+  SELECT q.*, p.soll AS csv_soll, p.ist AS csv_ist,
+         coalesce(starts_with(lower(trim(q.proj_norm)), '0000'), false) AS is_special,
+         CASE WHEN regexp_extract(q.ms_norm, '{_BUDGET_RE}', 2) <> ''
+              THEN TRY_CAST(replace(regexp_extract(q.ms_norm, '{_BUDGET_RE}', 1), ',', '.') AS DECIMAL(18,2)) END AS nb_h,
+         lower(regexp_extract(q.ms_norm, '{_BUDGET_RE}', 2)) AS nb_unit,
+         {_dict_case('q.ms_norm', K.QUARTERLY_BUDGETS)} AS qdict_h,
+         {_dict_case('q.ms_norm', K.MONTHLY_BUDGETS)} AS mdict_h
+  FROM qs0 q JOIN plan p ON p.proj_norm = q.proj_norm AND p.ms_norm = q.ms_norm
+),
+qs2 AS (
+  SELECT *,
+    CAST(CASE WHEN is_special THEN
+           CASE WHEN nb_unit = 'quartal' AND nb_h IS NOT NULL THEN nb_h
+                WHEN nb_unit = 'monat' AND nb_h IS NOT NULL THEN nb_h * 3
+                WHEN qdict_h IS NOT NULL THEN qdict_h
+                WHEN mdict_h IS NOT NULL THEN mdict_h * 3 ELSE 0 END
+         ELSE coalesce(csv_soll, 0) END AS DECIMAL(18,2)) AS q_soll0,
+    CAST(CASE WHEN is_special THEN q_hours ELSE coalesce(csv_ist, 0) END AS DECIMAL(18,2)) AS q_ist
+  FROM qs1
+)
+SELECT staff_name, quarter, proj_norm, ms_norm, is_special,
+       CASE WHEN q_soll0 > 0 THEN q_soll0 END AS q_soll, q_ist,
+       CASE WHEN q_soll0 > 0 THEN round(CAST(q_ist AS DOUBLE) / CAST(q_soll0 AS DOUBLE) * 100.0, 2) END AS pct,
+       q_total AS q_hours, q_adj AS adj_h,
+       CAST(CASE WHEN q_adj < 0 THEN greatest(CAST(0 AS DECIMAL(18,2)), least(q_total, -q_adj)) ELSE 0 END AS DECIMAL(18,2)) AS transferable,
+       q_from_others AS from_others
+FROM qs2"""

@@ -133,7 +133,7 @@ def booking_date(x) -> Column:
     year = F.regexp_extract(s, _DATE_TEXT, 3)
     mm = F.coalesce(F.element_at(_month_number_map(), mon), F.lit("01"))
     text = F.concat_ws("-", year, mm, F.lpad(day, 2, "0"))
-    return F.when(day != "", F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(day != "", F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def month_token_unknown(x) -> Column:

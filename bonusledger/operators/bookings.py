@@ -68,7 +68,7 @@ def check_range(start: date, end: date, quarterly: bool = False) -> None:
     if start > end:
         raise ValueError("Startdatum muss vor dem Enddatum liegen.")
     if quarterly:
-        days = (end - start).days + 1
+        days = (end - start).days
         if not 85 <= days <= 95:
             raise ValueError("Quartalsbericht muss etwa 3 Monate umfassen.")
 

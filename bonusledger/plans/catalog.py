@@ -318,3 +318,185 @@ QUERIES.update({
     "quarter_totals": quarter_totals,
 })
 FLAGSHIP = month_rows
+
+
+# ------------------------------------------------------------ reports
+
+from . import reports as RP  # noqa: E402
+
+FLEX_MONTH = RP.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 12, 31), "month")
+FLEX_WEEK = RP.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 12, 31), "week")
+FLEX_PERIOD = RP.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 12, 31), "period",
+                              exclude_special_projects=True)
+
+
+def _quarter_months(spark, sf_dir):
+    return _quarter_entries(spark, sf_dir).select("month").distinct()
+
+
+def cover_months(spark, sf_dir):
+    return RP.cover_months(_totals(spark, sf_dir), _quarter_months(spark, sf_dir))
+
+
+def cover_quarter(spark, sf_dir):
+    return RP.cover_quarter(RU.quarter_totals(_totals(spark, sf_dir)))
+
+
+def quarter_employees(spark, sf_dir):
+    return RP.quarter_employees(_quarter_entries(spark, sf_dir))
+
+
+def _flex(spark, sf_dir, cfg):
+    e = RP.filtered_entries(_entries(spark, sf_dir), cfg)
+    return RP.flex_rows(e, _plan(spark, sf_dir), cfg)
+
+
+def flex_rows(spark, sf_dir):
+    return _flex(spark, sf_dir, FLEX_MONTH)
+
+
+def flex_period_rows(spark, sf_dir):
+    return _flex(spark, sf_dir, FLEX_PERIOD)
+
+
+def flex_block_totals(spark, sf_dir):
+    return RP.flex_block_totals(_flex(spark, sf_dir, FLEX_WEEK))
+
+
+def flex_summary(spark, sf_dir):
+    return RP.flex_summary(RP.flex_block_totals(_flex(spark, sf_dir, FLEX_MONTH)))
+
+
+QUERIES.update({
+    "cover_months": cover_months,
+    "cover_quarter": cover_quarter,
+    "quarter_employees": quarter_employees,
+    "flex_rows": flex_rows,
+    "flex_period_rows": flex_period_rows,
+    "flex_block_totals": flex_block_totals,
+    "flex_summary": flex_summary,
+})
+
+
+# ------------------------------------------------------------ scalar functions over test columns
+
+# Fixed values of the test texts: German month abbreviations (January first);
+# four of them are not English tokens and parse as January.
+GERMAN_MONTH_TOKENS = ["Jan", "Feb", "Mär", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez"]
+MS_PREFIXES = ["• ", "● ", "- ", " -• "]
+
+
+def _lineitem(spark, sf_dir):
+    configure(spark)
+    return BR.table(spark, sf_dir, "lineitem")
+
+
+def de_number_parse(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    german = F.translate(F.format_number(F.col("l_extendedprice").cast(S.HOURS), 2), ",.", ".,")
+    text = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("x"), F.col("l_orderkey").cast("string"))).otherwise(german)
+    return li.select("l_orderkey", "l_linenumber", text.alias("text")).withColumn("value", S.de_number("text"))
+
+
+def milestone_norm(spark, sf_dir):
+    li = _lineitem(spark, sf_dir).select("l_partkey", "l_linenumber")
+    part = BR.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in MS_PREFIXES]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    n = F.substring("p_brand", 7, 10).cast("int")
+    raw = F.concat(prefix, BR.milestone_name(n, F.col("p_type")))
+    d = li.join(part, li.l_partkey == part.p_partkey).select(raw.alias("raw")).distinct()
+    return d.withColumn("ms_norm", S.norm_milestone("raw"))
+
+
+def _milestones(spark, sf_dir):
+    return _entries(spark, sf_dir).select("ms_norm").distinct()
+
+
+def milestone_type(spark, sf_dir):
+    return _milestones(spark, sf_dir).withColumn("milestone_type", S.milestone_type("ms_norm"))
+
+
+def budget_from_name(spark, sf_dir):
+    return _milestones(spark, sf_dir).select(
+        "ms_norm", S.name_budget_hours("ms_norm").alias("hours"), S.name_budget_unit("ms_norm").alias("unit"))
+
+
+def billing_type(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return lines.select(
+        "row_no", "package", "flag",
+        S.billing_type(F.col("package"), F.col("flag")).alias("billing"),
+        S.billing_type(F.col("package"), F.col("flag"), force=True).alias("billing_forced"),
+        S.is_supplement_package("package").alias("is_supplement"),
+    )
+
+
+def date_parse(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    d = F.col("l_shipdate").cast("date")
+    en = F.element_at(F.array(*[F.lit(t) for t in S.K.ENGLISH_MONTH_TOKENS]), F.month(d))
+    de = F.element_at(F.array(*[F.lit(t) for t in GERMAN_MONTH_TOKENS]), F.month(d))
+    token = F.when(F.col("l_linenumber") == 3, de).otherwise(en)
+    day = F.when(F.col("l_linenumber") == 6, F.lit("31")).otherwise(F.lpad(F.dayofmonth(d).cast("string"), 2, "0"))
+    text = F.concat(F.date_format(d, "EEE"), F.lit(", "), day, F.lit(" "), token, F.lit(" "),
+                    F.year(d).cast("string"), F.lit(" 00:00:00 +0200"))
+    return li.select("l_orderkey", "l_linenumber", text.alias("text")).withColumns({
+        "booked_on": S.booking_date("text"),
+        "month_unknown": S.month_token_unknown("text"),
+    })
+
+
+QUARTER_FORMATS = ["Q{k}-{y}", "Q{k}/{y}", "Q{k}{y}", "Q{k} {y}", "{y}Q{k}", "{y}-Q{k}", "{y}/Q{k}", "{y} q{k}",
+                   "Q{b}-{y}"]
+
+
+def quarter_parse(spark, sf_dir):
+    q = _entries(spark, sf_dir).select("quarter").distinct()
+    y = F.year("quarter").cast("string")
+    k = F.quarter("quarter").cast("string")
+    b = (F.quarter("quarter") + 4).cast("string")
+    texts = []
+    for f in QUARTER_FORMATS:
+        parts, rest = [], f
+        while rest:
+            i = rest.find("{")
+            if i < 0:
+                parts.append(F.lit(rest))
+                break
+            if i:
+                parts.append(F.lit(rest[:i]))
+            tok = rest[i + 1]
+            parts.append({"k": k, "y": y, "b": b}[tok])
+            rest = rest[i + 3:]
+        texts.append(F.concat(*parts))
+    return q.select(F.explode(F.array(*texts)).alias("text")).withColumn("quarter", S.quarter_of_text("text"))
+
+
+def project_keys(spark, sf_dir):
+    p = _entries(spark, sf_dir).select("proj_norm").distinct()
+    return p.select("proj_norm", F.posexplode(S.project_keys("proj_norm")).alias("kpos", "project_key"))
+
+
+def status_band(spark, sf_dir):
+    p = plan_actual(spark, sf_dir)
+    return p.select("proj_norm", "ms_norm", "pct", S.status_band("pct").alias("status"))
+
+
+def month_label(spark, sf_dir):
+    m = _entries(spark, sf_dir).select("month").distinct()
+    return m.withColumn("month_label", S.month_label("month"))
+
+
+QUERIES.update({
+    "de_number_parse": de_number_parse,
+    "milestone_norm": milestone_norm,
+    "milestone_type": milestone_type,
+    "budget_from_name": budget_from_name,
+    "billing_type": billing_type,
+    "date_parse": date_parse,
+    "quarter_parse": quarter_parse,
+    "project_keys": project_keys,
+    "status_band": status_band,
+    "month_label": month_label,
+})
+FLAGSHIP = month_rows

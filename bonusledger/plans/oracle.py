@@ -718,3 +718,200 @@ SELECT staff_name, quarter, proj_norm, ms_norm, is_special,
        CAST(CASE WHEN q_adj < 0 THEN greatest(CAST(0 AS DECIMAL(18,2)), least(q_total, -q_adj)) ELSE 0 END AS DECIMAL(18,2)) AS transferable,
        q_from_others AS from_others
 FROM qs2"""
+
+
+# ------------------------------------------------------------ reports
+
+SQL["cover_months"] = RULES_ADJ + f"""
+, months AS (SELECT DISTINCT month FROM entries WHERE quarter = {Q_START}),
+g AS (SELECT month, sum(total_hours) AS th, sum(bonus_total) AS bt, sum(special_total) AS st FROM totals2 GROUP BY month)
+SELECT m.month, {month_label_sql('m.month')} AS month_label,
+       CAST(coalesce(g.th, 0) AS DECIMAL(18,2)) AS total_hours, CAST(coalesce(g.bt, 0) AS DECIMAL(18,2)) AS bonus_total,
+       CAST(coalesce(g.st, 0) AS DECIMAL(18,2)) AS special_total
+FROM months m LEFT JOIN g ON g.month = m.month"""
+
+SQL["cover_quarter"] = RULES_ADJ + """
+SELECT quarter, CAST(sum(total_hours) AS DECIMAL(18,2)) AS total_hours, CAST(sum(bonus_total) AS DECIMAL(18,2)) AS bonus_total,
+       CAST(sum(special_total) AS DECIMAL(18,2)) AS special_total, count(DISTINCT staff_name) AS n_employees
+FROM totals2 GROUP BY quarter"""
+
+SQL["quarter_employees"] = with_(BOOKINGS) + f"""
+SELECT DISTINCT staff_name FROM entries WHERE quarter = {Q_START}"""
+
+FLEX_START, FLEX_END = "DATE '1998-07-01'", "DATE '1998-12-31'"
+
+
+def _flex_sql(block_cols: str, extra_where: str = "", extra_cte: str = "", join: str = "") -> str:
+    return with_(BOOKINGS, BUDGET_LINES) + f"""
+, fe0 AS (
+  SELECT e.*, {block_cols} FROM entries e {join}
+  WHERE e.booked_on BETWEEN {FLEX_START} AND {FLEX_END} {extra_where}
+),
+bh AS (
+  SELECT staff_name, block_name, block_start, block_end, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+  FROM fe0 GROUP BY staff_name, block_name, block_start, block_end, proj_norm, ms_norm
+),
+qh AS (
+  SELECT staff_name, proj_norm, ms_norm, quarter AS block_quarter, CAST(sum(hours) AS DECIMAL(18,2)) AS quarter_hours
+  FROM fe0 GROUP BY staff_name, proj_norm, ms_norm, quarter
+),
+fx0 AS (
+  SELECT b.*, p.soll AS csv_soll, p.ist AS csv_ist, q.quarter_hours,
+         coalesce(starts_with(lower(trim(b.proj_norm)), '0000'), false) AS is_special,
+         CAST({_dict_case('b.ms_norm', K.MONTHLY_BUDGETS)} AS DOUBLE) AS mdict,
+         CAST({_dict_case('b.ms_norm', K.QUARTERLY_BUDGETS)} AS DOUBLE) AS qdict
+  FROM bh b LEFT JOIN plan p ON p.proj_norm = b.proj_norm AND p.ms_norm = b.ms_norm
+       LEFT JOIN qh q ON q.staff_name = b.staff_name AND q.proj_norm = b.proj_norm AND q.ms_norm = b.ms_norm
+                      AND q.block_quarter = CAST(date_trunc('quarter', b.block_start) AS DATE)
+),
+fx1 AS (
+  SELECT *,
+    CASE WHEN is_special AND mdict IS NOT NULL
+           THEN CAST(date_diff('day', block_start, block_end) + 1 AS DOUBLE) / CAST(day(last_day(block_start)) AS DOUBLE) * mdict
+         WHEN is_special AND qdict IS NOT NULL THEN qdict
+         ELSE CAST(coalesce(csv_soll, 0) AS DOUBLE) END AS soll_d,
+    CAST(CASE WHEN is_special AND mdict IS NOT NULL THEN hours
+              WHEN is_special AND qdict IS NOT NULL THEN coalesce(quarter_hours, 0)
+              ELSE coalesce(csv_ist, 0) END AS DOUBLE) AS ist_d
+  FROM fx0
+),
+frows AS (
+  SELECT staff_name, block_name, block_start, block_end, proj_norm, ms_norm, is_special, hours,
+         CASE WHEN soll_d > 0 THEN round(soll_d, 2) END AS soll,
+         CASE WHEN ist_d > 0 THEN round(ist_d, 2) END AS ist,
+         CASE WHEN soll_d > 0 THEN round(ist_d / soll_d * 100.0, 2) END AS pct,
+         (CASE WHEN soll_d > 0 THEN ist_d / soll_d * 100.0 ELSE 0.0 END) <= 100.0 AS eligible
+  FROM fx1
+),
+ftot AS (
+  SELECT staff_name, block_name, block_start, block_end, CAST(sum(hours) AS DECIMAL(18,2)) AS total_hours,
+         CAST(coalesce(sum(CASE WHEN eligible AND NOT is_special THEN hours END), 0) AS DECIMAL(18,2)) AS bonus_base,
+         CAST(coalesce(sum(CASE WHEN eligible AND is_special THEN hours END), 0) AS DECIMAL(18,2)) AS special_base
+  FROM frows GROUP BY staff_name, block_name, block_start, block_end
+)"""
+
+
+_MONTH_BLOCK = (f"{month_label_sql('e.month')} AS block_name, e.month AS block_start, last_day(e.month) AS block_end")
+_PERIOD_BLOCK = (f"'01.07.1998 - 31.12.1998' AS block_name, {FLEX_START} AS block_start, {FLEX_END} AS block_end")
+_WEEK_JOIN = f"""JOIN (SELECT isoyear(booked_on) AS iso_year, weekofyear(booked_on) AS iso_week,
+                         min(booked_on) AS wk_start, max(booked_on) AS wk_end
+                  FROM entries WHERE booked_on BETWEEN {FLEX_START} AND {FLEX_END} GROUP BY 1, 2) w
+        ON w.iso_year = isoyear(e.booked_on) AND w.iso_week = weekofyear(e.booked_on)"""
+_WEEK_BLOCK = ("'KW ' || CAST(w.iso_week AS VARCHAR) || ' (' || strftime(w.wk_start, '%d.%m') || ' - ' "
+               "|| strftime(w.wk_end, '%d.%m.%Y') || ')' AS block_name, w.wk_start AS block_start, w.wk_end AS block_end")
+
+SQL["flex_rows"] = _flex_sql(_MONTH_BLOCK) + "SELECT * FROM frows"
+SQL["flex_period_rows"] = _flex_sql(
+    _PERIOD_BLOCK, "AND NOT regexp_matches(e.proj_norm, '^0\\.?0+') AND NOT starts_with(lower(trim(e.proj_norm)), '0000')"
+) + "SELECT * FROM frows"
+SQL["flex_block_totals"] = _flex_sql(_WEEK_BLOCK, join=_WEEK_JOIN) + "SELECT * FROM ftot"
+SQL["flex_summary"] = _flex_sql(_MONTH_BLOCK) + """
+SELECT block_name, CAST(sum(total_hours) AS DECIMAL(18,2)) AS total_hours,
+       CAST(sum(bonus_base) AS DECIMAL(18,2)) AS bonus_base, CAST(sum(special_base) AS DECIMAL(18,2)) AS special_base
+FROM ftot GROUP BY ROLLUP (block_name)"""
+
+
+# ------------------------------------------------------------ scalar functions
+
+SQL["de_number_parse"] = f"""
+WITH t AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_linenumber = 7 THEN 'x' || CAST(l_orderkey AS VARCHAR)
+              ELSE translate(format('{{:,.2f}}', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,') END AS text
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, text, {de_sql('text')} AS value FROM t"""
+
+_PREFIXES_SQL = "['• ', '● ', '- ', ' -• ']"
+
+SQL["milestone_norm"] = f"""
+WITH r AS (
+  SELECT DISTINCT ({_PREFIXES_SQL})[l.l_linenumber % 4 + 1] ||
+         (CASE WHEN n <= 2 THEN {_case_type(_SPECIAL)} ELSE {_case_type(B.REGULAR_MILESTONES)} END) AS raw
+  FROM lineitem l JOIN (SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) AS n, p_type AS ptype FROM part) p
+    ON l.l_partkey = p.p_partkey)
+SELECT raw, {norm_ms_sql('raw')} AS ms_norm FROM r"""
+
+SQL["milestone_type"] = with_(BOOKINGS) + """
+SELECT DISTINCT ms_norm, CASE WHEN contains(lower(ms_norm), 'quartal') THEN 'quarterly' ELSE 'monthly' END AS milestone_type
+FROM entries"""
+
+SQL["budget_from_name"] = with_(BOOKINGS) + f"""
+SELECT ms_norm,
+       CASE WHEN regexp_extract(ms_norm, '{_BUDGET_RE}', 2) <> ''
+            THEN TRY_CAST(replace(regexp_extract(ms_norm, '{_BUDGET_RE}', 1), ',', '.') AS DECIMAL(18,2)) END AS hours,
+       CASE WHEN regexp_extract(ms_norm, '{_BUDGET_RE}', 2) <> ''
+            THEN lower(regexp_extract(ms_norm, '{_BUDGET_RE}', 2)) END AS unit
+FROM (SELECT DISTINCT ms_norm FROM entries)"""
+
+
+def _billing_sql(pkg: str) -> str:
+    low = f"lower({pkg})"
+    return (f"CASE WHEN {pkg} IS NULL THEN 'Unbekannt' WHEN contains({low}, '(p)') THEN 'Pauschale' "
+            f"WHEN contains({low}, '(an)') OR contains({low}, '(a.n.)') OR contains({low}, '(a n)') THEN 'Nachweis' "
+            f"ELSE 'Unbekannt' END")
+
+
+SQL["billing_type"] = with_(BOOKINGS, BUDGET_LINES) + f"""
+SELECT row_no, package, flag,
+       CASE WHEN upper(trim(coalesce(flag, ''))) = 'X' THEN {_billing_sql('package')} ELSE 'Unbekannt' END AS billing,
+       {_billing_sql('package')} AS billing_forced,
+       coalesce(regexp_matches(lower(package), 'nat|nachtrag'), false) AS is_supplement
+FROM budget_lines"""
+
+_EN_SQL = "[" + ", ".join(_lit(t) for t in K.ENGLISH_MONTH_TOKENS) + "]"
+_DE_SQL = "['Jan', 'Feb', 'Mär', 'Apr', 'Mai', 'Jun', 'Jul', 'Aug', 'Sep', 'Okt', 'Nov', 'Dez']"
+_DATE_RE = "(\\d{1,2})\\s+([\\pL\\pN_]{3})\\s+(\\d{4})"
+_MONTH_MAP = "MAP {" + ", ".join(f"{_lit(t)}: '{i:02d}'" for i, t in enumerate(K.ENGLISH_MONTH_TOKENS, 1)) + "}"
+
+SQL["date_parse"] = f"""
+WITH t AS (
+  SELECT l_orderkey, l_linenumber,
+         strftime(CAST(l_shipdate AS DATE), '%a') || ', ' ||
+         CASE WHEN l_linenumber = 6 THEN '31' ELSE lpad(CAST(day(CAST(l_shipdate AS DATE)) AS VARCHAR), 2, '0') END || ' ' ||
+         CASE WHEN l_linenumber = 3 THEN ({_DE_SQL})[month(CAST(l_shipdate AS DATE))]
+              ELSE ({_EN_SQL})[month(CAST(l_shipdate AS DATE))] END || ' ' ||
+         CAST(year(CAST(l_shipdate AS DATE)) AS VARCHAR) || ' 00:00:00 +0200' AS text
+  FROM lineitem),
+p AS (
+  SELECT *, regexp_extract(text, '{_DATE_RE}', 1) AS d, regexp_extract(text, '{_DATE_RE}', 2) AS m,
+         regexp_extract(text, '{_DATE_RE}', 3) AS y
+  FROM t)
+SELECT l_orderkey, l_linenumber, text,
+       CASE WHEN d <> '' THEN CAST(TRY_STRPTIME(y || '-' || coalesce({_MONTH_MAP}[m], '01') || '-' || lpad(d, 2, '0'), '%Y-%m-%d') AS DATE) END AS booked_on,
+       (m <> '' AND {_MONTH_MAP}[m] IS NULL) AS month_unknown
+FROM p"""
+
+SQL["quarter_parse"] = with_(BOOKINGS) + """
+, t AS (
+  SELECT unnest([
+    'Q' || k || '-' || y, 'Q' || k || '/' || y, 'Q' || k || y, 'Q' || k || ' ' || y,
+    y || 'Q' || k, y || '-Q' || k, y || '/Q' || k, y || ' q' || k, 'Q' || CAST(quarter(quarter) + 4 AS VARCHAR) || '-' || y
+  ]) AS text
+  FROM (SELECT DISTINCT quarter, CAST(year(quarter) AS VARCHAR) AS y, CAST(quarter(quarter) AS VARCHAR) AS k FROM entries)
+),
+p AS (
+  SELECT text, upper(trim(text)) AS s FROM t
+),
+p2 AS (
+  SELECT text,
+         CASE WHEN regexp_extract(s, '^Q(\\d)[-/]?\\s*(\\d{4})$', 1) <> '' THEN TRY_CAST(regexp_extract(s, '^Q(\\d)[-/]?\\s*(\\d{4})$', 1) AS INTEGER)
+              ELSE TRY_CAST(regexp_extract(s, '^(\\d{4})[-/\\s]*Q(\\d)$', 2) AS INTEGER) END AS q,
+         CASE WHEN regexp_extract(s, '^Q(\\d)[-/]?\\s*(\\d{4})$', 1) <> '' THEN TRY_CAST(regexp_extract(s, '^Q(\\d)[-/]?\\s*(\\d{4})$', 2) AS INTEGER)
+              ELSE TRY_CAST(regexp_extract(s, '^(\\d{4})[-/\\s]*Q(\\d)$', 1) AS INTEGER) END AS y
+  FROM p
+)
+SELECT text, CASE WHEN q BETWEEN 1 AND 4 THEN make_date(y, q * 3 - 2, 1) END AS quarter FROM p2"""
+
+SQL["project_keys"] = with_(BOOKINGS) + f"""
+SELECT proj_norm, unnest(generate_series(0, len(keys) - 1)) AS kpos, unnest(keys) AS project_key
+FROM (SELECT proj_norm, {_keys_sql('proj_norm')} AS keys FROM (SELECT DISTINCT proj_norm FROM entries))"""
+
+SQL["status_band"] = with_(BOOKINGS, BUDGET_LINES) + """
+SELECT proj_norm, ms_norm, pct,
+       CASE WHEN pct < 90 THEN 'green' WHEN pct <= 100 THEN 'yellow' ELSE 'red' END AS status
+FROM (SELECT proj_norm, ms_norm,
+             round(CASE WHEN soll > 0 THEN CAST(ist AS DOUBLE) / CAST(soll AS DOUBLE) * 100.0
+                        WHEN ist > 0 THEN 999.0 ELSE 0.0 END, 2) AS pct FROM plan)"""
+
+SQL["month_label"] = with_(BOOKINGS) + f"""
+SELECT month, {month_label_sql('month')} AS month_label FROM (SELECT DISTINCT month FROM entries)"""

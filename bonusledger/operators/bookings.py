@@ -32,9 +32,19 @@ def valid_entries(df: DataFrame) -> DataFrame:
 
 
 def in_quarter(df: DataFrame, quarter: date | Column) -> DataFrame:
-    """Entries of one quarter (rows without a date drop out)."""
-    q = quarter if isinstance(quarter, Column) else F.lit(quarter)
-    return df.where(F.col("quarter") == q)
+    """Entries of one quarter (rows without a date drop out).
+
+    For a fixed quarter this is a date range on ``booked_on`` and ``month``: it
+    reaches the parquet scan as a pushed range filter, and prunes the month
+    partitions of a landed entries table."""
+    if isinstance(quarter, Column):
+        return df.where(F.col("quarter") == quarter)
+    q_end = date(quarter.year + (quarter.month + 2) // 12, (quarter.month + 2) % 12 + 1, 1)
+    last = date.fromordinal(q_end.toordinal() - 1)
+    return df.where(
+        F.col("booked_on").between(F.lit(quarter), F.lit(last))
+        & F.col("month").between(F.lit(quarter), F.lit(date(last.year, last.month, 1)))
+    )
 
 
 def in_range(df: DataFrame, start: date, end: date) -> DataFrame:
@@ -112,6 +122,15 @@ def month_hours(df: DataFrame) -> DataFrame:
     )
 
 
+def landed_month_hours(entries_q: DataFrame) -> DataFrame:
+    """A2 of a report, landed once in the shared checkpoint folder: the month
+    rows, transfers, future hours, coworkers and budget keys all read it, so the
+    entries are scanned and joined once per report instead of once per branch."""
+    from ..session import materialize
+
+    return materialize(month_hours(entries_q), "month-hours")
+
+
 def quarter_hours(month_rows: DataFrame) -> DataFrame:
     """A3 / A10: hours per (employee, quarter, project, milestone), rolled up from A2."""
     return month_rows.groupBy("staff_name", "quarter", *ROW_KEY).agg(
@@ -145,7 +164,8 @@ def cumulative_quarter_hours(month_rows: DataFrame) -> DataFrame:
 def future_hours_all_staff(entries: DataFrame) -> DataFrame:
     """Per (key, month) the hours of ALL employees on that key in later
     months of the same quarter.  Pre-aggregated to (key, month) first, so the
-    window sees at most three rows per key whatever the skew."""
+    window sees at most three rows per key whatever the skew.  Accepts entries
+    or month hours (A2): both carry hours per key and month."""
     per_month = entries.groupBy(*ROW_KEY, "quarter", "month").agg(F.sum("hours").alias("key_hours"))
     w = (
         Window.partitionBy(*ROW_KEY, "quarter")

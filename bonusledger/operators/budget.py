@@ -79,6 +79,16 @@ def prepare(lines: DataFrame, materialize: bool = True) -> DataFrame:
     return d
 
 
+def plan_from_prepared(prepared: DataFrame) -> DataFrame:
+    """A1 from already prepared lines (shares their scans with the records)."""
+    d = prepared.where(F.col("package").isNotNull() & ~F.col("dash_empty") & F.col("proj_filled").isNotNull())
+    g = d.groupBy(F.col("projekt").alias("proj_norm"), F.col("ms").alias("ms_norm")).agg(
+        F.coalesce(F.sum("soll"), F.lit(0)).cast(S.HOURS).alias("soll"),
+        F.coalesce(F.sum("ist"), F.lit(0)).cast(S.HOURS).alias("ist"),
+    )
+    return g.withColumn("pct", F.round(S.plan_pct("ist", "soll"), 2))
+
+
 def plan_actual(lines: DataFrame) -> DataFrame:
     """A1 (D7): target / actual hours per (project, milestone), keyed by the
     stripped names; P2 keeps package rows only.  Needs only the fill-down."""
@@ -101,7 +111,7 @@ def _marker(markers: list[str]):
     return cond
 
 
-def budget_scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(budget_records, parent_entries).
 
     budget_records: file_path, project, project_code, top_milestone, top_norm,
@@ -109,7 +119,7 @@ def budget_scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rate_cad, rate_adm, lookup_key, lookup_id.
     parent_entries: file_path, projekt, ms_norm, parent (one row per edge).
     """
-    d = prepare(lines)
+    d = prepared if prepared is not None else prepare(lines)
     hier_edges = d.where(~F.col("dash_empty") & (F.col("ms") != "") & F.col("parent_run").isNotNull()).select(
         "file_path", "projekt", F.col("ms").alias("ms_norm"), F.col("parent_run").alias("parent")
     )
@@ -188,6 +198,9 @@ def budget_scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("lookup_id").cast("int").alias("lookup_id"),
         "kind",
     )
+    # records are one row per top-level milestone and read by several joins of
+    # the resolution; land them once
+    records = _materialize(records, "budget-records")
     supp_edges = records.where(F.col("kind") == 0).select(
         "file_path", F.col("project").alias("projekt"), F.col("top_norm").alias("ms_norm"), F.col("top_norm").alias("parent")
     )

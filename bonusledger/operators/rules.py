@@ -32,15 +32,15 @@ def _dict_hours(col: Column, table: dict) -> Column:
     return expr
 
 
-def month_rows(entries_q: DataFrame, plan: DataFrame) -> DataFrame:
+def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
     """Decision table of SURVEY 7.1 (B1-B5 with J1, J7, W10, W11, W13).
 
-    entries_q: time entries of the report quarter (all employees: W11 must see
-    everyone, D20).  plan: plan_actual (proj_norm, ms_norm, soll, ist).
+    mh: month hours (A2) of the report quarter, all employees (W11 must see
+    everyone, D20); the report lands it once and derives everything from it.
+    plan: plan_actual (proj_norm, ms_norm, soll, ist).
     """
-    mh = BK.month_hours(entries_q)
+    fut = BK.future_hours_all_staff(mh)
     mh = BK.cumulative_quarter_hours(mh)
-    fut = BK.future_hours_all_staff(entries_q)
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
     d = mh.join(p, KEY, "left").join(fut, [*KEY, "quarter", "month"], "left")
 
@@ -126,6 +126,15 @@ def with_adjustments(rows: DataFrame, adjustments: DataFrame) -> DataFrame:
     return d.withColumn("from_others", F.coalesce(F.col("from_others"), F.lit(0).cast(S.HOURS)))
 
 
+def landed_rows(rows_adj: DataFrame) -> DataFrame:
+    """The report's row table (month rows with adjustments and transfers, the
+    K1 sheet) landed once: revenue, totals, quarter summary and the per-key
+    revenue all read it, and each reads it more than once."""
+    from ..session import materialize
+
+    return materialize(rows_adj, "month-rows")
+
+
 def coworkers(rows: DataFrame) -> DataFrame:
     """J8 / A9 without pairs: the distinct employees per (key, month) as rows, and
     per month row the number of other employees it could assign hours to."""
@@ -282,9 +291,9 @@ def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame)
 
 # ------------------------------------------------------------------ quarter
 
-def quarter_milestones(entries_q: DataFrame, plan: DataFrame) -> DataFrame:
+def quarter_milestones(mh: DataFrame, plan: DataFrame) -> DataFrame:
     """Quarterly-type milestones of each employee: Q target (as B4), Q hours."""
-    q = BK.quarter_hours(BK.month_hours(entries_q))
+    q = BK.quarter_hours(mh)
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"))
     d = q.join(p, KEY, "left").where(S.milestone_type("ms_norm") == "quarterly")
     ms = F.col("ms_norm")

@@ -205,12 +205,19 @@ def _plan(spark, sf_dir):
     return BU.plan_actual(_lines(spark, sf_dir))
 
 
-def _month_rows(spark, sf_dir):
-    return RU.month_rows(_quarter_entries(spark, sf_dir), _plan(spark, sf_dir))
+def _mh(spark, sf_dir):
+    return BK.landed_month_hours(_quarter_entries(spark, sf_dir))
 
 
-def _rows_adj(spark, sf_dir):
-    return RU.with_adjustments(_month_rows(spark, sf_dir), BR.adjustments(spark, sf_dir, QUARTER))
+def _month_rows(spark, sf_dir, mh=None):
+    mh = mh if mh is not None else _mh(spark, sf_dir)
+    return RU.month_rows(mh, _plan(spark, sf_dir))
+
+
+def _rows_adj(spark, sf_dir, mh=None, plan=None):
+    mh = mh if mh is not None else _mh(spark, sf_dir)
+    plan = plan if plan is not None else _plan(spark, sf_dir)
+    return RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), BR.adjustments(spark, sf_dir, QUARTER, mh)))
 
 
 def month_rows(spark, sf_dir):
@@ -249,12 +256,11 @@ def transfer_sheet(spark, sf_dir):
                     "special_total", "assigned", "total_bonus")
 
 
-def _resolved(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    records, _ = BU.budget_scan(lines), None
-    recs = records[0]
-    pmap = BU.parent_map_from_edges(records[1])
-    keys = _quarter_entries(spark, sf_dir).select("proj_norm", "ms_norm")
+def _resolved(spark, sf_dir, prepared=None, mh=None):
+    prepared = prepared if prepared is not None else BU.prepare(_lines(spark, sf_dir))
+    recs, edges = BU.budget_scan(prepared=prepared)
+    pmap = BU.parent_map_from_edges(edges)
+    keys = (mh if mh is not None else _quarter_entries(spark, sf_dir)).select("proj_norm", "ms_norm")
     return RU.resolve_budget(keys, recs, pmap)
 
 
@@ -269,7 +275,11 @@ def lookup_id_resolve(spark, sf_dir):
 
 
 def _revenue(spark, sf_dir):
-    return RU.revenue_rows(_rows_adj(spark, sf_dir), _resolved(spark, sf_dir), BR.positions(spark, sf_dir))
+    # one landed budget export feeds both the plan and the budget records
+    prepared = BU.prepare(_lines(spark, sf_dir))
+    mh = _mh(spark, sf_dir)
+    rows = _rows_adj(spark, sf_dir, mh, BU.plan_from_prepared(prepared))
+    return RU.revenue_rows(rows, _resolved(spark, sf_dir, prepared, mh), BR.positions(spark, sf_dir))
 
 
 def revenue_rows(spark, sf_dir):
@@ -291,7 +301,7 @@ def revenue_by_key(spark, sf_dir):
 
 
 def quarter_milestones(spark, sf_dir):
-    return RU.quarter_milestones(_quarter_entries(spark, sf_dir), _plan(spark, sf_dir))
+    return RU.quarter_milestones(BK.month_hours(_quarter_entries(spark, sf_dir)), _plan(spark, sf_dir))
 
 
 def quarter_summary(spark, sf_dir):

@@ -108,18 +108,20 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
     """The quarterly report: month rows with revenue (K1), month totals and the
     hand-over table (B12), quarter milestones, quarter summary and totals, cover
     (C1, C2), budget overview (K3)."""
-    plan = BU.plan_actual(lines)
-    records, edges = BU.budget_scan(lines)
+    prepared = BU.prepare(lines)
+    plan = BU.plan_from_prepared(prepared)
+    records, edges = BU.budget_scan(prepared=prepared)
     pmap = BU.parent_map_from_edges(edges)
-    rows = RU.with_adjustments(RU.month_rows(entries_q, plan), adjustments)
-    resolved = RU.resolve_budget(entries_q.select(*RU.KEY), records, pmap)
+    mh = BK.landed_month_hours(entries_q)
+    rows = RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), adjustments))
+    resolved = RU.resolve_budget(mh.select(*RU.KEY), records, pmap)
     detail = RU.revenue_rows(rows, resolved, positions)
     totals = RU.month_totals(rows)
     qtotals = RU.quarter_totals(totals)
     out = {
         "month_rows": detail,
         "month_totals": totals,
-        "quarter_milestones": RU.quarter_milestones(entries_q, plan),
+        "quarter_milestones": RU.quarter_milestones(mh, plan),
         "quarter_summary": RU.quarter_summary(rows, plan),
         "quarter_totals": qtotals,
         "cover_months": cover_months(totals, months),

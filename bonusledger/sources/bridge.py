@@ -63,22 +63,35 @@ def _brand_number(p_brand: Column) -> Column:
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time entries in the normalised schema of the XML scan."""
+    """Time entries in the normalised schema of the XML scan.
+
+    Project and milestone names depend on the part only, so they (and their
+    normalised keys) are computed on the part table before the join instead of
+    once per line item."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    df = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
     n = _brand_number(F.col("p_brand"))
-    booked_on = F.col("l_shipdate").cast("date")
-    out = df.select(
-        F.col("s_name").alias("staff_name"),
+    names = part.select(
+        "p_partkey",
         project_name(n).alias("project"),
         milestone_name(n, F.col("p_type")).alias("work_package_name"),
+    ).withColumns({
+        "proj_norm": S.norm_project("project"),
+        "ms_norm": S.norm_milestone("work_package_name"),
+    })
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    df = li.join(names, li.l_partkey == names.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
+    booked_on = F.col("l_shipdate").cast("date")
+    return df.select(
+        F.col("s_name").alias("staff_name"),
+        "project", "work_package_name",
         booked_on.alias("booked_on"),
         (F.col("l_quantity") * F.lit(0.25)).cast(S.HOURS).alias("hours"),
         F.lit("lineitem").alias("source_file"),
+        S.month_start(booked_on).alias("month"),
+        S.quarter_start(booked_on).alias("quarter"),
+        "proj_norm", "ms_norm",
     )
-    return with_entry_keys(out)
 
 
 def with_entry_keys(df: DataFrame) -> DataFrame:
@@ -102,83 +115,56 @@ def budget_lines(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER
     """One budget export derived from the data (see FIXTURES.md section 4).
 
     Columns: file_path, row_no, projekte, flag, package, soll_txt, ist_txt,
-    budget_txt, sollhonorar_txt, billed_txt, cost_txt (raw strings).
+    budget_txt, sollhonorar_txt, billed_txt, cost_txt (raw strings).  Every brand
+    expands to its fixed line templates in one generator pass; only the six
+    milestone lines take numbers from the bookings.
     """
     q_end = F.date_sub(F.add_months(F.lit(S.parse_quarter(quarter)), 3), 1)
-    part = table(spark, sf_dir, "part").select(
-        _brand_number(F.col("p_brand")).alias("n"), F.col("p_type").alias("ptype")
-    )
-    brands = part.select("n").distinct()
-    # booked hours up to the quarter end per (project, milestone) = per (n, type)
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    brands = part.select(_brand_number(F.col("p_brand")).alias("n")).distinct()
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_shipdate")
-    p2 = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     booked = (
         li.where(F.col("l_shipdate").cast("date") <= q_end)
-        .join(p2, li.l_partkey == p2.p_partkey)
+        .join(part, li.l_partkey == part.p_partkey)
         .groupBy(_brand_number(F.col("p_brand")).alias("n"), F.col("p_type").alias("ptype"))
         .agg(F.sum((F.col("l_quantity") * F.lit(0.25)).cast(S.HOURS)).cast(S.HOURS).alias("booked"))
     )
-    types = F.array(*[F.struct(F.lit(t).alias("ptype"), F.lit(i + 2).alias("k")) for i, t in enumerate(PART_TYPES)])
-    ms_rows = (
-        brands.select("n", F.inline(types))  # 6 fixed rows per brand
-        .join(booked, ["n", "ptype"], "left")
-        .select(
-            "n",
-            "k",
-            F.concat(F.lit("• "), milestone_name(F.col("n"), F.col("ptype"))).alias("package"),
-            F.when(F.col("n") != 2, _de_text(
-                (F.coalesce(F.col("booked"), F.lit(0)) * (F.lit(Decimal("0.8")) + F.lit(Decimal("0.1")) * (F.col("n") % 5))).cast(S.HOURS)
-            )).alias("soll_txt"),
-            F.when(F.col("n") != 2, _de_text(F.coalesce(F.col("booked"), F.lit(0).cast(S.HOURS)))).alias("ist_txt"),
-        )
-        .withColumns({"projekte": F.lit(None).cast("string"), "flag": F.lit(None).cast("string")})
-    )
     null = F.lit(None).cast("string")
-    head = brands.select(
-        "n",
-        F.lit(0).alias("k"),
-        project_name(F.col("n")).alias("projekte"),
-        null.alias("flag"),
-        F.lit("-").alias("package"),
-        *[null.alias(c) for c in ("soll_txt", "ist_txt", "budget_txt", "sollhonorar_txt", "billed_txt", "cost_txt")],
-    )
-    top = brands.select(
-        "n",
-        F.lit(1).alias("k"),
-        null.alias("projekte"),
-        F.lit("X").alias("flag"),
-        F.when(F.col("n") % 3 == 0, F.lit("(p) 1 Paket"))
-        .when(F.col("n") % 3 == 1, F.lit("(aN) 1 Paket"))
-        .otherwise(F.lit("1 Paket"))
-        .alias("package"),
-        F.concat((F.col("n") * 1000).cast("string"), F.lit(",00")).alias("sollhonorar_txt"),
-        F.concat((F.col("n") * 100).cast("string"), F.lit(",00")).alias("cost_txt"),
-    )
-    rates = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(p).alias("package"), F.lit(b).alias("budget_txt"))
-        for k, p, b in [(8, "'   SV", "900,00"), (9, "'   CAD", "700,00"), (10, "'   ADM", "500,00")]
-    ])
-    rate_rows = brands.select("n", F.inline(rates)).select(
-        "n", "k", null.alias("projekte"), null.alias("flag"), "package", "budget_txt",
-        F.lit("10,00").alias("soll_txt"),
-    )
-    extra = brands.where(F.col("n") % 5 == 0).select(
-        "n", F.lit(11).alias("k"), null.alias("projekte"), null.alias("flag"),
-        F.lit("NAT 01 Zusatz").alias("package"), F.lit("400,00").alias("budget_txt"),
-        F.lit("8,00").alias("soll_txt"),
-    )
-    lines = (
-        head.unionByName(top, allowMissingColumns=True)
-        .unionByName(ms_rows, allowMissingColumns=True)
-        .unionByName(rate_rows, allowMissingColumns=True)
-        .unionByName(extra, allowMissingColumns=True)
-    )
+    n = F.col("n")
+
+    def template(k, ptype=null, projekte=null, flag=null, package=null, soll=null, budget=null,
+                 fee=null, cost=null):
+        return F.struct(
+            F.lit(k).alias("k"), ptype.alias("ptype"), projekte.alias("projekte"), flag.alias("flag"),
+            package.alias("package"), soll.alias("fixed_soll"), budget.alias("budget_txt"),
+            fee.alias("sollhonorar_txt"), cost.alias("cost_txt"),
+        )
+
+    top_pkg = (F.when(n % 3 == 0, F.lit("(p) 1 Paket")).when(n % 3 == 1, F.lit("(aN) 1 Paket"))
+               .otherwise(F.lit("1 Paket")))
+    templates = [
+        template(0, projekte=project_name(n), package=F.lit("-")),
+        template(1, flag=F.lit("X"), package=top_pkg,
+                 fee=F.concat((n * 1000).cast("string"), F.lit(",00")),
+                 cost=F.concat((n * 100).cast("string"), F.lit(",00"))),
+        *[template(i + 2, ptype=F.lit(t), package=F.concat(F.lit("• "), milestone_name(n, F.lit(t))))
+          for i, t in enumerate(PART_TYPES)],
+        *[template(k, package=F.lit(p), soll=F.lit("10,00"), budget=F.lit(b))
+          for k, p, b in [(8, "'   SV", "900,00"), (9, "'   CAD", "700,00"), (10, "'   ADM", "500,00")]],
+        template(11, package=F.lit("NAT 01 Zusatz"), soll=F.lit("8,00"), budget=F.lit("400,00")),
+    ]
+    lines = brands.select("n", F.inline(F.array(*templates))).where((F.col("k") != 11) | (n % 5 == 0))
+    lines = lines.join(booked, ["n", "ptype"], "left")
+    is_ms = F.col("ptype").isNotNull() & (n != 2)
+    factor = F.lit(Decimal("0.8")) + F.lit(Decimal("0.1")) * (n % 5)
+    booked_h = F.coalesce(F.col("booked"), F.lit(0).cast(S.HOURS))
     return lines.select(
         F.lit("bridge/budget.csv").alias("file_path"),
-        (F.col("n") * 100 + F.col("k")).cast("long").alias("row_no"),
+        (n * 100 + F.col("k")).cast("long").alias("row_no"),
         "projekte", "flag", "package",
-        *[F.col(c).cast("string").alias(c) for c in
-          ["soll_txt", "ist_txt", "budget_txt", "sollhonorar_txt", "billed_txt", "cost_txt"]],
+        F.when(is_ms, _de_text((booked_h * factor).cast(S.HOURS))).otherwise(F.col("fixed_soll")).alias("soll_txt"),
+        F.when(is_ms, _de_text(booked_h)).alias("ist_txt"),
+        "budget_txt", "sollhonorar_txt", null.alias("billed_txt"), "cost_txt",
     )
 
 
@@ -188,15 +174,19 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supp.select(F.col("s_name").alias("staff_name"), pos.alias("position"))
 
 
-def adjustments(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER) -> DataFrame:
+def adjustments(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER,
+                month_hours: DataFrame | None = None) -> DataFrame:
     """Adjustments of the report quarter: employees with suppkey % 3 = 0 give half
     of each month row away to the alphabetically first other employee on the same
     project, milestone and month (null when alone)."""
-    q = S.parse_quarter(quarter)
-    e = bookings(spark, sf_dir).where(F.col("quarter") == F.lit(q))
-    rows = e.groupBy("staff_name", "proj_norm", "ms_norm", "month").agg(
-        F.sum("hours").cast(S.HOURS).alias("hours")
-    )
+    if month_hours is None:
+        from ..operators.bookings import in_quarter
+
+        e = in_quarter(bookings(spark, sf_dir), S.parse_quarter(quarter))
+        month_hours = e.groupBy("staff_name", "proj_norm", "ms_norm", "month").agg(
+            F.sum("hours").cast(S.HOURS).alias("hours")
+        )
+    rows = month_hours.select("staff_name", "proj_norm", "ms_norm", "month", "hours")
     supp = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("staff_name"), "s_suppkey")
     givers = rows.join(supp, "staff_name").where(F.col("s_suppkey") % 3 == 0)
     keys = ["proj_norm", "ms_norm", "month"]

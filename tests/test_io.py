@@ -32,10 +32,11 @@ def test_stream_landing_available_now(spark, tmp_path):
 def test_employee_export_and_report_write(spark, tmp_path):
     from conftest import entries_df, lines_df
     from bonusledger.operators import budget as BU
+    from bonusledger.operators import bookings as BK
     from bonusledger.operators import rules as RU
 
     e = entries_df(spark, [("A", "1000.01 P", "M", "2025-01-05", 4), ("B", "1000.01 P", "M", "2025-01-06", 6)])
-    rows = RU.month_rows(e, BU.plan_actual(lines_df(spark, [("1000.01 P", None, "-")])))
+    rows = RU.month_rows(BK.month_hours(e), BU.plan_actual(lines_df(spark, [("1000.01 P", None, "-")])))
     out = str(tmp_path / "export")
     sinks.write_employee_export(rows, out)
     assert sorted(d for d in os.listdir(out) if d.startswith("staff_name=")) == ["staff_name=A", "staff_name=B"]

@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 from bonusledger.operators import budget as BU
+from bonusledger.operators import bookings as BK
 from bonusledger.operators import rules as RU
 
 from conftest import entries_df, lines_df
@@ -10,7 +11,7 @@ from conftest import entries_df, lines_df
 
 def month_rows(spark, entries, lines):
     return {(r["staff_name"], str(r["month"]), r["ms_norm"]): r
-            for r in RU.month_rows(entries_df(spark, entries), BU.plan_actual(lines_df(spark, lines))).collect()}
+            for r in RU.month_rows(BK.month_hours(entries_df(spark, entries)), BU.plan_actual(lines_df(spark, lines))).collect()}
 
 
 def test_guide_example_regular_within_budget(spark):
@@ -68,7 +69,7 @@ def test_transfers_balance(spark):
         ("B", "1000.01 P", "M", "2025-01-06", 6),
         ("C", "1000.01 P", "M", "2025-01-07", 2),
     ])
-    rows = RU.month_rows(e, BU.plan_actual(lines_df(spark, [("1000.01 P", None, "-")])))
+    rows = RU.month_rows(BK.month_hours(e), BU.plan_actual(lines_df(spark, [("1000.01 P", None, "-")])))
     adj = spark.createDataFrame([
         ("A", "1000.01 P", "M", __import__("datetime").date(2025, 1, 1), Decimal("-3.00"), "B"),
         ("C", "1000.01 P", "M", __import__("datetime").date(2025, 1, 1), Decimal("-5.00"), "Z"),  # no row: lost

@@ -251,10 +251,10 @@ def resolve_budget(keys: DataFrame, records: DataFrame, pmap: DataFrame) -> Data
     )
 
 
-def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
-    """J5, J6, B9-B11, A14 per month row.  Money is double; rounded on output."""
-    pos = positions.select("staff_name", "position")
-    d = rows_adj.join(resolved, KEY, "left").join(pos, "staff_name", "left")
+def _with_revenue(d: DataFrame, target: str, actual: str, hours: str, received: str) -> DataFrame:
+    """B9 / B10 on rows carrying billing, rates, budget_total and position:
+    rate by position (J6), revenue (Pauschale capped at the rest of the budget),
+    possible revenue (no cap) and lost revenue.  Money is double."""
     d = d.withColumn("position", F.coalesce(F.col("position"), F.lit("SV")))
     dash = F.col("position") == "-"
     rate = (
@@ -265,9 +265,9 @@ def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame)
         .otherwise(F.coalesce(F.col("rate_sv"), F.lit(0.0)))
     )
     R = F.coalesce(F.col("budget_total"), F.lit(0)).cast(MONEY)
-    D = F.coalesce(F.col("target_for_revenue"), F.lit(0)).cast(MONEY)
-    E = F.coalesce(F.col("ist"), F.lit(0)).cast(MONEY)
-    FK = (F.col("hours") + F.col("from_others")).cast(MONEY)
+    D = F.coalesce(F.col(target), F.lit(0)).cast(MONEY)
+    E = F.coalesce(F.col(actual), F.lit(0)).cast(MONEY)
+    FK = (F.col(hours) + F.col(received)).cast(MONEY)
     flat = F.col("billing") == K.BILLING_FLAT
     no_base = (R == 0) | (D == 0)
     revenue = (
@@ -282,13 +282,31 @@ def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame)
         .otherwise(F.col("rate") * FK)
     )
     d = d.withColumn("rate", rate).withColumns({"revenue": revenue, "possible": possible})
-    d = d.withColumn("lost", F.col("possible") - F.col("revenue"))
+    return d.withColumn("lost", F.col("possible") - F.col("revenue"))
+
+
+def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
+    """J5, J6, B9-B11, A14 per month row."""
+    pos = positions.select("staff_name", "position")
+    d = rows_adj.join(resolved, KEY, "left").join(pos, "staff_name", "left")
+    d = _with_revenue(d, "target_for_revenue", "ist", "hours", "from_others")
     # Revenue of all employees on the key and month (aggregate + join: the
     # shared key is hot, a window over it would be one task)
     by_key = d.groupBy(*KEY, "month").agg(F.sum("revenue").alias("revenue_key"))
     return d.join(by_key, [*KEY, "month"], "left")
 
 
+def quarter_revenue(qsummary: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
+    """J5 / B9 / B10 / A14 on the quarter summary rows: target = quarter target
+    ('-' counts 0), actual = quarter actual, hours = the row's F (months' F+I+K),
+    received = the months' K; revenue of all employees per key."""
+    pos = positions.select("staff_name", "position")
+    d = qsummary.join(resolved, KEY, "left").join(pos, "staff_name", "left")
+    d = _with_revenue(d, "q_soll", "q_ist", "q_hours", "from_others")
+    by_key = d.groupBy(*KEY, "quarter").agg(F.sum("revenue").alias("revenue_key"))
+    return d.join(by_key, [*KEY, "quarter"], "left")
+
+
 # ------------------------------------------------------------------ quarter
 
 def quarter_milestones(mh: DataFrame, plan: DataFrame) -> DataFrame:

@@ -308,6 +308,19 @@ def quarter_summary(spark, sf_dir):
     return RU.quarter_summary(_rows_adj(spark, sf_dir), _plan(spark, sf_dir))
 
 
+def quarter_revenue(spark, sf_dir):
+    prepared = BU.prepare(_lines(spark, sf_dir))
+    plan = BU.plan_from_prepared(prepared)
+    mh = _mh(spark, sf_dir)
+    qs = RU.quarter_summary(_rows_adj(spark, sf_dir, mh, plan), plan)
+    d = RU.quarter_revenue(qs, _resolved(spark, sf_dir, prepared, mh), BR.positions(spark, sf_dir))
+    return d.select(
+        "staff_name", "quarter", "proj_norm", "ms_norm", "position", "billing",
+        F.round("rate", 4).alias("rate"),
+        *[F.round(c, 2).alias(c) for c in ("revenue", "possible", "lost", "revenue_key")],
+    )
+
+
 def quarter_totals(spark, sf_dir):
     return RU.quarter_totals(_totals(spark, sf_dir))
 
@@ -326,6 +339,7 @@ QUERIES.update({
     "quarter_milestones": quarter_milestones,
     "quarter_summary": quarter_summary,
     "quarter_totals": quarter_totals,
+    "quarter_revenue": quarter_revenue,
 })
 FLAGSHIP = month_rows
 

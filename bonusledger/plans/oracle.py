@@ -915,3 +915,68 @@ FROM (SELECT proj_norm, ms_norm,
 
 SQL["month_label"] = with_(BOOKINGS) + f"""
 SELECT month, {month_label_sql('month')} AS month_label FROM (SELECT DISTINCT month FROM entries)"""
+
+
+_QS = """
+qs0 AS (
+  SELECT staff_name, quarter, proj_norm, ms_norm,
+         CAST(sum(hours) AS DECIMAL(18,2)) AS q_hours0,
+         CAST(sum(hours + transferable + from_others) AS DECIMAL(18,2)) AS q_total,
+         CAST(sum(coalesce(adj_h, 0)) AS DECIMAL(18,2)) AS q_adj,
+         CAST(sum(from_others) AS DECIMAL(18,2)) AS q_from_others
+  FROM ra GROUP BY staff_name, quarter, proj_norm, ms_norm
+),
+qs1 AS (
+  SELECT q.*, p.soll AS csv_soll, p.ist AS csv_ist,
+         coalesce(starts_with(lower(trim(q.proj_norm)), '0000'), false) AS is_special,
+         CASE WHEN regexp_extract(q.ms_norm, '""" + _BUDGET_RE + """', 2) <> ''
+              THEN TRY_CAST(replace(regexp_extract(q.ms_norm, '""" + _BUDGET_RE + """', 1), ',', '.') AS DECIMAL(18,2)) END AS nb_h,
+         lower(regexp_extract(q.ms_norm, '""" + _BUDGET_RE + """', 2)) AS nb_unit,
+         """ + _dict_case('q.ms_norm', K.QUARTERLY_BUDGETS) + """ AS qdict_h,
+         """ + _dict_case('q.ms_norm', K.MONTHLY_BUDGETS) + """ AS mdict_h
+  FROM qs0 q JOIN plan p ON p.proj_norm = q.proj_norm AND p.ms_norm = q.ms_norm
+),
+qsum AS (
+  SELECT *,
+    CAST(CASE WHEN is_special THEN
+           CASE WHEN nb_unit = 'quartal' AND nb_h IS NOT NULL THEN nb_h
+                WHEN nb_unit = 'monat' AND nb_h IS NOT NULL THEN nb_h * 3
+                WHEN qdict_h IS NOT NULL THEN qdict_h
+                WHEN mdict_h IS NOT NULL THEN mdict_h * 3 ELSE 0 END
+         ELSE coalesce(csv_soll, 0) END AS DECIMAL(18,2)) AS q_soll,
+    CAST(CASE WHEN is_special THEN q_hours0 ELSE coalesce(csv_ist, 0) END AS DECIMAL(18,2)) AS q_ist
+  FROM qs1
+),
+qv0 AS (
+  SELECT q.*, res.lookup_id, res.billing, res.rate_sv, res.rate_cad, res.rate_adm, res.budget_total,
+         coalesce(p.position, 'SV') AS position
+  FROM qsum q LEFT JOIN res ON res.proj_norm = q.proj_norm AND res.ms_norm = q.ms_norm
+       LEFT JOIN positions p ON p.staff_name = q.staff_name
+),
+qv1 AS (
+  SELECT *,
+    CASE WHEN position = '-' THEN 0.0 WHEN lookup_id IS NULL THEN 0.0
+         WHEN position = 'CAD' THEN coalesce(rate_cad, 0.0) WHEN position = 'ADM' THEN coalesce(rate_adm, 0.0)
+         ELSE coalesce(rate_sv, 0.0) END AS rate,
+    CAST(coalesce(budget_total, 0) AS DOUBLE) AS rr, CAST(coalesce(q_soll, 0) AS DOUBLE) AS dd,
+    CAST(coalesce(q_ist, 0) AS DOUBLE) AS ee, CAST(q_total + q_from_others AS DOUBLE) AS fk
+  FROM qv0
+),
+qv2 AS (
+  SELECT *,
+    CASE WHEN position = '-' THEN 0.0
+         WHEN billing = 'Pauschale' THEN CASE WHEN rr = 0 OR dd = 0 THEN 0.0
+                                              ELSE greatest(0.0, least(rr * (fk / dd), rr - rr * (ee / dd))) END
+         ELSE rate * fk END AS revenue,
+    CASE WHEN position = '-' THEN 0.0
+         WHEN billing = 'Pauschale' THEN CASE WHEN rr = 0 OR dd = 0 THEN 0.0 ELSE rr * (fk / dd) END
+         ELSE rate * fk END AS possible
+  FROM qv1
+)"""
+
+SQL["quarter_revenue"] = _REV + ", " + _QS.strip() + """
+SELECT q.staff_name, q.quarter, q.proj_norm, q.ms_norm, q.position, q.billing, round(q.rate, 4) AS rate,
+       round(q.revenue, 2) AS revenue, round(q.possible, 2) AS possible, round(q.possible - q.revenue, 2) AS lost,
+       round(k.revenue_key, 2) AS revenue_key
+FROM qv2 q JOIN (SELECT proj_norm, ms_norm, quarter, sum(revenue) AS revenue_key FROM qv2 GROUP BY 1, 2, 3) k
+  ON k.proj_norm = q.proj_norm AND k.ms_norm = q.ms_norm AND k.quarter = q.quarter"""

@@ -118,11 +118,12 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
     detail = RU.revenue_rows(rows, resolved, positions)
     totals = RU.month_totals(rows)
     qtotals = RU.quarter_totals(totals)
+    qsummary = RU.quarter_summary(rows, plan)
     out = {
         "month_rows": detail,
         "month_totals": totals,
         "quarter_milestones": RU.quarter_milestones(mh, plan),
-        "quarter_summary": RU.quarter_summary(rows, plan),
+        "quarter_summary": RU.quarter_revenue(qsummary, resolved, positions),
         "quarter_totals": qtotals,
         "cover_months": cover_months(totals, months),
         "cover_quarter": cover_quarter(qtotals),

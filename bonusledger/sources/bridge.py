@@ -13,6 +13,7 @@ mapping itself is documented in FIXTURES.md section 4.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +49,20 @@ def project_name(n: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=None)
+def _name_maps() -> tuple[Column, Column]:
+    """Part type -> milestone name, for the special and the regular projects
+    (map literals built once per process)."""
+    special = F.create_map(*[F.lit(x) for kv in zip(PART_TYPES, SPECIAL_MONTHLY + SPECIAL_QUARTERLY) for x in kv])
+    regular = F.create_map(*[F.lit(x) for kv in zip(PART_TYPES, REGULAR_MILESTONES) for x in kv])
+    return special, regular
+
+
 def milestone_name(n: Column, ptype: Column) -> Column:
-    special = SPECIAL_MONTHLY + SPECIAL_QUARTERLY
-    expr_special = None
-    expr_regular = None
-    for i, t in enumerate(PART_TYPES):
-        expr_special = (F.when if expr_special is None else expr_special.when)(ptype == t, F.lit(special[i]))
-        expr_regular = (F.when if expr_regular is None else expr_regular.when)(ptype == t, F.lit(REGULAR_MILESTONES[i]))
-    return F.when(n <= 2, expr_special).otherwise(expr_regular)
+    """Milestone of a part: the shared budget names for the two special
+    projects (n <= 2), the regular names otherwise; by part type."""
+    special, regular = _name_maps()
+    return F.when(n <= 2, F.element_at(special, ptype)).otherwise(F.element_at(regular, ptype))
 
 
 def _brand_number(p_brand: Column) -> Column:

@@ -10,7 +10,7 @@ project) are hash aggregates joined back, never a window over the hot group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -173,81 +173,75 @@ def month_totals(rows_adj: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ budget resolution
 
+_REC_FIELDS = ["lookup_id", "billing", "target_hours", "cost", "rate_sv", "rate_cad", "rate_adm", "total_budget"]
+
+
 def _lookup_table(records: DataFrame) -> DataFrame:
-    """(key, top_norm) -> record, for the full name and the code; on duplicate
-    keys the later record wins (J3)."""
-    r = records.where(
-        ~F.col("project").isin("", "-", "nan") & (F.col("top_norm") != "")
+    """(key, milestone) -> record, one row per key pair of the budget:
+    ``rec``  over the full name and the code (J3; a later record wins),
+    ``lrec`` over the last key only (the id map of J4 keeps the code when it
+    differs from the full name, D6; a later record wins)."""
+    r = records.where(~F.col("project").isin("", "-", "nan") & (F.col("top_norm") != ""))
+    keys = S.project_keys("project")
+    ex = r.select(
+        F.posexplode(keys).alias("kpos", "key"), F.size(keys).alias("n_keys"),
+        F.col("top_norm").alias("cand_ms"), F.struct(*_REC_FIELDS).alias("r"), "lookup_id",
     )
-    ex = r.select(F.explode(S.project_keys("project")).alias("key"), F.col("top_norm").alias("cand_ms"),
-                  "lookup_id", "billing", "target_hours", "cost")
+    is_last = F.col("kpos") == F.col("n_keys") - 1
     return ex.groupBy("key", "cand_ms").agg(
-        F.max_by(F.struct("lookup_id", "billing", "target_hours", "cost"), F.col("lookup_id")).alias("rec")
+        F.max_by("r", "lookup_id").alias("rec"),
+        F.max_by("r", F.when(is_last, F.col("lookup_id"))).alias("lrec"),
     )
 
 
-def _id_table(records: DataFrame) -> DataFrame:
-    """(last key, top_norm) -> lookup id: the id map holds only the last of the
-    project keys (the code when it differs, D6); later records win."""
-    r = records.where(~F.col("project").isin("", "-", "nan") & (F.col("top_norm") != ""))
-    last_key = F.element_at(S.project_keys("project"), -1)
-    return r.select(last_key.alias("key"), F.col("top_norm").alias("cand_ms"), "lookup_id").groupBy(
-        "key", "cand_ms"
-    ).agg(F.max("lookup_id").alias("lookup_id"))
-
-
 def resolve_budget(keys: DataFrame, records: DataFrame, pmap: DataFrame) -> DataFrame:
-    """J3 + J4 for distinct (proj_norm, ms_norm) keys.
-
-    Output: proj_norm, ms_norm, res_id (J3 record), lookup_id (J4: primary on the
-    exact milestone, else the alphabetically first parent), billing,
-    target_hours_q (B11 Q), cost_s (B11 S).
+    """J3 + J4 for the distinct (proj_norm, ms_norm) keys of a report.
+
+    Candidates per key, in the reference's order over [full name, code]:
+      J3       exact milestone (2*kpos), its single parent (2*kpos+1); first hit
+      primary  exact milestone on the id map (kpos); first hit
+      fallback alphabetically first parent of the first key that has parents,
+               on the id map (kpos); used only without a primary
+    One join of all candidates with the lookup table and one aggregate pick the
+    winners; the records' fields ride along, so no join back to the records.
+
+    Output: proj_norm, ms_norm, res_id, lookup_id, billing, rate_sv, rate_cad,
+    rate_adm, budget_total, target_hours_q (B11 Q), cost_s (B11 S).
     """
     k = keys.select(*KEY).distinct()
     kk = k.select(*KEY, F.posexplode(S.project_keys("proj_norm")).alias("kpos", "key"))
     pm = pmap.select(F.col("project_key").alias("key"), "ms_norm", "parents", "n_parents")
     kk = kk.join(pm, ["key", "ms_norm"], "left")
-    # J3 candidates: per key (exact, then its single parent)
-    cands = kk.select(*KEY, (F.col("kpos") * 2).alias("prio"), "key", F.col("ms_norm").alias("cand_ms")).unionByName(
-        kk.where(F.col("n_parents") == 1).select(
-            *KEY, (F.col("kpos") * 2 + 1).alias("prio"), "key", F.element_at("parents", 1).alias("cand_ms"))
-    )
-    lt = _lookup_table(records)
-    j3 = cands.join(lt, ["key", "cand_ms"]).groupBy(*KEY).agg(F.min_by("rec", "prio").alias("rec"))
-
-    idt = _id_table(records)
-    prim = kk.select(*KEY, "kpos", "key", F.col("ms_norm").alias("cand_ms")).join(idt, ["key", "cand_ms"]).groupBy(
-        *KEY).agg(F.min_by("lookup_id", "kpos").alias("primary_id"))
-    # fallback parent: first key (in key order) with any parent; alphabetically first parent
-    par = kk.where(F.col("n_parents") >= 1).groupBy(*KEY).agg(
-        F.min_by(F.element_at("parents", 1), "kpos").alias("fb_parent"))
-    idt_fb = idt.select("key", F.col("cand_ms").alias("fb_parent"), "lookup_id")
-    fb = (
-        kk.select(*KEY, "kpos", "key").join(par, KEY)
-        .join(idt_fb, ["key", "fb_parent"])
-        .groupBy(*KEY).agg(F.min_by("lookup_id", "kpos").alias("fallback_id"))
+    w = Window.partitionBy(*KEY).orderBy("kpos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kk = kk.withColumn(
+        "fb_parent", F.first(F.when(F.col("n_parents") >= 1, F.element_at("parents", 1)), ignorenulls=True).over(w)
     )
-    out = k.join(j3, KEY, "left").join(prim, KEY, "left").join(fb, KEY, "left")
-    out = out.withColumn("lookup_id", F.coalesce("primary_id", "fallback_id"))
-    by_id = records.select(
-        "lookup_id", F.col("billing").alias("id_billing"), F.col("target_hours").alias("id_target"),
-        "rate_sv", "rate_cad", "rate_adm", F.col("total_budget").alias("id_budget"),
+    exact = kk.select(*KEY, "key", "kpos", F.col("ms_norm").alias("cand_ms"), F.lit("exact").alias("kind"))
+    parent = kk.where(F.col("n_parents") == 1).select(
+        *KEY, "key", "kpos", F.element_at("parents", 1).alias("cand_ms"), F.lit("parent").alias("kind"))
+    fallback = kk.where(F.col("fb_parent").isNotNull()).select(
+        *KEY, "key", "kpos", F.col("fb_parent").alias("cand_ms"), F.lit("fallback").alias("kind"))
+    cands = exact.unionByName(parent).unionByName(fallback).join(_lookup_table(records), ["key", "cand_ms"])
+    kind = F.col("kind")
+    j3_prio = F.when(kind == "exact", F.col("kpos") * 2).when(kind == "parent", F.col("kpos") * 2 + 1)
+    picked = cands.groupBy(*KEY).agg(
+        F.min_by("rec", j3_prio).alias("j3"),
+        F.min_by("lrec", F.when((kind == "exact") & F.col("lrec").isNotNull(), F.col("kpos"))).alias("prim"),
+        F.min_by("lrec", F.when((kind == "fallback") & F.col("lrec").isNotNull(), F.col("kpos"))).alias("fb"),
     )
-    prim_t = records.select(F.col("lookup_id").alias("primary_id"), F.col("target_hours").alias("prim_target"))
-    fb_t = records.select(F.col("lookup_id").alias("fallback_id"), F.col("target_hours").alias("fb_target"))
-    out = out.join(by_id, "lookup_id", "left").join(prim_t, "primary_id", "left").join(fb_t, "fallback_id", "left")
-    q_target = F.when(F.col("rec").isNotNull(), F.col("rec.target_hours")).when(
-        F.col("primary_id").isNotNull(), F.col("prim_target")).otherwise(F.col("fb_target"))
+    out = k.join(picked, KEY, "left").withColumn("lk", F.coalesce("prim", "fb"))
+    q_target = F.coalesce(F.col("j3"), F.col("prim"), F.col("fb"))["target_hours"]
     return out.select(
         *KEY,
-        F.col("rec.lookup_id").alias("res_id"),
-        "lookup_id",
-        F.when(F.col("lookup_id").isNotNull(), F.coalesce(F.col("id_billing"), F.lit(""))).otherwise(
+        F.col("j3.lookup_id").alias("res_id"),
+        F.col("lk.lookup_id").alias("lookup_id"),
+        F.when(F.col("lk").isNotNull(), F.coalesce(F.col("lk.billing"), F.lit(""))).otherwise(
             F.lit(K.BILLING_UNKNOWN)).alias("billing"),
-        "rate_sv", "rate_cad", "rate_adm",
-        F.coalesce(F.col("id_budget"), F.lit(0).cast(S.HOURS)).alias("budget_total"),
+        F.col("lk.rate_sv").alias("rate_sv"), F.col("lk.rate_cad").alias("rate_cad"),
+        F.col("lk.rate_adm").alias("rate_adm"),
+        F.coalesce(F.col("lk.total_budget"), F.lit(0).cast(S.HOURS)).alias("budget_total"),
         F.when(q_target != 0, q_target).alias("target_hours_q"),
-        F.when(F.col("rec.cost") != 0, F.col("rec.cost")).alias("cost_s"),
+        F.when(F.col("j3.cost") != 0, F.col("j3.cost")).alias("cost_s"),
     )
 
 

@@ -92,3 +92,39 @@ def test_overview_status(spark):
     assert ov["1 Paket"]["status"].endswith("Manual erforderlich")
     assert ov["1 Paket"]["remark"] == "Abrechnungsart wählen; Stundensätze eingeben"
     assert ov["(aN) 2 Paket"]["status"].endswith("Vollständig")
+
+
+def test_resolution_cascade(spark):
+    """J3 / J4 by hand: Alpha and Beta share the code 1234.01 and the top
+    milestone name; the id map keeps only code keys, later records win (D6)."""
+    from bonusledger.operators import rules as RU
+
+    lines = lines_df(spark, [
+        ("1234.01 Alpha", None, "-"),
+        (None, "X", "(p) 1 Top", "10,00", None, None, "1.000,00"),
+        (None, None, "• 1.1 Sub", "5,00"),
+        (None, None, "NAT 01 Extra", "8,00", None, "400,00"),
+        ("1234.01 Beta", None, "-"),
+        (None, "X", "(p) 1 Top", "20,00", None, None, "2.000,00"),
+    ])
+    recs, edges = BU.budget_scan(lines)
+    ids = {(r["project"], r["top_norm"]): r["lookup_id"] for r in recs.collect()}
+    assert ids == {("1234.01 Alpha", "NAT 01 Extra"): 1, ("1234.01 Alpha", "(p) 1 Top"): 2,
+                   ("1234.01 Beta", "(p) 1 Top"): 3}
+    keys = spark.createDataFrame([
+        ("1234.01 Alpha", "(p) 1 Top"), ("1234.01 Alpha", "1.1 Sub"), ("1234.01 Alpha", "NAT 01 Extra"),
+        ("1234.01", "(p) 1 Top"), ("9999 X", "foo"),
+    ], "proj_norm string, ms_norm string")
+    res = {(r["proj_norm"], r["ms_norm"]): r
+           for r in RU.resolve_budget(keys, recs, BU.parent_map_from_edges(edges)).collect()}
+    a = res[("1234.01 Alpha", "(p) 1 Top")]
+    assert (a["res_id"], a["lookup_id"]) == (2, 3)          # J3 by full name, J4 by code -> Beta
+    b = res[("1234.01 Alpha", "1.1 Sub")]
+    assert (b["res_id"], b["lookup_id"]) == (2, 3)          # single parent; fallback through the code key
+    assert b["target_hours_q"] == Decimal("13.00")          # Alpha's target: 5 + 8 from its sub-rows
+    c = res[("1234.01 Alpha", "NAT 01 Extra")]
+    assert (c["res_id"], c["lookup_id"], c["billing"]) == (1, 1, "Pauschale")   # two parents: exact only
+    d = res[("1234.01", "(p) 1 Top")]
+    assert (d["res_id"], d["lookup_id"]) == (3, 3)
+    e = res[("9999 X", "foo")]
+    assert (e["res_id"], e["lookup_id"], e["billing"]) == (None, None, "Unbekannt")

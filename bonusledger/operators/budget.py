@@ -89,11 +89,15 @@ def plan_from_prepared(prepared: DataFrame) -> DataFrame:
     return g.withColumn("pct", F.round(S.plan_pct("ist", "soll"), 2))
 
 
-def plan_actual(lines: DataFrame) -> DataFrame:
+def plan_actual(lines: DataFrame, materialize: bool = True) -> DataFrame:
     """A1 (D7): target / actual hours per (project, milestone), keyed by the
-    stripped names; P2 keeps package rows only.  Needs only the fill-down."""
+    stripped names; P2 keeps package rows only.  Needs only the fill-down; the
+    lines are landed first because the scan reads them twice."""
     raw_proj = F.when(S.strip_unicode(F.col("projekte")) != "", F.col("projekte"))
-    d = ordered.scan(lines.withColumn("projekte", raw_proj), fills={"proj_filled": F.col("projekte")})
+    d = lines.withColumn("projekte", raw_proj)
+    if materialize:
+        d = _materialize(d, "budget-lines")
+    d = ordered.scan(d, fills={"proj_filled": F.col("projekte")})
     pkg = S.strip_unicode(F.coalesce(F.col("package"), F.lit("")))
     d = d.where(F.col("package").isNotNull() & (pkg != "-") & (pkg != "") & F.col("proj_filled").isNotNull())
     g = d.groupBy(S.strip_unicode(F.col("proj_filled")).alias("proj_norm"), S.norm_milestone(pkg).alias("ms_norm")).agg(

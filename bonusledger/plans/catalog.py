@@ -305,7 +305,8 @@ def quarter_milestones(spark, sf_dir):
 
 
 def quarter_summary(spark, sf_dir):
-    return RU.quarter_summary(_rows_adj(spark, sf_dir), _plan(spark, sf_dir))
+    plan = _plan(spark, sf_dir)
+    return RU.quarter_summary(_rows_adj(spark, sf_dir, plan=plan), plan)
 
 
 def quarter_revenue(spark, sf_dir):

@@ -37,8 +37,11 @@ class ReportConfig:
     include_summary_sheet: bool = True
     include_quarterly_summary: bool = True  # parsed, never read (C5)
     exclude_special_projects: bool = False
+    snap: bool = False  # D9: round the range to whole months / quarters / years (the guide's promise)
 
     def __post_init__(self):
+        if self.snap:
+            self.start_date, self.end_date = snap_range(self.report_type, self.start_date, self.end_date)
         if self.report_type not in REPORT_TYPES:
             raise ValueError(f"unknown report type {self.report_type!r}")
         if self.time_grouping not in GROUPINGS:
@@ -51,6 +54,23 @@ class ReportConfig:
                 raise ValueError("Quarterly report must span approximately 3 months")
 
 
+def snap_range(report_type: str, start: date, end: date) -> tuple[date, date]:
+    """D9 (optional): monthly -> whole months, quarterly -> whole quarters,
+    yearly -> whole years; other types unchanged."""
+    def month_end(d: date) -> date:
+        nxt = date(d.year + d.month // 12, d.month % 12 + 1, 1)
+        return date.fromordinal(nxt.toordinal() - 1)
+
+    if report_type == "monthly":
+        return date(start.year, start.month, 1), month_end(end)
+    if report_type == "quarterly":
+        qs = date(start.year, 3 * ((start.month - 1) // 3) + 1, 1)
+        return qs, month_end(date(end.year, 3 * ((end.month - 1) // 3) + 3, 1))
+    if report_type == "yearly":
+        return date(start.year, 1, 1), date(end.year, 12, 31)
+    return start, end
+
+
 def report_name(cfg: ReportConfig | None = None, quarter: date | None = None, prefix: str = "") -> str:
     """K5: 'Q3-2025' for a quarter, 'Report_<start>-<end>' otherwise."""
     if quarter is not None:

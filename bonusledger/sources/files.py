@@ -157,6 +157,7 @@ def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None)
     d = d.withColumnRenamed("date", "date_text").withColumns({
         "booked_on": S.booking_date("date_text"),
         "hours": S.booking_hours("number"),
+        "month_unknown": S.month_token_unknown("date_text"),  # D18: counted, still read as January
     })
     return bridge.with_entry_keys(d)
 

@@ -94,3 +94,11 @@ def test_result_independent_of_partitioning(spark, inputs):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_snap_range():
+    cfg = R.ReportConfig("quarterly", date(2025, 7, 15), date(2025, 9, 10), snap=True)
+    assert (cfg.start_date, cfg.end_date) == (date(2025, 7, 1), date(2025, 9, 30))
+    assert R.snap_range("monthly", date(2024, 2, 10), date(2024, 2, 11)) == (date(2024, 2, 1), date(2024, 2, 29))
+    assert R.snap_range("yearly", date(2024, 5, 1), date(2024, 6, 1)) == (date(2024, 1, 1), date(2024, 12, 31))
+    assert R.snap_range("custom_period", date(2024, 5, 3), date(2024, 6, 1)) == (date(2024, 5, 3), date(2024, 6, 1))

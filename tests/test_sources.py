@@ -98,3 +98,10 @@ def test_time_xml_many_files_merged(spark, tmp_path):
     df = files.read_time_xml(spark, paths)
     assert df.select("source_file").distinct().count() == 3
     assert df.count() == 3
+
+
+def test_time_xml_unknown_month_flag(spark, tmp_path):
+    p = tmp_path / "de.xml"
+    p.write_text(xml_doc([dict(staff="A", pkg="M", date="Mo, 05 Mai 2024 00:00:00 +0200", hours="1")]), encoding="utf-8")
+    r = files.read_time_xml(spark, str(p)).first()
+    assert r["booked_on"] == date(2024, 1, 5) and r["month_unknown"] is True

@@ -124,7 +124,7 @@ SELECT iso_year, iso_week,
        'KW ' || CAST(iso_week AS VARCHAR) || ' (' || strftime(block_start, '%d.%m') || ' - '
              || strftime(block_end, '%d.%m.%Y') || ')' AS block_name,
        block_start, block_end
-FROM (SELECT isoyear(booked_on) AS iso_year, weekofyear(booked_on) AS iso_week,
+FROM (SELECT CAST(isoyear(booked_on) AS INTEGER) AS iso_year, CAST(weekofyear(booked_on) AS INTEGER) AS iso_week,
              min(booked_on) AS block_start, max(booked_on) AS block_end
       FROM entries WHERE booked_on BETWEEN {RANGE_START} AND {RANGE_END}
       GROUP BY 1, 2)"""
@@ -903,7 +903,7 @@ p2 AS (
 SELECT text, CASE WHEN q BETWEEN 1 AND 4 THEN make_date(y, q * 3 - 2, 1) END AS quarter FROM p2"""
 
 SQL["project_keys"] = with_(BOOKINGS) + f"""
-SELECT proj_norm, unnest(generate_series(0, len(keys) - 1)) AS kpos, unnest(keys) AS project_key
+SELECT proj_norm, CAST(unnest(generate_series(0, len(keys) - 1)) AS INTEGER) AS kpos, unnest(keys) AS project_key
 FROM (SELECT proj_norm, {_keys_sql('proj_norm')} AS keys FROM (SELECT DISTINCT proj_norm FROM entries))"""
 
 SQL["status_band"] = with_(BOOKINGS, BUDGET_LINES) + """

@@ -40,18 +40,18 @@ class ReportConfig:
     snap: bool = False  # D9: round the range to whole months / quarters / years (the guide's promise)
 
     def __post_init__(self):
-        if self.snap:
-            self.start_date, self.end_date = snap_range(self.report_type, self.start_date, self.end_date)
         if self.report_type not in REPORT_TYPES:
             raise ValueError(f"unknown report type {self.report_type!r}")
         if self.time_grouping not in GROUPINGS:
             raise ValueError(f"unknown time grouping {self.time_grouping!r}")
-        if self.start_date > self.end_date:
-            raise ValueError("start_date must be before end_date")
-        if self.report_type == "quarterly":
-            delta = (self.end_date - self.start_date).days
-            if delta < 85 or delta > 95:
-                raise ValueError("Quarterly report must span approximately 3 months")
+        # filter lists may come as comma-separated text
+        if isinstance(self.projects, str):
+            self.projects = S.split_list(self.projects)
+        if isinstance(self.employees, str):
+            self.employees = S.split_list(self.employees)
+        if self.snap:
+            self.start_date, self.end_date = snap_range(self.report_type, self.start_date, self.end_date)
+        BK.check_range(self.start_date, self.end_date, quarterly=self.report_type == "quarterly")
 
 
 def snap_range(report_type: str, start: date, end: date) -> tuple[date, date]:
@@ -273,7 +273,7 @@ def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
     qa = BK.quarters_available(entries)
     if requested:
         q = S.parse_quarter(requested)
-        row = qa.where(F.col("quarter") == F.lit(q)).select("quarter").first()
+        row = BK.require_quarter(entries, q).select("quarter").first()
         if row is None:
             raise ValueError(f"Angefordertes Quartal {requested} nicht in den XML-Daten enthalten.")
     else:

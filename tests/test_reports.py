@@ -23,6 +23,8 @@ def test_config_checks():
     with pytest.raises(ValueError):
         R.ReportConfig("quarterly", date(2025, 1, 1), date(2025, 2, 1))
     R.ReportConfig("quarterly", date(2025, 7, 1), date(2025, 9, 30))
+    cfg_list = R.ReportConfig("project", date(2025, 1, 1), date(2025, 3, 31), projects=" 1003, 0000 Intern ,")
+    assert cfg_list.projects == ["1003", "0000 Intern"]
     assert R.report_name(quarter=date(2025, 7, 1)) == "Q3-2025"
     cfg = R.ReportConfig("custom_period", date(2025, 1, 1), date(2025, 3, 31))
     assert R.report_name(cfg, prefix="X") == "X_Report_20250101-20250331"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import bookings as BK
-from ..session import configure
+from ..session import concurrently, configure
 from ..sources import bridge as BR
 
 QUARTER = BR.REPORT_QUARTER
@@ -215,6 +215,8 @@ def _month_rows(spark, sf_dir, mh=None):
 
 
 def _rows_adj(spark, sf_dir, mh=None, plan=None):
+    if mh is None and plan is None:
+        mh, plan = concurrently(lambda: _mh(spark, sf_dir), lambda: _plan(spark, sf_dir))
     mh = mh if mh is not None else _mh(spark, sf_dir)
     plan = plan if plan is not None else _plan(spark, sf_dir)
     return RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), BR.adjustments(spark, sf_dir, QUARTER, mh)))
@@ -276,10 +278,10 @@ def lookup_id_resolve(spark, sf_dir):
 
 def _revenue(spark, sf_dir):
     # one landed budget export feeds both the plan and the budget records
-    prepared = BU.prepare(_lines(spark, sf_dir))
-    mh = _mh(spark, sf_dir)
-    rows = _rows_adj(spark, sf_dir, mh, BU.plan_from_prepared(prepared))
-    return RU.revenue_rows(rows, _resolved(spark, sf_dir, prepared, mh), BR.positions(spark, sf_dir))
+    prepared, mh = concurrently(lambda: BU.prepare(_lines(spark, sf_dir)), lambda: _mh(spark, sf_dir))
+    rows, resolved = concurrently(lambda: _rows_adj(spark, sf_dir, mh, BU.plan_from_prepared(prepared)),
+                                  lambda: _resolved(spark, sf_dir, prepared, mh))
+    return RU.revenue_rows(rows, resolved, BR.positions(spark, sf_dir))
 
 
 def revenue_rows(spark, sf_dir):
@@ -310,11 +312,11 @@ def quarter_summary(spark, sf_dir):
 
 
 def quarter_revenue(spark, sf_dir):
-    prepared = BU.prepare(_lines(spark, sf_dir))
+    prepared, mh = concurrently(lambda: BU.prepare(_lines(spark, sf_dir)), lambda: _mh(spark, sf_dir))
     plan = BU.plan_from_prepared(prepared)
-    mh = _mh(spark, sf_dir)
-    qs = RU.quarter_summary(_rows_adj(spark, sf_dir, mh, plan), plan)
-    d = RU.quarter_revenue(qs, _resolved(spark, sf_dir, prepared, mh), BR.positions(spark, sf_dir))
+    rows, resolved = concurrently(lambda: _rows_adj(spark, sf_dir, mh, plan),
+                                  lambda: _resolved(spark, sf_dir, prepared, mh))
+    d = RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, BR.positions(spark, sf_dir))
     return d.select(
         "staff_name", "quarter", "proj_norm", "ms_norm", "position", "billing",
         F.round("rate", 4).alias("rate"),

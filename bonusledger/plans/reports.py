@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators import bookings as BK
 from ..operators import budget as BU
 from ..operators import rules as RU
+from ..session import concurrently
 
 REPORT_TYPES = ("quarterly", "custom_period", "monthly", "yearly", "project", "employee")
 GROUPINGS = ("month", "period", "week", "none")
@@ -128,12 +129,14 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
     """The quarterly report: month rows with revenue (K1), month totals and the
     hand-over table (B12), quarter milestones, quarter summary and totals, cover
     (C1, C2), budget overview (K3)."""
-    prepared = BU.prepare(lines)
+    # the budget export and the bookings are independent: land both at once
+    prepared, mh = concurrently(lambda: BU.prepare(lines), lambda: BK.landed_month_hours(entries_q))
     plan = BU.plan_from_prepared(prepared)
-    records, edges = BU.budget_scan(prepared=prepared)
+    rows, (records, edges) = concurrently(
+        lambda: RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), adjustments)),
+        lambda: BU.budget_scan(prepared=prepared),
+    )
     pmap = BU.parent_map_from_edges(edges)
-    mh = BK.landed_month_hours(entries_q)
-    rows = RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), adjustments))
     resolved = RU.resolve_budget(mh.select(*RU.KEY), records, pmap)
     detail = RU.revenue_rows(rows, resolved, positions)
     totals = RU.month_totals(rows)

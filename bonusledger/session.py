@@ -97,3 +97,15 @@ def materialize(df, name: str):
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def concurrently(*thunks):
+    """Runs independent builders (each may land a table, i.e. run a Spark job)
+    from a small thread pool and returns their results in order.  Spark
+    schedules jobs submitted from several driver threads side by side, so
+    independent inputs of one report are landed at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, len(thunks))) as pool:
+        futures = [pool.submit(t) for t in thunks]
+    return [f.result() for f in futures]

@@ -209,9 +209,9 @@ def _mh(spark, sf_dir):
     return BK.landed_month_hours(_quarter_entries(spark, sf_dir))
 
 
-def _month_rows(spark, sf_dir, mh=None):
-    mh = mh if mh is not None else _mh(spark, sf_dir)
-    return RU.month_rows(mh, _plan(spark, sf_dir))
+def _month_rows(spark, sf_dir):
+    mh, plan = concurrently(lambda: _mh(spark, sf_dir), lambda: _plan(spark, sf_dir))
+    return RU.month_rows(mh, plan)
 
 
 def _rows_adj(spark, sf_dir, mh=None, plan=None):

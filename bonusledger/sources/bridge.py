@@ -38,7 +38,14 @@ REGULAR_MILESTONES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A read-only test table.  The DataFrame handle (file listing and footer
+    schema, no data) is reused per session and path; every query still scans."""
+    return _table(spark, f"{sf_dir}/{name}.parquet")
+
+
+@lru_cache(maxsize=256)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def project_name(n: Column) -> Column:

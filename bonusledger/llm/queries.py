@@ -1,12 +1,13 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, hash_tree, pieces, quality
+from . import decontaminate, hash_tree, minmax, pieces, quality
 
 QUERIES = {
     "op4_hash_tree": hash_tree.op4_hash_tree,
     "op5_suffix_automaton": decontaminate.op5_suffix_automaton,
     "op7_transducer": pieces.op7_transducer,
     "op8_weak_labels": quality.op8_weak_labels,
+    "op10_min_max": minmax.op10_min_max,
 }
 
 SQL = {"op5_suffix_automaton": decontaminate.OP5_SQL}

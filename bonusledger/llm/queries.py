@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, embed_tiles, hash_tree, minmax, pieces, quality
+from . import decontaminate, embed_tiles, hash_tree, minmax, pieces, quality, url_filter
 
 QUERIES = {
     "op2_pca_tiles": embed_tiles.op2_pca_tiles,
+    "op3_segmented_bayes": url_filter.op3_segmented_bayes,
     "op4_hash_tree": hash_tree.op4_hash_tree,
     "op5_suffix_automaton": decontaminate.op5_suffix_automaton,
     "op7_transducer": pieces.op7_transducer,

@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, embed_tiles, hash_tree, minmax, pieces, quality, url_filter
+from . import decontaminate, embed_tiles, hash_tree, minmax, pieces, quality, url_filter, wrappers
 
 QUERIES = {
+    "op1_wrappers": wrappers.op1_wrappers,
     "op2_pca_tiles": embed_tiles.op2_pca_tiles,
     "op3_segmented_bayes": url_filter.op3_segmented_bayes,
     "op4_hash_tree": hash_tree.op4_hash_tree,

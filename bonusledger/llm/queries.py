@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, embed_tiles, hash_tree, minmax, pieces, quality, url_filter, wrappers
+from . import decontaminate, embed_tiles, hash_tree, minmax, personal, pieces, quality, url_filter, wrappers
 
 QUERIES = {
     "op1_wrappers": wrappers.op1_wrappers,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_segmented_bayes": url_filter.op3_segmented_bayes,
     "op4_hash_tree": hash_tree.op4_hash_tree,
     "op5_suffix_automaton": decontaminate.op5_suffix_automaton,
+    "op6_weak_supervision": personal.op6_weak_supervision,
     "op7_transducer": pieces.op7_transducer,
     "op8_weak_labels": quality.op8_weak_labels,
     "op10_min_max": minmax.op10_min_max,

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, embed_tiles, hash_tree, minmax, personal, pieces, quality, url_filter, wrappers
+from . import decontaminate, embed_tiles, hash_tree, minmax, personal, pieces, quality, suffix_dedup, url_filter, wrappers
 
 QUERIES = {
     "op1_wrappers": wrappers.op1_wrappers,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_weak_supervision": personal.op6_weak_supervision,
     "op7_transducer": pieces.op7_transducer,
     "op8_weak_labels": quality.op8_weak_labels,
+    "op9_two_stage": suffix_dedup.op9_two_stage,
     "op10_min_max": minmax.op10_min_max,
 }
 

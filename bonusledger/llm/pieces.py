@@ -221,7 +221,9 @@ def _transducer(sent) -> Transducer:
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` as array<int> in column ``out``."""
+    """``docs`` with the ids of ``text`` as array<int> in column ``out`` (a column
+    of that name gives way)."""
+    docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(_model(model))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -237,7 +239,9 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``rows`` with the text of the ids in column ``out``; null ids give null."""
+    """``rows`` with the text of the ids in column ``out`` (a column of that name
+    gives way); null ids give null."""
+    rows = rows.drop(out)
     sent = rows.sparkSession.sparkContext.broadcast(_model(model))
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 

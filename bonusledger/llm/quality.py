@@ -180,7 +180,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict | Non
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", out: str = "quality") -> DataFrame:
-    """``docs`` with the probability of good in column ``out``."""
+    """``docs`` with the probability of good in column ``out`` (a column of that
+    name gives way)."""
+    docs = docs.drop(out)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     w, b = model["weights"].astype(float), model["bias"]

@@ -65,8 +65,20 @@ BILLING_FLAT_MARKER = "(p)"
 STATUS_GREEN_BELOW = 90.0
 STATUS_YELLOW_UPTO = 100.0
 
-# Budget section look-ahead (rows after a top-level milestone).
-SECTION_LOOKAHEAD = 79
+# Quarter spellings ("Q3-2025", "2025Q3"), the budget in a milestone's
+# name ("8h/Monat"), and the date in a booking's text ("01 Oct 2024").
+QUARTER_FIRST = r"^Q(\d)[-/]?\s*(\d{4})$"
+QUARTER_LAST = r"^(\d{4})[-/\s]*Q(\d)$"
+BUDGET_IN_NAME = r"(?i)(\d+[\.,]?\d*)\s*h\s*(?:/|pro\s+)(monat|quartal)"
+
+# Days that a quarter's range may have.
+QUARTER_DAYS = (85, 95)
+
+# Texts of the budget overview.
+STATUS_COMPLETE = "✓ Vollständig"
+STATUS_MANUAL = "⚠ Manual erforderlich"
+REMARK_BILLING = "Abrechnungsart wählen"
+REMARK_RATES = "Stundensätze eingeben"
 
 # Label of the whole-range block.
 TOTAL_BLOCK_LABEL = "Gesamt"

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 HOURS = "decimal(18,2)"
+# Hours and money inside: nothing is rounded before it is added up.
+EXACT = "decimal(30,8)"
 
 # Numbers after German normalisation: optional sign, digits with one optional
 # dot, or a leading-dot fraction.  Anything else is "not a number" (null).
@@ -28,12 +30,13 @@ def _c(x) -> Column:
 
 
 def de_number(x) -> Column:
-    """German number text -> decimal(18,2); null or not a number -> null.
+    """German number text -> exact decimal; null, not a number or over 22
+    digits before the comma -> null.
 
     Strip, delete every '.', turn ',' into '.', parse.  "1.234,56" -> 1234.56.
     """
-    s = F.replace(F.replace(F.trim(_c(x)), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(s.rlike(_NUMERIC), s.try_cast(HOURS))
+    s = F.replace(F.replace(strip_unicode(x), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(s.rlike(_NUMERIC), s.try_cast(EXACT))
 
 
 def strip_unicode(x) -> Column:
@@ -59,14 +62,14 @@ def milestone_type(x) -> Column:
     return F.when(F.lower(_c(x)).contains("quartal"), F.lit("quarterly")).otherwise(F.lit("monthly"))
 
 
-_BUDGET_IN_NAME = r"(?i)(\d+[\.,]?\d*)\s*h\s*(?:/|pro\s+)(monat|quartal)"
+_BUDGET_IN_NAME = K.BUDGET_IN_NAME
 
 
 def name_budget_hours(x) -> Column:
     """F4 hours part: '(max. 8h/Monat pro MA)' -> 8.00; no match -> null."""
     unit = F.regexp_extract(_c(x), _BUDGET_IN_NAME, 2)
     num = F.replace(F.regexp_extract(_c(x), _BUDGET_IN_NAME, 1), F.lit(","), F.lit("."))
-    return F.when(unit != "", num.try_cast(HOURS))
+    return F.when(unit != "", num.try_cast(EXACT))
 
 
 def name_budget_unit(x) -> Column:
@@ -154,13 +157,22 @@ def quarter_start(d) -> Column:
 
 
 def booking_hours(x) -> Column:
-    """dot-decimal hours; null, empty or not a number -> 0 ('8,00' -> 0)."""
-    s = F.trim(_c(x))
-    return F.coalesce(F.when(s.rlike(_NUMERIC_EXP), s.try_cast("double").cast(HOURS)), F.lit(0).cast(HOURS))
+    """dot-decimal hours; null, empty or not a number -> 0 ('8,00' -> 0), as
+    is what has over 22 digits before the point: a bad value never ends a job."""
+    s = strip_unicode(x)
+    exact = F.coalesce(s.try_cast(EXACT), s.try_cast("double").try_cast(EXACT))
+    return F.coalesce(F.when(s.rlike(_NUMERIC_EXP), exact), F.lit(0).cast(EXACT))
 
 
-_Q_FIRST = re.compile(r"^Q(\d)[-/]?\s*(\d{4})$")
-_Q_LAST = re.compile(r"^(\d{4})[-/\s]*Q(\d)$")
+def rounded(df):
+    """The exact columns of an output rounded to two decimals (null where even
+    that is too long)."""
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() == EXACT]
+    return df.withColumns({c: F.col(c).try_cast(HOURS) for c in wide}) if wide else df
+
+
+_Q_FIRST = re.compile(K.QUARTER_FIRST)
+_Q_LAST = re.compile(K.QUARTER_LAST)
 
 
 def parse_quarter(text: str) -> date:
@@ -173,10 +185,10 @@ def parse_quarter(text: str) -> date:
     else:
         m = _Q_LAST.match(s)
         if not m:
-            raise ValueError(f"Ungültiges Quartal: {s}")
+            raise ValueError(f"{text!r} names no quarter")
         y, q = int(m.group(1)), int(m.group(2))
     if not 1 <= q <= 4:
-        raise ValueError(f"Ungültiges Quartal: {s}")
+        raise ValueError(f"{text!r} names no quarter")
     return date(y, 3 * (q - 1) + 1, 1)
 
 
@@ -184,10 +196,10 @@ def quarter_of_text(x) -> Column:
     """F12 as a column: the same two patterns; no match or quarter digit outside
     1..4 -> null."""
     s = F.upper(F.trim(_c(x)))
-    q1 = F.regexp_extract(s, r"^Q(\d)[-/]?\s*(\d{4})$", 1)
-    y1 = F.regexp_extract(s, r"^Q(\d)[-/]?\s*(\d{4})$", 2)
-    y2 = F.regexp_extract(s, r"^(\d{4})[-/\s]*Q(\d)$", 1)
-    q2 = F.regexp_extract(s, r"^(\d{4})[-/\s]*Q(\d)$", 2)
+    q1 = F.regexp_extract(s, K.QUARTER_FIRST, 1)
+    y1 = F.regexp_extract(s, K.QUARTER_FIRST, 2)
+    y2 = F.regexp_extract(s, K.QUARTER_LAST, 1)
+    q2 = F.regexp_extract(s, K.QUARTER_LAST, 2)
     q = F.when(q1 != "", q1).otherwise(q2).try_cast("int")
     y = F.when(q1 != "", y1).otherwise(y2).try_cast("int")
     return F.when(q.between(1, 4), F.make_date(y, q * 3 - 2, F.lit(1)))

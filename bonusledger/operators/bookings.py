@@ -23,14 +23,6 @@ ROW_KEY = ["proj_norm", "ms_norm"]
 
 # ---------------------------------------------------------------- filters (P*)
 
-def valid_entries(df: DataFrame) -> DataFrame:
-    """Staff name non-empty, package and date text present."""
-    return df.where(
-        (F.coalesce(F.col("staff_name"), F.lit("")) != "")
-        & F.col("work_package_name").isNotNull()
-    )
-
-
 def in_quarter(df: DataFrame, quarter: date | Column) -> DataFrame:
     """Entries of one quarter (rows without a date drop out).
 
@@ -76,11 +68,10 @@ def exclude_special(df: DataFrame) -> DataFrame:
 def check_range(start: date, end: date, quarterly: bool = False) -> None:
     """P10: driver-side parameter checks."""
     if start > end:
-        raise ValueError("Startdatum muss vor dem Enddatum liegen.")
-    if quarterly:
-        days = (end - start).days
-        if not 85 <= days <= 95:
-            raise ValueError("Quartalsbericht muss etwa 3 Monate umfassen.")
+        raise ValueError(f"the range begins ({start}) after its end ({end})")
+    low, high = K.QUARTER_DAYS
+    if quarterly and not low <= (end - start).days <= high:
+        raise ValueError(f"a quarter's report covers {low} to {high} days, not {(end - start).days}")
 
 
 # --------------------------------------------------- quarters
@@ -95,16 +86,11 @@ def quarters_available(df: DataFrame) -> DataFrame:
 
 
 def latest_quarter(df: DataFrame) -> DataFrame:
-    """The latest quarter with data and its months (one row)."""
-    qa = quarters_available(df)
-    top = qa.agg(F.max("quarter").alias("quarter"))
-    return qa.join(top, "quarter")
-
-
-def require_quarter(df: DataFrame, quarter: date) -> DataFrame:
-    """O2 with a requested quarter: the row if present; the caller raises on an
-    empty result (one tiny action on the driver)."""
-    return quarters_available(df).where(F.col("quarter") == F.lit(quarter))
+    """The latest quarter with data and its months (one row), from one
+    pass: the distinct months, at most twelve a year, then their last quarter."""
+    months = df.where(F.col("month").isNotNull()).select("quarter", "month").distinct()
+    return (months.groupBy("quarter").agg(F.sort_array(F.collect_list("month")).alias("months"), F.count("*").alias("n_months"))
+            .orderBy(F.col("quarter").desc()).limit(1))
 
 
 def quarter_months(quarter: date | Column) -> Column:
@@ -118,7 +104,7 @@ def quarter_months(quarter: date | Column) -> Column:
 def month_hours(df: DataFrame) -> DataFrame:
     """A2: hours per (employee, month, project, milestone)."""
     return df.groupBy("staff_name", "quarter", "month", *ROW_KEY).agg(
-        F.sum("hours").cast(S.HOURS).alias("hours")
+        F.sum("hours").cast(S.EXACT).alias("hours")
     )
 
 
@@ -131,21 +117,30 @@ def landed_month_hours(entries_q: DataFrame) -> DataFrame:
     return materialize(month_hours(entries_q), "month-hours")
 
 
+def landed_day_hours(entries: DataFrame) -> DataFrame:
+    """Hours per (employee, day, project, milestone), landed: what every time block
+    of a flexible report is rolled up from."""
+    from ..session import materialize
+
+    return materialize(entries.groupBy("staff_name", "booked_on", "month", "quarter", *ROW_KEY).agg(
+        F.sum("hours").cast(S.EXACT).alias("hours")), "day-hours")
+
+
 def quarter_hours(month_rows: DataFrame) -> DataFrame:
     """A3 / A10: hours per (employee, quarter, project, milestone), rolled up from A2."""
     return month_rows.groupBy("staff_name", "quarter", *ROW_KEY).agg(
-        F.sum("hours").cast(S.HOURS).alias("hours")
+        F.sum("hours").cast(S.EXACT).alias("hours")
     )
 
 
 def project_summary(df: DataFrame) -> DataFrame:
     """Hours per (project, employee)."""
-    return df.groupBy("proj_norm", "staff_name").agg(F.sum("hours").cast(S.HOURS).alias("hours"))
+    return df.groupBy("proj_norm", "staff_name").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
 
 
 def employee_summary(df: DataFrame) -> DataFrame:
     """Hours per (employee, project)."""
-    return df.groupBy("staff_name", "proj_norm").agg(F.sum("hours").cast(S.HOURS).alias("hours"))
+    return df.groupBy("staff_name", "proj_norm").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
 
 
 # ------------------------------------------------------------ windows (W*)
@@ -158,7 +153,7 @@ def cumulative_quarter_hours(month_rows: DataFrame) -> DataFrame:
         .orderBy("month")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return month_rows.withColumn("cum_hours", F.sum("hours").over(w).cast(S.HOURS))
+    return month_rows.withColumn("cum_hours", F.sum("hours").over(w).cast(S.EXACT))
 
 
 def future_hours_all_staff(entries: DataFrame) -> DataFrame:
@@ -174,7 +169,7 @@ def future_hours_all_staff(entries: DataFrame) -> DataFrame:
     )
     return per_month.select(
         *ROW_KEY, "quarter", "month",
-        F.coalesce(F.sum("key_hours").over(w), F.lit(0)).cast(S.HOURS).alias("future_hours"),
+        F.coalesce(F.sum("key_hours").over(w), F.lit(0)).cast(S.EXACT).alias("future_hours"),
     )
 
 

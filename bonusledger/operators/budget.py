@@ -3,7 +3,7 @@ budget records (billing type, fees, rates) of top-level milestones.
 
 Input: raw budget lines (file_path, row_no, projekte, flag, package, soll_txt,
 ist_txt, budget_txt, sollhonorar_txt, billed_txt, cost_txt); file order is
-``row_no``.  Order-dependent rules (fill-down, parent runs, the 79-row section
+``row_no``.  Order-dependent rules (fill-down, parent runs, the section
 scan) are two-phase scans from ``ordered``; everything after them is joins and
 aggregates keyed by (file, section).
 """
@@ -29,13 +29,14 @@ NUMERIC_TEXT = {
 }
 
 
-def prepare(lines: DataFrame, materialize: bool = True) -> DataFrame:
+def prepare(lines: DataFrame, materialize: bool = True, lookahead: int | None = None) -> DataFrame:
     """W1-W3 per line, in two ordered passes:
 
     pass 1: filled project (W1), project of the previous row, position in file;
     pass 2: position of the owning top-level row (W3) and the current parent of
     the run (W2: reset on project change and on dash/empty rows; a top-level row
-    is its own parent).
+    is its own parent).  A section ends at the next top-level row; ``lookahead``
+    (an option, off by default) ends it after that many rows.
 
     Input and result are written to the session's checkpoint folder (reliable
     storage, so a lost executor does not re-run the scans) because the passes
@@ -69,10 +70,12 @@ def prepare(lines: DataFrame, materialize: bool = True) -> DataFrame:
         .when(F.col("changed") | F.col("dash_empty"), F.lit(RESET))
     )
     d = ordered.scan(d, fills={"x_pos": F.when(F.col("is_top"), F.col("pos")), "parent_run": marker})
+    in_section = ~F.col("is_top") & ~F.col("dash_empty") & F.col("x_pos").isNotNull()
+    if lookahead is not None:
+        in_section &= (F.col("pos") - F.col("x_pos")) <= lookahead
     d = d.withColumns({
         "parent_run": F.when(F.col("parent_run") != RESET, F.col("parent_run")),
-        "in_section": ~F.col("is_top") & ~F.col("dash_empty") & F.col("x_pos").isNotNull()
-        & ((F.col("pos") - F.col("x_pos")) <= K.SECTION_LOOKAHEAD),
+        "in_section": in_section,
     })
     if materialize:
         d = _materialize(d, "budget-prepared")
@@ -83,8 +86,8 @@ def plan_from_prepared(prepared: DataFrame) -> DataFrame:
     """A1 from already prepared lines (shares their scans with the records)."""
     d = prepared.where(F.col("package").isNotNull() & ~F.col("dash_empty") & F.col("proj_filled").isNotNull())
     g = d.groupBy(F.col("projekt").alias("proj_norm"), F.col("ms").alias("ms_norm")).agg(
-        F.coalesce(F.sum("soll"), F.lit(0)).cast(S.HOURS).alias("soll"),
-        F.coalesce(F.sum("ist"), F.lit(0)).cast(S.HOURS).alias("ist"),
+        F.coalesce(F.sum("soll"), F.lit(0)).cast(S.EXACT).alias("soll"),
+        F.coalesce(F.sum("ist"), F.lit(0)).cast(S.EXACT).alias("ist"),
     )
     return g.withColumn("pct", F.round(S.plan_pct("ist", "soll"), 2))
 
@@ -101,8 +104,8 @@ def plan_actual(lines: DataFrame, materialize: bool = True) -> DataFrame:
     pkg = S.strip_unicode(F.coalesce(F.col("package"), F.lit("")))
     d = d.where(F.col("package").isNotNull() & (pkg != "-") & (pkg != "") & F.col("proj_filled").isNotNull())
     g = d.groupBy(S.strip_unicode(F.col("proj_filled")).alias("proj_norm"), S.norm_milestone(pkg).alias("ms_norm")).agg(
-        F.coalesce(F.sum(S.de_number("soll_txt")), F.lit(0)).cast(S.HOURS).alias("soll"),
-        F.coalesce(F.sum(S.de_number("ist_txt")), F.lit(0)).cast(S.HOURS).alias("ist"),
+        F.coalesce(F.sum(S.de_number("soll_txt")), F.lit(0)).cast(S.EXACT).alias("soll"),
+        F.coalesce(F.sum(S.de_number("ist_txt")), F.lit(0)).cast(S.EXACT).alias("ist"),
     )
     return g.withColumn("pct", F.round(S.plan_pct("ist", "soll"), 2))
 
@@ -151,6 +154,7 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
 
     sec = sub.groupBy("file_path", "x_pos").agg(
         F.sum(F.when(F.col("soll") > 0, F.col("soll"))).alias("sub_soll"),
+        F.max("pos").alias("last_pos"),
         last_rate(is_sv).alias("rate_sv"),
         last_rate(is_cad).alias("rate_cad"),
         last_rate(is_adm).alias("rate_adm"),
@@ -158,9 +162,11 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
     flat = (F.col("billing") == K.BILLING_FLAT) & (F.col("own_soll") > 0)
     default_rate = F.when(flat, F.col("total_budget").cast("double") / F.col("own_soll").cast("double"))
     main = top.join(sec, ["file_path", "x_pos"], "left").select(
-        "file_path", "x_pos", F.lit(1).alias("kind"), F.col("x_pos").alias("pos"),
+        "file_path", F.lit(1).alias("kind"),
+        # after every row of its section, before the next top-level row
+        (F.coalesce("last_pos", "x_pos") * 2 + 1).alias("emit_ord"),
         "project", "project_code", "top_milestone", "top_norm", "billing", "total_budget", "billed", "cost",
-        F.when(F.col("sub_soll") > 0, F.col("sub_soll")).otherwise(F.col("own_soll")).cast(S.HOURS).alias("target_hours"),
+        F.when(F.col("sub_soll") > 0, F.col("sub_soll")).otherwise(F.col("own_soll")).cast(S.EXACT).alias("target_hours"),
         "actual_hours",
         *[F.coalesce(F.col(r), default_rate).alias(r) for r in ("rate_sv", "rate_cad", "rate_adm")],
     )
@@ -178,25 +184,27 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
     )
     sub_rate = F.when(F.col("target_hours") > 0, F.col("total_budget").cast("double") / F.col("target_hours").cast("double"))
     supp = supp.select(
-        "file_path", "x_pos", F.lit(0).alias("kind"), "pos",
+        "file_path", F.lit(0).alias("kind"), (F.col("pos") * 2).alias("emit_ord"),
         "project", "project_code", "top_milestone", "top_norm",
         F.when(F.col("own_billing") == K.BILLING_UNKNOWN, F.col("parent_billing")).otherwise(F.col("own_billing")).alias("billing"),
-        "total_budget", "billed", "cost", F.col("target_hours").cast(S.HOURS).alias("target_hours"), "actual_hours",
+        "total_budget", "billed", "cost", F.col("target_hours").cast(S.EXACT).alias("target_hours"), "actual_hours",
         sub_rate.alias("rate_sv"), sub_rate.alias("rate_cad"), sub_rate.alias("rate_adm"),
     )
 
     # First record per (project, milestone) in emit order wins; a section
     # emits its supplements before its own record.
-    cand = main.unionByName(supp).withColumn(
-        "emit_ord", F.col("x_pos") * 128 + F.when(F.col("kind") == 1, F.lit(127)).otherwise(F.col("pos") - F.col("x_pos"))
-    )
+    cand = main.unionByName(supp)
     w = Window.partitionBy("file_path", "project", "top_norm").orderBy("emit_ord")
     kept = cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    # Lookup ids 1..n in emit order.
+    # Lookup ids 1..n in emit order, file after file (one row per file is summed)
     kept = ordered.running_sum(kept, F.lit(1).cast("long"), "lookup_id", order="emit_ord")
+    files = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    before = kept.groupBy("file_path").count().select(
+        "file_path", F.coalesce(F.sum("count").over(files), F.lit(0)).alias("before"))
+    kept = kept.join(before, "file_path").withColumn("lookup_id", F.col("lookup_id") + F.col("before"))
     records = kept.select(
         "file_path", "project", "project_code", "top_milestone", "top_norm", "billing",
-        *[F.col(c).cast(S.HOURS).alias(c) for c in ("total_budget", "billed", "cost", "target_hours", "actual_hours")],
+        *[F.col(c).cast(S.EXACT).alias(c) for c in ("total_budget", "billed", "cost", "target_hours", "actual_hours")],
         "rate_sv", "rate_cad", "rate_adm",
         F.concat_ws("||", "project", "top_norm").alias("lookup_key"),
         F.col("lookup_id").cast("int").alias("lookup_id"),
@@ -215,6 +223,10 @@ def budget_records(lines: DataFrame) -> DataFrame:
     return budget_scan(lines)[0]
 
 
+def budget_records_of(prepared: DataFrame) -> DataFrame:
+    return budget_scan(prepared=prepared)[0]
+
+
 def parent_map(lines: DataFrame) -> DataFrame:
     """W2 (+ W6 self-parents): (project_key, ms_norm) -> sorted distinct parents,
     emitted for the full name and for the project code."""
@@ -228,12 +240,6 @@ def parent_map_from_edges(edges: DataFrame) -> DataFrame:
     ).withColumn("n_parents", F.size("parents"))
 
 
-STATUS_COMPLETE = "✓ Vollständig"
-STATUS_MANUAL = "⚠ Manual erforderlich"
-REMARK_BILLING = "Abrechnungsart wählen"
-REMARK_RATES = "Stundensätze eingeben"
-
-
 def budget_overview(records: DataFrame) -> DataFrame:
     """Completeness status, remarks and available budget per record."""
     has_billing = F.col("billing") != K.BILLING_UNKNOWN
@@ -245,11 +251,11 @@ def budget_overview(records: DataFrame) -> DataFrame:
     return records.select(
         "project", "top_milestone", "billing",
         F.when(F.col("target_hours") > 0, F.col("target_hours")).alias("target_hours"),
-        F.when(has_billing & has_rates, F.lit(STATUS_COMPLETE)).otherwise(F.lit(STATUS_MANUAL)).alias("status"),
+        F.when(has_billing & has_rates, F.lit(K.STATUS_COMPLETE)).otherwise(F.lit(K.STATUS_MANUAL)).alias("status"),
         F.when(F.col("total_budget") > 0, F.col("total_budget")).alias("total_budget"),
-        F.when(F.col("billed") > 0, F.col("billed")).otherwise(F.lit(0).cast(S.HOURS)).alias("billed"),
-        (F.coalesce(F.col("total_budget"), F.lit(0)) - F.coalesce(F.col("billed"), F.lit(0))).cast(S.HOURS).alias("available"),
+        F.when(F.col("billed") > 0, F.col("billed")).otherwise(F.lit(0).cast(S.EXACT)).alias("billed"),
+        (F.coalesce(F.col("total_budget"), F.lit(0)) - F.coalesce(F.col("billed"), F.lit(0))).cast(S.EXACT).alias("available"),
         F.round("rate_sv", 4).alias("rate_sv"), F.round("rate_cad", 4).alias("rate_cad"), F.round("rate_adm", 4).alias("rate_adm"),
-        F.concat_ws("; ", F.when(~has_billing, F.lit(REMARK_BILLING)), F.when(~has_rates, F.lit(REMARK_RATES))).alias("remark"),
+        F.concat_ws("; ", F.when(~has_billing, F.lit(K.REMARK_BILLING)), F.when(~has_rates, F.lit(K.REMARK_RATES))).alias("remark"),
         "lookup_id",
     )

@@ -61,13 +61,6 @@ def scan(df: DataFrame, fills: dict[str, Column] | None = None, prior_fills: dic
     return d.drop("_chunk", *[c for c in d.columns if c[:3] in ("_v_", "_s_", "_l_", "_k_")])
 
 
-def fill_down(df: DataFrame, value: Column, out: str, part: str = "file_path", order: str = "row_no",
-              inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
-    if inclusive:
-        return scan(df, fills={out: value}, part=part, order=order, chunk=chunk)
-    return scan(df, prior_fills={out: value}, part=part, order=order, chunk=chunk)
-
-
 def running_sum(df: DataFrame, value: Column, out: str, part: str = "file_path", order: str = "row_no",
                 chunk: int = CHUNK) -> DataFrame:
     return scan(df, sums={out: value}, part=part, order=order, chunk=chunk)

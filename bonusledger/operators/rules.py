@@ -28,7 +28,7 @@ def _in(col: Column, names) -> Column:
 def _dict_hours(col: Column, table: dict) -> Column:
     expr = None
     for name, h in table.items():
-        expr = (F.when if expr is None else expr.when)(col == name, F.lit(h).cast(S.HOURS))
+        expr = (F.when if expr is None else expr.when)(col == name, F.lit(h).cast(S.EXACT))
     return expr
 
 
@@ -45,7 +45,7 @@ def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
     d = mh.join(p, KEY, "left").join(fut, [*KEY, "quarter", "month"], "left")
 
     ms = F.col("ms_norm")
-    zero = F.lit(0).cast(S.HOURS)
+    zero = F.lit(0).cast(S.EXACT)
     csv_soll = F.coalesce(F.col("csv_soll"), zero)
     csv_ist = F.coalesce(F.col("csv_ist"), zero)
     monthly = S.milestone_type(ms) == "monthly"
@@ -74,8 +74,8 @@ def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
         .when(soll1 > 0, soll1)
         .otherwise(zero)
     )
-    soll = F.when(monthly, m_soll).otherwise(q_soll).cast(S.HOURS)
-    ist = F.when(monthly, m_ist).otherwise(F.col("cum_hours")).cast(S.HOURS)
+    soll = F.when(monthly, m_soll).otherwise(q_soll).cast(S.EXACT)
+    ist = F.when(monthly, m_ist).otherwise(F.col("cum_hours")).cast(S.EXACT)
     d = d.withColumns({
         "milestone_type": S.milestone_type(ms),
         "is_special": special,
@@ -93,7 +93,7 @@ def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
     return d.select(
         "staff_name", "quarter", "month", *KEY, "milestone_type", "is_special", "hours",
         # quarterly rows show '-' (null) for target and % when there is no target
-        F.when(quarterly & (F.col("soll") == 0), F.lit(None).cast(S.HOURS)).otherwise(F.col("soll")).alias("soll"),
+        F.when(quarterly & (F.col("soll") == 0), F.lit(None).cast(S.EXACT)).otherwise(F.col("soll")).alias("soll"),
         "ist",
         F.when(quarterly & (F.col("soll") == 0), F.lit(None).cast("double")).otherwise(F.round("pct", 2)).alias("pct"),
         "eligible", "status",
@@ -110,20 +110,20 @@ def with_adjustments(rows: DataFrame, adjustments: DataFrame) -> DataFrame:
     without a row on that key and month are not received.
     """
     adj = adjustments.groupBy("staff_name", *KEY, "month").agg(
-        F.sum("adj_h").cast(S.HOURS).alias("adj_h"), F.max("assign_to").alias("assign_to")
+        F.sum("adj_h").cast(S.EXACT).alias("adj_h"), F.max("assign_to").alias("assign_to")
     )
     d = rows.join(adj, ["staff_name", *KEY, "month"], "left")
     transferable = F.when(
-        F.col("adj_h") < 0, F.greatest(F.lit(0).cast(S.HOURS), F.least(F.col("hours"), -F.col("adj_h")))
-    ).otherwise(F.lit(0).cast(S.HOURS))
-    d = d.withColumn("transferable", transferable.cast(S.HOURS))
+        F.col("adj_h") < 0, F.greatest(F.lit(0).cast(S.EXACT), F.least(F.col("hours"), -F.col("adj_h")))
+    ).otherwise(F.lit(0).cast(S.EXACT))
+    d = d.withColumn("transferable", transferable.cast(S.EXACT))
     received = (
         d.where(F.col("assign_to").isNotNull() & (F.col("assign_to") != F.col("staff_name")))
         .groupBy(*KEY, "month", F.col("assign_to").alias("staff_name"))
-        .agg(F.sum("transferable").cast(S.HOURS).alias("from_others"))
+        .agg(F.sum("transferable").cast(S.EXACT).alias("from_others"))
     )
     d = d.join(received, ["staff_name", *KEY, "month"], "left")
-    return d.withColumn("from_others", F.coalesce(F.col("from_others"), F.lit(0).cast(S.HOURS)))
+    return d.withColumn("from_others", F.coalesce(F.col("from_others"), F.lit(0).cast(S.EXACT)))
 
 
 def landed_rows(rows_adj: DataFrame) -> DataFrame:
@@ -149,10 +149,10 @@ def month_totals(rows_adj: DataFrame) -> DataFrame:
     totals (regular and special kept apart, D13)."""
     elig = F.col("eligible")
     sp = F.col("is_special")
-    zero = F.lit(0).cast(S.HOURS)
+    zero = F.lit(0).cast(S.EXACT)
 
     def hsum(c):
-        return F.coalesce(F.sum(c), zero).cast(S.HOURS)
+        return F.coalesce(F.sum(c), zero).cast(S.EXACT)
 
     g = rows_adj.groupBy("staff_name", "quarter", "month").agg(
         hsum("hours").alias("total_hours"),
@@ -163,11 +163,11 @@ def month_totals(rows_adj: DataFrame) -> DataFrame:
         hsum("from_others").alias("assigned"),
     )
     g = g.withColumns({
-        "bonus_total": (F.col("bonus_base") + F.col("adj_regular")).cast(S.HOURS),
-        "special_total": (F.col("special_base") + F.col("adj_special")).cast(S.HOURS),
+        "bonus_total": (F.col("bonus_base") + F.col("adj_regular")).cast(S.EXACT),
+        "special_total": (F.col("special_base") + F.col("adj_special")).cast(S.EXACT),
     })
     return g.withColumn(
-        "total_bonus", (F.col("bonus_total") + F.col("special_total") + F.col("assigned")).cast(S.HOURS)
+        "total_bonus", (F.col("bonus_total") + F.col("special_total") + F.col("assigned")).cast(S.EXACT)
     )
 
 
@@ -235,11 +235,12 @@ def resolve_budget(keys: DataFrame, records: DataFrame, pmap: DataFrame) -> Data
         *KEY,
         F.col("j3.lookup_id").alias("res_id"),
         F.col("lk.lookup_id").alias("lookup_id"),
+        F.coalesce(F.col("j3.billing"), F.lit(K.BILLING_UNKNOWN)).alias("billing_j3"),
         F.when(F.col("lk").isNotNull(), F.coalesce(F.col("lk.billing"), F.lit(""))).otherwise(
             F.lit(K.BILLING_UNKNOWN)).alias("billing"),
         F.col("lk.rate_sv").alias("rate_sv"), F.col("lk.rate_cad").alias("rate_cad"),
         F.col("lk.rate_adm").alias("rate_adm"),
-        F.coalesce(F.col("lk.total_budget"), F.lit(0).cast(S.HOURS)).alias("budget_total"),
+        F.coalesce(F.col("lk.total_budget"), F.lit(0).cast(S.EXACT)).alias("budget_total"),
         F.when(q_target != 0, q_target).alias("target_hours_q"),
         F.when(F.col("j3.cost") != 0, F.col("j3.cost")).alias("cost_s"),
     )
@@ -279,6 +280,21 @@ def _with_revenue(d: DataFrame, target: str, actual: str, hours: str, received:
     return d.withColumn("lost", F.col("possible") - F.col("revenue"))
 
 
+def landed_budget(resolved: DataFrame) -> DataFrame:
+    """The resolution of a report's keys (one row per key), landed: month and
+    quarter revenue both join it, and its exact size decides how."""
+    from ..session import materialize
+
+    return materialize(resolved, "budget-resolved")
+
+
+def revenue_totals(rows: DataFrame, *by: str) -> DataFrame:
+    """Revenue, possible, lost and cumulative revenue per employee and quarter,
+    or finer by the columns given."""
+    return rows.groupBy("staff_name", "quarter", *by).agg(
+        *[F.sum(c).alias(c) for c in ("revenue", "possible", "lost", "revenue_key")])
+
+
 def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
     """J5, J6, B9-B11, A14 per month row."""
     pos = positions.select("staff_name", "position")
@@ -310,13 +326,13 @@ def quarter_milestones(mh: DataFrame, plan: DataFrame) -> DataFrame:
     d = q.join(p, KEY, "left").where(S.milestone_type("ms_norm") == "quarterly")
     ms = F.col("ms_norm")
     nb_h, nb_unit = S.name_budget_hours(ms), S.name_budget_unit(ms)
-    zero = F.lit(0).cast(S.HOURS)
+    zero = F.lit(0).cast(S.EXACT)
     q_soll = (
         F.when((nb_unit == "quartal") & nb_h.isNotNull(), nb_h)
         .when(_in(ms, K.QUARTERLY_BUDGETS), _dict_hours(ms, K.QUARTERLY_BUDGETS))
         .when(F.coalesce(F.col("csv_soll"), zero) > 0, F.col("csv_soll"))
         .otherwise(zero)
-    ).cast(S.HOURS)
+    ).cast(S.EXACT)
     d = d.withColumn("q_soll", q_soll)
     pct = S.pct("hours", "q_soll")
     return d.select(
@@ -332,16 +348,16 @@ def quarter_summary(rows_adj: DataFrame, plan: DataFrame) -> DataFrame:
     """B15 + B16 per (staff, key) of the quarter; bookings without a plan row are
     absent (D5)."""
     g = rows_adj.groupBy("staff_name", "quarter", *KEY).agg(
-        F.sum("hours").cast(S.HOURS).alias("q_hours"),
-        F.sum(F.col("hours") + F.col("transferable") + F.col("from_others")).cast(S.HOURS).alias("q_total"),
-        F.sum(F.coalesce(F.col("adj_h"), F.lit(0))).cast(S.HOURS).alias("q_adj"),
-        F.sum("from_others").cast(S.HOURS).alias("q_from_others"),
+        F.sum("hours").cast(S.EXACT).alias("q_hours"),
+        F.sum(F.col("hours") + F.col("transferable") + F.col("from_others")).cast(S.EXACT).alias("q_total"),
+        F.sum(F.coalesce(F.col("adj_h"), F.lit(0))).cast(S.EXACT).alias("q_adj"),
+        F.sum("from_others").cast(S.EXACT).alias("q_from_others"),
     )
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
     d = g.join(p, KEY)
     ms = F.col("ms_norm")
     nb_h, nb_unit = S.name_budget_hours(ms), S.name_budget_unit(ms)
-    zero = F.lit(0).cast(S.HOURS)
+    zero = F.lit(0).cast(S.EXACT)
     special = S.is_special_project("proj_norm")
     sp_soll = (
         F.when((nb_unit == "quartal") & nb_h.isNotNull(), nb_h)
@@ -350,8 +366,8 @@ def quarter_summary(rows_adj: DataFrame, plan: DataFrame) -> DataFrame:
         .when(_in(ms, K.MONTHLY_BUDGETS), _dict_hours(ms, K.MONTHLY_BUDGETS) * 3)
         .otherwise(zero)
     )
-    q_soll = F.when(special, sp_soll).otherwise(F.coalesce(F.col("csv_soll"), zero)).cast(S.HOURS)
-    q_ist = F.when(special, F.col("q_hours")).otherwise(F.coalesce(F.col("csv_ist"), zero)).cast(S.HOURS)
+    q_soll = F.when(special, sp_soll).otherwise(F.coalesce(F.col("csv_soll"), zero)).cast(S.EXACT)
+    q_ist = F.when(special, F.col("q_hours")).otherwise(F.coalesce(F.col("csv_ist"), zero)).cast(S.EXACT)
     d = d.withColumns({"q_soll": q_soll, "q_ist": q_ist})
     pct = S.pct("q_ist", "q_soll")
     transferable = F.when(
@@ -364,7 +380,7 @@ def quarter_summary(rows_adj: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.col("q_soll") > 0, F.round(pct, 2)).alias("pct"),
         F.col("q_total").alias("q_hours"),
         F.col("q_adj").alias("adj_h"),
-        transferable.cast(S.HOURS).alias("transferable"),
+        transferable.cast(S.EXACT).alias("transferable"),
         F.col("q_from_others").alias("from_others"),
     )
 
@@ -374,5 +390,5 @@ def quarter_totals(totals: DataFrame) -> DataFrame:
     adjustments (``bonus_base``) and with them (``bonus_total``) side by side."""
     cols = ["total_hours", "bonus_base", "special_base", "bonus_total", "special_total", "assigned", "total_bonus"]
     return totals.groupBy("staff_name", "quarter").agg(
-        *[F.sum(c).cast(S.HOURS).alias(c) for c in cols], F.count("*").alias("n_months")
+        *[F.sum(c).cast(S.EXACT).alias(c) for c in cols], F.count("*").alias("n_months")
     )

@@ -227,7 +227,7 @@ def month_rows(spark, sf_dir):
 
 
 def coworkers(spark, sf_dir):
-    return RU.coworkers(_month_rows(spark, sf_dir))
+    return RU.coworkers(_mh(spark, sf_dir))
 
 
 def hour_transfers(spark, sf_dir):
@@ -263,7 +263,7 @@ def _resolved(spark, sf_dir, prepared=None, mh=None):
     recs, edges = BU.budget_scan(prepared=prepared)
     pmap = BU.parent_map_from_edges(edges)
     keys = (mh if mh is not None else _quarter_entries(spark, sf_dir)).select("proj_norm", "ms_norm")
-    return RU.resolve_budget(keys, recs, pmap)
+    return RU.landed_budget(RU.resolve_budget(keys, recs, pmap))
 
 
 def budget_resolve(spark, sf_dir):
@@ -302,6 +302,11 @@ def revenue_by_key(spark, sf_dir):
     )
 
 
+def month_revenue_totals(spark, sf_dir):
+    d = RU.revenue_totals(_revenue(spark, sf_dir), "month")
+    return d.select("staff_name", "quarter", "month", *[F.round(c, 2).alias(c) for c in MONEY])
+
+
 def quarter_milestones(spark, sf_dir):
     return RU.quarter_milestones(BK.month_hours(_quarter_entries(spark, sf_dir)), _plan(spark, sf_dir))
 
@@ -311,12 +316,24 @@ def quarter_summary(spark, sf_dir):
     return RU.quarter_summary(_rows_adj(spark, sf_dir, plan=plan), plan)
 
 
-def quarter_revenue(spark, sf_dir):
+MONEY = ("revenue", "possible", "lost", "revenue_key")
+
+
+def quarter_revenue_totals(spark, sf_dir):
+    d = RU.revenue_totals(_quarter_revenue(spark, sf_dir))
+    return d.select("staff_name", "quarter", *[F.round(c, 2).alias(c) for c in MONEY])
+
+
+def _quarter_revenue(spark, sf_dir):
     prepared, mh = concurrently(lambda: BU.prepare(_lines(spark, sf_dir)), lambda: _mh(spark, sf_dir))
     plan = BU.plan_from_prepared(prepared)
     rows, resolved = concurrently(lambda: _rows_adj(spark, sf_dir, mh, plan),
                                   lambda: _resolved(spark, sf_dir, prepared, mh))
-    d = RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, BR.positions(spark, sf_dir))
+    return RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, BR.positions(spark, sf_dir))
+
+
+def quarter_revenue(spark, sf_dir):
+    d = _quarter_revenue(spark, sf_dir)
     return d.select(
         "staff_name", "quarter", "proj_norm", "ms_norm", "position", "billing",
         F.round("rate", 4).alias("rate"),
@@ -343,6 +360,8 @@ QUERIES.update({
     "quarter_summary": quarter_summary,
     "quarter_totals": quarter_totals,
     "quarter_revenue": quarter_revenue,
+    "month_revenue_totals": month_revenue_totals,
+    "quarter_revenue_totals": quarter_revenue_totals,
 })
 FLAGSHIP = month_rows
 
@@ -357,12 +376,18 @@ FLEX_PERIOD = RP.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 12,
                               exclude_special_projects=True)
 
 
-def _quarter_months(spark, sf_dir):
-    return _quarter_entries(spark, sf_dir).select("month").distinct()
+def cover_months(spark, sf_dir):
+    mh, plan = concurrently(lambda: _mh(spark, sf_dir), lambda: _plan(spark, sf_dir))
+    return RP.cover_months(RU.month_totals(_rows_adj(spark, sf_dir, mh, plan)), mh.select("month").distinct())
 
 
-def cover_months(spark, sf_dir):
-    return RP.cover_months(_totals(spark, sf_dir), _quarter_months(spark, sf_dir))
+def month_rows_one_employee(spark, sf_dir):
+    """A report for one employee has the numbers over all staff."""
+    cfg = RP.ReportConfig("quarterly", Q_START, date(1998, 9, 30), "monthly", employees=EMPLOYEES[:1])
+    d = RP.generate(cfg, _entries(spark, sf_dir), _lines(spark, sf_dir), BR.adjustments(spark, sf_dir, QUARTER),
+                    BR.positions(spark, sf_dir))["month_rows"]
+    return d.select("staff_name", "month", "proj_norm", "ms_norm", "hours", "soll", "ist", "pct", "eligible", "from_others",
+                    F.round("revenue", 2).alias("revenue"), F.round("revenue_key", 2).alias("revenue_key"))
 
 
 def cover_quarter(spark, sf_dir):
@@ -375,7 +400,11 @@ def quarter_employees(spark, sf_dir):
 
 def _flex(spark, sf_dir, cfg):
     e = RP.filtered_entries(_entries(spark, sf_dir), cfg)
-    return RP.flex_rows(e, _plan(spark, sf_dir), cfg)
+    prepared = BU.prepare(_lines(spark, sf_dir))
+    records, edges = BU.budget_scan(prepared=prepared)
+    pmap = BU.parent_map_from_edges(edges)
+    return RU.landed_rows(RP.flex_rows(e, BU.plan_from_prepared(prepared), cfg, BR.adjustments(spark, sf_dir, QUARTER),
+                                       lambda keys: RU.resolve_budget(keys, records, pmap)))
 
 
 def flex_rows(spark, sf_dir):
@@ -397,6 +426,7 @@ def flex_summary(spark, sf_dir):
 QUERIES.update({
     "cover_months": cover_months,
     "cover_quarter": cover_quarter,
+    "month_rows_one_employee": month_rows_one_employee,
     "quarter_employees": quarter_employees,
     "flex_rows": flex_rows,
     "flex_period_rows": flex_period_rows,
@@ -421,7 +451,11 @@ def _lineitem(spark, sf_dir):
 def de_number_parse(spark, sf_dir):
     li = _lineitem(spark, sf_dir)
     german = F.translate(F.format_number(F.col("l_extendedprice").cast(S.HOURS), 2), ",.", ".,")
-    text = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("x"), F.col("l_orderkey").cast("string"))).otherwise(german)
+    key = F.col("l_orderkey").cast("string")
+    text = (F.when(F.col("l_linenumber") == 7, F.concat(F.lit("x"), key))
+            .when(F.col("l_linenumber") == 6, F.concat(key, F.lit(",125")))  # three decimals
+            .when(F.col("l_linenumber") == 5, F.concat(F.lit("9" * 23), key))  # too long for a number
+            .otherwise(german))
     return li.select("l_orderkey", "l_linenumber", text.alias("text")).withColumn("value", S.de_number("text"))
 
 
@@ -527,3 +561,45 @@ QUERIES.update({
     "month_label": month_label,
 })
 FLAGSHIP = month_rows
+
+
+from ..sources import files as FI  # noqa: E402
+
+
+def xml_entries(spark, sf_dir):
+    """The bookings as row texts, parsed again; hours as thirds, too
+    many digits, a German comma and an exponent, purposes with CDATA and entities."""
+    e = BR.table(spark, sf_dir, "lineitem")
+    configure(spark)
+    supp = BR.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    ln = F.col("l_linenumber")
+    quarter_hours = (F.col("l_quantity") * F.lit(0.25)).cast(S.HOURS).cast("string")
+    number = (F.when(ln == 1, F.lit("0.3333333")).when(ln == 2, F.lit("0.125")).when(ln == 3, F.lit("8,00"))
+              .when((ln == 7) & (F.col("l_orderkey") % 100 == 0), F.lit("1e20")).when(ln == 6, F.lit(" 1e0 ")).otherwise(quarter_hours))
+    purpose = (F.when(ln == 4, F.lit("<![CDATA[a <row> & </row> b]]>")).when(ln == 5, F.lit("x &ndash; y &shy;"))
+               .otherwise(F.lit("&lt;plain&gt;")))
+    cell = lambda name, v: F.concat(F.lit(f'<cell name="{name}" type="text">'), v, F.lit("</cell>\n"))
+    d = F.col("l_shipdate").cast("date")
+    date_text = F.concat(F.date_format(d, "EEE, dd "), F.element_at(F.array(*[F.lit(t) for t in S.K.ENGLISH_MONTH_TOKENS]), F.month(d)),
+                         F.date_format(d, " yyyy"), F.lit(" 00:00:00 +0200"))
+    body = F.concat(cell("purpose", purpose), cell("staff_name", F.col("s_name")), cell("work_package_name", F.lit("• 1.1 Paket")),
+                    cell("date", date_text), cell("number", number), cell("project", F.lit(" 1234.01 Beispiel ")))
+    document = F.concat(F.lit("<!DOCTYPE x [<!ENTITY ndash '&#8211;'>]><data>"), body, F.lit("</data>"))
+    rows = e.join(supp, e.l_suppkey == supp.s_suppkey).select(
+        F.lit("lineitem").alias("source_file"), FI.declared_entities(document).alias("declared"), FI._plain_cdata(body).alias("body"))
+    parsed = FI.parse_rows(rows)
+    return parsed.groupBy("staff_name", "quarter", "proj_norm", "ms_norm").agg(
+        F.sum("hours").cast(S.EXACT).alias("hours"), F.count("*").alias("n_entries"), F.min("purpose").alias("first_purpose"),
+        F.max("purpose").alias("last_purpose"))
+
+
+QUERIES["xml_entries"] = xml_entries
+
+
+def _output(query):
+    return lambda spark, sf_dir: S.rounded(query(spark, sf_dir))
+
+
+# hours and money are exact inside and rounded here
+QUERIES = {name: _output(query) for name, query in QUERIES.items()}
+FLAGSHIP = QUERIES["month_rows"]

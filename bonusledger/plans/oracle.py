@@ -176,7 +176,7 @@ _TYPES_VALUES = ", ".join(f"({_lit(t)}, {i + 2})" for i, t in enumerate(B.PART_T
 
 def de_sql(x: str) -> str:
     s = f"replace(replace(trim({x}), '.', ''), ',', '.')"
-    return f"(CASE WHEN regexp_full_match({s}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST({s} AS DECIMAL(18,2)) END)"
+    return f"(CASE WHEN regexp_full_match({s}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST({s} AS DECIMAL(30,8)) END)"
 
 
 BUDGET_LINES = f"""
@@ -207,9 +207,16 @@ raw_lines AS (
   FROM brands CROSS JOIN (VALUES (8, '''   SV', '900,00'), (9, '''   CAD', '700,00'), (10, '''   ADM', '500,00')) r(k, pk, bt)
   UNION ALL
   SELECT n, 11, NULL, NULL, 'NAT 01 Zusatz', '8,00', NULL, '400,00', NULL, NULL, NULL FROM brands WHERE n % 5 = 0
+  UNION ALL
+  SELECT n, k, NULL, NULL, '• 2.' || CAST(k AS VARCHAR) || ' Position', '0,125', NULL, NULL, NULL, NULL, NULL
+  FROM brands CROSS JOIN (SELECT unnest(range(20, 200)) AS k) WHERE n % 7 = 0
+  UNION ALL
+  SELECT n, 200, NULL, NULL, '''   SV', '4,00', NULL, '380,00', NULL, NULL, NULL FROM brands WHERE n % 7 = 0
+  UNION ALL
+  SELECT n, 201, NULL, NULL, 'NAT 02 Zusatz', '2,00', NULL, '150,00', NULL, NULL, NULL FROM brands WHERE n % 7 = 0
 ),
 budget_lines AS (
-  SELECT 'bridge/budget.csv' AS file_path, CAST(n * 100 + k AS BIGINT) AS row_no, projekte, flag, package,
+  SELECT 'bridge/budget.csv' AS file_path, CAST(n * 65526 + k AS BIGINT) AS row_no, projekte, flag, package,
          soll_txt, ist_txt, budget_txt, sollhonorar_txt, billed_txt, cost_txt
   FROM raw_lines
 ),
@@ -246,7 +253,7 @@ bl4 AS (
 ),
 lines AS (
   SELECT *, CASE WHEN parent_raw <> chr(0) THEN parent_raw END AS parent_run,
-         (NOT is_top AND NOT dash_empty AND x_pos IS NOT NULL AND pos - x_pos <= 79) AS in_section,
+         (NOT is_top AND NOT dash_empty AND x_pos IS NOT NULL) AS in_section,
          (contains(pkg, '''   SV') OR contains(pkg, '''   S V')) AS m_sv,
          (contains(pkg, '''   CAD') OR contains(pkg, '''   C A D')) AS m_cad,
          (contains(pkg, '''   ADM') OR contains(pkg, '''   A D M')) AS m_adm
@@ -264,16 +271,16 @@ top AS (
 ),
 sec AS (
   SELECT file_path, x_pos,
-         sum(CASE WHEN soll > 0 THEN soll END) AS sub_soll,
+         sum(CASE WHEN soll > 0 THEN soll END) AS sub_soll, max(pos) AS last_pos,
          arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE m_sv AND soll > 0) AS rate_sv,
          arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE NOT m_sv AND m_cad AND soll > 0) AS rate_cad,
          arg_max(CAST(budget AS DOUBLE) / CAST(soll AS DOUBLE), pos) FILTER (WHERE NOT m_sv AND NOT m_cad AND m_adm AND soll > 0) AS rate_adm
   FROM lines WHERE in_section GROUP BY file_path, x_pos
 ),
 main_rec AS (
-  SELECT t.file_path, t.x_pos, 1 AS kind, t.x_pos AS pos, project, project_code, top_milestone, top_norm, billing,
+  SELECT t.file_path, 1 AS kind, 2 * coalesce(s.last_pos, t.x_pos) + 1 AS emit_ord, project, project_code, top_milestone, top_norm, billing,
          total_budget, billed, cost,
-         CAST(CASE WHEN sub_soll > 0 THEN sub_soll ELSE own_soll END AS DECIMAL(18,2)) AS target_hours, actual_hours,
+         CAST(CASE WHEN sub_soll > 0 THEN sub_soll ELSE own_soll END AS DECIMAL(30,8)) AS target_hours, actual_hours,
          coalesce(rate_sv, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_sv,
          coalesce(rate_cad, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_cad,
          coalesce(rate_adm, CASE WHEN billing = 'Pauschale' AND own_soll > 0 THEN CAST(total_budget AS DOUBLE) / CAST(own_soll AS DOUBLE) END) AS rate_adm
@@ -290,9 +297,9 @@ supp0 AS (
   WHERE l.in_section AND regexp_matches(lower(l.pkg), 'nat|nachtrag')
 ),
 supp_rec AS (
-  SELECT s.file_path, s.x_pos, 0 AS kind, s.pos, t.project, t.project_code, s.top_milestone, s.top_norm,
+  SELECT s.file_path, 0 AS kind, 2 * s.pos AS emit_ord, t.project, t.project_code, s.top_milestone, s.top_norm,
          CASE WHEN s.own_billing = 'Unbekannt' THEN t.billing ELSE s.own_billing END AS billing,
-         s.fee AS total_budget, s.billed, s.cost, CAST(s.soll AS DECIMAL(18,2)) AS target_hours, s.ist AS actual_hours,
+         s.fee AS total_budget, s.billed, s.cost, CAST(s.soll AS DECIMAL(30,8)) AS target_hours, s.ist AS actual_hours,
          CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_sv,
          CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_cad,
          CASE WHEN s.soll > 0 THEN CAST(s.fee AS DOUBLE) / CAST(s.soll AS DOUBLE) END AS rate_adm
@@ -300,8 +307,7 @@ supp_rec AS (
   WHERE s.fee IS NOT NULL
 ),
 cand AS (
-  SELECT *, x_pos * 128 + CASE WHEN kind = 1 THEN 127 ELSE pos - x_pos END AS emit_ord
-  FROM (SELECT * FROM main_rec UNION ALL SELECT * FROM supp_rec)
+  SELECT * FROM main_rec UNION ALL SELECT * FROM supp_rec
 ),
 kept AS (
   SELECT * FROM (
@@ -310,9 +316,9 @@ kept AS (
 ),
 records AS (
   SELECT file_path, project, project_code, top_milestone, top_norm, billing,
-         CAST(total_budget AS DECIMAL(18,2)) AS total_budget, CAST(billed AS DECIMAL(18,2)) AS billed,
-         CAST(cost AS DECIMAL(18,2)) AS cost, CAST(target_hours AS DECIMAL(18,2)) AS target_hours,
-         CAST(actual_hours AS DECIMAL(18,2)) AS actual_hours, rate_sv, rate_cad, rate_adm,
+         CAST(total_budget AS DECIMAL(30,8)) AS total_budget, CAST(billed AS DECIMAL(30,8)) AS billed,
+         CAST(cost AS DECIMAL(30,8)) AS cost, CAST(target_hours AS DECIMAL(30,8)) AS target_hours,
+         CAST(actual_hours AS DECIMAL(30,8)) AS actual_hours, rate_sv, rate_cad, rate_adm,
          project || '||' || top_norm AS lookup_key,
          CAST(row_number() OVER (PARTITION BY file_path ORDER BY emit_ord) AS INTEGER) AS lookup_id, kind
   FROM kept
@@ -331,13 +337,13 @@ pmap AS (
 ),
 plan AS (
   SELECT projekt AS proj_norm, ms AS ms_norm,
-         CAST(coalesce(sum(soll), 0) AS DECIMAL(18,2)) AS soll, CAST(coalesce(sum(ist), 0) AS DECIMAL(18,2)) AS ist
+         CAST(coalesce(sum(soll), 0) AS DECIMAL(30,8)) AS soll, CAST(coalesce(sum(ist), 0) AS DECIMAL(30,8)) AS ist
   FROM lines WHERE package IS NOT NULL AND pkg <> '-' AND pkg <> '' AND proj_filled IS NOT NULL
   GROUP BY projekt, ms
 )"""
 
 SQL["plan_actual"] = with_(BUDGET_LINES) + """
-SELECT proj_norm, ms_norm, soll, ist,
+SELECT proj_norm, ms_norm, CAST(soll AS DECIMAL(18,2)) AS soll, CAST(ist AS DECIMAL(18,2)) AS ist,
        round(CASE WHEN soll > 0 THEN CAST(ist AS DOUBLE) / CAST(soll AS DOUBLE) * 100.0
                   WHEN ist > 0 THEN 999.0 ELSE 0.0 END, 2) AS pct
 FROM plan"""
@@ -349,30 +355,30 @@ SQL["parent_map"] = with_(BUDGET_LINES) + """
 SELECT project_key, ms_norm, parents, CAST(len(parents) AS INTEGER) AS n_parents FROM pmap"""
 
 SQL["section_target_hours"] = with_(BUDGET_LINES) + """
-SELECT project, top_norm, lookup_id, target_hours, actual_hours FROM records"""
+SELECT project, top_norm, lookup_id, CAST(target_hours AS DECIMAL(18,2)) AS target_hours, CAST(actual_hours AS DECIMAL(18,2)) AS actual_hours FROM records"""
 
 SQL["section_rates"] = with_(BUDGET_LINES) + """
 SELECT project, top_norm, billing, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad,
        round(rate_adm, 4) AS rate_adm FROM records"""
 
 SQL["nachtrag_records"] = with_(BUDGET_LINES) + """
-SELECT project, project_code, top_milestone, top_norm, billing, total_budget, target_hours,
+SELECT project, project_code, top_milestone, top_norm, billing, CAST(total_budget AS DECIMAL(18,2)) AS total_budget, CAST(target_hours AS DECIMAL(18,2)) AS target_hours,
        round(rate_sv, 4) AS rate_sv, lookup_id
 FROM records WHERE regexp_matches(lower(top_milestone), 'nat|nachtrag')"""
 
 SQL["budget_records"] = with_(BUDGET_LINES) + """
-SELECT project, project_code, top_milestone, top_norm, billing, total_budget, billed, cost, target_hours,
-       actual_hours, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad, round(rate_adm, 4) AS rate_adm,
+SELECT project, project_code, top_milestone, top_norm, billing, CAST(total_budget AS DECIMAL(18,2)) AS total_budget, CAST(billed AS DECIMAL(18,2)) AS billed, CAST(cost AS DECIMAL(18,2)) AS cost, CAST(target_hours AS DECIMAL(18,2)) AS target_hours,
+       CAST(actual_hours AS DECIMAL(18,2)) AS actual_hours, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad, round(rate_adm, 4) AS rate_adm,
        lookup_key, lookup_id
 FROM records"""
 
 SQL["budget_overview"] = with_(BUDGET_LINES) + """
 SELECT project, top_milestone, billing,
-       CASE WHEN target_hours > 0 THEN target_hours END AS target_hours,
+       CAST(CASE WHEN target_hours > 0 THEN target_hours END AS DECIMAL(18,2)) AS target_hours,
        CASE WHEN billing <> 'Unbekannt' AND (coalesce(rate_sv > 0, false) OR coalesce(rate_cad > 0, false) OR coalesce(rate_adm > 0, false))
             THEN '✓ Vollständig' ELSE '⚠ Manual erforderlich' END AS status,
-       CASE WHEN total_budget > 0 THEN total_budget END AS total_budget,
-       CASE WHEN billed > 0 THEN billed ELSE CAST(0 AS DECIMAL(18,2)) END AS billed,
+       CAST(CASE WHEN total_budget > 0 THEN total_budget END AS DECIMAL(18,2)) AS total_budget,
+       CAST(CASE WHEN billed > 0 THEN billed ELSE 0 END AS DECIMAL(18,2)) AS billed,
        CAST(coalesce(total_budget, 0) - coalesce(billed, 0) AS DECIMAL(18,2)) AS available,
        round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad, round(rate_adm, 4) AS rate_adm,
        concat_ws('; ', CASE WHEN billing = 'Unbekannt' THEN 'Abrechnungsart wählen' END,
@@ -447,7 +453,7 @@ mrows AS (
   FROM mr
 )"""
 
-ADJUST = """
+ADJ = """
 firsts AS (SELECT proj_norm, ms_norm, month, min(staff_name) AS first FROM mh GROUP BY proj_norm, ms_norm, month),
 seconds AS (
   SELECT m.proj_norm, m.ms_norm, m.month, min(m.staff_name) AS second
@@ -461,7 +467,9 @@ adjustments AS (
        JOIN firsts f ON f.proj_norm = g.proj_norm AND f.ms_norm = g.ms_norm AND f.month = g.month
        LEFT JOIN seconds s ON s.proj_norm = g.proj_norm AND s.ms_norm = g.ms_norm AND s.month = g.month
   WHERE sp.s_suppkey % 3 = 0
-),
+)"""
+
+ADJUST = ADJ + """,
 ra0 AS (
   SELECT r.*, a.adj_h, a.assign_to,
          CAST(CASE WHEN a.adj_h < 0 THEN greatest(CAST(0 AS DECIMAL(18,2)), least(r.hours, -a.adj_h)) ELSE 0 END AS DECIMAL(18,2)) AS transferable
@@ -596,7 +604,7 @@ res AS (
                          ELSE rf.target_hours END) <> 0
               THEN (CASE WHEN r.res_id IS NOT NULL THEN r3.target_hours WHEN r.primary_id IS NOT NULL THEN rp.target_hours
                          ELSE rf.target_hours END) END AS target_hours_q,
-         CASE WHEN r3.cost <> 0 THEN r3.cost END AS cost_s
+         CASE WHEN r3.cost <> 0 THEN r3.cost END AS cost_s, coalesce(r3.billing, 'Unbekannt') AS billing_j3
   FROM res0 r LEFT JOIN records b ON b.lookup_id = r.lookup_id
        LEFT JOIN records r3 ON r3.lookup_id = r.res_id
        LEFT JOIN records rp ON rp.lookup_id = r.primary_id
@@ -604,11 +612,11 @@ res AS (
 )"""
 
 SQL["budget_resolve"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, RESOLVE) + """
-SELECT proj_norm, ms_norm, res_id, target_hours_q, cost_s FROM res"""
+SELECT proj_norm, ms_norm, res_id, CAST(target_hours_q AS DECIMAL(18,2)) AS target_hours_q, CAST(cost_s AS DECIMAL(18,2)) AS cost_s FROM res"""
 
 SQL["lookup_id_resolve"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, RESOLVE) + """
 SELECT proj_norm, ms_norm, lookup_id, billing, round(rate_sv, 4) AS rate_sv, round(rate_cad, 4) AS rate_cad,
-       round(rate_adm, 4) AS rate_adm, budget_total FROM res"""
+       round(rate_adm, 4) AS rate_adm, CAST(budget_total AS DECIMAL(18,2)) AS budget_total FROM res"""
 
 _POSITIONS_SQL = "[" + ", ".join(_lit(p) for p in K.POSITIONS) + "]"
 
@@ -659,6 +667,16 @@ SELECT proj_norm, ms_norm, month, round(sum(revenue), 2) AS revenue, round(sum(p
        count(*) AS n_rows
 FROM rv GROUP BY proj_norm, ms_norm, month"""
 
+SQL["month_revenue_totals"] = _REV + """
+SELECT staff_name, quarter, month, round(sum(revenue), 2) AS revenue, round(sum(possible), 2) AS possible,
+       round(sum(lost), 2) AS lost, round(sum(revenue_key), 2) AS revenue_key
+FROM rv GROUP BY staff_name, quarter, month"""
+
+SQL["month_rows_one_employee"] = _REV + """
+SELECT staff_name, month, proj_norm, ms_norm, hours, soll, ist, pct, eligible, from_others, round(revenue, 2) AS revenue,
+       round(revenue_key, 2) AS revenue_key
+FROM rv WHERE staff_name = 'Supplier#000000001'"""
+
 SQL["quarter_milestones"] = with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE) + f"""
 , qh AS (
   SELECT staff_name, quarter, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
@@ -742,7 +760,7 @@ FLEX_START, FLEX_END = "DATE '1998-07-01'", "DATE '1998-12-31'"
 
 
 def _flex_sql(block_cols: str, extra_where: str = "", extra_cte: str = "", join: str = "") -> str:
-    return with_(BOOKINGS, BUDGET_LINES) + f"""
+    return with_(BOOKINGS, BUDGET_LINES, MONTH_ROWS_BASE, ADJ, RESOLVE.replace("FROM mh)", "FROM entries)")) + f"""
 , fe0 AS (
   SELECT e.*, {block_cols} FROM entries e {join}
   WHERE e.booked_on BETWEEN {FLEX_START} AND {FLEX_END} {extra_where}
@@ -755,14 +773,24 @@ qh AS (
   SELECT staff_name, proj_norm, ms_norm, quarter AS block_quarter, CAST(sum(hours) AS DECIMAL(18,2)) AS quarter_hours
   FROM fe0 GROUP BY staff_name, proj_norm, ms_norm, quarter
 ),
+fadj AS (
+  SELECT a.staff_name, a.proj_norm, a.ms_norm, l.block_start, sum(a.adj_h) AS adj_h
+  FROM adjustments a JOIN (SELECT staff_name, proj_norm, ms_norm, month, max(block_start) AS block_start FROM fe0
+                           GROUP BY staff_name, proj_norm, ms_norm, month) l
+    ON l.staff_name = a.staff_name AND l.proj_norm = a.proj_norm AND l.ms_norm = a.ms_norm AND l.month = a.month
+  GROUP BY a.staff_name, a.proj_norm, a.ms_norm, l.block_start
+),
 fx0 AS (
-  SELECT b.*, p.soll AS csv_soll, p.ist AS csv_ist, q.quarter_hours,
+  SELECT b.*, CAST(fa.adj_h AS DECIMAL(18,2)) AS adj_h, fr.billing_j3 AS billing, p.soll AS csv_soll, p.ist AS csv_ist, q.quarter_hours,
          coalesce(starts_with(lower(trim(b.proj_norm)), '0000'), false) AS is_special,
          CAST({_dict_case('b.ms_norm', K.MONTHLY_BUDGETS)} AS DOUBLE) AS mdict,
          CAST({_dict_case('b.ms_norm', K.QUARTERLY_BUDGETS)} AS DOUBLE) AS qdict
   FROM bh b LEFT JOIN plan p ON p.proj_norm = b.proj_norm AND p.ms_norm = b.ms_norm
        LEFT JOIN qh q ON q.staff_name = b.staff_name AND q.proj_norm = b.proj_norm AND q.ms_norm = b.ms_norm
                       AND q.block_quarter = CAST(date_trunc('quarter', b.block_start) AS DATE)
+       LEFT JOIN fadj fa ON fa.staff_name = b.staff_name AND fa.proj_norm = b.proj_norm AND fa.ms_norm = b.ms_norm
+                         AND fa.block_start = b.block_start
+       LEFT JOIN res fr ON fr.proj_norm = b.proj_norm AND fr.ms_norm = b.ms_norm
 ),
 fx1 AS (
   SELECT *,
@@ -780,14 +808,19 @@ frows AS (
          CASE WHEN soll_d > 0 THEN round(soll_d, 2) END AS soll,
          CASE WHEN ist_d > 0 THEN round(ist_d, 2) END AS ist,
          CASE WHEN soll_d > 0 THEN round(ist_d / soll_d * 100.0, 2) END AS pct,
-         (CASE WHEN soll_d > 0 THEN ist_d / soll_d * 100.0 ELSE 0.0 END) <= 100.0 AS eligible
+         (CASE WHEN soll_d > 0 THEN ist_d / soll_d * 100.0 ELSE 0.0 END) <= 100.0 AS eligible, billing, adj_h
   FROM fx1
 ),
 ftot AS (
+  SELECT *, CAST(bonus_base + adj_regular AS DECIMAL(18,2)) AS bonus_total,
+         CAST(special_base + adj_special AS DECIMAL(18,2)) AS special_total
+  FROM (
   SELECT staff_name, block_name, block_start, block_end, CAST(sum(hours) AS DECIMAL(18,2)) AS total_hours,
          CAST(coalesce(sum(CASE WHEN eligible AND NOT is_special THEN hours END), 0) AS DECIMAL(18,2)) AS bonus_base,
-         CAST(coalesce(sum(CASE WHEN eligible AND is_special THEN hours END), 0) AS DECIMAL(18,2)) AS special_base
-  FROM frows GROUP BY staff_name, block_name, block_start, block_end
+         CAST(coalesce(sum(CASE WHEN eligible AND is_special THEN hours END), 0) AS DECIMAL(18,2)) AS special_base,
+         CAST(coalesce(sum(CASE WHEN NOT is_special THEN adj_h END), 0) AS DECIMAL(18,2)) AS adj_regular,
+         CAST(coalesce(sum(CASE WHEN is_special THEN adj_h END), 0) AS DECIMAL(18,2)) AS adj_special
+  FROM frows GROUP BY staff_name, block_name, block_start, block_end)
 )"""
 
 
@@ -807,7 +840,9 @@ SQL["flex_period_rows"] = _flex_sql(
 SQL["flex_block_totals"] = _flex_sql(_WEEK_BLOCK, join=_WEEK_JOIN) + "SELECT * FROM ftot"
 SQL["flex_summary"] = _flex_sql(_MONTH_BLOCK) + """
 SELECT block_name, CAST(sum(total_hours) AS DECIMAL(18,2)) AS total_hours,
-       CAST(sum(bonus_base) AS DECIMAL(18,2)) AS bonus_base, CAST(sum(special_base) AS DECIMAL(18,2)) AS special_base
+       CAST(sum(bonus_base) AS DECIMAL(18,2)) AS bonus_base, CAST(sum(special_base) AS DECIMAL(18,2)) AS special_base,
+       CAST(sum(adj_regular) AS DECIMAL(18,2)) AS adj_regular, CAST(sum(adj_special) AS DECIMAL(18,2)) AS adj_special,
+       CAST(sum(bonus_total) AS DECIMAL(18,2)) AS bonus_total, CAST(sum(special_total) AS DECIMAL(18,2)) AS special_total
 FROM ftot GROUP BY ROLLUP (block_name)"""
 
 
@@ -817,9 +852,26 @@ SQL["de_number_parse"] = f"""
 WITH t AS (
   SELECT l_orderkey, l_linenumber,
          CASE WHEN l_linenumber = 7 THEN 'x' || CAST(l_orderkey AS VARCHAR)
+              WHEN l_linenumber = 6 THEN CAST(l_orderkey AS VARCHAR) || ',125'
+              WHEN l_linenumber = 5 THEN '99999999999999999999999' || CAST(l_orderkey AS VARCHAR)
               ELSE translate(format('{{:,.2f}}', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,') END AS text
   FROM lineitem)
-SELECT l_orderkey, l_linenumber, text, {de_sql('text')} AS value FROM t"""
+SELECT l_orderkey, l_linenumber, text, TRY_CAST({de_sql('text')} AS DECIMAL(18,2)) AS value FROM t"""
+
+SQL["xml_entries"] = """
+WITH t AS (
+  SELECT s.s_name AS staff_name, CAST(date_trunc('quarter', CAST(l_shipdate AS DATE)) AS DATE) AS quarter,
+         CASE WHEN l_linenumber = 1 THEN CAST(0.3333333 AS DECIMAL(30,8)) WHEN l_linenumber = 2 THEN CAST(0.125 AS DECIMAL(30,8))
+              WHEN l_linenumber = 3 THEN CAST(0 AS DECIMAL(30,8))
+              WHEN l_linenumber = 7 AND l_orderkey % 100 = 0 THEN CAST('100000000000000000000' AS DECIMAL(30,8))
+              WHEN l_linenumber = 6 THEN CAST(1 AS DECIMAL(30,8))
+              ELSE CAST(CAST(l_quantity * 0.25 AS DECIMAL(18,2)) AS DECIMAL(30,8)) END AS hours,
+         CASE l_linenumber WHEN 4 THEN 'a <row> & </row> b' WHEN 5 THEN 'x – y ' || chr(173) ELSE '<plain>' END AS purpose
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey)
+SELECT staff_name, quarter, '1234.01 Beispiel' AS proj_norm, '1.1 Paket' AS ms_norm,
+       TRY_CAST(sum(hours) AS DECIMAL(18,2)) AS hours, count(*) AS n_entries, min(purpose) AS first_purpose,
+       max(purpose) AS last_purpose
+FROM t GROUP BY staff_name, quarter"""
 
 _PREFIXES_SQL = "['• ', '● ', '- ', ' -• ']"
 
@@ -980,3 +1032,11 @@ SELECT q.staff_name, q.quarter, q.proj_norm, q.ms_norm, q.position, q.billing, r
        round(k.revenue_key, 2) AS revenue_key
 FROM qv2 q JOIN (SELECT proj_norm, ms_norm, quarter, sum(revenue) AS revenue_key FROM qv2 GROUP BY 1, 2, 3) k
   ON k.proj_norm = q.proj_norm AND k.ms_norm = q.ms_norm AND k.quarter = q.quarter"""
+
+SQL["quarter_revenue_totals"] = _REV + ", " + _QS.strip() + """
+SELECT q.staff_name, q.quarter, round(sum(q.revenue), 2) AS revenue, round(sum(q.possible), 2) AS possible,
+       round(sum(q.possible - q.revenue), 2) AS lost, round(sum(k.revenue_key), 2) AS revenue_key
+FROM qv2 q JOIN (SELECT proj_norm, ms_norm, quarter, sum(revenue) AS revenue_key FROM qv2 GROUP BY 1, 2, 3) k
+  ON k.proj_norm = q.proj_norm AND k.ms_norm = q.ms_norm AND k.quarter = q.quarter
+GROUP BY q.staff_name, q.quarter"""
+

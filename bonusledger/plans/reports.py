@@ -21,6 +21,8 @@ from ..session import concurrently
 
 REPORT_TYPES = ("quarterly", "custom_period", "monthly", "yearly", "project", "employee")
 GROUPINGS = ("month", "period", "week", "none")
+# The names the API has for them.
+GROUPING_ALIASES = {"monthly": "month", "weekly": "week"}
 
 
 @dataclass
@@ -43,6 +45,7 @@ class ReportConfig:
     def __post_init__(self):
         if self.report_type not in REPORT_TYPES:
             raise ValueError(f"unknown report type {self.report_type!r}")
+        self.time_grouping = GROUPING_ALIASES.get(self.time_grouping, self.time_grouping)
         if self.time_grouping not in GROUPINGS:
             raise ValueError(f"unknown time grouping {self.time_grouping!r}")
         # filter lists may come as comma-separated text
@@ -81,11 +84,13 @@ def report_name(cfg: ReportConfig | None = None, quarter: date | None = None, pr
     return f"{prefix}_{name}" if prefix else name
 
 
-def filtered_entries(entries: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """P5-P8 in the reference's order."""
+def filtered_entries(entries: DataFrame, cfg: ReportConfig, by_employee: bool = True) -> DataFrame:
+    """P5-P8 in the reference's order; without P7 where numbers over all staff
+    follow (D20)."""
     e = BK.in_range(entries, cfg.start_date, cfg.end_date)
     e = BK.projects_matching(e, cfg.projects)
-    e = BK.employees_matching(e, cfg.employees)
+    if by_employee:
+        e = BK.employees_matching(e, cfg.employees)
     if cfg.exclude_special_projects:
         e = BK.exclude_special(e)
     return e
@@ -101,10 +106,10 @@ def cover_months(totals: DataFrame, months: DataFrame) -> DataFrame:
         F.sum("bonus_total").alias("bonus_total"),
         F.sum("special_total").alias("special_total"),
     )
-    zero = F.lit(0).cast(S.HOURS)
+    zero = F.lit(0).cast(S.EXACT)
     return months.join(g, "month", "left").select(
         "month", S.month_label("month").alias("month_label"),
-        *[F.coalesce(F.col(c), zero).cast(S.HOURS).alias(c) for c in ("total_hours", "bonus_total", "special_total")],
+        *[F.coalesce(F.col(c), zero).cast(S.EXACT).alias(c) for c in ("total_hours", "bonus_total", "special_total")],
     )
 
 
@@ -112,9 +117,9 @@ def cover_quarter(qtotals: DataFrame) -> DataFrame:
     """Quarter totals over all employees (one row per quarter) and their
     number; the employee list itself is ``quarter_employees``."""
     return qtotals.groupBy("quarter").agg(
-        F.sum("total_hours").cast(S.HOURS).alias("total_hours"),
-        F.sum("bonus_total").cast(S.HOURS).alias("bonus_total"),
-        F.sum("special_total").cast(S.HOURS).alias("special_total"),
+        F.sum("total_hours").cast(S.EXACT).alias("total_hours"),
+        F.sum("bonus_total").cast(S.EXACT).alias("bonus_total"),
+        F.sum("special_total").cast(S.EXACT).alias("special_total"),
         F.countDistinct("staff_name").alias("n_employees"),
     )
 
@@ -125,10 +130,15 @@ def quarter_employees(entries_q: DataFrame) -> DataFrame:
 
 
 def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFrame, positions: DataFrame,
-                    months: DataFrame, include_budget_overview: bool = True) -> dict[str, DataFrame]:
+                    months: DataFrame | None, include_budget_overview: bool = True,
+                    employees: list[str] | None = None) -> dict[str, DataFrame]:
     """The quarterly report: month rows with revenue (K1), month totals and the
-    hand-over table (B12), quarter milestones, quarter summary and totals, cover
-    (C1, C2), budget overview (K3)."""
+    hand-over table (B12), revenue totals (A6), quarter milestones, quarter summary
+    and totals, cover (C1, C2), budget overview (K3).
+
+    Future hours, transfers and the revenue per key count all staff; the employees
+    asked for are picked from the finished rows (D20).  Without ``months`` the
+    cover has the months of the landed hours."""
     # the budget export and the bookings are independent: land both at once
     prepared, mh = concurrently(lambda: BU.prepare(lines), lambda: BK.landed_month_hours(entries_q))
     plan = BU.plan_from_prepared(prepared)
@@ -137,43 +147,59 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
         lambda: BU.budget_scan(prepared=prepared),
     )
     pmap = BU.parent_map_from_edges(edges)
-    resolved = RU.resolve_budget(mh.select(*RU.KEY), records, pmap)
-    detail = RU.revenue_rows(rows, resolved, positions)
-    totals = RU.month_totals(rows)
+    resolved = RU.landed_budget(RU.resolve_budget(mh.select(*RU.KEY), records, pmap))
+    own = lambda d: BK.employees_matching(d, employees or [])
+    detail = own(RU.revenue_rows(rows, resolved, positions))
+    totals = RU.month_totals(own(rows))
     qtotals = RU.quarter_totals(totals)
-    qsummary = RU.quarter_summary(rows, plan)
+    qsummary = own(RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, positions))
     out = {
         "month_rows": detail,
         "month_totals": totals,
-        "quarter_milestones": RU.quarter_milestones(mh, plan),
-        "quarter_summary": RU.quarter_revenue(qsummary, resolved, positions),
+        "month_revenue_totals": RU.revenue_totals(detail, "month"),
+        "quarter_milestones": RU.quarter_milestones(own(mh), plan),
+        "quarter_summary": qsummary,
+        "quarter_revenue_totals": RU.revenue_totals(qsummary),
         "quarter_totals": qtotals,
-        "cover_months": cover_months(totals, months),
+        "cover_months": cover_months(totals, mh.select("month").distinct() if months is None else months),
         "cover_quarter": cover_quarter(qtotals),
-        "employees": quarter_employees(entries_q),
+        "employees": quarter_employees(own(mh)),
     }
     if include_budget_overview:
         out["budget_overview"] = BU.budget_overview(records)
-    return out
+    return {name: S.rounded(d) for name, d in out.items()}
 
 
 # ------------------------------------------------------------ flexible
 
-def flex_rows(entries_f: DataFrame, plan: DataFrame, cfg: ReportConfig) -> DataFrame:
+def flex_rows(entries_f: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
+              resolved) -> DataFrame:
     """B18 / B19 per (employee, block, key): prorated monthly budgets and whole-
     quarter hours for the shared special milestones, plan values otherwise (no
-    roll-back, no name extraction)."""
-    e = BK.assign_blocks(entries_f, cfg.time_grouping, cfg.start_date, cfg.end_date)
+    roll-back, no name extraction), billing type by J3 (D14) and the user's
+    adjustment.  ``resolved`` makes the budget resolution of given keys.
+
+    The entries are added up per employee, day and key once; blocks, weeks and
+    quarters are rolled up from that.  An adjustment of a month stands in the last
+    block in which the employee booked on the key in that month."""
+    daily = BK.landed_day_hours(entries_f)
+    e = BK.assign_blocks(daily, cfg.time_grouping, cfg.start_date, cfg.end_date)
     if cfg.exclude_special_projects:  # P9, second pass
         e = e.where(~S.is_special_project("proj_norm"))
     blocks = ["block_name", "block_start", "block_end"]
-    bh = e.groupBy("staff_name", *blocks, *RU.KEY).agg(F.sum("hours").cast(S.HOURS).alias("hours"))
+    bh = e.groupBy("staff_name", *blocks, *RU.KEY).agg(F.sum("hours").cast(S.EXACT).alias("hours"))
     # Whole-quarter hours of the filtered data, per employee and key
     qh = e.groupBy("staff_name", *RU.KEY, F.col("quarter").alias("block_quarter")).agg(
-        F.sum("hours").cast(S.HOURS).alias("quarter_hours"))
+        F.sum("hours").cast(S.EXACT).alias("quarter_hours"))
     p = plan.select(*RU.KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
+    who = ["staff_name", *RU.KEY]
+    adj = adjustments.groupBy(*who, "month").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
+    last = e.groupBy(*who, "month").agg(F.max("block_start").alias("block_start"))
+    adj = adj.join(last, [*who, "month"]).groupBy(*who, "block_start").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
+    billing = resolved(bh.select(*RU.KEY)).select(*RU.KEY, F.col("billing_j3").alias("billing"))
     d = (
-        bh.withColumn("block_quarter", S.quarter_start("block_start"))
+        bh.join(adj, [*who, "block_start"], "left").join(billing, RU.KEY, "left")
+        .withColumn("block_quarter", S.quarter_start("block_start"))
         .join(p, RU.KEY, "left")
         .join(qh, ["staff_name", *RU.KEY, "block_quarter"], "left")
     )
@@ -201,44 +227,58 @@ def flex_rows(entries_f: DataFrame, plan: DataFrame, cfg: ReportConfig) -> DataF
         F.when(F.col("soll") > 0, F.round("soll", 2)).alias("soll"),
         F.when(F.col("ist") > 0, F.round("ist", 2)).alias("ist"),
         F.when(F.col("soll") > 0, F.round(pct, 2)).alias("pct"),
-        (pct <= 100.0).alias("eligible"),
+        (pct <= 100.0).alias("eligible"), "billing", "adj_h",
     )
 
 
+FLEX_HOURS = ["total_hours", "bonus_base", "special_base", "adj_regular", "adj_special", "bonus_total", "special_total"]
+
+
 def flex_block_totals(rows: DataFrame) -> DataFrame:
-    """B20 per (employee, block): hours and bonus bases (regular, special)."""
-    zero = F.lit(0).cast(S.HOURS)
+    """B20 per (employee, block): hours, bonus bases, and with the adjustments the
+    bonus totals; regular and special apart (D13)."""
+    zero = F.lit(0).cast(S.EXACT)
     el, sp = F.col("eligible"), F.col("is_special")
     return rows.groupBy("staff_name", "block_name", "block_start", "block_end").agg(
-        F.sum("hours").cast(S.HOURS).alias("total_hours"),
-        F.coalesce(F.sum(F.when(el & ~sp, F.col("hours"))), zero).cast(S.HOURS).alias("bonus_base"),
-        F.coalesce(F.sum(F.when(el & sp, F.col("hours"))), zero).cast(S.HOURS).alias("special_base"),
-    )
+        F.sum("hours").cast(S.EXACT).alias("total_hours"),
+        F.coalesce(F.sum(F.when(el & ~sp, F.col("hours"))), zero).cast(S.EXACT).alias("bonus_base"),
+        F.coalesce(F.sum(F.when(el & sp, F.col("hours"))), zero).cast(S.EXACT).alias("special_base"),
+        F.coalesce(F.sum(F.when(~sp, F.col("adj_h"))), zero).cast(S.EXACT).alias("adj_regular"),
+        F.coalesce(F.sum(F.when(sp, F.col("adj_h"))), zero).cast(S.EXACT).alias("adj_special"),
+    ).withColumns({
+        "bonus_total": (F.col("bonus_base") + F.col("adj_regular")).cast(S.EXACT),
+        "special_total": (F.col("special_base") + F.col("adj_special")).cast(S.EXACT),
+    })
 
 
 def flex_summary(block_totals: DataFrame) -> DataFrame:
     """C3 + C4: per block over employees, and the grand total (block_name null)."""
     return block_totals.rollup("block_name").agg(
-        F.sum("total_hours").cast(S.HOURS).alias("total_hours"),
-        F.sum("bonus_base").cast(S.HOURS).alias("bonus_base"),
-        F.sum("special_base").cast(S.HOURS).alias("special_base"),
-    )
+        *[F.sum(c).cast(S.EXACT).alias(c) for c in FLEX_HOURS if c in block_totals.columns])
 
 
-def flexible_report(entries_f: DataFrame, lines: DataFrame, cfg: ReportConfig) -> dict[str, DataFrame]:
-    plan = BU.plan_actual(lines)
-    rows = flex_rows(entries_f, plan, cfg)
-    out: dict[str, DataFrame] = {"flex_rows": rows}
+def flexible_report(entries_f: DataFrame, lines: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
+                    positions: DataFrame) -> dict[str, DataFrame]:
+    """The flexible report: rows with billing, position and adjustment, totals per
+    employee and block, totals per block and over all, budget overview."""
+    prepared = BU.prepare(lines)
+    records, edges = BU.budget_scan(prepared=prepared)
+    pmap = BU.parent_map_from_edges(edges)
+    rows = flex_rows(entries_f, BU.plan_from_prepared(prepared), cfg, adjustments,
+                     lambda keys: RU.resolve_budget(keys, records, pmap))
+    rows = RU.landed_rows(rows)
     totals = flex_block_totals(rows)
     if not cfg.include_bonus_calc:
-        totals = totals.drop("bonus_base", "special_base")
-    out["flex_block_totals"] = totals
+        totals = totals.drop(*FLEX_HOURS[1:])
+        rows = rows.drop("adj_h")
+    rows = rows.join(positions.select("staff_name", "position"), "staff_name", "left").withColumn(
+        "position", F.coalesce("position", F.lit(K.POSITIONS[0])))
+    out: dict[str, DataFrame] = {"flex_rows": rows, "flex_block_totals": totals}
     if cfg.include_summary_sheet:
-        out["flex_summary"] = flex_summary(totals) if cfg.include_bonus_calc else (
-            totals.rollup("block_name").agg(F.sum("total_hours").cast(S.HOURS).alias("total_hours")))
+        out["flex_summary"] = flex_summary(totals)
     if cfg.include_budget_overview:
-        out["budget_overview"] = BU.budget_overview(BU.budget_records(lines))
-    return out
+        out["budget_overview"] = BU.budget_overview(records)
+    return {name: S.rounded(d) for name, d in out.items()}
 
 
 # ------------------------------------------------------------ dispatch
@@ -251,21 +291,22 @@ def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustment
     (D21)."""
     e = filtered_entries(entries, cfg)
     if cfg.report_type == "project":
-        return {"project_summary": BK.project_summary(e)}
+        return {"project_summary": S.rounded(BK.project_summary(e))}
     if cfg.report_type == "employee":
-        return {"employee_summary": BK.employee_summary(e)}
+        return {"employee_summary": S.rounded(BK.employee_summary(e))}
     q_start, q_end = S.parse_quarter(f"{cfg.start_date.year}Q{(cfg.start_date.month - 1) // 3 + 1}"), \
         S.parse_quarter(f"{cfg.end_date.year}Q{(cfg.end_date.month - 1) // 3 + 1}")
     if cfg.report_type == "quarterly" and cfg.time_grouping == "month" and q_start == q_end:
         spark = entries.sparkSession
         months = spark.range(1).select(F.explode(BK.quarter_months(q_start)).alias("month"))
-        out = standard_report(e, lines, adjustments, positions, months, cfg.include_budget_overview)
+        out = standard_report(filtered_entries(entries, cfg, by_employee=False), lines, adjustments, positions, months,
+                              cfg.include_budget_overview, cfg.employees)
         if not cfg.include_summary_sheet:
             out.pop("cover_months"), out.pop("cover_quarter")
         if not cfg.include_bonus_calc:
             out["month_totals"] = out["month_totals"].select("staff_name", "quarter", "month", "total_hours")
         return out
-    return flexible_report(e, lines, cfg)
+    return flexible_report(e, lines, cfg, adjustments, positions)
 
 
 def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame, positions: DataFrame,
@@ -273,17 +314,12 @@ def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
     """Entry 1 (standard job): the requested quarter, or the latest one (O2,
     D16); months = months present in that quarter (T5).  One tiny action picks
     the quarter."""
-    qa = BK.quarters_available(entries)
     if requested:
         q = S.parse_quarter(requested)
-        row = BK.require_quarter(entries, q).select("quarter").first()
-        if row is None:
-            raise ValueError(f"Angefordertes Quartal {requested} nicht in den XML-Daten enthalten.")
+        if BK.in_quarter(entries, q).isEmpty():
+            raise ValueError(f"{requested}: no booking in this quarter")
     else:
-        row = qa.agg(F.max("quarter").alias("quarter")).first()
-        if row is None or row["quarter"] is None:
-            raise ValueError("Keine Quartale in den XML-Daten gefunden.")
-        q = row["quarter"]
-    e = BK.in_quarter(entries, q)
-    months = e.select("month").distinct()
-    return q, standard_report(e, lines, adjustments, positions, months)
+        q = entries.agg(F.max("quarter").alias("quarter")).first()["quarter"]
+        if q is None:
+            raise ValueError("no booking has a date, so there is no latest quarter")
+    return q, standard_report(BK.in_quarter(entries, q), lines, adjustments, positions, None)

@@ -39,35 +39,42 @@ SCALE_CONF = {
 def configure(spark: SparkSession) -> SparkSession:
     conf = spark.conf
     for key, value in SEMANTIC_CONF.items():
-        try:
+        if conf.get(key, None) != value:
             conf.set(key, value)
-        except Exception:  # static conf on a running session: leave it
-            pass
     for key, value in SCALE_CONF.items():
-        try:
-            if conf.get(key, None) in (None, ""):
-                conf.set(key, value)
-        except Exception:
-            pass
+        if conf.get(key, None) in (None, ""):
+            conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    On a cluster this comes from ``spark.checkpoint.dir``; only when unset (tests,
-    local runs) a fresh scratch folder is created and registered.
+    On a cluster this comes from ``spark.checkpoint.dir``; there a missing setting
+    is an error, since executors don't see each other's folders.  A session in one
+    process (master ``local[..]``) gets a scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="bonusledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
     return current
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application lands its intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/bonusledger-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> bool:
+    """Removes what this application has landed, once no lazy result needs it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "bonusledger") -> SparkSession:
     """Session for tests and the benchmark (local mode, UI off)."""
     builder = (
@@ -94,7 +101,7 @@ def materialize(df, name: str):
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -166,15 +166,24 @@ def budget_lines(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER
         *[template(k, package=F.lit(p), soll=F.lit("10,00"), budget=F.lit(b))
           for k, p, b in [(8, "'   SV", "900,00"), (9, "'   CAD", "700,00"), (10, "'   ADM", "500,00")]],
         template(11, package=F.lit("NAT 01 Zusatz"), soll=F.lit("8,00"), budget=F.lit("400,00")),
+        # long sections (n % 7 = 0) end with a rate and a supplement
+        template(200, package=F.lit("'   SV"), soll=F.lit("4,00"), budget=F.lit("380,00")),
+        template(201, package=F.lit("NAT 02 Zusatz"), soll=F.lit("2,00"), budget=F.lit("150,00")),
     ]
-    lines = brands.select("n", F.inline(F.array(*templates))).where((F.col("k") != 11) | (n % 5 == 0))
+    lines = brands.select("n", F.inline(F.array(*templates))).where(
+        ((F.col("k") != 11) | (n % 5 == 0)) & ((F.col("k") < 200) | (n % 7 == 0)))
+    many = brands.where(n % 7 == 0).select("n", F.explode(F.sequence(F.lit(20), F.lit(199))).alias("k")).select(
+        "n", "k", F.concat(F.lit("• 2."), F.col("k").cast("string"), F.lit(" Position")).alias("package"),
+        F.lit("0,125").alias("fixed_soll"))
+    lines = lines.unionByName(many, allowMissingColumns=True)
     lines = lines.join(booked, ["n", "ptype"], "left")
     is_ms = F.col("ptype").isNotNull() & (n != 2)
     factor = F.lit(Decimal("0.8")) + F.lit(Decimal("0.1")) * (n % 5)
     booked_h = F.coalesce(F.col("booked"), F.lit(0).cast(S.HOURS))
     return lines.select(
         F.lit("bridge/budget.csv").alias("file_path"),
-        (n * 100 + F.col("k")).cast("long").alias("row_no"),
+        # numbers that put borders of the ordered scans' chunks inside sections
+        (n * 65526 + F.col("k")).cast("long").alias("row_no"),
         "projekte", "flag", "package",
         F.when(is_ms, _de_text((booked_h * factor).cast(S.HOURS))).otherwise(F.col("fixed_soll")).alias("soll_txt"),
         F.when(is_ms, _de_text(booked_h)).alias("ist_txt"),

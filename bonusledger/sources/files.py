@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..session import materialize
 from . import bridge
 
 # ---------------------------------------------------------------- budget CSV
@@ -36,76 +37,83 @@ INTERNAL = {
 }
 
 
+MAX_COLUMNS = 128  # fields of a line that are read
+BLANKS = "\u200b\ufeff"  # zero-width characters that headers may hold
+
+
 def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, encoding) per budget file: a UTF-16 byte-order mark wins, then a
-    UTF-8 one, then valid UTF-8, else Windows-1252.  The reference tries codecs
-    in the order utf-16, utf-8-sig, cp1252 and keeps the first that parses; a
-    mark decides that the same way without decoding garbage."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    head = F.hex(F.substring("content", 1, 3))
-    enc = (
-        F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.lit("UTF-16"))
-        .when(head == "EFBBBF", F.lit("UTF-8"))
-        .when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("UTF-8"))
-        .otherwise(F.lit("windows-1252"))
-    )
-    return files.select("path", enc.alias("encoding"))
-
-
-def clean_header(columns: Sequence[str]) -> dict[str, str]:
-    """Stripped names without zero-width characters; the project column may
-    be called Projekt/Project/Projects/Projektname (first match wins).  Returns
-    {original: cleaned}; raises naming what is missing (D15)."""
-    cleaned = {c: c.strip().replace("​", "").replace("﻿", "") for c in columns}
-    names = list(cleaned.values())
-    if K.PROJECT_COLUMN not in names:
-        alias = next((a for a in K.PROJECT_COLUMN_ALIASES if a in names), None)
-        if alias is None:
-            raise ValueError(f"Spalte '{K.PROJECT_COLUMN}' nicht gefunden. Verfügbare Spalten: {names}")
-        cleaned = {o: (K.PROJECT_COLUMN if c == alias else c) for o, c in cleaned.items()}
-        names = list(cleaned.values())
-    missing = [c for c in REQUIRED if c not in names]
-    if missing:
-        raise ValueError(f"Spalte(n) {missing} nicht gefunden. Verfügbare Spalten: {names}")
-    return cleaned
-
-
-def read_budget_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None) -> DataFrame:
+    """(file_path, encoding) per budget file: a UTF-16 byte-order mark wins, then
+    a UTF-8 one, then valid UTF-8 in every line, else Windows-1252.  One splittable
+    pass over the lines; no file is held whole."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"),
+        F.hex(F.substring(F.col("value").cast("binary"), 1, 3)).alias("head"),
+        F.is_valid_utf8("value").alias("utf8"))
+    first = F.col("at") == 0
+    marks = lines.groupBy("file_path").agg(
+        F.bool_or(first & (F.col("head").startswith("FFFE") | F.col("head").startswith("FEFF"))).alias("utf16"),
+        F.bool_and("utf8").alias("utf8"))
+    return marks.select("file_path", F.when(F.col("utf16"), F.lit("UTF-16")).when(F.col("utf8"), F.lit("UTF-8"))
+                        .otherwise(F.lit("windows-1252")).alias("encoding"))
+
+
+def clean_name(c):
+    """A header's name, stripped and without zero-width characters."""
+    return S.strip_unicode(F.translate(c, BLANKS, ""))
+
+
+def _place(header, name: str):
+    """1-based place of a column in a file's header, null if it has none; the
+    project column may go by an alias, the first that is there."""
+    names = [name, *(K.PROJECT_COLUMN_ALIASES if name == K.PROJECT_COLUMN else [])]
+    return F.coalesce(*[F.nullif(F.array_position(header, n), F.lit(0)) for n in names])
+
+
+def check_headers(headers: DataFrame) -> DataFrame:
+    """Raises if a file lacks a required column, naming file and columns."""
+    missing = F.filter(F.array(*[F.when(_place(F.col("header"), c).isNull(), F.lit(c)) for c in REQUIRED]), lambda c: c.isNotNull())
+    bad = headers.select("file_path", "header", missing.alias("missing")).where(F.size("missing") > 0).take(1)
+    if bad:
+        raise ValueError(f"{bad[0]['file_path']}: no column {', '.join(bad[0]['missing'])} among {bad[0]['header']}")
+    return headers
+
+
+def read_budget_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None,
+                    multiline: bool = False) -> DataFrame:
     """S1 + S2: budget lines of one or more exports, all columns as strings.
 
-    ``multiLine`` keeps a file in one task (UTF-16 needs it, and it lets quoted
-    fields span lines as pandas does); files are read in parallel.  ``row_no``
-    increases in file order within a file.  Only empty fields are null (D22).
+    Every file's own header names its columns.  Files in UTF-8 and Windows-1252
+    are split among tasks; UTF-16 files, and all with ``multiline`` (quoted fields
+    over several lines), are read by a task each.  ``row_no`` increases in file
+    order within a file.  Only empty fields are null (D22).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if encoding:
-        groups = {encoding: paths}
-    else:
-        groups: dict[str, list[str]] = {}
-        for row in detect_encodings(spark, paths).collect():  # one small row per file
-            groups.setdefault(row["encoding"], []).append(row["path"])
+    found = None if encoding else materialize(detect_encodings(spark, paths), "encodings")
+    kinds = [encoding] if encoding else [r["encoding"] for r in found.select("encoding").distinct().collect()]  # three at most
+    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
     parts = []
-    for enc, files in groups.items():
+    for enc in kinds:
         raw = (
-            spark.read.option("sep", "\t").option("header", True).option("multiLine", True)
-            .option("encoding", enc).option("escape", '"').option("inferSchema", False)
-            .csv(files)
-        )
-        mapping = clean_header(raw.columns)
-        cols = [F.col(f"`{o}`").alias(INTERNAL[c]) for o, c in mapping.items() if c in INTERNAL]
-        df = raw.select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.monotonically_increasing_id().alias("row_no"),
-            *cols,
+            spark.read.schema(schema).option("sep", "\t").option("header", False).option("encoding", enc)
+            .option("multiLine", multiline or enc.upper().startswith("UTF-16")).option("escape", '"').csv(paths)
         )
-        for c in INTERNAL.values():
-            if c not in df.columns:
-                df = df.withColumn(c, F.lit(None).cast("string"))
-        parts.append(df.select("file_path", "row_no", *INTERNAL.values()))
+        d = raw.select(
+            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("n"), F.array(*raw.columns).alias("v"))
+        if found is not None and len(kinds) > 1:
+            d = d.join(found.where(F.col("encoding") == enc).select("file_path"), "file_path", "left_semi")
+        # places in a file: those of its blocks' begins, then the order within a block
+        in_block = Window.partitionBy("file_path", "at").orderBy("n")
+        parts.append(d.select("file_path", (F.col("at") + F.row_number().over(in_block)).alias("row_no"), "v"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    out = materialize(out, "budget-csv")
+    headers = out.groupBy("file_path").agg(F.min_by("v", "row_no").alias("header"), F.min("row_no").alias("head_no"))
+    headers = check_headers(headers.withColumn("header", F.transform("header", clean_name)))
+    out = out.join(headers, "file_path").where("row_no > head_no")
+    return out.select("file_path", "row_no", *[
+        F.get("v", (_place(F.col("header"), name) - 1).cast("int")).alias(c) for name, c in INTERNAL.items()])
 
 
 def budget_source(spark: SparkSession, uploaded: str | None, default_path: str) -> DataFrame:
@@ -115,34 +123,82 @@ def budget_source(spark: SparkSession, uploaded: str | None, default_path: str)
 
 # ---------------------------------------------------------------- time XML
 
-# Entities the export's DTD declares (name -> replacement), applied
-# before parsing; the XML parser resolves the five predefined ones itself.
+# Entities the export may use without declaring them; those that a
+# document declares come from its prolog, the five predefined ones from the parser.
 DTD_ENTITIES = {"shy": "&#173;", "nbsp": "&#160;"}
 CELLS = ["staff_name", "project", "work_package_name", "date", "number", "time_from", "time_to",
          "purpose", "is_client_changed", "purpose_internal"]
-ROW_SCHEMA = "cell ARRAY<STRUCT<_VALUE: STRING, _name: STRING>>"
+ROW_SCHEMA = "cell ARRAY<STRUCT<_VALUE: STRING, _name: STRING>>, _corrupt_record STRING"
+
+
+def decoded(content):
+    """The characters of an XML document: by byte-order mark, else as declared,
+    else UTF-8.  An encoding beyond these is an error, not garbage."""
+    mark = F.hex(F.substring(content, 1, 3))
+    declared = F.upper(F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), "encoding\\s*=\\s*[\"']([^\"']+)", 1))
+    text = (
+        F.when(mark.startswith("FFFE") | mark.startswith("FEFF") | declared.startswith("UTF-16"), F.decode(content, "UTF-16"))
+        .when(declared.isin("", "UTF-8", "UTF8", "US-ASCII") | (mark == "EFBBBF"), content.cast("string"))
+        .when(declared.isin("ISO-8859-1", "LATIN1", "LATIN-1"), F.decode(content, "ISO-8859-1"))
+        .when(declared.isin("WINDOWS-1252", "CP1252"), F.decode(content, "windows-1252"))
+        .otherwise(F.raise_error(F.concat(F.lit("XML encoding not supported: "), declared)).cast("string"))
+    )
+    return F.translate(text, "\ufeff", "")
+
+
+def _plain_cdata(text):
+    """CDATA sections as escaped characters, comments left out."""
+    esc = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    end = lambda p: F.instr(p, "]]>")
+    parts = F.transform(F.split(text, r"<!\[CDATA\[", -1), lambda p, i: F.when((i == 0) | (end(p) == 0), p).otherwise(
+        F.concat(esc(F.substr(p, F.lit(1), end(p) - 1)), F.substr(p, end(p) + 3))))
+    return F.regexp_replace(F.array_join(parts, ""), "(?s)<!--.*?-->", "")
+
+
+def declared_entities(text):
+    """[(name, replacement)] of a document's prolog, as an array of structs."""
+    prolog = F.regexp_extract(text, r"(?s)<!DOCTYPE[^\[>]*\[(.*?)\]\s*>", 1)
+    pattern = F.lit(r"""<!ENTITY\s+([^\s%"']+)\s+["']([^"']*)["']\s*>""")
+    return F.arrays_zip(F.regexp_extract_all(prolog, pattern, F.lit(1)).alias("name"),
+                        F.regexp_extract_all(prolog, pattern, F.lit(2)).alias("value"))
 
 
 def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None) -> DataFrame:
     """S3 + S5: every <row> of every file, its <cell name=..> texts by name (the
-    last of a repeated name wins), valid rows only (P1), normalised (F9, F11,
-    F16).  Files are split at '</row>' so large exports read in parallel."""
+    last of a repeated name wins), valid rows only (P1), normalised (F9, F11, F16).
+
+    A file is one document, decoded and cut into rows in a task of its own (exports
+    are 100 MB at most by the upload limit); many files are read side by side.  A
+    row that can't be parsed is an error, not a lost booking.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frag = spark.read.option("lineSep", "</row>").text(paths).select(
-        F.col("value"), F.col("_metadata.file_path").alias("source_file")
-    )
-    return parse_row_fragments(frag, entities)
+    docs = spark.read.format("binaryFile").load(paths).select(
+        F.col("path").alias("source_file"), decoded(F.col("content")).alias("text"))
+    docs = docs.select("source_file", declared_entities(F.col("text")).alias("declared"), _plain_cdata(F.col("text")).alias("text"))
+    rows = F.regexp_extract_all("text", F.lit(r"(?s)<row(?:\s[^>]*)?(?<!/)>(.*?)</row\s*>"), F.lit(1))
+    return parse_rows(docs.select("source_file", "declared", F.explode(rows).alias("body")), entities)
 
 
 def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
     """Text fragments ending before '</row>' (columns value, source_file) ->
-    normalised time entries.  Shared by the batch scan and the stream."""
-    frag = frag.where(F.col("value").contains("<row"))
-    body = F.substring_index(F.col("value"), "<row", -1)
+    normalised time entries, for streams of UTF-8 documents without CDATA."""
+    begin = r"<row(?:\s[^>]*)?(?<!/)>"
+    frag = frag.where(F.col("value").rlike(begin))
+    body = F.regexp_extract("value", f"(?s)^.*{begin}(.*)$", 1)
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return parse_rows(frag.select("source_file", none.alias("declared"), body.alias("body")), entities)
+
+
+def parse_rows(rows: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
+    """Inner XML of rows (source_file, declared, body) -> normalised time entries."""
+    body = F.aggregate("declared", F.col("body"), lambda b, e: F.replace(b, F.concat(F.lit("&"), e["name"], F.lit(";")), e["value"]))
     for name, repl in (entities or DTD_ENTITIES).items():
         body = F.replace(body, F.lit(f"&{name};"), F.lit(repl))
-    row_xml = F.concat(F.lit("<row"), body, F.lit("</row>"))
-    parsed = frag.select("source_file", F.from_xml(row_xml, ROW_SCHEMA).alias("r"))
+    row_xml = F.concat(F.lit("<row>"), body, F.lit("</row>"))
+    parsed = rows.select("source_file", row_xml.alias("xml")).withColumn("r", F.from_xml("xml", ROW_SCHEMA))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    message = F.concat(F.lit("row that is not XML in "), F.col("source_file"), F.lit(": "), F.substring("xml", 1, 200))
+    parsed = parsed.withColumn("r", F.when(bad, F.raise_error(message)).otherwise(F.col("r")))
     cells = F.map_from_entries(F.transform(
         F.coalesce(F.col("r.cell"), F.array().cast("array<struct<_VALUE:string,_name:string>>")),
         lambda c: F.struct(c["_name"].alias("k"), F.coalesce(S.strip_unicode(c["_VALUE"]), F.lit("")).alias("v")),
@@ -162,8 +218,8 @@ def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None)
     return bridge.with_entry_keys(d)
 
 
-def require_rows(df: DataFrame, message: str = "XML enthält keine Daten.") -> DataFrame:
+def require_rows(df: DataFrame) -> DataFrame:
     """The reference's empty-input error, as an explicit (one-row) action."""
-    if not df.take(1):
-        raise ValueError(message)
+    if df.isEmpty():
+        raise ValueError("the time export holds no booking")
     return df

@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+import pytest
+
 from bonusledger.operators import budget as BU
 
 from conftest import lines_df
@@ -48,11 +50,26 @@ def test_parent_map_keys_and_self_parent(spark):
     assert pm[("1234.01", "NAT 01 Zusatz")] == ["(p) 1.1 Testmeilenstein", "NAT 01 Zusatz"]
 
 
-def test_lookahead_limit_79(spark):
+@pytest.mark.parametrize("n", [79, 85, 200])
+def test_long_sections_count_whole(spark, n):
     rows = [("P1 Proj", None, "-"), (None, "X", "(aN) Top", "1,00")]
-    rows += [(None, None, f"• sub {i}", "1,00") for i in range(85)]
+    rows += [(None, None, f"• sub {i}", "1,00") for i in range(n)]
+    rows += [(None, None, "'   SV", "10,00", None, "900,00"), (None, None, "NAT 9 Extra", "2,00", None, "50,00"),
+             (None, "X", "(aN) Next", "1,00")]
     rec = records(spark, rows)
-    assert rec[("P1 Proj", "(aN) Top")]["target_hours"] == Decimal("79.00")
+    top = rec[("P1 Proj", "(aN) Top")]
+    assert (top["target_hours"], top["rate_sv"]) == (Decimal(n + 12), 90.0)
+    ids = [rec[("P1 Proj", m)]["lookup_id"] for m in ("NAT 9 Extra", "(aN) Top", "(aN) Next")]
+    assert ids == [1, 2, 3]
+    limited = BU.budget_records_of(BU.prepare(lines_df(spark, rows), lookahead=79))
+    assert {r["top_norm"]: r for r in limited.collect()}["(aN) Top"]["target_hours"] == Decimal(79 if n >= 79 else n)
+
+
+def test_ids_go_on_over_files(spark):
+    rows = [("P1 Proj", None, "-"), (None, "X", "(aN) Top", "1,00"), (None, "X", "(aN) Next", "1,00")]
+    two = lines_df(spark, rows, "mem/a.csv").union(lines_df(spark, rows, "mem/b.csv"))
+    got = sorted((r["lookup_id"], r["file_path"], r["top_norm"]) for r in BU.budget_records(two).collect())
+    assert [x[0] for x in got] == [1, 2, 3, 4] and [x[1] for x in got] == ["mem/a.csv"] * 2 + ["mem/b.csv"] * 2
 
 
 def test_section_crosses_project_change(spark):

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from bonusledger import sinks
 from bonusledger.streaming import landing
-from test_sources import xml_doc
+from test_sources import document, entry
 
 
 def test_stream_landing_available_now(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     for i in range(2):
-        (src / f"t{i}.xml").write_text(xml_doc([
-            dict(staff=f"S{i}", pkg="M", date="Tue, 01 Oct 2024 00:00:00 +0200", hours="2"),
-            dict(staff=f"S{i}", pkg="M", date="Fri, 01 Nov 2024 00:00:00 +0100", hours="3"),
-        ]), encoding="utf-8")
+        (src / f"t{i}.xml").write_text(document(
+            entry(staff=f"S{i}", day="Tue, 01 Oct 2024", number="2"), entry(staff=f"S{i}", day="Fri, 01 Nov 2024", number="3")),
+            encoding="utf-8")
     target, ckpt = str(tmp_path / "landed"), str(tmp_path / "ckpt")
     q = landing.start_landing(spark, str(src), target, ckpt)
     q.awaitTermination(120)
@@ -42,6 +41,36 @@ def test_employee_export_and_report_write(spark, tmp_path):
     assert sorted(d for d in os.listdir(out) if d.startswith("staff_name=")) == ["staff_name=A", "staff_name=B"]
     back = spark.read.option("header", True).csv(out)
     assert back.count() == 2 and "Bonus-Anpassung (h)" in back.columns
-    paths = sinks.write_report({"month_rows": rows, "cover": rows.groupBy("month").agg(F.sum("hours"))},
+    totals = rows.groupBy("staff_name", "month").agg(F.sum("hours").alias("total_hours"), F.sum("hours").alias("bonus_total"),
+                                                     F.lit(0).alias("special_total"))
+    paths = sinks.write_report({"month_rows": rows, "month_totals": totals, "cover": rows.groupBy("month").agg(F.sum("hours"))},
                                str(tmp_path / "rep"), "Q1-2025")
     assert spark.read.parquet(paths["cover"]).count() == 1
+    # K2: sum and bonus lines follow the rows of a month
+    (name,) = [f for f in os.listdir(f"{paths['export']}/staff_name=A") if f.endswith(".csv")]
+    lines = open(f"{paths['export']}/staff_name=A/{name}", encoding="utf-8").read().splitlines()
+    assert [x.split(",")[2] for x in lines[1:]] == ["M", "Summe", "Bonusberechtigte Stunden", "Bonusberechtigte Stunden Sonderprojekt"]
+
+
+def test_detail_has_few_sorted_files(spark, tmp_path):
+    from datetime import date
+
+    data = [(f"S{i % 5}", date(2025, 1 + i % 3, 1), f"P{(i * 7) % 11:02}", "M") for i in range(400)]
+    rows = spark.createDataFrame(data, "staff_name string, month date, proj_norm string, ms_norm string").repartition(8)
+    out = str(tmp_path / "detail")
+    sinks.write_employee_detail(rows, out)
+    for i in range(5):
+        (name,) = [f for f in os.listdir(f"{out}/staff_name=S{i}") if f.endswith(".parquet")]
+        got = spark.read.parquet(f"{out}/staff_name=S{i}/{name}").collect()
+        assert [(r["month"], r["proj_norm"]) for r in got] == sorted((r["month"], r["proj_norm"]) for r in got)
+    sinks.write_table(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400
+
+
+def test_landed_tables_are_in_one_folder_that_cleanup_removes(spark):
+    from bonusledger import session
+
+    t = session.materialize(spark.range(3).toDF("x"), "probe")
+    assert t.count() == 3 and session.run_folder(spark) in t.inputFiles()[0]
+    path = session.run_folder(spark).removeprefix("file://")
+    assert os.path.isdir(path) and session.cleanup(spark) and not os.path.isdir(path)

@@ -85,6 +85,41 @@ def test_dispatch(spark, inputs):
     assert e["employee_summary"].where(F.col("proj_norm").startswith("0000")).count() == 0
 
 
+def test_employee_filter_keeps_numbers_over_all_staff(spark, inputs):
+    entries, lines, adj, pos = inputs
+    one = entries.select("staff_name").orderBy("staff_name").first()[0]
+    cfg = lambda who: R.ReportConfig("quarterly", date(1998, 7, 1), date(1998, 9, 30), "monthly", employees=who)
+    every, own = (R.generate(cfg(who), entries, lines, adj, pos) for who in ([], [one]))
+    for name in ("month_rows", "quarter_summary", "month_totals", "quarter_milestones"):
+        want = every[name].where(F.col("staff_name") == one)
+        cols = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in want.dtypes]
+        assert sorted(map(repr, own[name].select(cols).collect())) == sorted(map(repr, want.select(cols).collect()))
+
+
+def test_flexible_adjustments(spark, inputs):
+    entries, lines, adj, pos = inputs
+    for grouping in ("monthly", "weekly", "period", "none"):
+        cfg = R.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 9, 30), grouping, include_budget_overview=False)
+        t = R.generate(cfg, entries, lines, adj, pos)
+        rows, totals = t["flex_rows"], t["flex_block_totals"]
+        # every adjustment of the range stands on one row, and in the totals
+        want = adj.agg(F.sum("adj_h")).first()[0]
+        assert rows.agg(F.sum("adj_h")).first()[0] == want
+        s = totals.agg(F.sum("adj_regular") + F.sum("adj_special"), F.sum("bonus_total") - F.sum("bonus_base") - F.sum("adj_regular"),
+                       F.sum("special_total") - F.sum("special_base") - F.sum("adj_special")).first()
+        assert (s[0], s[1], s[2]) == (want, 0, 0)
+        assert rows.where(F.col("billing") != "Unbekannt").count() > 0 and "position" in rows.columns
+
+
+def test_revenue_totals_add_up(spark, inputs):
+    entries, lines, adj, pos = inputs
+    _, t = R.quarterly_job(entries, lines, adj, pos, requested="1998Q3")
+    for col in ("revenue", "possible", "lost", "revenue_key"):
+        total = lambda name: t[name].agg(F.sum(col)).first()[0]
+        assert total("month_revenue_totals") == pytest.approx(total("month_rows"))
+        assert total("quarter_revenue_totals") == pytest.approx(total("quarter_summary"))
+
+
 def test_result_independent_of_partitioning(spark, inputs):
     entries, lines, adj, pos = inputs
     from bonusledger.operators import bookings as BK

@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         e = land(small.union(low.select("u", "m")).distinct(), "cc")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
+    """Links that join what the pairs (a[i], b[j]) join, at
+    most one per place: the least name travels along the pairs until it stays."""
+    la, lb = a.copy(), b.copy()
+    while True:
+        m = np.minimum(la[i], lb[j])
+        if (m == la[i]).all() and (m == lb[j]).all():
+            return set(zip(a[i].tolist(), m.tolist(), strict=True)) | set(zip(b[j].tolist(), m.tolist(), strict=True))
+        np.minimum.at(la, i, m)
+        np.minimum.at(lb, j, m)

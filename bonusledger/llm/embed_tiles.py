@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, land
+from .common import components, land, spanning
 
 TILE = 2048
 BLOCKS = (8, 16, 32)  # dimensions after which the bound is tested
@@ -77,18 +77,6 @@ class _Forest:
         return [(x, r) for x in self.up if (r := self.root(x)) != x]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
-    """Links that join what the pairs (a[i], b[j]) join, at
-    most one per place: the least name travels along the pairs until it stays."""
-    la, lb = a.copy(), b.copy()
-    while True:
-        m = np.minimum(la[i], lb[j])
-        if (m == la[i]).all() and (m == lb[j]).all():
-            return set(zip(a[i].tolist(), m.tolist(), strict=True)) | set(zip(b[j].tolist(), m.tolist(), strict=True))
-        np.minimum.at(la, i, m)
-        np.minimum.at(lb, j, m)
-
-
 def _suffix(x: np.ndarray, at: int) -> np.ndarray:
     return np.sqrt((x[:, at:] ** 2).sum(1))
 
@@ -217,7 +205,7 @@ def _compare(classes: DataFrame, dims: int, least: float, tile: int) -> tuple[Da
                     n1 += np.bincount(i, nb[j], len(a)).astype(np.int64)
                     if not own:
                         n2 += np.bincount(j, na[i], len(b)).astype(np.int64)
-                    for p, q in _spanning(ca, cb, i, j):
+                    for p, q in spanning(ca, cb, i, j):
                         forest.join(p, q)
                 got = [(int(c), int(n), None) for cs, ns in ((ca, n1), (cb, n2)) for c, n in zip(cs, ns, strict=True) if n]
                 got += [(p, None, q) for p, q in forest.links()]

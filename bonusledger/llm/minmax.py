@@ -6,11 +6,13 @@ evaluated as values are kept.  Bands of ``rows`` values are hashed into buckets;
 their number is set so that a pair at the threshold shares no bucket with a chance
 below ``miss``.
 
-Equal sets are one class.  In each bucket every class is compared with the
-smallest one, on full sets; components of the links follow.  Pairs in a bucket
-that are then still in different components are compared too, so every pair of
-classes that shares a bucket is either compared or already joined, and no bucket
-is ever listed pair by pair in advance.
+Equal sets are one class.  In each bucket every class is compared with the one
+that shares buckets with most others, on full sets; components of the links
+follow.  Buckets that then still hold several components are compared whole, in
+tiles of bounded size: products of incidence matrices give all intersections of
+two tiles, and a spanning forest of the links leaves the task.  So every pair of
+classes that shares a bucket is either compared or already joined, and no pairs of
+a bucket are ever listed.
 
 Null texts and texts without words have an empty set and link with nothing.
 Repeated rows belong to one class; a null id counts as larger than any other.
@@ -26,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, land
+from .common import components, land, spanning
 
 ROWS, MISS = 5, 1e-6
 _CACHE = 500_000
+TILE = 512  # members of a tile at most, about
+COLUMNS = 20_000  # columns of an incidence matrix at once
 
 
 def bands(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -140,6 +144,60 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
         run, "a long, b long")
 
 
+def _tile_links(a: list, b: list, percent: int) -> set[tuple[int, int]]:
+    """Links that join what the similar pairs of two tiles join; a member is (cid,
+    root, set), and members of one root are joined already."""
+    sets = [np.array(m[2], np.int64) for m in (*a, *b)]
+    sizes = np.array([len(x) for x in sets])
+    _, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen[place] > 1
+    row, col = row[shared], np.unique(place[shared], return_inverse=True)[1]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
+        here = (col >= at) & (col < at + COLUMNS)
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[here], col[here] - at] = 1
+        both += m[:len(a)] @ m[len(a):].T
+    apart = np.array([m[1] for m in a])[:, None] != np.array([m[1] for m in b])
+    i, j = np.nonzero(apart & (100 * both >= percent * (sizes[:len(a), None] + sizes[len(a):] - both)))
+    return spanning(np.array([m[0] for m in a]), np.array([m[0] for m in b]), i, j)
+
+
+def _rest(rooted: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between members of a bucket with different roots."""
+    percent = round(threshold * 100)
+    split = rooted.groupBy("bucket").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / TILE).alias("tiles")).where("r0 != r1")
+    rest = land(rooted.join(split.select("bucket", "tiles"), "bucket").select("bucket", "tiles", "cid", "root"), "minmax-rest")
+
+    def hashed(batches):
+        seen = _Words()
+        for batch in batches:
+            x = [shingles(t, k, seen).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int64()))], ["cid", "x"])
+
+    sets = texts.join(rest.select("cid").distinct(), "cid").select("cid", F.col("text").cast("binary")).mapInArrow(
+        hashed, "cid long, x array<long>")
+    tile = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("tiles")).alias("tile")
+    tiles = land(rest.select("bucket", "tiles", "cid", "root", tile).join(sets, "cid").groupBy("bucket", "tile").agg(
+        F.first("tiles").alias("tiles"), F.collect_list(F.struct("cid", "root", "x")).alias("members")), "minmax-tiles")
+    one = tiles.select("bucket", F.col("tile").alias("t1"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("t2"), "members")
+    two = tiles.select("bucket", F.col("tile").alias("t2"), F.col("members").alias("members2"))
+
+    def compare(batches):
+        for batch in batches:
+            links: set = set()
+            for i in range(batch.num_rows):
+                a, b = ([(m["cid"], m["root"], m["x"]) for m in c[i].as_py()] for c in batch.columns)
+                links |= _tile_links(a, b, percent)
+            links = {(x, y) for x, y in links if x != y}
+            cols = list(zip(*links, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return one.join(two, ["bucket", "t2"]).select("members", "members2").mapInArrow(compare, "a long, b long")
+
+
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """One row per document: doc_id, md5 of its text, n (set size), cid (its class;
@@ -151,8 +209,12 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str
         sigs.where("n > 0").groupBy("k1", "k2", "n").agg(least.alias("first"), F.first("buckets").alias("buckets"))
         .withColumn("cid", F.monotonically_increasing_id()), "minmax-classes")
     members = classes.select("cid", "n", F.explode("buckets").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("cid").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-    inside = land(members.join(heads, "bucket"), "minmax-buckets")
+    full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    inside = land(members.join(full, "bucket"), "minmax-buckets")
+    score = inside.groupBy("cid").agg(F.sum("m").alias("score"))
+    heads = inside.join(score, "cid").groupBy("bucket").agg(F.max(F.struct("score", "cid"))["cid"].alias("head"))
+    inside = inside.join(heads, "bucket").select("bucket", "cid", "n", "head")
+    inside = land(inside, "minmax-heads")
     wanted = inside.select("cid").distinct().join(classes.select("cid", "first"), "cid").select(
         "cid", F.col("first.doc_id").alias("id"), F.col("first.md5").alias("md5"))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -167,15 +229,9 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str
     links = land(_linked(pairs, texts, k, threshold), "minmax-links")
     roots = land(components(links), "minmax-roots")
 
-    # pairs that share a bucket and are still apart
-    rooted = land(inside.join(roots, F.col("cid") == F.col("node"), "left").select(
-        "bucket", "head", "cid", "n", F.coalesce("root", "cid").alias("root")), "minmax-rooted")
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    rest = rooted.join(split.select("bucket"), "bucket", "left_semi")
-    one, two = rest.selectExpr("bucket", "cid as a", "n as na", "root as ra", "head"), rest.selectExpr(
-        "bucket", "cid as b", "n as nb", "root as rb")
-    apart = (one.join(two, "bucket").where(f"ra != rb and a < b and a != head and {fits}").select("a", "b").distinct())
-    more = land(_linked(apart, texts, k, threshold), "minmax-links")
+    rooted = inside.join(roots, F.col("cid") == F.col("node"), "left").select(
+        "bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    more = land(_rest(land(rooted, "minmax-rooted"), texts, k, threshold), "minmax-links")
     if not more.isEmpty():
         roots = land(components(links.union(more)), "minmax-roots")
 

@@ -29,19 +29,9 @@ NUMERIC_TEXT = {
 }
 
 
-def prepare(lines: DataFrame, materialize: bool = True, lookahead: int | None = None) -> DataFrame:
-    """W1-W3 per line, in two ordered passes:
-
-    pass 1: filled project (W1), project of the previous row, position in file;
-    pass 2: position of the owning top-level row (W3) and the current parent of
-    the run (W2: reset on project change and on dash/empty rows; a top-level row
-    is its own parent).  A section ends at the next top-level row; ``lookahead``
-    (an option, off by default) ends it after that many rows.
-
-    Input and result are written to the session's checkpoint folder (reliable
-    storage, so a lost executor does not re-run the scans) because the passes
-    and every budget output read them several times.
-    """
+def first_pass(lines: DataFrame, materialize: bool = True) -> DataFrame:
+    """W1 per line: filled project, project of the previous row, position in file,
+    and what follows from a line alone."""
     raw_proj = F.when(S.strip_unicode(F.col("projekte")) != "", F.col("projekte"))
     d = lines.withColumn("projekte", raw_proj)
     if materialize:
@@ -61,10 +51,26 @@ def prepare(lines: DataFrame, materialize: bool = True, lookahead: int | None =
         "flag_x": F.upper(S.strip_unicode(F.coalesce(F.col("flag"), F.lit("")))) == "X",
         **{k: S.de_number(v) for k, v in NUMERIC_TEXT.items()},
     })
-    d = d.withColumns({
+    return d.withColumns({
         "dash_empty": (F.col("pkg") == "") | (F.col("pkg") == "-"),
         "changed": F.col("prev_projekt").isNull() | (F.col("projekt") != F.col("prev_projekt")),
     }).withColumn("is_top", F.col("flag_x") & ~F.col("dash_empty"))
+
+
+def prepare(lines: DataFrame, materialize: bool = True, lookahead: int | None = None) -> DataFrame:
+    """W1-W3 per line, in two ordered passes:
+
+    pass 1: ``first_pass``;
+    pass 2: position of the owning top-level row (W3) and the current parent of
+    the run (W2: reset on project change and on dash/empty rows; a top-level row
+    is its own parent).  A section ends at the next top-level row; ``lookahead``
+    (an option, off by default) ends it after that many rows.
+
+    Input and result are written to the session's checkpoint folder (reliable
+    storage, so a lost executor does not re-run the scans) because the passes
+    and every budget output read them several times.
+    """
+    d = first_pass(lines, materialize)
     marker = (
         F.when(~F.col("dash_empty") & (F.col("ms") != "") & F.col("flag_x"), F.col("ms"))
         .when(F.col("changed") | F.col("dash_empty"), F.lit(RESET))
@@ -118,19 +124,8 @@ def _marker(markers: list[str]):
     return cond
 
 
-def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(budget_records, parent_entries).
-
-    budget_records: file_path, project, project_code, top_milestone, top_norm,
-    billing, total_budget, billed, cost, target_hours, actual_hours, rate_sv,
-    rate_cad, rate_adm, lookup_key, lookup_id.
-    parent_entries: file_path, projekt, ms_norm, parent (one row per edge).
-    """
-    d = prepared if prepared is not None else prepare(lines)
-    hier_edges = d.where(~F.col("dash_empty") & (F.col("ms") != "") & F.col("parent_run").isNotNull()).select(
-        "file_path", "projekt", F.col("ms").alias("ms_norm"), F.col("parent_run").alias("parent")
-    )
-
+def _kept_records(d: DataFrame) -> DataFrame:
+    """W3-W8 over prepared lines: the records that count, with ``emit_ord``."""
     top = d.where("is_top").select(
         "file_path", "x_pos", "row_no",
         F.col("projekt").alias("project"),
@@ -195,7 +190,28 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
     # emits its supplements before its own record.
     cand = main.unionByName(supp)
     w = Window.partitionBy("file_path", "project", "top_norm").orderBy("emit_ord")
-    kept = cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def parent_edges(prepared: DataFrame, supplements: DataFrame) -> DataFrame:
+    """W2 (+ W6 self-parents): one row (file_path, projekt, ms_norm, parent) per edge;
+    ``supplements`` are records of kind 0."""
+    runs = prepared.where(~F.col("dash_empty") & (F.col("ms") != "") & F.col("parent_run").isNotNull()).select(
+        "file_path", "projekt", F.col("ms").alias("ms_norm"), F.col("parent_run").alias("parent"))
+    return runs.unionByName(supplements.select(
+        "file_path", F.col("project").alias("projekt"), F.col("top_norm").alias("ms_norm"), F.col("top_norm").alias("parent")))
+
+
+def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(budget_records, parent_entries).
+
+    budget_records: file_path, project, project_code, top_milestone, top_norm,
+    billing, total_budget, billed, cost, target_hours, actual_hours, rate_sv,
+    rate_cad, rate_adm, lookup_key, lookup_id.
+    parent_entries: file_path, projekt, ms_norm, parent (one row per edge).
+    """
+    d = prepared if prepared is not None else prepare(lines)
+    kept = _kept_records(d)
     # Lookup ids 1..n in emit order, file after file (one row per file is summed)
     kept = ordered.running_sum(kept, F.lit(1).cast("long"), "lookup_id", order="emit_ord")
     files = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,10 +229,7 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
     # records are one row per top-level milestone and read by several joins of
     # the resolution; land them once
     records = _materialize(records, "budget-records")
-    supp_edges = records.where(F.col("kind") == 0).select(
-        "file_path", F.col("project").alias("projekt"), F.col("top_norm").alias("ms_norm"), F.col("top_norm").alias("parent")
-    )
-    return records.drop("kind"), hier_edges.unionByName(supp_edges)
+    return records.drop("kind"), parent_edges(d, records.where(F.col("kind") == 0))
 
 
 def budget_records(lines: DataFrame) -> DataFrame:
@@ -230,7 +243,8 @@ def budget_records_of(prepared: DataFrame) -> DataFrame:
 def parent_map(lines: DataFrame) -> DataFrame:
     """W2 (+ W6 self-parents): (project_key, ms_norm) -> sorted distinct parents,
     emitted for the full name and for the project code."""
-    return parent_map_from_edges(budget_scan(lines)[1])
+    d = prepare(lines)
+    return parent_map_from_edges(parent_edges(d, _kept_records(d).where(F.col("kind") == 0)))
 
 
 def parent_map_from_edges(edges: DataFrame) -> DataFrame:

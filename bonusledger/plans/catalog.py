@@ -135,7 +135,7 @@ def plan_actual(spark, sf_dir):
 
 
 def ffill_project(spark, sf_dir):
-    d = BU.prepare(_lines(spark, sf_dir))
+    d = BU.first_pass(_lines(spark, sf_dir))
     return d.select("row_no", "pos", F.col("projekt").alias("project"), "changed", "is_top")
 
 

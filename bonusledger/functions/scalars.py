@@ -262,11 +262,6 @@ def plan_pct(ist, soll) -> Column:
     )
 
 
-def round2(x) -> Column:
-    """F19."""
-    return F.round(_c(x), 2)
-
-
 def split_list(text: str | None) -> list[str]:
     """F17 (driver side): comma list -> stripped non-empty items."""
     if not text:

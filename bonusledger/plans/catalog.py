@@ -1,5 +1,5 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a lazy DataFrame
-over the bridge tables.  Parameters (report quarter, date range, filter lists)
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame over the
+bridge tables; those that need landed inputs run jobs while they are built.  Parameters (report quarter, date range, filter lists)
 are the report parameters a user would pass; they never subset the data to make
 a check cheaper.
 """

@@ -1,7 +1,8 @@
 """Report plans: the standard quarterly report, the flexible report over time
 blocks, and the project / employee summaries, each returned as a dict of lazy
 DataFrames (one per sheet of the reference's workbook).  ``generate`` is the
-dispatch (P13); nothing here runs an action except the parameter checks.
+dispatch (P13).  Building a report lands its inputs (Spark jobs); the DataFrames
+it returns are lazy over them.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ mapping itself is documented in FIXTURES.md section 4.
 
 from __future__ import annotations
 
+import weakref
 from decimal import Decimal
 from functools import lru_cache
 
@@ -37,15 +38,17 @@ REGULAR_MILESTONES = [
 ]
 
 
+_handles: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A read-only test table.  The DataFrame handle (file listing and footer
     schema, no data) is reused per session and path; every query still scans."""
-    return _table(spark, f"{sf_dir}/{name}.parquet")
-
-
-@lru_cache(maxsize=256)
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    path = f"{sf_dir}/{name}.parquet"
+    own = _handles.setdefault(spark, {})
+    if path not in own:
+        own[path] = spark.read.parquet(path)
+    return own[path]
 
 
 def project_name(n: Column) -> Column:

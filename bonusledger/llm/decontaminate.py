@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 # Separators are the ASCII characters but letters and digits; A-Z are lower-cased.
@@ -164,7 +166,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
         def scan(batches, sent=sent):
             automaton = Automaton(sent.value, window)
-            for batch in batches:
+            for batch in small(batches):
                 cols = dict(zip(batch.schema.names, batch.columns, strict=True))
                 old = [cols[f.name].to_pylist() if f.name in cols else None for f in FOUND.fields]
                 out: list[list] = [[], [], [], []]
@@ -197,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
         def cut(batches, sent=sent):
             automaton = Automaton(sent.value, window)
-            for batch in batches:
+            for batch in small(batches):
                 at = batch.schema.names.index(text)
                 keep, texts = [], []
                 for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):

@@ -11,8 +11,9 @@ still reach the threshold leave.  Pairs that are left are decided on the origina
 vectors in double precision.
 
 A pair of tiles gives a count per vector and a spanning forest of its links, never
-the pairs themselves.  Vectors that are null, zero, of another length than most or
-with null or non-finite components, and rows without label, link with nothing.
+the pairs themselves.  Vectors that are null, empty, zero or hold null or non-finite
+components, and rows without label, link with nothing; nor do vectors of different
+lengths (each length is compared by itself).
 Rows may repeat: each is a vector of its own.
 """
 

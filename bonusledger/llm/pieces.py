@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_CACHE, _LONGEST = 600_000, 48
+_CACHE, _LONGEST = 400_000, 48  # chunks and pairs that a worker keeps, characters of such a chunk
 
 
 def _fields(raw: bytes):
@@ -127,7 +129,7 @@ class Transducer:
         got = self.pairs.get(key)
         if got is None:
             two = [*([self.pieces[a]] if a >= 0 else []), self.pieces[b]]
-            if len(self.pairs) > 2 * _CACHE:
+            if len(self.pairs) > _CACHE:
                 self.pairs.clear()
             got = self.pairs[key] = self._merged("".join(two)) == two
         return got
@@ -229,7 +231,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
 
     def run(batches):
         fst = _transducer(sent)
-        for batch in batches:
+        for batch in small(batches):
             got = [fst.encode(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(g) // 4 for g in got)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
@@ -247,7 +249,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "te
 
     def run(batches):
         fst = _transducer(sent)
-        for batch in batches:
+        for batch in small(batches):
             got = [None if x is None else fst.decode(x) for x in batch.column(batch.schema.names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], schema.names)
 
@@ -268,7 +270,7 @@ def op7_transducer(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
         fst = _transducer(sent)
         is_byte = np.zeros(len(fst.pieces), bool)
         is_byte[fst.bytes] = True
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 raw = fst.encode(t)

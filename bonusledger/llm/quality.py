@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 SAMPLE = 6000  # documents the scorer is trained on, at most
 DIMS = 2048
 # Frequent function words of the languages the labeller knows.
@@ -151,7 +153,7 @@ PROFILE = T.StructType([
 
 def _profiles(docs: DataFrame, text: str, features: bool) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             got = [profile(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())),
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", out: str = "q
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             p = []
             for t in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist():
                 if not t:

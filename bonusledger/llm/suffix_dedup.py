@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, shared_dir
+from .common import land, shared_dir, small
 
 LENGTH, K = 200, 48
 GROUP = 100_000  # windows of one minimizer that one task sorts at most
@@ -157,7 +157,7 @@ def _anchors(texts: DataFrame, length: int, wide: bool) -> DataFrame:
 
     def run(batches):
         cut = Minimizers(length)
-        for batch in batches:
+        for batch in small(batches):
             hs, shs, at, ns, which = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if len(t) < length:
@@ -192,7 +192,7 @@ def _snippets(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "copies", "at", "n")).alias("all"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for key, body, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(r["h"], r["copies"], key, r["at"], body[r["at"]:r["at"] + r["n"] + length - 1]) for r in rows]
@@ -220,7 +220,7 @@ def _sorted_repeats(snippets: DataFrame, length: int) -> DataFrame:
 
         held: list[tuple] = []
         size, out = 0, []
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > 2 * GROUP and row[0] != held[-1][0]:
                     out += flush()
@@ -245,14 +245,14 @@ def _counted_repeats(snippets: DataFrame, length: int) -> DataFrame:
     """The same for large groups: windows counted by hash."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for copies, key, at, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(xxhash.xxh3_128_digest(s[i:i + length]), copies, key, at + i) for i in range(len(s) - length + 1)]
             if out:
                 w, c, k, a = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), pa.array(a, pa.int32())],
-                                                 ["w", "copies", "key", "from"])
+                cols = [pa.array(w, pa.binary()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), pa.array(a, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["w", "copies", "key", "from"])
 
     windows = snippets.select("copies", "key", "at", "snippet").mapInArrow(run, "w binary, copies long, key binary, from int")
     again = windows.groupBy("w").agg(F.sum("copies").alias("c")).where("c > 1").select("w")
@@ -292,7 +292,7 @@ def _kept(texts: DataFrame, length: int, schema: str, names: list[str], row) ->
     lists = repeats(texts, length).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for key, body, copies, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ranges: list[list[int]] = []

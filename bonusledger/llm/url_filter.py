@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, small
 
 # The rules as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -66,7 +66,7 @@ def segments(pieces: DataFrame, words: DataFrame) -> DataFrame:
     unseen = math.log(total) + 5.0
 
     def viterbi(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for piece, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(piece)

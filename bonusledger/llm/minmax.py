@@ -9,8 +9,9 @@ below ``miss``.
 Equal sets are one class.  In each bucket every class is compared with the one
 that shares buckets with most others, on full sets; components of the links
 follow.  Buckets that then still hold several components are compared whole, in
-tiles of bounded size: products of incidence matrices give all intersections of
-two tiles, and a spanning forest of the links leaves the task.  So every pair of
+tiles of bounded size, each set as its difference from the head's: products of
+incidence matrices give all intersections of two tiles, and a spanning forest of
+the links leaves the task.  So every pair of
 classes that shares a bucket is either compared or already joined, and no pairs of
 a bucket are ever listed.
 
@@ -28,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, land, spanning
+from .common import components, land, small, spanning
 
 ROWS, MISS = 5, 1e-6
-_CACHE = 500_000
+_CACHE = 200_000  # words that a worker keeps
 TILE = 512  # members of a tile at most, about
 COLUMNS = 20_000  # columns of an incidence matrix at once
 
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float
 
     def run(batches):
         seen = _Words()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for t in batch.column(2).to_pylist():
                 x = shingles(t, k, seen)
@@ -115,11 +116,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float
         run, "doc_id long, md5 binary, n long, k1 long, k2 long, buckets array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (head, cid) on full sets: whether they are similar enough, the size of
+    the head's set, and the other set as its difference from it (the shingles that
+    only one has, and how many of them are the head's)."""
     percent = round(threshold * 100)
-    both = (pairs.join(texts.selectExpr("cid as a", "text as ta"), "a")
-            .join(texts.selectExpr("cid as b", "text as tb"), "b"))
+    both = (pairs.join(texts.selectExpr("cid as head", "text as th"), "head")
+            .join(texts.selectExpr("cid", "text as tc"), "cid"))
+    names = ["head", "cid", "linked", "full", "gone", "delta"]
 
     def run(batches):
         seen, sets = _Words(), {}
@@ -131,66 +135,72 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
                 sets[cid] = shingles(t, k, seen)
             return sets[cid]
 
-        for batch in batches:
-            keep = []
-            for i, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        for batch in small(batches):
+            linked, full, gone, delta = [], [], [], []
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = of(a, ta), of(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                d = np.setxor1d(x, y, assume_unique=True)
+                same = (len(x) + len(y) - len(d)) // 2
+                linked.append(100 * same >= percent * (len(d) + same))
+                full.append(len(x))
+                gone.append(len(x) - same)
+                delta.append(d.view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(full, pa.int64()),
+                pa.array(gone, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names)
 
-    return both.select("a", "b", F.col("ta").cast("binary"), F.col("tb").cast("binary")).mapInArrow(
-        run, "a long, b long")
+    return both.select("head", "cid", F.col("th").cast("binary"), F.col("tc").cast("binary")).mapInArrow(
+        run, "head long, cid long, linked boolean, full long, gone long, delta array<long>")
 
 
 def _tile_links(a: list, b: list, percent: int) -> set[tuple[int, int]]:
-    """Links that join what the similar pairs of two tiles join; a member is (cid,
-    root, set), and members of one root are joined already."""
-    sets = [np.array(m[2], np.int64) for m in (*a, *b)]
-    sizes = np.array([len(x) for x in sets])
-    _, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    """Links that join what the similar pairs of two tiles join.  A member is a
+    dict of cid, root, n, full, gone and delta; members of one root are joined
+    already.  With differences from one head's set of ``full`` shingles, two sets
+    share full - gone - gone' + |delta and delta'|."""
+    members = [*a, *b]
+    sizes, gone, roots, cids = (np.array([m[c] for m in members], np.int64) for c in ("n", "gone", "root", "cid"))
+    deltas = [np.array(m["delta"], np.int64) for m in members]
+    _, place, seen = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(members)), [len(x) for x in deltas])
     shared = seen[place] > 1
     row, col = row[shared], np.unique(place[shared], return_inverse=True)[1]
-    both = np.zeros((len(a), len(b)), np.float32)
+    n = len(a)
+    both = (members[0]["full"] - gone[:n, None] - gone[n:]).astype(np.float32)
     for at in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
         here = (col >= at) & (col < at + COLUMNS)
-        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m = np.zeros((len(members), int(min(COLUMNS, col.max() + 1 - at))), np.float32)
         m[row[here], col[here] - at] = 1
-        both += m[:len(a)] @ m[len(a):].T
-    apart = np.array([m[1] for m in a])[:, None] != np.array([m[1] for m in b])
-    i, j = np.nonzero(apart & (100 * both >= percent * (sizes[:len(a), None] + sizes[len(a):] - both)))
-    return spanning(np.array([m[0] for m in a]), np.array([m[0] for m in b]), i, j)
+        both += m[:n] @ m[n:].T
+    both = both.astype(np.int64)  # sums of counts below 2 to the 24 are exact
+    apart = roots[:n, None] != roots[n:]
+    i, j = np.nonzero(apart & (100 * both >= percent * (sizes[:n, None] + sizes[n:] - both)))
+    return spanning(cids[:n], cids[n:], i, j)
 
 
-def _rest(rooted: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _rest(rooted: DataFrame, compared: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of a bucket with different roots."""
     percent = round(threshold * 100)
     split = rooted.groupBy("bucket").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / TILE).alias("tiles")).where("r0 != r1")
-    rest = land(rooted.join(split.select("bucket", "tiles"), "bucket").select("bucket", "tiles", "cid", "root"), "minmax-rest")
-
-    def hashed(batches):
-        seen = _Words()
-        for batch in batches:
-            x = [shingles(t, k, seen).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int64()))], ["cid", "x"])
-
-    sets = texts.join(rest.select("cid").distinct(), "cid").select("cid", F.col("text").cast("binary")).mapInArrow(
-        hashed, "cid long, x array<long>")
+    rest = rooted.join(split.select("bucket", "tiles"), "bucket")
     tile = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("tiles")).alias("tile")
-    tiles = land(rest.select("bucket", "tiles", "cid", "root", tile).join(sets, "cid").groupBy("bucket", "tile").agg(
-        F.first("tiles").alias("tiles"), F.collect_list(F.struct("cid", "root", "x")).alias("members")), "minmax-tiles")
+    own = F.col("cid") == F.col("head")
+    member = F.struct("cid", "root", "n", F.when(own, F.col("n")).otherwise(F.col("full")).alias("full"),
+                      F.coalesce("gone", F.lit(0)).alias("gone"),
+                      F.coalesce("delta", F.array().cast("array<long>")).alias("delta"))
+    tiles = land(
+        rest.join(compared.select("head", "cid", "full", "gone", "delta"), ["head", "cid"], "left")
+        .select("bucket", "tiles", tile, member.alias("member")).groupBy("bucket", "tile").agg(
+            F.first("tiles").alias("tiles"), F.collect_list("member").alias("members")), "minmax-tiles")
     one = tiles.select("bucket", F.col("tile").alias("t1"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("t2"), "members")
     two = tiles.select("bucket", F.col("tile").alias("t2"), F.col("members").alias("members2"))
 
     def compare(batches):
-        for batch in batches:
+        for batch in small(batches):
             links: set = set()
             for i in range(batch.num_rows):
-                a, b = ([(m["cid"], m["root"], m["x"]) for m in c[i].as_py()] for c in batch.columns)
-                links |= _tile_links(a, b, percent)
+                links |= _tile_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
             links = {(x, y) for x, y in links if x != y}
             cols = list(zip(*links, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
@@ -222,18 +232,16 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str
     texts = land(
         source.join(wanted, (source["id"].eqNullSafe(wanted["id"])) & (source["md5"] == wanted["md5"]))
         .select("cid", "text").dropDuplicates(["cid"]), "minmax-texts")
-    fits = f"100 * least(na, nb) >= {round(threshold * 100)} * greatest(na, nb)"
-    sizes = classes.select(F.col("cid").alias("head"), F.col("n").alias("nb"))
-    pairs = (inside.where("cid != head").select("cid", "head", F.col("n").alias("na")).distinct()
-             .join(sizes, "head").where(fits).select(F.col("head").alias("a"), F.col("cid").alias("b")))
-    links = land(_linked(pairs, texts, k, threshold), "minmax-links")
+    pairs = inside.where("cid != head").select("head", "cid").distinct()
+    compared = land(_compared(pairs, texts, k, threshold), "minmax-compared")
+    links = compared.where("linked").select(F.col("head").alias("a"), F.col("cid").alias("b"))
     roots = land(components(links), "minmax-roots")
 
     rooted = inside.join(roots, F.col("cid") == F.col("node"), "left").select(
-        "bucket", "cid", F.coalesce("root", "cid").alias("root"))
-    more = land(_rest(land(rooted, "minmax-rooted"), texts, k, threshold), "minmax-links")
+        "bucket", "cid", "n", "head", F.coalesce("root", "cid").alias("root"))
+    more = land(_rest(land(rooted, "minmax-rooted"), compared, threshold), "minmax-links")
     if not more.isEmpty():
-        roots = land(components(links.union(more)), "minmax-roots")
+        roots = land(components(roots.selectExpr("node as a", "root as b").union(more)), "minmax-roots")
 
     own = classes.join(roots, F.col("cid") == F.col("node"), "left").select(
         "cid", "k1", "k2", "first", F.coalesce("root", "cid").alias("root"))

@@ -400,11 +400,9 @@ def quarter_employees(spark, sf_dir):
 
 def _flex(spark, sf_dir, cfg):
     e = RP.filtered_entries(_entries(spark, sf_dir), cfg)
-    prepared = BU.prepare(_lines(spark, sf_dir))
-    records, edges = BU.budget_scan(prepared=prepared)
-    pmap = BU.parent_map_from_edges(edges)
-    return RU.landed_rows(RP.flex_rows(e, BU.plan_from_prepared(prepared), cfg, BR.adjustments(spark, sf_dir, QUARTER),
-                                       lambda keys: RU.resolve_budget(keys, records, pmap)))
+    (plan, records, pmap), daily = concurrently(lambda: RP.budget_of(_lines(spark, sf_dir)), lambda: BK.landed_day_hours(e))
+    return RP.flex_rows(daily, plan, cfg, BR.adjustments(spark, sf_dir, QUARTER),
+                        lambda keys: RU.resolve_budget(keys, records, pmap))
 
 
 def flex_rows(spark, sf_dir):

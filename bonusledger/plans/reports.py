@@ -173,17 +173,16 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
 
 # ------------------------------------------------------------ flexible
 
-def flex_rows(entries_f: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
+def flex_rows(daily: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
               resolved) -> DataFrame:
     """B18 / B19 per (employee, block, key): prorated monthly budgets and whole-
     quarter hours for the shared special milestones, plan values otherwise (no
     roll-back, no name extraction), billing type by J3 (D14) and the user's
     adjustment.  ``resolved`` makes the budget resolution of given keys.
 
-    The entries are added up per employee, day and key once; blocks, weeks and
-    quarters are rolled up from that.  An adjustment of a month stands in the last
+    ``daily`` has the hours per employee, day and key (landed once); blocks, weeks
+    and quarters are rolled up from that.  An adjustment of a month stands in the last
     block in which the employee booked on the key in that month."""
-    daily = BK.landed_day_hours(entries_f)
     e = BK.assign_blocks(daily, cfg.time_grouping, cfg.start_date, cfg.end_date)
     if cfg.exclude_special_projects:  # P9, second pass
         e = e.where(~S.is_special_project("proj_norm"))
@@ -258,16 +257,19 @@ def flex_summary(block_totals: DataFrame) -> DataFrame:
         *[F.sum(c).cast(S.EXACT).alias(c) for c in FLEX_HOURS if c in block_totals.columns])
 
 
+def budget_of(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plan, records and parent map of a budget export, from one landed pass."""
+    prepared = BU.prepare(lines)
+    records, edges = BU.budget_scan(prepared=prepared)
+    return BU.plan_from_prepared(prepared), records, BU.parent_map_from_edges(edges)
+
+
 def flexible_report(entries_f: DataFrame, lines: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
                     positions: DataFrame) -> dict[str, DataFrame]:
     """The flexible report: rows with billing, position and adjustment, totals per
     employee and block, totals per block and over all, budget overview."""
-    prepared = BU.prepare(lines)
-    records, edges = BU.budget_scan(prepared=prepared)
-    pmap = BU.parent_map_from_edges(edges)
-    rows = flex_rows(entries_f, BU.plan_from_prepared(prepared), cfg, adjustments,
-                     lambda keys: RU.resolve_budget(keys, records, pmap))
-    rows = RU.landed_rows(rows)
+    (plan, records, pmap), daily = concurrently(lambda: budget_of(lines), lambda: BK.landed_day_hours(entries_f))
+    rows = RU.landed_rows(flex_rows(daily, plan, cfg, adjustments, lambda keys: RU.resolve_budget(keys, records, pmap)))
     totals = flex_block_totals(rows)
     if not cfg.include_bonus_calc:
         totals = totals.drop(*FLEX_HOURS[1:])

@@ -321,6 +321,29 @@ def test_quality_odd_rows(spark):
     assert quality.keep_good(docs.where("text is null")).count() == 0
 
 
+def test_toxic_documents_go(spark):
+    d = SF_SMALL.replace("0.001", "0.01")
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    got = {r["doc_id"]: r["toxic"] for r in quality.op8_weak_labels(spark, d).collect()}
+    left = {r["doc_id"] for r in quality.keep_good(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    labels = spark.read.parquet(f"{d}/labels.parquet").collect()
+    # abuse in the other languages of the test data is made of invented words that no gazetteer lists
+    toxic = [r["doc_id"] for r in labels if r["toxic"] == 1 and r["quality"] == 1 and lang[r["doc_id"]] == "en"]
+    clean = [r["doc_id"] for r in labels if r["toxic"] == 0]
+    assert len(toxic) > 20 and all(got[i] and i not in left for i in toxic)
+    assert not any(got[i] for i in clean)
+    assert all(r["doc_id"] in left for r in labels if r["quality"] == 1 and r["toxic"] == 0)
+
+
+def test_toxicity_verdict():
+    filler = " ".join(f"w{i}" for i in range(60))
+    for bad in ("You IDIOT, you pathetic clown!", "Du Vollidiot, du DÄMLICHER Schwachkopf.", "«Connard», espèce d'ENFOIRÉ.", "¡Eres un GILIPOLLAS, imbécil!"):
+        assert quality.is_toxic(f"{filler} {bad} {filler}".encode())
+    assert quality.is_toxic(b"what a motherfucker he is") and quality.is_toxic("Du Arschloch".encode())
+    for good in ("", None, "Take out the trash.", f"{filler} the clown juggled {filler}", "the word idiot and the word fool " + filler * 20):
+        assert not quality.is_toxic(good.encode() if good else good)
+
+
 # ---------- repeats
 
 def brute_repeats(bodies, n=200):

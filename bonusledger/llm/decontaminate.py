@@ -8,7 +8,8 @@ window are noted.
 
 Items are cut into blocks of at most ``block_words`` words; each block makes one
 automaton, so what is sent to the executors at once is bounded, and a document
-passes the blocks one after another within its task.  Nulls have no words; an
+passes the blocks one after another within its task (``decontaminate`` lands what
+is found after ``AT_ONCE`` of them).  Nulls have no words; an
 empty benchmark leaves all documents as they are; repeated items count each.
 """
 
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small
+from .common import land, small
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+AT_ONCE = 4  # blocks whose automata a task of ``decontaminate`` holds
 # Separators are the ASCII characters but letters and digits; A-Z are lower-cased.
 _SPACE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -160,68 +162,128 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
                  block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``__n_words``, the covered word ranges ``__from`` / ``__to``
     and the ids ``__items`` of the items found."""
-    spark, schema = docs.sparkSession, T.StructType([*docs.schema.fields, *FOUND.fields])
     for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches, sent=sent):
-            automaton = Automaton(sent.value, window)
-            for batch in small(batches):
-                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-                old = [cols[f.name].to_pylist() if f.name in cols else None for f in FOUND.fields]
-                out: list[list] = [[], [], [], []]
-                for i, t in enumerate(cols[text].cast(pa.binary()).to_pylist()):
-                    seq = words(t)
-                    spans, found = automaton.scan(seq)
-                    if old[1] is not None:
-                        spans = _merged([*spans, *zip(old[1][i], old[2][i], strict=True)])
-                        found |= set(old[3][i])
-                    for to, value in zip(out, (len(seq), [a for a, _ in spans], [b for _, b in spans],
-                                               [x for x in found if x is not None]), strict=True):
-                        to.append(value)
-                for f, values in zip(FOUND.fields, out, strict=True):
-                    cols[f.name] = pa.array(values, pa.int64() if f.name == "__n_words" else pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], [f.name for f in schema.fields])
-
-        docs = docs.mapInArrow(scan, schema)
+        docs = _scanned(docs, block, text, window)
     return docs
 
 
+def _scanned(docs: DataFrame, block: list[tuple[int, list[bytes]]], text: str, window: int) -> DataFrame:
+    """``docs`` with the columns of ``FOUND``, added to by one block of items."""
+    fields = [f for f in docs.schema.fields if f.name not in FOUND.names]
+    schema = T.StructType([*fields, *FOUND.fields])
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def scan(batches):
+        automaton = Automaton(sent.value, window)
+        for batch in small(batches):
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            old = [cols[f.name].to_pylist() if f.name in cols else None for f in FOUND.fields]
+            out: list[list] = [[], [], [], []]
+            for i, t in enumerate(cols[text].cast(pa.binary()).to_pylist()):
+                seq = words(t)
+                spans, found = automaton.scan(seq)
+                if old[1] is not None:
+                    spans = _merged([*spans, *zip(old[1][i], old[2][i], strict=True)])
+                    found |= set(old[3][i])
+                for to, value in zip(out, (len(seq), [a for a, _ in spans], [b for _, b in spans],
+                                           [x for x in found if x is not None]), strict=True):
+                    to.append(value)
+            for f, values in zip(FOUND.fields, out, strict=True):
+                cols[f.name] = pa.array(values, pa.int64() if f.name == "__n_words" else pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], [f.name for f in schema.fields])
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _without(t: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words [from, to) of the spans."""
+    place = [m.span() for m in _WORD.finditer(t.translate(_SPACE))]
+    parts, done = [], 0
+    for a, b in spans:
+        parts.append(t[done:place[a][0]])
+        done = place[b - 1][1]
+    return b"".join([*parts, t[done:]])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
                   max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without covered spans in ``text``; a document of which more than
-    ``max_coverage`` of the words are covered goes.  Cutting may bring words
-    together that make a new window, so a text is cut until it has none (with
-    several blocks, until no block alone finds one in its pass)."""
-    spark, schema = docs.sparkSession, docs.schema
-    for block in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def cut(batches, sent=sent):
-            automaton = Automaton(sent.value, window)
-            for batch in small(batches):
-                at = batch.schema.names.index(text)
-                keep, texts = [], []
-                for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
-                    seq = words(t)
-                    spans = automaton.scan(seq)[0]
-                    if sum(b - a for a, b in spans) > max_coverage * len(seq):
-                        continue
-                    while spans:
-                        place = [m.span() for m in _WORD.finditer(t.translate(_SPACE))]
-                        parts, done = [], 0
-                        for a, b in spans:
-                            parts.append(t[done:place[a][0]])
-                            done = place[b - 1][1]
-                        t = b"".join([*parts, t[done:]])
-                        spans = automaton.scan(words(t))[0]
-                    keep.append(i)
-                    texts.append(t)
-                out = batch.take(pa.array(keep, pa.int64()))
-                yield out.set_column(at, out.schema.field(at), pa.array(texts, pa.binary()).cast(out.schema.field(at).type))
-
-        docs = docs.mapInArrow(cut, schema)
-    return docs
+    ``max_coverage`` of the words are covered by all items together goes.  Cutting
+    may bring words together that make a new window, so a text is cut until it has
+    none.  The result does not depend on ``block_words``: with several blocks each
+    round finds the spans of all blocks before it cuts, and texts that were cut go
+    round again."""
+    blocks = _blocks(benchmark, block_words)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _cut_at_once(docs, block, text, window, max_coverage)
+    parts, names, most = [], docs.columns, max_coverage
+    while True:
+        found = docs
+        for n, block in enumerate(_blocks(benchmark, block_words), 1):
+            found = _scanned(found, block, text, window)
+            if n % AT_ONCE == 0:
+                found = land(found, "matches")
+        cut = land(_cut(found, names, text, most), "cut")
+        parts.append(cut.where("not __again").select(*names))
+        docs, most = cut.where("__again").select(*names), None
+        if docs.isEmpty():
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _cut(found: DataFrame, names: list[str], text: str, max_coverage: float | None) -> DataFrame:
+    """The columns ``names`` with the found spans cut from the text, and whether
+    there were any (``__again``); above ``max_coverage`` (if given) a row goes."""
+    schema = T.StructType([*(found.schema[n] for n in names), T.StructField("__again", T.BooleanType())])
+
+    def run(batches):
+        for batch in small(batches):
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            keep, texts, again = [], [], []
+            for i, (t, n, a, b) in enumerate(zip(cols[text].cast(pa.binary()).to_pylist(), *(
+                    cols[k].to_pylist() for k in FOUND.names[:3]), strict=True)):
+                spans = list(zip(a, b, strict=True))
+                if max_coverage is not None and sum(y - x for x, y in spans) > max_coverage * n:
+                    continue
+                keep.append(i)
+                texts.append(_without(t, spans) if spans else t)
+                again.append(bool(spans))
+            out = batch.select(names).take(pa.array(keep, pa.int64()))
+            at = names.index(text)
+            out = out.set_column(at, out.schema.field(at), pa.array(texts, pa.binary()).cast(out.schema.field(at).type))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(again, pa.bool_())], schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def _cut_at_once(docs: DataFrame, block: list[tuple[int, list[bytes]]], text: str, window: int,
+                 max_coverage: float) -> DataFrame:
+    """All rounds in one pass, for items that make one block."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def cut(batches):
+        automaton = Automaton(sent.value, window)
+        for batch in small(batches):
+            at = batch.schema.names.index(text)
+            keep, texts = [], []
+            for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
+                seq = words(t)
+                spans = automaton.scan(seq)[0]
+                if sum(b - a for a, b in spans) > max_coverage * len(seq):
+                    continue
+                while spans:
+                    t = _without(t, spans)
+                    spans = automaton.scan(words(t))[0]
+                keep.append(i)
+                texts.append(t)
+            out = batch.take(pa.array(keep, pa.int64()))
+            yield out.set_column(at, out.schema.field(at), pa.array(texts, pa.binary()).cast(out.schema.field(at).type))
+
+    return docs.mapInArrow(cut, docs.schema)
 
 
 def op5_suffix_automaton(spark, sf_dir: str) -> DataFrame:

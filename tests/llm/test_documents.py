@@ -127,6 +127,23 @@ def test_cut_leaves_no_window(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_cut_does_not_depend_on_blocks(spark):
+    items, texts = contaminated_tables()
+    x, y = prose(2001, 30), prose(2002, 30)
+    items = [(100, x), *items, (101, y), (102, None)]
+    # three tenths in the first block and three in the last; and a window of the first made by a cut for the last
+    texts = [*texts, f"{x} {y} {prose(2003, 40)}", f"{prose(2004, 40)} {' '.join(x.split()[:6])} {y} {' '.join(x.split()[6:14])} {prose(2005, 40)}"]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame(docs_of(texts), DOCS)
+    whole = decontaminate.decontaminate(docs, bench)
+    parts = decontaminate.decontaminate(docs, bench, block_words=60)
+    assert parts.columns == docs.columns
+    key = lambda df: sorted((r["doc_id"] or -1, r["text"] or "") for r in df.collect())
+    got = key(parts)
+    assert got == key(whole) and len(texts) - 2 not in {i for i, _ in got}
+    assert all(not brute_matches(t, items)[1] for _, t in got)
+
+
 def test_matches_query(spark, save):
     items, texts = contaminated_tables()
     save("benchmark", items, "item_id long, text string")

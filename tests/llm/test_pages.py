@@ -72,6 +72,15 @@ def test_alignment():
     assert wrappers.fold(["a", "b", "a", "b", "c"]) == [["+", ["a", "b"]], "c"]
 
 
+def test_alignment_of_long_streams_keeps_all_slots(monkeypatch):
+    monkeypatch.setattr(wrappers, "LARGEST", 1)
+    x = ["h", "article/p", ["?", ["n"]]]
+    y = [["+", ["article/p", "article/blockquote"]], "article/p", "t"]
+    got = wrappers.align(x, y)
+    assert set(wrappers.slots(got)) == {"h", "n", "t", "article/p", "article/blockquote"}
+    assert wrappers.align(x, ["article/p", "n"]) == [["?", ["h"]], ["?", ["article/p"]], ["?", ["n"]]]
+
+
 # ---------- embeddings
 
 def brute_links(rows, least=0.93):

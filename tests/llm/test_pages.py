@@ -54,6 +54,21 @@ def test_main_text_without_main_part(spark):
     assert {r["text"] for r in rows.collect()} == {"one two three\nfour\nx"}
 
 
+@pytest.mark.parametrize("layout", ["layout has-sidebar", "no-sidebar", "page with-comments", "sticky-header", "sidebar-right-layout"])
+def test_marked_layout_around_the_article(spark, layout):
+    html = (f"<body><div class=menu><p>m</p></div><div class='{layout}'><article><h1>h {{0}}</h1><p>one {{0}}</p><div class=share><p>s</p></div>"
+            "</article><aside><article><p>a</p></article></aside><div id=comments><article><p>c, long and longer</p></article></div></div><footer>f</footer></body>")
+    pages = [(i, "http://h/", html.format(i)) for i in range(4)]
+    rows = wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"h {i}\none {i}" for i in range(4)}
+
+
+def test_marked_parts_beside_the_article():
+    paths = ["body/main/p", "body/div.related/article/p", "body/div.header/nav/article/p"]
+    assert wrappers.content_slots(paths, {p: 99 for p in paths[1:]}) == paths[:1]
+    assert wrappers.content_slots(paths[1:], {p: 99 for p in paths}) == paths[1:2]
+
+
 @pytest.mark.parametrize("group", [wrappers.GROUP, 3])
 def test_wrappers_of_many_streams(spark, group):
     r = random.Random(3)

@@ -54,6 +54,17 @@ def test_main_text_without_main_part(spark):
     assert {r["text"] for r in rows.collect()} == {"one two three\nfour\nx"}
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div><h1>h</h1><div><p>one two</p></div></div>", "h\none two"),
+    ("<h1>h</h1><div><p>p</p><ul><li>a long list item</li><li>and another one</li></ul><p>q</p></div>", "h\np\na long list item\nand another one\nq"),
+    ("<div><h2>h</h2><p>p</p><table><tr><td>many words in a cell</td></tr></table></div>", "h\np\nmany words in a cell"),
+    ("<div><p>p</p></div><divider><p>q</p></divider>", "p\nq")])
+def test_nothing_is_lost_without_main_part(spark, html, text):
+    page = f"<body><nav><p>n</p></nav><div class=sidebar><p>many, many, many words beside</p></div>{html}<footer>f</footer></body>"
+    rows = wrappers.extract(spark.createDataFrame([(i, "http://h/", page) for i in range(3)], "page_id long, url string, html string"))
+    assert {r["text"] for r in rows.collect()} == {text}
+
+
 @pytest.mark.parametrize("layout", ["layout has-sidebar", "no-sidebar", "page with-comments", "sticky-header", "sidebar-right-layout"])
 def test_marked_layout_around_the_article(spark, layout):
     html = (f"<body><div class=menu><p>m</p></div><div class='{layout}'><article><h1>h {{0}}</h1><p>one {{0}}</p><div class=share><p>s</p></div>"

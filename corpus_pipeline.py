@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``; the last adds the ids of the text.  Where a stage changes
-texts, ``n_chars`` (if there is one) follows.
+columns of ``documents``; the last adds the ids of the text and whether they
+decode to it.  Where a stage changes texts, ``n_chars`` (if there is one) follows.
 """
 
 from __future__ import annotations
@@ -42,8 +42,11 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and their number."""
-    return pieces.encode(docs, out="ids").withColumn("n_tokens", F.size("ids").cast("long"))
+    """The ids of each text, their number, and whether decoding gives the text back
+    (U+2581 as a space, null as empty)."""
+    rows = pieces.decode(pieces.encode(docs, out="ids"), out="__back")
+    same = F.col("__back") == F.coalesce(F.translate("text", pieces.SPACE, " "), F.lit(""))
+    return rows.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded", same).drop("__back")
 
 
 STAGES = [

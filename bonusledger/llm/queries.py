@@ -1,6 +1,20 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, embed_tiles, hash_tree, minmax, personal, pieces, quality, suffix_dedup, url_filter, wrappers
+from . import (
+    conversations,
+    decontaminate,
+    embed_tiles,
+    hash_tree,
+    minmax,
+    personal,
+    pieces,
+    quality,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+    vector_codes,
+    wrappers,
+)
 
 QUERIES = {
     "op1_wrappers": wrappers.op1_wrappers,
@@ -13,6 +27,9 @@ QUERIES = {
     "op8_weak_labels": quality.op8_weak_labels,
     "op9_two_stage": suffix_dedup.op9_two_stage,
     "op10_min_max": minmax.op10_min_max,
+    "op11_whole_tokens": token_counts.op11_whole_tokens,
+    "op12_run_length": conversations.op12_run_length,
+    "op13_gnat": vector_codes.op13_gnat,
 }
 
 SQL = {"op5_suffix_automaton": decontaminate.OP5_SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..session import materialize
-from . import bridge
+from . import bridge, xml_scan
 
 # ---------------------------------------------------------------- budget CSV
 
@@ -131,21 +131,6 @@ CELLS = ["staff_name", "project", "work_package_name", "date", "number", "time_f
 ROW_SCHEMA = "cell ARRAY<STRUCT<_VALUE: STRING, _name: STRING>>, _corrupt_record STRING"
 
 
-def decoded(content):
-    """The characters of an XML document: by byte-order mark, else as declared,
-    else UTF-8.  An encoding beyond these is an error, not garbage."""
-    mark = F.hex(F.substring(content, 1, 3))
-    declared = F.upper(F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), "encoding\\s*=\\s*[\"']([^\"']+)", 1))
-    text = (
-        F.when(mark.startswith("FFFE") | mark.startswith("FEFF") | declared.startswith("UTF-16"), F.decode(content, "UTF-16"))
-        .when(declared.isin("", "UTF-8", "UTF8", "US-ASCII") | (mark == "EFBBBF"), content.cast("string"))
-        .when(declared.isin("ISO-8859-1", "LATIN1", "LATIN-1"), F.decode(content, "ISO-8859-1"))
-        .when(declared.isin("WINDOWS-1252", "CP1252"), F.decode(content, "windows-1252"))
-        .otherwise(F.raise_error(F.concat(F.lit("XML encoding not supported: "), declared)).cast("string"))
-    )
-    return F.translate(text, "\ufeff", "")
-
-
 def _plain_cdata(text):
     """CDATA sections as escaped characters, comments left out."""
     esc = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -163,20 +148,20 @@ def declared_entities(text):
                         F.regexp_extract_all(prolog, pattern, F.lit(2)).alias("value"))
 
 
-def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None) -> DataFrame:
+def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None,
+                  block: int = xml_scan.BLOCK) -> DataFrame:
     """S3 + S5: every <row> of every file, its <cell name=..> texts by name (the
     last of a repeated name wins), valid rows only (P1), normalised (F9, F11, F16).
 
-    A file is one document, decoded and cut into rows in a task of its own (exports
-    are 100 MB at most by the upload limit); many files are read side by side.  A
-    row that can't be parsed is an error, not a lost booking.
+    A document of any size is lexed by many tasks (``xml_scan``); rows may be nested,
+    a row's cells are its own.  Documents that are truncated or unbalanced are an
+    error when this is called, a row that can't be parsed is one when it is read.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    docs = spark.read.format("binaryFile").load(paths).select(
-        F.col("path").alias("source_file"), decoded(F.col("content")).alias("text"))
-    docs = docs.select("source_file", declared_entities(F.col("text")).alias("declared"), _plain_cdata(F.col("text")).alias("text"))
-    rows = F.regexp_extract_all("text", F.lit(r"(?s)<row(?:\s[^>]*)?(?<!/)>(.*?)</row\s*>"), F.lit(1))
-    return parse_rows(docs.select("source_file", "declared", F.explode(rows).alias("body")), entities)
+    rows, prologs = xml_scan.read_rows(spark, [paths] if isinstance(paths, str) else list(paths), block)
+    declared = prologs.select("source_file", declared_entities(F.col("prolog")).alias("declared")).where("size(declared) > 0")
+    rows = rows.withColumn("body", _plain_cdata(F.col("body"))).join(declared, "source_file", "left")
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return parse_rows(rows.withColumn("declared", F.coalesce("declared", none)), entities)
 
 
 def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:

@@ -64,3 +64,26 @@ def scan(df: DataFrame, fills: dict[str, Column] | None = None, prior_fills: dic
 def running_sum(df: DataFrame, value: Column, out: str, part: str = "file_path", order: str = "row_no",
                 chunk: int = CHUNK) -> DataFrame:
     return scan(df, sums={out: value}, part=part, order=order, chunk=chunk)
+
+
+def block_scan(df: DataFrame, part: str, block: str, order: str, sums: dict[str, Column], lags: dict[str, Column]) -> DataFrame:
+    """One ordered pass over rows that lie in blocks (a file's splits), in the order
+    (``block``, ``order``): running sums up to and with the current row, and values
+    of the row before.  A window holds one block; what a block needs from earlier
+    ones comes from a table of one row per block."""
+    values = {f"_s_{k}": v for k, v in sums.items()} | {f"_v_{k}": v for k, v in lags.items()}
+    d = df.withColumns(values)
+    inside = Window.partitionBy(part, block).orderBy(order)
+    d = d.withColumns({f"_l_{k}": F.sum(f"_s_{k}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for k in sums}
+                      | {f"_l_{k}": F.lag(f"_v_{k}").over(inside) for k in lags})
+    per_block = d.groupBy(part, block).agg(*[F.sum(f"_s_{k}").alias(f"_c_{k}") for k in sums],
+                                           *[F.max_by(f"_v_{k}", order).alias(f"_c_{k}") for k in lags], F.min(order).alias("_first"))
+    over = Window.partitionBy(part).orderBy(block)
+    carry = per_block.select(
+        part, block, "_first", *[(F.sum(f"_c_{k}").over(over) - F.col(f"_c_{k}")).alias(f"_k_{k}") for k in sums],
+        *[F.lag(f"_c_{k}").over(over).alias(f"_k_{k}") for k in lags])
+    d = d.join(carry, [part, block])
+    first = F.col(order) == F.col("_first")
+    d = d.withColumns({k: F.col(f"_l_{k}") + F.col(f"_k_{k}") for k in sums}
+                      | {k: F.when(first, F.col(f"_k_{k}")).otherwise(F.col(f"_l_{k}")) for k in lags})
+    return d.drop("_first", *[c for c in d.columns if c[:3] in ("_v_", "_s_", "_l_", "_k_")])

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..operators import ordered
 from ..session import materialize
 from . import bridge, xml_scan
 
@@ -37,24 +38,103 @@ INTERNAL = {
 }
 
 
-MAX_COLUMNS = 128  # fields of a line that are read
 BLANKS = "\u200b\ufeff"  # zero-width characters that headers may hold
 
 
-def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def detect_encodings(fragments: DataFrame) -> DataFrame:
     """(file_path, encoding) per budget file: a UTF-16 byte-order mark wins, then
-    a UTF-8 one, then valid UTF-8 in every line, else Windows-1252.  One splittable
-    pass over the lines; no file is held whole."""
-    lines = spark.read.text(list(paths)).select(
+    a UTF-8 one, then valid UTF-8 in every line, else Windows-1252."""
+    mark = F.min_by(F.hex(F.substring("bytes", 1, 2)), F.struct("at", "n"))
+    marks = fragments.groupBy("file_path").agg(mark.alias("mark"), F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"))
+    return marks.select("file_path", F.when(F.col("mark") == "FFFE", F.lit("UTF-16LE")).when(F.col("mark") == "FEFF", F.lit("UTF-16BE"))
+                        .when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("windows-1252")).alias("encoding"))
+
+
+def _utf16_lines(fragments: DataFrame) -> DataFrame:
+    """Lines of UTF-16 files from fragments that end at a byte 0A.  Such a byte may
+    be half of another character: it ends a line if it stands at a code unit's low
+    byte and the high byte is zero, which the bytes before the fragment in its file
+    tell, a running sum over the file's splits.  Fragments of a line are joined."""
+    little = F.col("encoding") == "UTF-16LE"
+    d = ordered.block_scan(fragments.withColumn("size", F.octet_length("bytes") + 1), "file_path", "at", "n",
+                           {"upto": F.col("size")}, {"before": F.hex(F.expr("right(bytes, 1)"))})
+    at = F.col("upto") - F.col("size")  # offset of the fragment; the byte 0A stands before it
+    begins = F.when(little, (at % 2 == 1) & (F.hex(F.substring("bytes", 1, 1)) == "00")).otherwise(
+        (at % 2 == 0) & (F.col("before") == "00"))
+    d = d.withColumn("begins", F.coalesce(begins, F.lit(False)) | (at == 0))
+    d = ordered.block_scan(d, "file_path", "at", "n", {"line": F.col("begins").cast("long")}, {})
+    parts = F.sort_array(F.collect_list(F.struct("at", "n", "bytes")))
+    lines = d.groupBy("file_path", "encoding", "line").agg(F.min("at").alias("at"), F.min("n").alias("n"), parts.alias("parts"))
+    whole = F.aggregate("parts", F.lit(None).cast("binary"), lambda got, p: F.when(got.isNull(), p["bytes"]).otherwise(
+        F.concat(got, F.lit(b"\n"), p["bytes"])))
+    lines = lines.withColumn("bytes", whole)
+    # what a line's end leaves of its newline: the high byte before the next line, or at its own end
+    bare = F.when(little, F.expr("substring(bytes, if(line = 1, 1, 2))")).otherwise(
+        F.expr("substring(bytes, 1, octet_length(bytes) - octet_length(bytes) % 2)"))
+    return lines.select("file_path", "encoding", "at", "n", bare.alias("bytes"))
+
+
+def _budget_text(spark: SparkSession, paths: list[str], encoding: str | None) -> DataFrame:
+    """Lines of budget files: file_path, row_no (from 1, without gaps), line."""
+    raw = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"),
-        F.hex(F.substring(F.col("value").cast("binary"), 1, 3)).alias("head"),
-        F.is_valid_utf8("value").alias("utf8"))
-    first = F.col("at") == 0
-    marks = lines.groupBy("file_path").agg(
-        F.bool_or(first & (F.col("head").startswith("FFFE") | F.col("head").startswith("FEFF"))).alias("utf16"),
-        F.bool_and("utf8").alias("utf8"))
-    return marks.select("file_path", F.when(F.col("utf16"), F.lit("UTF-16")).when(F.col("utf8"), F.lit("UTF-8"))
-                        .otherwise(F.lit("windows-1252")).alias("encoding"))
+        F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("bytes"))
+    raw = materialize(raw, "budget-bytes")
+    if encoding and encoding.upper() not in ("UTF-16", "UTF16"):
+        raw = raw.withColumn("encoding", F.lit(encoding))
+    else:
+        raw = raw.join(materialize(detect_encodings(raw), "encodings"), "file_path")
+    wide = F.col("encoding").isin("UTF-16LE", "UTF-16BE")
+    columns = ["file_path", "encoding", "at", "n", "bytes"]
+    lines = raw.where(~wide).select(columns).unionByName(_utf16_lines(raw.where(wide)).select(columns))
+    enc = F.col("encoding")
+    text = (F.when(F.upper(enc) == "UTF-8", F.col("bytes").cast("string")).when(enc == "UTF-16LE", F.decode("bytes", "UTF-16LE"))
+            .when(enc == "UTF-16BE", F.decode("bytes", "UTF-16BE")).otherwise(F.decode("bytes", encoding or "windows-1252")))
+    # a carriage return ends a line too; one before the newline belongs to it
+    lines = lines.select("file_path", "at", "n", F.split(F.regexp_replace(text, "\r$", ""), "\r").alias("lines"))
+    lines = ordered.block_scan(lines, "file_path", "at", "n", {"upto": F.size("lines").cast("long")}, {})
+    return lines.select("file_path", F.posexplode("lines").alias("pos", "line"), "upto", F.size("lines").alias("k")).select(
+        "file_path", (F.col("upto") - F.col("k") + F.col("pos") + 1).alias("row_no"), "line")
+
+
+# a field in quotes, and a field as such, each up to its tab
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^\t]*+'
+_FIELDS = rf'(?:(?:{_QUOTED}|[^"\t][^\t]*+|)\t)*+'
+_OPEN = r'"[^"]*+(?:""[^"]*+)*+$'
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines joined where a quoted field goes over several: file_path, row_no of the
+    first line, record.
+
+    Whether a line begins inside quotes depends on all lines before it.  Each line
+    says what it makes of either case: it keeps it, turns it round or sets it.  The
+    last line that set it and the number of turns since (a fill and a sum over the
+    file, both scans of chunks) give the true case of every line."""
+    quoted = F.instr("line", '"') > 0
+    opens = quoted & F.col("line").rlike(f"(?s)^{_FIELDS}{_OPEN}")  # outside before, inside after it
+    stays = ~quoted | F.col("line").rlike('(?s)^[^"]*+(?:""[^"]*+)*+$') | F.col("line").rlike(
+        rf'(?s)^[^"]*+(?:""[^"]*+)*+"[^\t]*+\t{_FIELDS}{_OPEN}')  # inside before and after it
+    lines = materialize(lines.withColumns({"opens": opens, "stays": stays}), "budget-lines")
+    if lines.where("opens").isEmpty():
+        return lines.select("file_path", "row_no", F.col("line").alias("record"))
+    turns, sets = F.col("opens") & ~F.col("stays"), F.col("opens") == F.col("stays")
+    d = ordered.scan(lines, sums={"turned": turns.cast("long")})
+    d = ordered.scan(d, prior_fills={"set": F.when(sets, F.col("opens").cast("long") + F.col("turned"))})
+    before = F.col("turned") - turns.cast("long")
+    inside = (F.coalesce(F.col("set"), F.lit(0)) + before) % 2 == 1
+    d = ordered.scan(d.withColumn("inside", inside), fills={"first": F.when(~F.col("inside"), F.col("row_no"))})
+    parts = F.sort_array(F.collect_list(F.struct("row_no", "line")))
+    return d.groupBy("file_path", F.col("first").alias("row_no")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("record"))
+
+
+def _fields(record):
+    """The fields of a record, as many as it has; null if empty."""
+    of_quotes = F.transform(F.regexp_extract_all(F.concat(F.lit("\t"), record), F.lit(rf"(?s)\t({_QUOTED}|[^\t]*+)"), F.lit(1)),
+                            lambda f: F.when(f.startswith('"'), F.replace(F.regexp_replace(
+                                f, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"'))).otherwise(f))
+    fields = F.when(F.instr(record, '"') > 0, of_quotes).otherwise(F.split(record, "\t"))
+    return F.transform(fields, lambda f: F.nullif(f, F.lit("")))
 
 
 def clean_name(c):
@@ -79,36 +159,18 @@ def check_headers(headers: DataFrame) -> DataFrame:
 
 
 def read_budget_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None,
-                    multiline: bool = False) -> DataFrame:
+                    multiline: bool = True) -> DataFrame:
     """S1 + S2: budget lines of one or more exports, all columns as strings.
 
-    Every file's own header names its columns.  Files in UTF-8 and Windows-1252
-    are split among tasks; UTF-16 files, and all with ``multiline`` (quoted fields
-    over several lines), are read by a task each.  ``row_no`` increases in file
-    order within a file.  Only empty fields are null (D22).
+    Every file's own header names its columns, of any number.  Files in all
+    encodings are split among tasks, quoted fields over several lines included
+    (``multiline=False`` ends a record with its line).  ``row_no`` is the line of a
+    record's begin.  Only empty fields are null (D22).
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    found = None if encoding else materialize(detect_encodings(spark, paths), "encodings")
-    kinds = [encoding] if encoding else [r["encoding"] for r in found.select("encoding").distinct().collect()]  # three at most
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    parts = []
-    for enc in kinds:
-        raw = (
-            spark.read.schema(schema).option("sep", "\t").option("header", False).option("encoding", enc)
-            .option("multiLine", multiline or enc.upper().startswith("UTF-16")).option("escape", '"').csv(paths)
-        )
-        d = raw.select(
-            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"),
-            F.monotonically_increasing_id().alias("n"), F.array(*raw.columns).alias("v"))
-        if found is not None and len(kinds) > 1:
-            d = d.join(found.where(F.col("encoding") == enc).select("file_path"), "file_path", "left_semi")
-        # places in a file: those of its blocks' begins, then the order within a block
-        in_block = Window.partitionBy("file_path", "at").orderBy("n")
-        parts.append(d.select("file_path", (F.col("at") + F.row_number().over(in_block)).alias("row_no"), "v"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out, "budget-csv")
+    lines = _budget_text(spark, [paths] if isinstance(paths, str) else list(paths), encoding)
+    records = _records(lines) if multiline else lines.withColumnRenamed("line", "record")
+    records = records.where(F.translate("record", BLANKS, "") != "")
+    out = materialize(records.select("file_path", "row_no", _fields(F.col("record")).alias("v")), "budget-csv")
     headers = out.groupBy("file_path").agg(F.min_by("v", "row_no").alias("header"), F.min("row_no").alias("head_no"))
     headers = check_headers(headers.withColumn("header", F.transform("header", clean_name)))
     out = out.join(headers, "file_path").where("row_no > head_no")

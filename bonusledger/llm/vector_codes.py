@@ -74,18 +74,14 @@ def _whole(a: np.ndarray) -> np.ndarray:
     return np.array([int(x) for x in a.ravel()], object).reshape(a.shape)
 
 
+_MARGIN = 1e-12  # relative; far beyond what rounding can move a root or a difference
+
+
 def _root(d2: np.ndarray, up: bool) -> np.ndarray:
     """Square roots, rounded outwards; of Python integers as integers."""
     if d2.dtype == object:
         return np.array([isqrt(int(x)) + up for x in d2.ravel()], object).reshape(d2.shape)
-    d = np.sqrt(d2)
-    return np.nextafter(d, np.inf) if up else np.maximum(np.nextafter(d, -np.inf), 0.0)
-
-
-def _beyond(a: np.ndarray, minus: np.ndarray, than: np.ndarray) -> np.ndarray:
-    """Where a - minus > than for certain, however the subtraction is rounded."""
-    gap = a - minus
-    return (gap if gap.dtype == object else np.nextafter(gap, -np.inf)) > than
+    return np.sqrt(d2) * (1 + _MARGIN if up else 1 - _MARGIN)
 
 
 class Node:
@@ -143,9 +139,9 @@ class Node:
             if (near == c).any():
                 child.search(q, rows[near == c], best, at, looked)
         for c, child in enumerate(self.children):
-            radius = _root(best[rows], True)[:, None]
-            out = _beyond(inner, radius, self.high[c]) | _beyond(np.broadcast_to(self.low[c], outer.shape), radius, outer)
-            left = rows[~out.any(axis=1) & (near != c)]
+            # how far away the child's entries are at least, by the ranges of all split points
+            gap = np.maximum(inner - self.high[c], self.low[c] - outer).max(axis=1)
+            left = rows[(gap <= _root(best[rows], True)) & (near != c)]
             if len(left):
                 child.search(q, left, best, at, looked)
 
@@ -199,16 +195,18 @@ def train(rows: DataFrame, vector_id: str = "vec_id", vector: str = "embedding",
 
         def partial(batches, sent=sent):
             books = [Codebook(b) for b in sent.value["books"]]
-            sums: dict = {}
+            counts = [np.zeros(len(b.entries), np.int64) for b in books]
+            totals = [np.zeros(b.entries.shape, np.int64) for b in books]
             for batch in batches:
                 q = integers(batch.column(1), dim)
                 for p, (book, x) in enumerate(zip(books, _parts(q, parts), strict=True)):
                     at, _ = book.nearest(x)
-                    for e in np.unique(at).tolist():
-                        mine = x[at == e]
-                        n, total = sums.get((p, e), (0, 0))
-                        sums[p, e] = n + len(mine), total + _whole(mine.sum(axis=0))
-            yield _batch(sums)
+                    counts[p] += np.bincount(at, minlength=len(counts[p]))
+                    if x.dtype == object and totals[p].dtype != object:
+                        totals[p] = _whole(totals[p])
+                    np.add.at(totals[p], at, x if totals[p].dtype == object and x.dtype == object else
+                              _whole(x) if totals[p].dtype == object else x.astype(np.int64))
+            yield _batch({(p, e): (int(n[e]), totals[p][e]) for p, n in enumerate(counts) for e in np.flatnonzero(n).tolist()})
 
         def together(batches):
             sums: dict = {}
@@ -254,8 +252,9 @@ def encode(rows: DataFrame, books: list[np.ndarray], vector: str = "embedding",
         for batch in batches:
             q = integers(batch.column(batch.schema.names.index(vector)), dim)
             found = [book.nearest(x) for book, x in zip(books, _parts(q, parts), strict=True)] if parts else []
-            codes = ["".join(f"{at[i]:02x}" for at, _ in found) for i in range(len(q))]
-            errors = [sum(int(d2[i]) for _, d2 in found) for i in range(len(q))]
+            codes = np.stack([at for at, _ in found], axis=1).astype(np.uint8) if parts else np.zeros((len(q), 0), np.uint8)
+            codes = [c.tobytes().hex() for c in codes]
+            errors = [int(e) for e in sum((d2 for _, d2 in found), np.zeros(len(q)))]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array(codes, pa.string()),
                 pa.array([e if e < 2**63 else None for e in errors], pa.int64())], schema.names)

@@ -561,12 +561,17 @@ QUERIES.update({
 FLAGSHIP = month_rows
 
 
+import uuid  # noqa: E402
+
+from ..functions import constants as K  # noqa: E402
+from ..session import run_folder  # noqa: E402
 from ..sources import files as FI  # noqa: E402
 
 
-def xml_entries(spark, sf_dir):
-    """The bookings as row texts, parsed again; hours as thirds, too
-    many digits, a German comma and an exponent, purposes with CDATA and entities."""
+def _booking_cells(spark, sf_dir):
+    """lineitem's columns, staff_name and the bookings as cells of a row; hours as
+    thirds, too many digits, a German comma and an exponent, purposes with CDATA and
+    entities; ``nested`` is a row inside the row."""
     e = BR.table(spark, sf_dir, "lineitem")
     configure(spark)
     supp = BR.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -580,18 +585,83 @@ def xml_entries(spark, sf_dir):
     d = F.col("l_shipdate").cast("date")
     date_text = F.concat(F.date_format(d, "EEE, dd "), F.element_at(F.array(*[F.lit(t) for t in S.K.ENGLISH_MONTH_TOKENS]), F.month(d)),
                          F.date_format(d, " yyyy"), F.lit(" 00:00:00 +0200"))
-    body = F.concat(cell("purpose", purpose), cell("staff_name", F.col("s_name")), cell("work_package_name", F.lit("• 1.1 Paket")),
-                    cell("date", date_text), cell("number", number), cell("project", F.lit(" 1234.01 Beispiel ")))
-    document = F.concat(F.lit("<!DOCTYPE x [<!ENTITY ndash '&#8211;'>]><data>"), body, F.lit("</data>"))
-    rows = e.join(supp, e.l_suppkey == supp.s_suppkey).select(
-        F.lit("lineitem").alias("source_file"), FI.declared_entities(document).alias("declared"), FI._plain_cdata(body).alias("body"))
-    parsed = FI.parse_rows(rows)
+    cells = lambda number, purpose: F.concat(
+        cell("purpose", purpose), cell("staff_name", F.col("s_name")), cell("work_package_name", F.lit("• 1.1 Paket")),
+        cell("date", date_text), cell("number", number), cell("project", F.lit(" 1234.01 Beispiel ")))
+    return e.join(supp, e.l_suppkey == supp.s_suppkey).withColumns({
+        "body": cells(number, purpose), "nested": F.when(ln == 2, cells(F.lit("0.25"), F.lit("inner")))})
+
+
+XML_PROLOG = "<!DOCTYPE x [<!ENTITY ndash '&#8211;'>]>"
+
+
+def _entry_totals(parsed):
     return parsed.groupBy("staff_name", "quarter", "proj_norm", "ms_norm").agg(
         F.sum("hours").cast(S.EXACT).alias("hours"), F.count("*").alias("n_entries"), F.min("purpose").alias("first_purpose"),
         F.max("purpose").alias("last_purpose"))
 
 
-QUERIES["xml_entries"] = xml_entries
+def xml_entries(spark, sf_dir):
+    """The bookings as row texts, parsed again."""
+    rows = _booking_cells(spark, sf_dir).select("body")
+    document = F.concat(F.lit(XML_PROLOG + "<data>"), F.col("body"), F.lit("</data>"))
+    return _entry_totals(FI.parse_rows(rows.select(
+        F.lit("lineitem").alias("source_file"), FI.declared_entities(document).alias("declared"), FI._plain_cdata(F.col("body")).alias("body"))))
+
+
+ROWS_A_FILE = 100_000
+
+
+def _written(lines, name, *order):
+    """Files of lines: those of a ``part`` in one file, in the given order."""
+    path = f"{run_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.repartition("part").sortWithinPartitions("part", *order).select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def xml_documents(spark, sf_dir):
+    """The bookings written as XML documents of up to about 100,000 rows and
+    read again: comments and CDATA that hold tags, rows within rows, entities of the
+    prolog."""
+    d = _booking_cells(spark, sf_dir)
+    n = max(1, -(-BR.table(spark, sf_dir, "lineitem").count() // ROWS_A_FILE))
+    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(n))
+    nested = F.coalesce(F.concat(F.lit("<group>\n<row>"), F.col("nested"), F.lit("</row>\n</group>")), F.lit(""))
+    comment = F.when(F.col("l_linenumber") == 3, F.lit("<!-- <row> a > b -->\n")).otherwise(F.lit(""))
+    rows = d.select(part.alias("part"), F.lit(1).alias("kind"), F.concat(
+        comment, F.lit("<row id='a>b'>"), nested, F.col("body"), F.lit("</row>")).alias("value"))
+    ends = spark.range(n).select(F.col("id").alias("part"), F.inline(F.array(
+        F.struct(F.lit(0).alias("kind"), F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n{XML_PROLOG}<data>').alias("value")),
+        F.struct(F.lit(2).alias("kind"), F.lit("<row/></data>").alias("value")))))
+    path = _written(rows.unionByName(ends), "xml-documents", "kind")
+    return _entry_totals(FI.read_time_xml(spark, f"{path}/part=*"))
+
+
+FILLERS = 130  # columns between the named ones
+
+
+def budget_csv(spark, sf_dir):
+    """The budget export written as a file of over a hundred columns,
+    with an alias for the project column and quoted fields over several lines, and
+    read again as the uploaded one."""
+    configure(spark)
+    lines = BR.budget_lines(spark, sf_dir, QUARTER)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    package = F.when(F.col("package").endswith("Position"), F.concat(
+        F.lit('"'), F.col("package"), F.lit(' ""lang""\t\n\nTeil"'))).otherwise(text("package"))
+    fill = "\t" + "\t".join(['5"'] + ["y"] * (FILLERS - 1)) + "\t"
+    rows = lines.select(F.lit(0).alias("part"), F.col("row_no").alias("at"), F.concat(
+        F.concat_ws("\t", text("projekte"), text("flag"), package, text("soll_txt"), text("ist_txt")), F.lit(fill),
+        F.concat_ws("\t", text("budget_txt"), text("sollhonorar_txt"), text("billed_txt"), text("cost_txt"))).alias("value"))
+    names = ["\u200bProjektname ", K.COL_FLAG, K.COL_PACKAGE, K.COL_TARGET_HOURS, K.COL_ACTUAL_HOURS,
+             *[f"x{i}" for i in range(FILLERS)], K.COL_BUDGET, K.COL_TARGET_FEE, K.COL_BILLED_FEE, K.COL_COST]
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit(-1).cast("long").alias("at"), F.lit("\t".join(names)).alias("value"))
+    path = _written(rows.unionByName(head), "budget-export", "at")
+    back = FI.budget_source(spark, f"{path}/part=0", f"{path}/no-central-export")
+    return back.select((F.col("row_no") - 1).alias("line"), *FI.INTERNAL.values())
+
+
+QUERIES.update({"xml_entries": xml_entries, "xml_documents": xml_documents, "budget_csv": budget_csv})
 
 
 def _output(query):

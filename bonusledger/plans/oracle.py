@@ -873,6 +873,27 @@ SELECT staff_name, quarter, '1234.01 Beispiel' AS proj_norm, '1.1 Paket' AS ms_n
        max(purpose) AS last_purpose
 FROM t GROUP BY staff_name, quarter"""
 
+_XML_T = SQL["xml_entries"][:SQL["xml_entries"].rindex("SELECT staff_name")]
+SQL["xml_documents"] = _XML_T + """,
+all_rows AS (
+  SELECT * FROM t
+  UNION ALL
+  SELECT s.s_name, CAST(date_trunc('quarter', CAST(l_shipdate AS DATE)) AS DATE), CAST(0.25 AS DECIMAL(30,8)), 'inner'
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l_linenumber = 2)
+SELECT staff_name, quarter, '1234.01 Beispiel' AS proj_norm, '1.1 Paket' AS ms_norm,
+       TRY_CAST(sum(hours) AS DECIMAL(18,2)) AS hours, count(*) AS n_entries, min(purpose) AS first_purpose,
+       max(purpose) AS last_purpose
+FROM all_rows GROUP BY staff_name, quarter"""
+
+# a record with line breaks in a field takes three lines
+SQL["budget_csv"] = with_(BUDGET_LINES[:BUDGET_LINES.index("bl1 AS")].rstrip().rstrip(",")) + """
+SELECT CAST(sum(CASE WHEN package LIKE '%Position' THEN 3 ELSE 1 END) OVER (ORDER BY row_no)
+            - CASE WHEN package LIKE '%Position' THEN 2 ELSE 0 END AS BIGINT) AS line,
+       projekte, flag,
+       CASE WHEN package LIKE '%Position' THEN package || ' "lang"' || chr(9) || chr(10) || chr(10) || 'Teil' ELSE package END AS package,
+       soll_txt, ist_txt, budget_txt, sollhonorar_txt, billed_txt, cost_txt
+FROM budget_lines"""
+
 _PREFIXES_SQL = "['• ', '● ', '- ', ' -• ']"
 
 SQL["milestone_norm"] = f"""

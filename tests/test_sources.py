@@ -1,6 +1,9 @@
 """File scans: budget exports (encodings, headers, several files) and time exports
 (encodings, entities, CDATA, end tags, rows that are no XML)."""
 
+import csv
+import io
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -146,3 +149,55 @@ def test_time_files_are_merged(spark, tmp_path):
 def test_time_unknown_month_is_january(spark, tmp_path):
     (r,) = booked(spark, tmp_path, document(entry(day="Mo, 05 Mai 2025")))
     assert (r["booked_on"], r["month_unknown"]) == (date(2025, 1, 5), True)
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def quoted_lines(n, odd):
+    """Lines with quoted fields over lines, doubled quotes, tabs in quotes, inch marks
+    that are no quotes, and quotes that only end in a later line."""
+    r = random.Random(n)
+    out = []
+    for i in range(n):
+        kind = r.choice(["plain", "plain", "many", "one", "inch", "double", "empty"])
+        value = {"plain": f"• {i}{odd}", "many": f'a{i}\n{odd}"x"\t\n\n b', "one": f"{odd} {i}", "inch": f'5" {i}',
+                 "double": f'""{i}"', "empty": f"{i}\n"}[kind]
+        written = value if kind in ("plain", "inch") else '"' + value.replace('"', '""') + '"'
+        out.append((value, [written, f"7001 P{i}", "X", f'{i}"', str(i)]))
+    return out
+
+
+@pytest.mark.parametrize(("codec", "odd"), [("utf-8", "ö"), ("utf-16", "ਊ਍Ċ"), ("cp1252", "ö"), ("utf-16-be", "ਊĊ਀")])
+def test_budget_quotes_over_splits(spark, tmp_path, small_splits, codec, odd):
+    """As a parser of whole files reads them, whatever the splits."""
+    lines = quoted_lines(300, odd)
+    text = export(lines=[x for _, x in lines], eol="\r\n")
+    raw = text.encode(codec)
+    (tmp_path / "q.csv").write_bytes(("﻿".encode(codec) if codec == "utf-16-be" else b"") + raw)
+    (tmp_path / "r.csv").write_bytes(export().encode("utf-8"))
+    rows = budget(spark, tmp_path / "q.csv", tmp_path / "r.csv")
+    got = [r for r in rows if r["file_path"].endswith("q.csv")]
+    want = list(csv.reader(io.StringIO(text.replace("\r\n", "\n"), newline=""), delimiter="\t"))[1:]
+    assert [[r["package"], r["projekte"], r["flag"], r["ist_txt"], r["soll_txt"]] for r in got] == want
+    assert [r["package"] for r in got] == [v for v, _ in lines]
+    assert len(rows) == len(got) + 2
+    assert spark.read.text(str(tmp_path / "q.csv")).rdd.getNumPartitions() > 5
+
+
+def test_budget_files_of_any_width(spark, tmp_path):
+    wide = [f"x{i}" for i in range(3000)]
+    lines = [[*x, *["y"] * 3000, "1.000,00", "7,00"] for x in LINES]
+    (tmp_path / "w.csv").write_text(export([*HEAD, *wide, "Istkosten", "Budget"], lines), encoding="utf-8")
+    a, b = budget(spark, tmp_path / "w.csv")
+    assert (a["cost_txt"], b["cost_txt"], b["budget_txt"], a["billed_txt"]) == ("1.000,00", "1.000,00", "7,00", None)
+
+
+def test_budget_lines_may_end_in_carriage_returns(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(export(eol="\r").encode("utf-16"))
+    assert [(r["row_no"], r["package"]) for r in budget(spark, tmp_path / "c.csv")] == [(2, "(p) 4 Brücke"), (3, "• 4.1 Pfähle")]

@@ -5,7 +5,9 @@ Shapes:
   month rows   one row per (staff, month, project key, milestone key) of the quarter
   month totals one row per (staff, month)
 Totals over a group that may be hot (every employee books the shared special
-project) are hash aggregates joined back, never a window over the hot group.
+project) are hash aggregates joined back, never a window over the hot group; with
+``hot`` (``hot_keys`` of the landed month hours) those joins spread the rows of hot
+keys (J1, J8, A14, W11).
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from . import bookings as BK
+from . import heavy
 
 KEY = ["proj_norm", "ms_norm"]
 MONEY = "double"
@@ -32,7 +35,12 @@ def _dict_hours(col: Column, table: dict) -> Column:
     return expr
 
 
-def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
+def hot_keys(mh: DataFrame) -> heavy.HotKeys:
+    """The keys that hold much of the (landed) month hours."""
+    return heavy.hot_keys(mh, KEY)
+
+
+def month_rows(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """Decision table of SURVEY 7.1 (B1-B5 with J1, J7, W10, W11, W13).
 
     mh: month hours (A2) of the report quarter, all employees (W11 must see
@@ -42,7 +50,9 @@ def month_rows(mh: DataFrame, plan: DataFrame) -> DataFrame:
     fut = BK.future_hours_all_staff(mh)
     mh = BK.cumulative_quarter_hours(mh)
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
-    d = mh.join(p, KEY, "left").join(fut, [*KEY, "quarter", "month"], "left")
+    # plan and future hours meet per key and month first, so the employees' rows are joined once
+    by_key = fut.join(p, KEY, "left")
+    d = heavy.join(mh, by_key, [*KEY, "quarter", "month"], hot, ["staff_name"])
 
     ms = F.col("ms_norm")
     zero = F.lit(0).cast(S.EXACT)
@@ -135,13 +145,12 @@ def landed_rows(rows_adj: DataFrame) -> DataFrame:
     return materialize(rows_adj, "month-rows")
 
 
-def coworkers(rows: DataFrame) -> DataFrame:
+def coworkers(rows: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """J8 / A9 without pairs: the distinct employees per (key, month) as rows, and
     per month row the number of other employees it could assign hours to."""
     n = rows.groupBy(*KEY, "month").agg(F.countDistinct("staff_name").alias("n_staff"))
-    return rows.select("staff_name", *KEY, "month").join(n, [*KEY, "month"]).withColumn(
-        "n_others", F.col("n_staff") - 1
-    )
+    rows = rows.select("staff_name", *KEY, "month")
+    return heavy.join(rows, n, [*KEY, "month"], hot, ["staff_name"], "inner").withColumn("n_others", F.col("n_staff") - 1)
 
 
 def month_totals(rows_adj: DataFrame) -> DataFrame:
@@ -295,35 +304,38 @@ def revenue_totals(rows: DataFrame, *by: str) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("revenue", "possible", "lost", "revenue_key")])
 
 
-def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
+def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame,
+                 hot: heavy.HotKeys | None = None) -> DataFrame:
     """J5, J6, B9-B11, A14 per month row."""
     pos = positions.select("staff_name", "position")
-    d = rows_adj.join(resolved, KEY, "left").join(pos, "staff_name", "left")
+    d = heavy.join(rows_adj, resolved, KEY, hot, ["staff_name", "month"]).join(pos, "staff_name", "left")
     d = _with_revenue(d, "target_for_revenue", "ist", "hours", "from_others")
     # Revenue of all employees on the key and month (aggregate + join: the
     # shared key is hot, a window over it would be one task)
     by_key = d.groupBy(*KEY, "month").agg(F.sum("revenue").alias("revenue_key"))
-    return d.join(by_key, [*KEY, "month"], "left")
+    return heavy.join(d, by_key, [*KEY, "month"], hot, ["staff_name"])
 
 
-def quarter_revenue(qsummary: DataFrame, resolved: DataFrame, positions: DataFrame) -> DataFrame:
+def quarter_revenue(qsummary: DataFrame, resolved: DataFrame, positions: DataFrame,
+                    hot: heavy.HotKeys | None = None) -> DataFrame:
     """J5 / B9 / B10 / A14 on the quarter summary rows: target = quarter target
     ('-' counts 0), actual = quarter actual, hours = the row's F (months' F+I+K),
     received = the months' K; revenue of all employees per key."""
     pos = positions.select("staff_name", "position")
-    d = qsummary.join(resolved, KEY, "left").join(pos, "staff_name", "left")
+    d = heavy.join(qsummary, resolved, KEY, hot, ["staff_name"]).join(pos, "staff_name", "left")
     d = _with_revenue(d, "q_soll", "q_ist", "q_hours", "from_others")
     by_key = d.groupBy(*KEY, "quarter").agg(F.sum("revenue").alias("revenue_key"))
-    return d.join(by_key, [*KEY, "quarter"], "left")
+    return heavy.join(d, by_key, [*KEY, "quarter"], hot, ["staff_name"])
 
 
 # ------------------------------------------------------------------ quarter
 
-def quarter_milestones(mh: DataFrame, plan: DataFrame) -> DataFrame:
+def quarter_milestones(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """Quarterly-type milestones of each employee: Q target (as B4), Q hours."""
     q = BK.quarter_hours(mh)
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"))
-    d = q.join(p, KEY, "left").where(S.milestone_type("ms_norm") == "quarterly")
+    q = q.where(S.milestone_type("ms_norm") == "quarterly")
+    d = heavy.join(q, p, KEY, hot, ["staff_name"])
     ms = F.col("ms_norm")
     nb_h, nb_unit = S.name_budget_hours(ms), S.name_budget_unit(ms)
     zero = F.lit(0).cast(S.EXACT)
@@ -344,7 +356,7 @@ def quarter_milestones(mh: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def quarter_summary(rows_adj: DataFrame, plan: DataFrame) -> DataFrame:
+def quarter_summary(rows_adj: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """B15 + B16 per (staff, key) of the quarter; bookings without a plan row are
     absent (D5)."""
     g = rows_adj.groupBy("staff_name", "quarter", *KEY).agg(
@@ -354,7 +366,7 @@ def quarter_summary(rows_adj: DataFrame, plan: DataFrame) -> DataFrame:
         F.sum("from_others").cast(S.EXACT).alias("q_from_others"),
     )
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
-    d = g.join(p, KEY)
+    d = heavy.join(g, p, KEY, hot, ["staff_name"], "inner")
     ms = F.col("ms_norm")
     nb_h, nb_unit = S.name_budget_hours(ms), S.name_budget_unit(ms)
     zero = F.lit(0).cast(S.EXACT)

@@ -219,7 +219,7 @@ def _rows_adj(spark, sf_dir, mh=None, plan=None):
         mh, plan = concurrently(lambda: _mh(spark, sf_dir), lambda: _plan(spark, sf_dir))
     mh = mh if mh is not None else _mh(spark, sf_dir)
     plan = plan if plan is not None else _plan(spark, sf_dir)
-    return RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), BR.adjustments(spark, sf_dir, QUARTER, mh)))
+    return RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan, RU.hot_keys(mh)), BR.adjustments(spark, sf_dir, QUARTER, mh)))
 
 
 def month_rows(spark, sf_dir):
@@ -227,7 +227,8 @@ def month_rows(spark, sf_dir):
 
 
 def coworkers(spark, sf_dir):
-    return RU.coworkers(_mh(spark, sf_dir))
+    mh = _mh(spark, sf_dir)
+    return RU.coworkers(mh, RU.hot_keys(mh))
 
 
 def hour_transfers(spark, sf_dir):
@@ -281,7 +282,7 @@ def _revenue(spark, sf_dir):
     prepared, mh = concurrently(lambda: BU.prepare(_lines(spark, sf_dir)), lambda: _mh(spark, sf_dir))
     rows, resolved = concurrently(lambda: _rows_adj(spark, sf_dir, mh, BU.plan_from_prepared(prepared)),
                                   lambda: _resolved(spark, sf_dir, prepared, mh))
-    return RU.revenue_rows(rows, resolved, BR.positions(spark, sf_dir))
+    return RU.revenue_rows(rows, resolved, BR.positions(spark, sf_dir), RU.hot_keys(mh))
 
 
 def revenue_rows(spark, sf_dir):
@@ -329,7 +330,8 @@ def _quarter_revenue(spark, sf_dir):
     plan = BU.plan_from_prepared(prepared)
     rows, resolved = concurrently(lambda: _rows_adj(spark, sf_dir, mh, plan),
                                   lambda: _resolved(spark, sf_dir, prepared, mh))
-    return RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, BR.positions(spark, sf_dir))
+    hot = RU.hot_keys(mh)
+    return RU.quarter_revenue(RU.quarter_summary(rows, plan, hot), resolved, BR.positions(spark, sf_dir), hot)
 
 
 def quarter_revenue(spark, sf_dir):

@@ -142,23 +142,23 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
     cover has the months of the landed hours."""
     # the budget export and the bookings are independent: land both at once
     prepared, mh = concurrently(lambda: BU.prepare(lines), lambda: BK.landed_month_hours(entries_q))
-    plan = BU.plan_from_prepared(prepared)
+    plan, hot = BU.plan_from_prepared(prepared), RU.hot_keys(mh)
     rows, (records, edges) = concurrently(
-        lambda: RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan), adjustments)),
+        lambda: RU.landed_rows(RU.with_adjustments(RU.month_rows(mh, plan, hot), adjustments)),
         lambda: BU.budget_scan(prepared=prepared),
     )
     pmap = BU.parent_map_from_edges(edges)
     resolved = RU.landed_budget(RU.resolve_budget(mh.select(*RU.KEY), records, pmap))
     own = lambda d: BK.employees_matching(d, employees or [])
-    detail = own(RU.revenue_rows(rows, resolved, positions))
+    detail = own(RU.revenue_rows(rows, resolved, positions, hot))
     totals = RU.month_totals(own(rows))
     qtotals = RU.quarter_totals(totals)
-    qsummary = own(RU.quarter_revenue(RU.quarter_summary(rows, plan), resolved, positions))
+    qsummary = own(RU.quarter_revenue(RU.quarter_summary(rows, plan, hot), resolved, positions, hot))
     out = {
         "month_rows": detail,
         "month_totals": totals,
         "month_revenue_totals": RU.revenue_totals(detail, "month"),
-        "quarter_milestones": RU.quarter_milestones(own(mh), plan),
+        "quarter_milestones": RU.quarter_milestones(own(mh), plan, hot),
         "quarter_summary": qsummary,
         "quarter_revenue_totals": RU.revenue_totals(qsummary),
         "quarter_totals": qtotals,

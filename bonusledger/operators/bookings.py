@@ -9,6 +9,7 @@ special project is booked by every employee) reach windows as a few rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
@@ -44,20 +45,62 @@ def in_range(df: DataFrame, start: date, end: date) -> DataFrame:
     return df.where(F.col("booked_on").between(F.lit(start), F.lit(end)))
 
 
-def projects_matching(df: DataFrame, projects: list[str]) -> DataFrame:
-    """Project key equal to, or starting with, any listed value."""
-    if not projects:
-        return df
-    cond = F.col("proj_norm").isin(projects)
-    cond = reduce(lambda acc, p: acc | F.col("proj_norm").startswith(p), projects, cond)
-    return df.where(cond)
-
-
-def employees_matching(df: DataFrame, employees: list[str]) -> DataFrame:
-    """Exact, case-sensitive employee names."""
-    if not employees:
-        return df
-    return df.where(F.col("staff_name").isin(employees))
+LITERALS = 50  # a list of so many values is a predicate that the scan can take; longer ones are tables
+
+
+def _as_table(df: DataFrame, values: Sequence[str] | DataFrame, name: str) -> DataFrame:
+    if isinstance(values, DataFrame):
+        return values.select(F.col(values.columns[0]).cast("string").alias(name)).where(f"{name} is not null").distinct()
+    return df.sparkSession.createDataFrame([(v,) for v in sorted(set(values))], f"{name} string")
+
+
+def _after(prefix: str) -> str | None:
+    """The least string above all that begin with ``prefix``, if there is one."""
+    while prefix:
+        last = ord(prefix[-1]) + 1
+        if last <= 0x10FFFF:
+            return prefix[:-1] + chr(0xE000 if 0xD800 <= last < 0xE000 else last)
+        prefix = prefix[:-1]
+    return None
+
+
+def projects_matching(df: DataFrame, projects: Sequence[str] | DataFrame) -> DataFrame:
+    """Project key equal to, or starting with, any listed value (a list, or the
+    first column of a table).
+
+    Beyond ``LITERALS`` values the list is an index of prefixes by length: the
+    distinct project keys look up their own beginnings of those lengths in it, and
+    the rows are kept by a semi-join with the keys that were found.  The range in which all
+    matching keys lie is a predicate on the scan either way."""
+    if not isinstance(projects, DataFrame):
+        if not projects:
+            return df
+        if len(projects) <= LITERALS:
+            cond = F.col("proj_norm").isin(list(projects))
+            return df.where(reduce(lambda acc, p: acc | F.col("proj_norm").startswith(p), projects, cond))
+        df = df.where(F.col("proj_norm") >= min(projects))
+        ends = [_after(p) for p in set(projects)]
+        if None not in ends:
+            df = df.where(F.col("proj_norm") < max(ends))
+    prefixes = _as_table(df, projects, "_prefix").withColumn("_n", F.char_length("_prefix"))
+    # distinct lengths of prefixes: as many as a project key has characters at most
+    lengths = sorted(r["_n"] for r in prefixes.select("_n").distinct().collect())
+    own = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("proj_norm"))
+    keys = df.select("proj_norm").distinct().select("proj_norm", F.explode(own).alias("_n"))
+    found = keys.withColumn("_prefix", F.expr("substring(proj_norm, 1, _n)")).join(prefixes, ["_prefix", "_n"], "left_semi")
+    return df.join(found.select("proj_norm").distinct(), "proj_norm", "left_semi")
+
+
+def employees_matching(df: DataFrame, employees: Sequence[str] | DataFrame) -> DataFrame:
+    """Exact, case-sensitive employee names (a list, or the first column of a
+    table); a semi-join beyond ``LITERALS`` names."""
+    if not isinstance(employees, DataFrame):
+        if not employees:
+            return df
+        if len(employees) <= LITERALS:
+            return df.where(F.col("staff_name").isin(list(employees)))
+        df = df.where(F.col("staff_name").between(min(employees), max(employees)))
+    return df.join(_as_table(df, employees, "staff_name"), "staff_name", "left_semi")
 
 
 def exclude_special(df: DataFrame) -> DataFrame:

@@ -51,6 +51,19 @@ def employee_filter(spark, sf_dir):
     return BK.employee_summary(BK.employees_matching(_entries(spark, sf_dir), EMPLOYEES))
 
 
+def project_list_filter(spark, sf_dir):
+    """P6 / P7 by tables: project codes of the parts' odd brands, some cut short, and
+    the employees with an even key."""
+    part, supplier = BR.table(spark, sf_dir, "part"), BR.table(spark, sf_dir, "supplier")
+    n = F.substring("p_brand", 7, 10).cast("int")
+    code = F.when(n == 1, F.lit("0000 I")).otherwise((n + 1000).cast("string"))
+    projects = part.where(n % 2 == 1).select(code.alias("prefix")).union(
+        part.where(n % 10 == 4).select(F.concat((n + 1000).cast("string"), F.lit(".01 Projekt "), n.cast("string"))))
+    employees = supplier.where("s_suppkey % 2 = 0").select("s_name")
+    e = BK.projects_matching(_entries(spark, sf_dir), projects)
+    return BK.employee_summary(BK.employees_matching(e, employees))
+
+
 def exclude_special(spark, sf_dir):
     e = BK.exclude_special(_entries(spark, sf_dir))
     return e.groupBy("proj_norm").agg(
@@ -106,6 +119,7 @@ QUERIES = {
     "date_range_filter": date_range_filter,
     "project_prefix_filter": project_prefix_filter,
     "employee_filter": employee_filter,
+    "project_list_filter": project_list_filter,
     "exclude_special": exclude_special,
     "quarters_available": quarters_available,
     "latest_quarter": latest_quarter,

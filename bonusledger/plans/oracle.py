@@ -87,6 +87,17 @@ FROM entries
 WHERE staff_name IN ('Supplier#000000001', 'Supplier#000000007', 'Supplier#000000042')
 GROUP BY staff_name, proj_norm"""
 
+SQL["project_list_filter"] = with_(BOOKINGS) + """,
+listed AS (
+  SELECT DISTINCT CASE WHEN n = 1 THEN '0000 I' WHEN n % 2 = 1 THEN CAST(n + 1000 AS VARCHAR)
+                       ELSE CAST(n + 1000 AS VARCHAR) || '.01 Projekt ' || CAST(n AS VARCHAR) END AS prefix
+  FROM (SELECT CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part) WHERE n % 2 = 1 OR n % 10 = 4)
+SELECT staff_name, proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries
+WHERE EXISTS (SELECT 1 FROM listed WHERE starts_with(proj_norm, prefix))
+  AND staff_name IN (SELECT s_name FROM supplier WHERE s_suppkey % 2 = 0)
+GROUP BY staff_name, proj_norm"""
+
 SQL["exclude_special"] = with_(BOOKINGS) + """
 SELECT proj_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, count(DISTINCT staff_name) AS n_staff
 FROM entries WHERE NOT regexp_matches(proj_norm, '^0\\.?0+')

@@ -34,8 +34,8 @@ class ReportConfig:
     start_date: date
     end_date: date
     time_grouping: str = "month"
-    projects: list[str] = field(default_factory=list)
-    employees: list[str] = field(default_factory=list)
+    projects: list[str] | DataFrame = field(default_factory=list)  # values, or a table's first column
+    employees: list[str] | DataFrame = field(default_factory=list)
     include_bonus_calc: bool = True
     include_budget_overview: bool = True
     include_summary_sheet: bool = True
@@ -132,7 +132,7 @@ def quarter_employees(entries_q: DataFrame) -> DataFrame:
 
 def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFrame, positions: DataFrame,
                     months: DataFrame | None, include_budget_overview: bool = True,
-                    employees: list[str] | None = None) -> dict[str, DataFrame]:
+                    employees: list[str] | DataFrame | None = None) -> dict[str, DataFrame]:
     """The quarterly report: month rows with revenue (K1), month totals and the
     hand-over table (B12), revenue totals (A6), quarter milestones, quarter summary
     and totals, cover (C1, C2), budget overview (K3).
@@ -149,7 +149,7 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
     )
     pmap = BU.parent_map_from_edges(edges)
     resolved = RU.landed_budget(RU.resolve_budget(mh.select(*RU.KEY), records, pmap))
-    own = lambda d: BK.employees_matching(d, employees or [])
+    own = lambda d: BK.employees_matching(d, [] if employees is None else employees)
     detail = own(RU.revenue_rows(rows, resolved, positions, hot))
     totals = RU.month_totals(own(rows))
     qtotals = RU.quarter_totals(totals)

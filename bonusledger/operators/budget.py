@@ -29,15 +29,16 @@ NUMERIC_TEXT = {
 }
 
 
-def first_pass(lines: DataFrame, materialize: bool = True) -> DataFrame:
+def first_pass(lines: DataFrame, materialize: bool = True, levels: int | None = None) -> DataFrame:
     """W1 per line: filled project, project of the previous row, position in file,
     and what follows from a line alone."""
     raw_proj = F.when(S.strip_unicode(F.col("projekte")) != "", F.col("projekte"))
     d = lines.withColumn("projekte", raw_proj)
     if materialize:
         d = _materialize(d, "budget-lines")
+    levels = ordered.depth(d) if levels is None else levels
     d = ordered.scan(
-        d,
+        d, levels=levels,
         fills={"proj_filled": F.col("projekte")},
         prior_fills={"proj_before": F.col("projekte")},
         sums={"pos": F.lit(1).cast("long")},
@@ -70,12 +71,13 @@ def prepare(lines: DataFrame, materialize: bool = True, lookahead: int | None =
     storage, so a lost executor does not re-run the scans) because the passes
     and every budget output read them several times.
     """
-    d = first_pass(lines, materialize)
+    levels = ordered.depth(lines)
+    d = first_pass(lines, materialize, levels)
     marker = (
         F.when(~F.col("dash_empty") & (F.col("ms") != "") & F.col("flag_x"), F.col("ms"))
         .when(F.col("changed") | F.col("dash_empty"), F.lit(RESET))
     )
-    d = ordered.scan(d, fills={"x_pos": F.when(F.col("is_top"), F.col("pos")), "parent_run": marker})
+    d = ordered.scan(d, fills={"x_pos": F.when(F.col("is_top"), F.col("pos")), "parent_run": marker}, levels=levels)
     in_section = ~F.col("is_top") & ~F.col("dash_empty") & F.col("x_pos").isNotNull()
     if lookahead is not None:
         in_section &= (F.col("pos") - F.col("x_pos")) <= lookahead
@@ -212,12 +214,13 @@ def budget_scan(lines: DataFrame | None = None, prepared: DataFrame | None = Non
     """
     d = prepared if prepared is not None else prepare(lines)
     kept = _kept_records(d)
-    # Lookup ids 1..n in emit order, file after file (one row per file is summed)
-    kept = ordered.running_sum(kept, F.lit(1).cast("long"), "lookup_id", order="emit_ord")
-    files = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    before = kept.groupBy("file_path").count().select(
-        "file_path", F.coalesce(F.sum("count").over(files), F.lit(0)).alias("before"))
-    kept = kept.join(before, "file_path").withColumn("lookup_id", F.col("lookup_id") + F.col("before"))
+    # Lookup ids 1..n in emit order, file after file
+    last = d.agg(F.max("pos")).first()[0] or 0
+    kept = ordered.running_sum(kept, F.lit(1).cast("long"), "lookup_id", order="emit_ord", levels=ordered.depth_of(2 * last + 1))
+    kept = _materialize(kept, "budget-kept")
+    counts = kept.groupBy("file_path").count()
+    upto = ordered.running_total(counts, "file_path", F.col("count"), "upto").join(counts, "file_path")
+    kept = kept.join(upto, "file_path").withColumn("lookup_id", F.col("lookup_id") + F.col("upto") - F.col("count"))
     records = kept.select(
         "file_path", "project", "project_code", "top_milestone", "top_norm", "billing",
         *[F.col(c).cast(S.EXACT).alias(c) for c in ("total_budget", "billed", "cost", "target_hours", "actual_hours")],

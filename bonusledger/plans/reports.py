@@ -19,6 +19,7 @@ from ..operators import bookings as BK
 from ..operators import budget as BU
 from ..operators import rules as RU
 from ..session import concurrently
+from ..sources.files import require_rows
 
 REPORT_TYPES = ("quarterly", "custom_period", "monthly", "yearly", "project", "employee")
 GROUPINGS = ("month", "period", "week", "none")
@@ -292,6 +293,7 @@ def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustment
     filtered entries and all three months of the quarter; project / employee ->
     summaries; otherwise the flexible report.  Component flags apply everywhere
     (D21)."""
+    entries = require_rows(entries)
     e = filtered_entries(entries, cfg)
     if cfg.report_type == "project":
         return {"project_summary": S.rounded(BK.project_summary(e))}
@@ -317,6 +319,7 @@ def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
     """Entry 1 (standard job): the requested quarter, or the latest one (O2,
     D16); months = months present in that quarter (T5).  One tiny action picks
     the quarter."""
+    entries = require_rows(entries)
     if requested:
         q = S.parse_quarter(requested)
         if BK.in_quarter(entries, q).isEmpty():

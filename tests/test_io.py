@@ -1,7 +1,9 @@
 """Sinks and the streaming landing on generated files."""
 
+import csv
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from bonusledger import sinks
@@ -52,19 +54,84 @@ def test_employee_export_and_report_write(spark, tmp_path):
     assert [x.split(",")[2] for x in lines[1:]] == ["M", "Summe", "Bonusberechtigte Stunden", "Bonusberechtigte Stunden Sonderprojekt"]
 
 
-def test_detail_has_few_sorted_files(spark, tmp_path):
+def files_of(folder):
+    """Data files in the order of their names."""
+    return sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.endswith((".parquet", ".csv")))
+
+
+def test_detail_files_are_cut_by_measured_sizes(spark, tmp_path):
+    """An employee with most of the rows has several files, in order and within the
+    bound; small employees share tasks."""
     from datetime import date
 
-    data = [(f"S{i % 5}", date(2025, 1 + i % 3, 1), f"P{(i * 7) % 11:02}", "M") for i in range(400)]
+    data = [("Big", date(2025, 1 + i % 3, 1), f"P{(i * 7) % 1009:04}", f"M{i // 1009}") for i in range(3000)]
+    data += [(f"S{i % 60:02}", date(2025, 1 + i % 3, 1), f"P{(i * 7) % 11:04}", f"M{i}") for i in range(420)]
     rows = spark.createDataFrame(data, "staff_name string, month date, proj_norm string, ms_norm string").repartition(8)
     out = str(tmp_path / "detail")
-    sinks.write_employee_detail(rows, out)
-    for i in range(5):
-        (name,) = [f for f in os.listdir(f"{out}/staff_name=S{i}") if f.endswith(".parquet")]
-        got = spark.read.parquet(f"{out}/staff_name=S{i}/{name}").collect()
-        assert [(r["month"], r["proj_norm"]) for r in got] == sorted((r["month"], r["proj_norm"]) for r in got)
-    sinks.write_table(rows, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 400
+    sinks.write_employee_detail(rows, out, rows_per_file=500)
+    parts = [spark.read.parquet(f).collect() for f in files_of(f"{out}/staff_name=Big")]
+    got = [(r["month"], r["proj_norm"], r["ms_norm"]) for p in parts for r in p]
+    assert len(got) == 3000 and got == sorted(got)
+    assert 6 <= len(parts) <= 9 and max(map(len, parts)) <= 500
+    small = [f for i in range(60) for f in files_of(f"{out}/staff_name=S{i:02}")]
+    assert len(small) <= 62 and len({os.path.basename(f).split("-")[1] for f in small}) <= 3
+    got = [(r["month"], r["proj_norm"]) for r in spark.read.parquet(files_of(f"{out}/staff_name=S07")[0]).collect()]
+    assert len(got) == 7 and got == sorted(got)
+    sinks.write_employee_detail(rows.limit(0), str(tmp_path / "none"))
+    sinks.write_table(rows, str(tmp_path / "t"), order=["staff_name", "month"])
+    got = [(r["staff_name"], r["month"]) for f in files_of(str(tmp_path / "t")) for r in spark.read.parquet(f).collect()]
+    assert len(got) == 3420 and got == sorted(got)
+
+
+def test_notes_reach_the_sheets(spark, tmp_path):
+    from datetime import date
+
+    month = date(2025, 1, 1)
+    rows = spark.createDataFrame([("A", month, "P", "M", 4), ("A", month, "P", "N", 2), ("B", month, "P", "M", 1)],
+                                 "staff_name string, month date, proj_norm string, ms_norm string, hours int").withColumns({
+                                     c: F.lit(None).cast("string") for c in ("soll", "ist", "pct")})
+    notes = spark.createDataFrame([("A", "P", "M", month, "SR", "look"), ("A", "P", "M", month, None, "again"), ("C", "P", "M", month, "AZ", None)],
+                                  "staff_name string, proj_norm string, ms_norm string, month date, invoice string, comment string")
+    paths = sinks.write_report({"month_rows": rows}, str(tmp_path), "Q1-2025", notes=notes)
+    back = {(r["staff_name"], r["Meilenstein"]): (r["Rechnung"], r["Kommentar"])
+            for r in spark.read.option("header", True).csv(paths["export"]).collect()}
+    assert back == {("A", "M"): ("SR", "look"), ("A", "N"): (None, None), ("B", "M"): (None, None)}
+    assert spark.read.parquet(paths["month_rows"]).where("invoice = 'SR'").count() == 1
+
+
+def test_flexible_report_has_sheets_per_employee(spark, tmp_path):
+    """The ten columns of a block's rows, then its sum and bonus lines."""
+    from datetime import date
+
+    from conftest import entries_df, lines_df
+    from bonusledger.plans import reports as R
+
+    entries = entries_df(spark, [("A", "1000.01 P", "M", "2025-01-07", 4), ("A", "0000 Intern", "N", "2025-01-08", 2),
+                                 ("A", "1000.01 P", "M", "2025-01-14", 1), ("B", "1000.01 P", "M", "2025-01-07", 3)])
+    lines = lines_df(spark, [("1000.01 P", None, "-"), (None, "X", "(p) 1 Top"), (None, None, "M", "10,00", "5,00")])
+    adj = spark.createDataFrame([("A", "1000.01 P", "M", date(2025, 1, 1), 1)],
+                                "staff_name string, proj_norm string, ms_norm string, month date, adj_h int").selectExpr(
+        "*", "cast(null as string) as assign_to")
+    pos = spark.createDataFrame([("A", "SV")], "staff_name string, position string")
+    cfg = R.ReportConfig("custom_period", date(2025, 1, 1), date(2025, 1, 31), "weekly")
+    notes = spark.createDataFrame([("A", "1000.01 P", "M", date(2025, 1, 14), "AZ", "ok")],
+                                  "staff_name string, proj_norm string, ms_norm string, block_start date, invoice string, comment string")
+    tables = R.generate(cfg, entries, lines, adj, pos)
+    paths = sinks.write_report(tables, str(tmp_path), R.report_name(cfg), notes=notes)
+    (name,) = files_of(f"{paths['export']}/staff_name=A")
+    head, *got = csv.reader(open(name, encoding="utf-8"))
+    assert head[2:] == ["Projekt", "Meilenstein", "Soll (h)", "Ist (h)", "Stunden in Block (h)", "%", "Bonus-Anpassung (h)",
+                        "Abrechnungsart", "Rechnung", "Kommentar"]
+    assert [(g[0], g[3], float(g[6]), g[8], g[10]) for g in got] == [
+        ("2025-01-07", "N", 2.0, "", ""), ("2025-01-07", "M", 4.0, "", ""), ("2025-01-07", "Summe", 6.0, "", ""),
+        ("2025-01-07", "Bonusberechtigte Stunden", 4.0, "", ""), ("2025-01-07", "Bonusberechtigte Stunden Sonderprojekt", 2.0, "", ""),
+        ("2025-01-14", "M", 1.0, "1.00", "AZ"), ("2025-01-14", "Summe", 1.0, "", ""),
+        ("2025-01-14", "Bonusberechtigte Stunden", 2.0, "", ""), ("2025-01-14", "Bonusberechtigte Stunden Sonderprojekt", 0.0, "", "")]
+    assert sorted(d for d in os.listdir(paths["flex_rows"]) if "=" in d) == ["staff_name=A", "staff_name=B"]
+    with pytest.raises(ValueError, match="no booking"):
+        R.generate(cfg, entries.limit(0), lines, adj, pos)
+    with pytest.raises(ValueError, match="no booking"):
+        R.quarterly_job(entries.limit(0), lines, adj, pos)
 
 
 def test_landed_tables_are_in_one_folder_that_cleanup_removes(spark):

@@ -164,6 +164,13 @@ def booking_hours(x) -> Column:
     return F.coalesce(F.when(s.rlike(_NUMERIC_EXP), exact), F.lit(0).cast(EXACT))
 
 
+def hours_unread(x) -> Column:
+    """Whether F11 reads a text as 0 because it is no number (or too long a one)."""
+    s = strip_unicode(x)
+    exact = F.coalesce(s.try_cast(EXACT), s.try_cast("double").try_cast(EXACT))
+    return F.coalesce((s != "") & ~(s.rlike(_NUMERIC_EXP) & exact.isNotNull()), F.lit(False))
+
+
 def rounded(df):
     """The exact columns of an output rounded to two decimals (null where even
     that is too long)."""

@@ -20,6 +20,14 @@ from ..functions import constants as K
 from ..functions import scalars as S
 
 ROW_KEY = ["proj_norm", "ms_norm"]
+# Entries may carry this column: each of its values is a report of its own (S5, one per
+# time file), and every aggregate, window and join of bookings goes by it too.
+REPORT = "report"
+
+
+def report_of(*tables: DataFrame) -> list[str]:
+    """The report column, if all the tables carry it."""
+    return [REPORT] if all(REPORT in t.columns for t in tables) else []
 
 
 # ---------------------------------------------------------------- filters (P*)
@@ -121,8 +129,9 @@ def check_range(start: date, end: date, quarterly: bool = False) -> None:
 
 def quarters_available(df: DataFrame) -> DataFrame:
     """Each quarter with its sorted months present in the data."""
-    months = df.where(F.col("month").isNotNull()).select("quarter", "month").distinct()
-    return months.groupBy("quarter").agg(
+    by = report_of(df)
+    months = df.where(F.col("month").isNotNull()).select(*by, "quarter", "month").distinct()
+    return months.groupBy(*by, "quarter").agg(
         F.sort_array(F.collect_list("month")).alias("months"),
         F.count("*").alias("n_months"),
     )
@@ -146,7 +155,7 @@ def quarter_months(quarter: date | Column) -> Column:
 
 def month_hours(df: DataFrame) -> DataFrame:
     """A2: hours per (employee, month, project, milestone)."""
-    return df.groupBy("staff_name", "quarter", "month", *ROW_KEY).agg(
+    return df.groupBy(*report_of(df), "staff_name", "quarter", "month", *ROW_KEY).agg(
         F.sum("hours").cast(S.EXACT).alias("hours")
     )
 
@@ -165,25 +174,25 @@ def landed_day_hours(entries: DataFrame) -> DataFrame:
     of a flexible report is rolled up from."""
     from ..session import materialize
 
-    return materialize(entries.groupBy("staff_name", "booked_on", "month", "quarter", *ROW_KEY).agg(
+    return materialize(entries.groupBy(*report_of(entries), "staff_name", "booked_on", "month", "quarter", *ROW_KEY).agg(
         F.sum("hours").cast(S.EXACT).alias("hours")), "day-hours")
 
 
 def quarter_hours(month_rows: DataFrame) -> DataFrame:
     """A3 / A10: hours per (employee, quarter, project, milestone), rolled up from A2."""
-    return month_rows.groupBy("staff_name", "quarter", *ROW_KEY).agg(
+    return month_rows.groupBy(*report_of(month_rows), "staff_name", "quarter", *ROW_KEY).agg(
         F.sum("hours").cast(S.EXACT).alias("hours")
     )
 
 
 def project_summary(df: DataFrame) -> DataFrame:
     """Hours per (project, employee)."""
-    return df.groupBy("proj_norm", "staff_name").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
+    return df.groupBy(*report_of(df), "proj_norm", "staff_name").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
 
 
 def employee_summary(df: DataFrame) -> DataFrame:
     """Hours per (employee, project)."""
-    return df.groupBy("staff_name", "proj_norm").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
+    return df.groupBy(*report_of(df), "staff_name", "proj_norm").agg(F.sum("hours").cast(S.EXACT).alias("hours"))
 
 
 # ------------------------------------------------------------ windows (W*)
@@ -192,7 +201,7 @@ def cumulative_quarter_hours(month_rows: DataFrame) -> DataFrame:
     """An employee's hours on a key in the quarter up to and including the
     month.  Partitions are (employee, key, quarter): at most three rows each."""
     w = (
-        Window.partitionBy("staff_name", *ROW_KEY, "quarter")
+        Window.partitionBy(*report_of(month_rows), "staff_name", *ROW_KEY, "quarter")
         .orderBy("month")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -204,14 +213,15 @@ def future_hours_all_staff(entries: DataFrame) -> DataFrame:
     months of the same quarter.  Pre-aggregated to (key, month) first, so the
     window sees at most three rows per key whatever the skew.  Accepts entries
     or month hours (A2): both carry hours per key and month."""
-    per_month = entries.groupBy(*ROW_KEY, "quarter", "month").agg(F.sum("hours").alias("key_hours"))
+    by = report_of(entries)
+    per_month = entries.groupBy(*by, *ROW_KEY, "quarter", "month").agg(F.sum("hours").alias("key_hours"))
     w = (
-        Window.partitionBy(*ROW_KEY, "quarter")
+        Window.partitionBy(*by, *ROW_KEY, "quarter")
         .orderBy("month")
         .rowsBetween(1, Window.unboundedFollowing)
     )
     return per_month.select(
-        *ROW_KEY, "quarter", "month",
+        *by, *ROW_KEY, "quarter", "month",
         F.coalesce(F.sum("key_hours").over(w), F.lit(0)).cast(S.EXACT).alias("future_hours"),
     )
 
@@ -230,12 +240,14 @@ def month_blocks(df: DataFrame) -> DataFrame:
 def week_blocks(df: DataFrame) -> DataFrame:
     """T3 (D10): key = (ISO year, ISO week); start/end = first/last date present
     over all employees."""
+    by = report_of(df)
     wk = df.where(F.col("booked_on").isNotNull()).groupBy(
+        *by,
         F.extract(F.lit("YEAROFWEEK"), F.col("booked_on")).alias("iso_year"),
         F.weekofyear("booked_on").alias("iso_week"),
     ).agg(F.min("booked_on").alias("block_start"), F.max("booked_on").alias("block_end"))
     return wk.select(
-        "iso_year", "iso_week",
+        *by, "iso_year", "iso_week",
         S.week_label("iso_week", "block_start", "block_end").alias("block_name"),
         "block_start", "block_end",
     )
@@ -258,7 +270,7 @@ def assign_blocks(df: DataFrame, grouping: str, start: date, end: date) -> DataF
             "iso_year": F.extract(F.lit("YEAROFWEEK"), F.col("booked_on")),
             "iso_week": F.weekofyear("booked_on"),
         })
-        return keyed.join(week_blocks(df), ["iso_year", "iso_week"])
+        return keyed.join(week_blocks(df), [*report_of(df), "iso_year", "iso_week"])
     if grouping == "period":
         return df.withColumns({
             "block_name": S.range_label(F.lit(start), F.lit(end)),

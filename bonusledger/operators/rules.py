@@ -51,8 +51,8 @@ def month_rows(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None)
     mh = BK.cumulative_quarter_hours(mh)
     p = plan.select(*KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
     # plan and future hours meet per key and month first, so the employees' rows are joined once
-    by_key = fut.join(p, KEY, "left")
-    d = heavy.join(mh, by_key, [*KEY, "quarter", "month"], hot, ["staff_name"])
+    by_key, report = fut.join(p, KEY, "left"), BK.report_of(mh)
+    d = heavy.join(mh, by_key, [*report, *KEY, "quarter", "month"], hot, ["staff_name"])
 
     ms = F.col("ms_norm")
     zero = F.lit(0).cast(S.EXACT)
@@ -101,7 +101,7 @@ def month_rows(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None)
     })
     quarterly = F.col("milestone_type") == "quarterly"
     return d.select(
-        "staff_name", "quarter", "month", *KEY, "milestone_type", "is_special", "hours",
+        *report, "staff_name", "quarter", "month", *KEY, "milestone_type", "is_special", "hours",
         # quarterly rows show '-' (null) for target and % when there is no target
         F.when(quarterly & (F.col("soll") == 0), F.lit(None).cast(S.EXACT)).otherwise(F.col("soll")).alias("soll"),
         "ist",
@@ -119,20 +119,21 @@ def with_adjustments(rows: DataFrame, adjustments: DataFrame) -> DataFrame:
     donors assigning to themselves do not count, and hours sent to someone
     without a row on that key and month are not received.
     """
-    adj = adjustments.groupBy("staff_name", *KEY, "month").agg(
+    report, who = BK.report_of(rows), [*BK.report_of(rows, adjustments), "staff_name", *KEY, "month"]
+    adj = adjustments.groupBy(*who).agg(
         F.sum("adj_h").cast(S.EXACT).alias("adj_h"), F.max("assign_to").alias("assign_to")
     )
-    d = rows.join(adj, ["staff_name", *KEY, "month"], "left")
+    d = rows.join(adj, who, "left")
     transferable = F.when(
         F.col("adj_h") < 0, F.greatest(F.lit(0).cast(S.EXACT), F.least(F.col("hours"), -F.col("adj_h")))
     ).otherwise(F.lit(0).cast(S.EXACT))
     d = d.withColumn("transferable", transferable.cast(S.EXACT))
     received = (
         d.where(F.col("assign_to").isNotNull() & (F.col("assign_to") != F.col("staff_name")))
-        .groupBy(*KEY, "month", F.col("assign_to").alias("staff_name"))
+        .groupBy(*report, *KEY, "month", F.col("assign_to").alias("staff_name"))
         .agg(F.sum("transferable").cast(S.EXACT).alias("from_others"))
     )
-    d = d.join(received, ["staff_name", *KEY, "month"], "left")
+    d = d.join(received, [*report, "staff_name", *KEY, "month"], "left")
     return d.withColumn("from_others", F.coalesce(F.col("from_others"), F.lit(0).cast(S.EXACT)))
 
 
@@ -148,9 +149,10 @@ def landed_rows(rows_adj: DataFrame) -> DataFrame:
 def coworkers(rows: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """J8 / A9 without pairs: the distinct employees per (key, month) as rows, and
     per month row the number of other employees it could assign hours to."""
-    n = rows.groupBy(*KEY, "month").agg(F.countDistinct("staff_name").alias("n_staff"))
-    rows = rows.select("staff_name", *KEY, "month")
-    return heavy.join(rows, n, [*KEY, "month"], hot, ["staff_name"], "inner").withColumn("n_others", F.col("n_staff") - 1)
+    report = BK.report_of(rows)
+    n = rows.groupBy(*report, *KEY, "month").agg(F.countDistinct("staff_name").alias("n_staff"))
+    rows = rows.select(*report, "staff_name", *KEY, "month")
+    return heavy.join(rows, n, [*report, *KEY, "month"], hot, ["staff_name"], "inner").withColumn("n_others", F.col("n_staff") - 1)
 
 
 def month_totals(rows_adj: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def month_totals(rows_adj: DataFrame) -> DataFrame:
     def hsum(c):
         return F.coalesce(F.sum(c), zero).cast(S.EXACT)
 
-    g = rows_adj.groupBy("staff_name", "quarter", "month").agg(
+    g = rows_adj.groupBy(*BK.report_of(rows_adj), "staff_name", "quarter", "month").agg(
         hsum("hours").alias("total_hours"),
         hsum(F.when(elig & ~sp, F.col("hours"))).alias("bonus_base"),
         hsum(F.when(elig & sp, F.col("hours"))).alias("special_base"),
@@ -300,7 +302,7 @@ def landed_budget(resolved: DataFrame) -> DataFrame:
 def revenue_totals(rows: DataFrame, *by: str) -> DataFrame:
     """Revenue, possible, lost and cumulative revenue per employee and quarter,
     or finer by the columns given."""
-    return rows.groupBy("staff_name", "quarter", *by).agg(
+    return rows.groupBy(*BK.report_of(rows), "staff_name", "quarter", *by).agg(
         *[F.sum(c).alias(c) for c in ("revenue", "possible", "lost", "revenue_key")])
 
 
@@ -312,8 +314,9 @@ def revenue_rows(rows_adj: DataFrame, resolved: DataFrame, positions: DataFrame,
     d = _with_revenue(d, "target_for_revenue", "ist", "hours", "from_others")
     # Revenue of all employees on the key and month (aggregate + join: the
     # shared key is hot, a window over it would be one task)
-    by_key = d.groupBy(*KEY, "month").agg(F.sum("revenue").alias("revenue_key"))
-    return heavy.join(d, by_key, [*KEY, "month"], hot, ["staff_name"])
+    on = [*BK.report_of(d), *KEY, "month"]
+    by_key = d.groupBy(*on).agg(F.sum("revenue").alias("revenue_key"))
+    return heavy.join(d, by_key, on, hot, ["staff_name"])
 
 
 def quarter_revenue(qsummary: DataFrame, resolved: DataFrame, positions: DataFrame,
@@ -324,8 +327,9 @@ def quarter_revenue(qsummary: DataFrame, resolved: DataFrame, positions: DataFra
     pos = positions.select("staff_name", "position")
     d = heavy.join(qsummary, resolved, KEY, hot, ["staff_name"]).join(pos, "staff_name", "left")
     d = _with_revenue(d, "q_soll", "q_ist", "q_hours", "from_others")
-    by_key = d.groupBy(*KEY, "quarter").agg(F.sum("revenue").alias("revenue_key"))
-    return heavy.join(d, by_key, [*KEY, "quarter"], hot, ["staff_name"])
+    on = [*BK.report_of(d), *KEY, "quarter"]
+    by_key = d.groupBy(*on).agg(F.sum("revenue").alias("revenue_key"))
+    return heavy.join(d, by_key, on, hot, ["staff_name"])
 
 
 # ------------------------------------------------------------------ quarter
@@ -348,7 +352,7 @@ def quarter_milestones(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None
     d = d.withColumn("q_soll", q_soll)
     pct = S.pct("hours", "q_soll")
     return d.select(
-        "staff_name", "quarter", *KEY,
+        *BK.report_of(d), "staff_name", "quarter", *KEY,
         F.when(F.col("q_soll") > 0, F.col("q_soll")).alias("q_soll"),
         F.col("hours").alias("q_ist"),
         F.when(F.col("q_soll") > 0, F.round(pct, 2)).alias("pct"),
@@ -359,7 +363,7 @@ def quarter_milestones(mh: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None
 def quarter_summary(rows_adj: DataFrame, plan: DataFrame, hot: heavy.HotKeys | None = None) -> DataFrame:
     """B15 + B16 per (staff, key) of the quarter; bookings without a plan row are
     absent (D5)."""
-    g = rows_adj.groupBy("staff_name", "quarter", *KEY).agg(
+    g = rows_adj.groupBy(*BK.report_of(rows_adj), "staff_name", "quarter", *KEY).agg(
         F.sum("hours").cast(S.EXACT).alias("q_hours"),
         F.sum(F.col("hours") + F.col("transferable") + F.col("from_others")).cast(S.EXACT).alias("q_total"),
         F.sum(F.coalesce(F.col("adj_h"), F.lit(0))).cast(S.EXACT).alias("q_adj"),
@@ -386,7 +390,7 @@ def quarter_summary(rows_adj: DataFrame, plan: DataFrame, hot: heavy.HotKeys | N
         F.col("q_adj") < 0, F.greatest(zero, F.least(F.col("q_total"), -F.col("q_adj")))
     ).otherwise(zero)
     return d.select(
-        "staff_name", "quarter", *KEY, special.alias("is_special"),
+        *BK.report_of(d), "staff_name", "quarter", *KEY, special.alias("is_special"),
         F.when(F.col("q_soll") > 0, F.col("q_soll")).alias("q_soll"),
         "q_ist",
         F.when(F.col("q_soll") > 0, F.round(pct, 2)).alias("pct"),
@@ -401,6 +405,6 @@ def quarter_totals(totals: DataFrame) -> DataFrame:
     """B17 (D4): per employee over the months of the quarter; bonus without
     adjustments (``bonus_base``) and with them (``bonus_total``) side by side."""
     cols = ["total_hours", "bonus_base", "special_base", "bonus_total", "special_total", "assigned", "total_bonus"]
-    return totals.groupBy("staff_name", "quarter").agg(
+    return totals.groupBy(*BK.report_of(totals), "staff_name", "quarter").agg(
         *[F.sum(c).cast(S.EXACT).alias(c) for c in cols], F.count("*").alias("n_months")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import bookings as BK
-from ..session import concurrently, configure
+from ..session import concurrently, configure, materialize
 from ..sources import bridge as BR
 
 QUARTER = BR.REPORT_QUARTER
@@ -392,6 +392,26 @@ FLEX_PERIOD = RP.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 12,
                               exclude_special_projects=True)
 
 
+def _per_file(spark, sf_dir):
+    """Landed month rows with adjustments of three time files, a report each."""
+    entries = BK.in_quarter(RP.per_file(BR.bookings(configure(spark), sf_dir, files=3)), Q_START)
+    mh, plan = concurrently(lambda: BK.landed_month_hours(entries), lambda: _plan(spark, sf_dir))
+    return _rows_adj(spark, sf_dir, mh, plan)
+
+
+def per_file_report(spark, sf_dir):
+    """The bonus totals of one report per time file, in one plan."""
+    return RU.month_totals(_per_file(spark, sf_dir)).select(
+        "report", "staff_name", "month", "bonus_base", "adj_regular", "bonus_total", "special_base", "adj_special",
+        "special_total", "assigned", "total_bonus")
+
+
+def per_file_month_rows(spark, sf_dir):
+    return _per_file(spark, sf_dir).select(
+        "report", "staff_name", "quarter", "month", "proj_norm", "ms_norm", "milestone_type", "is_special", "hours", "soll", "ist",
+        "pct", "eligible", "status")
+
+
 def cover_months(spark, sf_dir):
     mh, plan = concurrently(lambda: _mh(spark, sf_dir), lambda: _plan(spark, sf_dir))
     return RP.cover_months(RU.month_totals(_rows_adj(spark, sf_dir, mh, plan)), mh.select("month").distinct())
@@ -415,10 +435,14 @@ def quarter_employees(spark, sf_dir):
 
 
 def _flex(spark, sf_dir, cfg):
+    """Flexible rows, landed; the adjustments are those of the landed hours."""
     e = RP.filtered_entries(_entries(spark, sf_dir), cfg)
-    (plan, records, pmap), daily = concurrently(lambda: RP.budget_of(_lines(spark, sf_dir)), lambda: BK.landed_day_hours(e))
-    return RP.flex_rows(daily, plan, cfg, BR.adjustments(spark, sf_dir, QUARTER),
-                        lambda keys: RU.resolve_budget(keys, records, pmap))
+    (plan, records, pmap, _), daily = concurrently(lambda: RP.budget_of(_lines(spark, sf_dir)), lambda: BK.landed_day_hours(e))
+    hours = BK.month_hours(BK.in_quarter(daily, Q_START)).withColumn("hours", F.col("hours").cast(S.HOURS))
+    adjustments, resolved = concurrently(
+        lambda: materialize(BR.adjustments(spark, sf_dir, QUARTER, materialize(hours, "flex-months")), "flex-adjustments"),
+        lambda: RU.landed_budget(RU.resolve_budget(daily.select(*RU.KEY), records, pmap)))
+    return RU.landed_rows(RP.flex_rows(daily, plan, cfg, adjustments, lambda keys: resolved))
 
 
 def flex_rows(spark, sf_dir):
@@ -438,6 +462,8 @@ def flex_summary(spark, sf_dir):
 
 
 QUERIES.update({
+    "per_file_report": per_file_report,
+    "per_file_month_rows": per_file_month_rows,
     "cover_months": cover_months,
     "cover_quarter": cover_quarter,
     "month_rows_one_employee": month_rows_one_employee,
@@ -582,6 +608,7 @@ import uuid  # noqa: E402
 from ..functions import constants as K  # noqa: E402
 from ..session import run_folder  # noqa: E402
 from ..sources import files as FI  # noqa: E402
+from ..sources import landed as LA  # noqa: E402
 
 
 def _booking_cells(spark, sf_dir):
@@ -653,6 +680,43 @@ def xml_documents(spark, sf_dir):
     return _entry_totals(FI.read_time_xml(spark, f"{path}/part=*"))
 
 
+def landed_month_hours(spark, sf_dir):
+    """A2 kept up: the bookings landed as four files, the last two after the first
+    month hours were made; then a file again with less in it."""
+    entries = BR.bookings(configure(spark), sf_dir, files=4)
+    base = f"{run_folder(spark)}/landed-{uuid.uuid4().hex}"
+    early = entries.where("source_file in ('times-0', 'times-1')")
+    LA.land(early, f"{base}/entries", f"{base}/hours")
+    LA.land(entries.where("source_file in ('times-2', 'times-3')"), f"{base}/entries", f"{base}/hours")
+    LA.land(entries.where("source_file = 'times-1' and month < date'2001-01-01'"), f"{base}/entries", f"{base}/hours")
+    return spark.read.parquet(f"{base}/hours").select("staff_name", "quarter", "month", "proj_norm", "ms_norm", "hours")
+
+
+def landed_latest_quarter(spark, sf_dir):
+    """O2 / A7 over landed entries, from the folders' names."""
+    base = f"{run_folder(spark)}/landed-{uuid.uuid4().hex}"
+    LA.land_entries(BR.bookings(configure(spark), sf_dir), base)
+    return LA.latest_quarter(spark, base)
+
+
+def bad_value_account(spark, sf_dir):
+    """Rows of bookings with German month names, missing cells and
+    hours that are no numbers, counted by reason."""
+    e = _lineitem(spark, sf_dir)
+    cell = lambda name, v, when=None: F.coalesce(F.when(F.lit(True) if when is None else when, F.concat(
+        F.lit(f'<cell name="{name}">'), v, F.lit("</cell>"))), F.lit(""))
+    key, ln, d = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").cast("date")
+    token = F.element_at(F.array(*[F.lit(t) for t in GERMAN_MONTH_TOKENS]), F.month(d))
+    day = F.when(ln == 6, F.lit("31")).otherwise(F.date_format(d, "dd"))
+    number = F.when(ln == 3, F.lit("8,00")).when(ln == 2, F.lit("")).when((ln == 1) & (key % 5 == 0), F.lit("1e99")).otherwise(F.lit("1.5"))
+    body = F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(
+        cell("staff_name", F.when(key % 11 == 0, F.lit(" ")).otherwise(F.lit("A"))), cell("work_package_name", F.lit("x"), key % 7 != 0),
+        cell("date", F.concat_ws(" ", day, token, F.date_format(d, "yyyy")), key % 13 != 0), cell("number", number)))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    rows = e.select(F.concat(F.lit("times-"), (key % 3).cast("string")).alias("source_file"), none.alias("declared"), body.alias("body"))
+    return FI.entry_account(FI.row_cells(rows))
+
+
 FILLERS = 130  # columns between the named ones
 
 
@@ -677,7 +741,9 @@ def budget_csv(spark, sf_dir):
     return back.select((F.col("row_no") - 1).alias("line"), *FI.INTERNAL.values())
 
 
-QUERIES.update({"xml_entries": xml_entries, "xml_documents": xml_documents, "budget_csv": budget_csv})
+QUERIES.update({"xml_entries": xml_entries, "xml_documents": xml_documents, "budget_csv": budget_csv,
+                "landed_month_hours": landed_month_hours, "landed_latest_quarter": landed_latest_quarter,
+                "bad_value_account": bad_value_account})
 
 
 def _output(query):

@@ -538,6 +538,20 @@ SELECT staff_name, month, bonus_base, adj_regular, bonus_total, special_base, ad
        assigned, total_bonus
 FROM totals2"""
 
+_OF_ALL = "FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey\n),\nbookings"
+
+
+def _per_file_sql(name: str) -> str:
+    """The single report of every file, one after another."""
+    of_file = "FROM (SELECT * FROM lineitem WHERE l_orderkey % 3 = {}) l JOIN part"
+    return " UNION ALL ".join(
+        f"SELECT 'times-{f}' AS report, * FROM ({SQL[name].replace(_OF_ALL, _OF_ALL.replace('FROM lineitem l JOIN part', of_file.format(f)))})"
+        for f in range(3))
+
+
+SQL["per_file_report"] = _per_file_sql("bonus_totals")
+SQL["per_file_month_rows"] = _per_file_sql("month_rows")
+
 SQL["transfer_sheet"] = RULES_ADJ + f"""
 SELECT staff_name, {month_label_sql('month')} AS month_label, total_hours, bonus_total, special_total, assigned, total_bonus
 FROM totals2"""
@@ -896,6 +910,28 @@ SELECT staff_name, quarter, '1234.01 Beispiel' AS proj_norm, '1.1 Paket' AS ms_n
        max(purpose) AS last_purpose
 FROM all_rows GROUP BY staff_name, quarter"""
 
+SQL["landed_month_hours"] = with_(BOOKINGS.replace(
+    "FROM lineitem l JOIN part p", "FROM (SELECT * FROM lineitem WHERE NOT (l_orderkey % 4 = 1 AND l_shipdate >= DATE '2001-01-01')) l JOIN part p")) + """
+SELECT staff_name, quarter, month, proj_norm, ms_norm, CAST(sum(hours) AS DECIMAL(18,2)) AS hours
+FROM entries GROUP BY staff_name, quarter, month, proj_norm, ms_norm"""
+SQL["landed_latest_quarter"] = SQL["latest_quarter"]
+
+SQL["bad_value_account"] = """
+WITH t AS (
+  SELECT 'times-' || CAST(l_orderkey % 3 AS VARCHAR) AS source_file, l_linenumber AS ln, l_orderkey AS k,
+         CAST(l_shipdate AS DATE) AS d, l_orderkey % 17 = 0 AS is_empty FROM lineitem),
+r AS (
+  SELECT *, NOT is_empty AND k % 11 <> 0 AND k % 7 <> 0 AND k % 13 <> 0 AS valid,
+         month(d) IN (3, 5, 10, 12) AS german, CASE WHEN ln = 6 THEN 31 ELSE day(d) END AS dd FROM t)
+SELECT source_file, count(*) AS n_rows, count(*) FILTER (valid) AS n_bookings, count(*) FILTER (is_empty) AS no_cells,
+       count(*) FILTER (NOT is_empty AND k % 11 = 0) AS no_staff,
+       count(*) FILTER (NOT is_empty AND k % 11 <> 0 AND k % 7 = 0) AS no_package,
+       count(*) FILTER (NOT is_empty AND k % 11 <> 0 AND k % 7 <> 0 AND k % 13 = 0) AS no_date,
+       count(*) FILTER (valid AND dd > day(last_day(make_date(year(d), CASE WHEN german THEN 1 ELSE month(d) END, 1)))) AS date_unread,
+       count(*) FILTER (valid AND german) AS month_unknown,
+       count(*) FILTER (valid AND (ln = 3 OR ln = 1 AND k % 5 = 0)) AS hours_unread
+FROM r GROUP BY source_file"""
+
 # a record with line breaks in a field takes three lines
 SQL["budget_csv"] = with_(BUDGET_LINES[:BUDGET_LINES.index("bl1 AS")].rstrip().rstrip(",")) + """
 SELECT CAST(sum(CASE WHEN package LIKE '%Position' THEN 3 ELSE 1 END) OVER (ORDER BY row_no)

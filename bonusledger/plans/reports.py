@@ -19,7 +19,7 @@ from ..operators import bookings as BK
 from ..operators import budget as BU
 from ..operators import rules as RU
 from ..session import concurrently
-from ..sources.files import require_rows
+from ..sources.files import budget_account, require_rows
 
 REPORT_TYPES = ("quarterly", "custom_period", "monthly", "yearly", "project", "employee")
 GROUPINGS = ("month", "period", "week", "none")
@@ -103,14 +103,15 @@ def filtered_entries(entries: DataFrame, cfg: ReportConfig, by_employee: bool =
 def cover_months(totals: DataFrame, months: DataFrame) -> DataFrame:
     """Per month of the report, sums over employees; a month nobody booked
     gives zeros.  ``months`` is a one-column (month) DataFrame."""
-    g = totals.groupBy("month").agg(
+    report = BK.report_of(totals, months)
+    g = totals.groupBy(*report, "month").agg(
         F.sum("total_hours").alias("total_hours"),
         F.sum("bonus_total").alias("bonus_total"),
         F.sum("special_total").alias("special_total"),
     )
     zero = F.lit(0).cast(S.EXACT)
-    return months.join(g, "month", "left").select(
-        "month", S.month_label("month").alias("month_label"),
+    return months.join(g, [*report, "month"], "left").select(
+        *report, "month", S.month_label("month").alias("month_label"),
         *[F.coalesce(F.col(c), zero).cast(S.EXACT).alias(c) for c in ("total_hours", "bonus_total", "special_total")],
     )
 
@@ -118,7 +119,7 @@ def cover_months(totals: DataFrame, months: DataFrame) -> DataFrame:
 def cover_quarter(qtotals: DataFrame) -> DataFrame:
     """Quarter totals over all employees (one row per quarter) and their
     number; the employee list itself is ``quarter_employees``."""
-    return qtotals.groupBy("quarter").agg(
+    return qtotals.groupBy(*BK.report_of(qtotals), "quarter").agg(
         F.sum("total_hours").cast(S.EXACT).alias("total_hours"),
         F.sum("bonus_total").cast(S.EXACT).alias("bonus_total"),
         F.sum("special_total").cast(S.EXACT).alias("special_total"),
@@ -128,7 +129,7 @@ def cover_quarter(qtotals: DataFrame) -> DataFrame:
 
 def quarter_employees(entries_q: DataFrame) -> DataFrame:
     """Distinct employees of the report (sort on output)."""
-    return entries_q.select("staff_name").distinct()
+    return entries_q.select(*BK.report_of(entries_q), "staff_name").distinct()
 
 
 def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFrame, positions: DataFrame,
@@ -163,9 +164,10 @@ def standard_report(entries_q: DataFrame, lines: DataFrame, adjustments: DataFra
         "quarter_summary": qsummary,
         "quarter_revenue_totals": RU.revenue_totals(qsummary),
         "quarter_totals": qtotals,
-        "cover_months": cover_months(totals, mh.select("month").distinct() if months is None else months),
+        "cover_months": cover_months(totals, mh.select(*BK.report_of(mh), "month").distinct() if months is None else months),
         "cover_quarter": cover_quarter(qtotals),
         "employees": quarter_employees(own(mh)),
+        "budget_account": budget_account(prepared),
     }
     if include_budget_overview:
         out["budget_overview"] = BU.budget_overview(records)
@@ -187,22 +189,23 @@ def flex_rows(daily: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments:
     e = BK.assign_blocks(daily, cfg.time_grouping, cfg.start_date, cfg.end_date)
     if cfg.exclude_special_projects:  # P9, second pass
         e = e.where(~S.is_special_project("proj_norm"))
-    blocks = ["block_name", "block_start", "block_end"]
-    bh = e.groupBy("staff_name", *blocks, *RU.KEY).agg(F.sum("hours").cast(S.EXACT).alias("hours"))
+    blocks, report = ["block_name", "block_start", "block_end"], BK.report_of(daily)
+    bh = e.groupBy(*report, "staff_name", *blocks, *RU.KEY).agg(F.sum("hours").cast(S.EXACT).alias("hours"))
     # Whole-quarter hours of the filtered data, per employee and key
-    qh = e.groupBy("staff_name", *RU.KEY, F.col("quarter").alias("block_quarter")).agg(
+    qh = e.groupBy(*report, "staff_name", *RU.KEY, F.col("quarter").alias("block_quarter")).agg(
         F.sum("hours").cast(S.EXACT).alias("quarter_hours"))
     p = plan.select(*RU.KEY, F.col("soll").alias("csv_soll"), F.col("ist").alias("csv_ist"))
-    who = ["staff_name", *RU.KEY]
-    adj = adjustments.groupBy(*who, "month").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
+    who = [*report, "staff_name", *RU.KEY]
+    given = [*BK.report_of(daily, adjustments), "staff_name", *RU.KEY, "month"]
+    adj = adjustments.groupBy(*given).agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
     last = e.groupBy(*who, "month").agg(F.max("block_start").alias("block_start"))
-    adj = adj.join(last, [*who, "month"]).groupBy(*who, "block_start").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
+    adj = adj.join(last, given).groupBy(*who, "block_start").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
     billing = resolved(bh.select(*RU.KEY)).select(*RU.KEY, F.col("billing_j3").alias("billing"))
     d = (
         bh.join(adj, [*who, "block_start"], "left").join(billing, RU.KEY, "left")
         .withColumn("block_quarter", S.quarter_start("block_start"))
         .join(p, RU.KEY, "left")
-        .join(qh, ["staff_name", *RU.KEY, "block_quarter"], "left")
+        .join(qh, [*who, "block_quarter"], "left")
     )
     ms = F.col("ms_norm")
     special = S.is_special_project("proj_norm")
@@ -224,7 +227,7 @@ def flex_rows(daily: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments:
     d = d.withColumns({"soll": soll, "ist": ist, "is_special": special})
     pct = F.when(F.col("soll") > 0, F.col("ist") / F.col("soll") * 100.0).otherwise(F.lit(0.0))
     return d.select(
-        "staff_name", *blocks, *RU.KEY, "is_special", "hours",
+        *report, "staff_name", *blocks, *RU.KEY, "is_special", "hours",
         F.when(F.col("soll") > 0, F.round("soll", 2)).alias("soll"),
         F.when(F.col("ist") > 0, F.round("ist", 2)).alias("ist"),
         F.when(F.col("soll") > 0, F.round(pct, 2)).alias("pct"),
@@ -240,7 +243,7 @@ def flex_block_totals(rows: DataFrame) -> DataFrame:
     bonus totals; regular and special apart (D13)."""
     zero = F.lit(0).cast(S.EXACT)
     el, sp = F.col("eligible"), F.col("is_special")
-    return rows.groupBy("staff_name", "block_name", "block_start", "block_end").agg(
+    return rows.groupBy(*BK.report_of(rows), "staff_name", "block_name", "block_start", "block_end").agg(
         F.sum("hours").cast(S.EXACT).alias("total_hours"),
         F.coalesce(F.sum(F.when(el & ~sp, F.col("hours"))), zero).cast(S.EXACT).alias("bonus_base"),
         F.coalesce(F.sum(F.when(el & sp, F.col("hours"))), zero).cast(S.EXACT).alias("special_base"),
@@ -254,30 +257,32 @@ def flex_block_totals(rows: DataFrame) -> DataFrame:
 
 def flex_summary(block_totals: DataFrame) -> DataFrame:
     """C3 + C4: per block over employees, and the grand total (block_name null)."""
-    return block_totals.rollup("block_name").agg(
-        *[F.sum(c).cast(S.EXACT).alias(c) for c in FLEX_HOURS if c in block_totals.columns])
+    sums = [F.sum(c).cast(S.EXACT).alias(c) for c in FLEX_HOURS if c in block_totals.columns]
+    if not BK.report_of(block_totals):
+        return block_totals.rollup("block_name").agg(*sums)
+    return block_totals.groupingSets([[BK.REPORT, "block_name"], [BK.REPORT]], BK.REPORT, "block_name").agg(*sums)
 
 
-def budget_of(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plan, records and parent map of a budget export, from one landed pass."""
+def budget_of(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Plan, records, parent map and account of a budget export, from one landed pass."""
     prepared = BU.prepare(lines)
     records, edges = BU.budget_scan(prepared=prepared)
-    return BU.plan_from_prepared(prepared), records, BU.parent_map_from_edges(edges)
+    return BU.plan_from_prepared(prepared), records, BU.parent_map_from_edges(edges), budget_account(prepared)
 
 
 def flexible_report(entries_f: DataFrame, lines: DataFrame, cfg: ReportConfig, adjustments: DataFrame,
                     positions: DataFrame) -> dict[str, DataFrame]:
     """The flexible report: rows with billing, position and adjustment, totals per
     employee and block, totals per block and over all, budget overview."""
-    (plan, records, pmap), daily = concurrently(lambda: budget_of(lines), lambda: BK.landed_day_hours(entries_f))
-    rows = RU.landed_rows(flex_rows(daily, plan, cfg, adjustments, lambda keys: RU.resolve_budget(keys, records, pmap)))
+    (plan, records, pmap, unread), daily = concurrently(lambda: budget_of(lines), lambda: BK.landed_day_hours(entries_f))
+    rows = RU.landed_rows(flex_rows(daily, plan, cfg, adjustments, lambda keys: RU.landed_budget(RU.resolve_budget(keys, records, pmap))))
     totals = flex_block_totals(rows)
     if not cfg.include_bonus_calc:
         totals = totals.drop(*FLEX_HOURS[1:])
         rows = rows.drop("adj_h")
     rows = rows.join(positions.select("staff_name", "position"), "staff_name", "left").withColumn(
         "position", F.coalesce("position", F.lit(K.POSITIONS[0])))
-    out: dict[str, DataFrame] = {"flex_rows": rows, "flex_block_totals": totals}
+    out: dict[str, DataFrame] = {"flex_rows": rows, "flex_block_totals": totals, "budget_account": unread}
     if cfg.include_summary_sheet:
         out["flex_summary"] = flex_summary(totals)
     if cfg.include_budget_overview:
@@ -287,13 +292,24 @@ def flexible_report(entries_f: DataFrame, lines: DataFrame, cfg: ReportConfig, a
 
 # ------------------------------------------------------------ dispatch
 
+def per_file(entries: DataFrame) -> DataFrame:
+    """Entries that make one report per time file (S5, D12) when they are given to
+    ``generate``, ``quarterly_job`` or ``standard_report``: one plan and one scan, each table with a
+    column ``report`` (the file)."""
+    return entries.withColumn(BK.REPORT, F.col("source_file"))
+
+
 def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
-             positions: DataFrame) -> dict[str, DataFrame]:
+             positions: DataFrame, account: DataFrame | None = None) -> dict[str, DataFrame]:
     """Quarterly + by month + one quarter -> standard report over the
     filtered entries and all three months of the quarter; project / employee ->
     summaries; otherwise the flexible report.  Component flags apply everywhere
-    (D21)."""
-    entries = require_rows(entries)
+    (D21).  ``account`` (of ``scan_time_xml``) is one of the report's tables."""
+    out = _generate(cfg, require_rows(entries), lines, adjustments, positions)
+    return out if account is None else out | {"booking_account": account}
+
+
+def _generate(cfg, entries, lines, adjustments, positions):
     e = filtered_entries(entries, cfg)
     if cfg.report_type == "project":
         return {"project_summary": S.rounded(BK.project_summary(e))}
@@ -304,6 +320,8 @@ def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustment
     if cfg.report_type == "quarterly" and cfg.time_grouping == "month" and q_start == q_end:
         spark = entries.sparkSession
         months = spark.range(1).select(F.explode(BK.quarter_months(q_start)).alias("month"))
+        if BK.report_of(entries):
+            months = entries.select(BK.REPORT).distinct().withColumn("month", F.explode(BK.quarter_months(q_start)))
         out = standard_report(filtered_entries(entries, cfg, by_employee=False), lines, adjustments, positions, months,
                               cfg.include_budget_overview, cfg.employees)
         if not cfg.include_summary_sheet:
@@ -315,11 +333,12 @@ def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustment
 
 
 def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame, positions: DataFrame,
-                  requested: str | None = None) -> tuple[date, dict[str, DataFrame]]:
+                  requested: str | None = None, account: DataFrame | None = None) -> tuple[date, dict[str, DataFrame]]:
     """Entry 1 (standard job): the requested quarter, or the latest one (O2,
     D16); months = months present in that quarter (T5).  One tiny action picks
-    the quarter."""
-    entries = require_rows(entries)
+    the quarter.  With one report per file each has the latest quarter of its own
+    file; the quarter given back is the latest of all."""
+    entries, picked = require_rows(entries), None
     if requested:
         q = S.parse_quarter(requested)
         if BK.in_quarter(entries, q).isEmpty():
@@ -328,4 +347,8 @@ def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
         q = entries.agg(F.max("quarter").alias("quarter")).first()["quarter"]
         if q is None:
             raise ValueError("no booking has a date, so there is no latest quarter")
-    return q, standard_report(BK.in_quarter(entries, q), lines, adjustments, positions, None)
+        if BK.report_of(entries):
+            latest = entries.groupBy(BK.REPORT).agg(F.max("quarter").alias("quarter"))
+            picked = entries.join(latest, [BK.REPORT, "quarter"])
+    out = standard_report(BK.in_quarter(entries, q) if picked is None else picked, lines, adjustments, positions, None)
+    return q, out if account is None else out | {"booking_account": account}

@@ -79,13 +79,14 @@ def _brand_number(p_brand: Column) -> Column:
     return F.substring(p_brand, 7, 10).cast("int")
 
 
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time entries in the normalised schema of the XML scan.
+def bookings(spark: SparkSession, sf_dir: str, files: int = 0) -> DataFrame:
+    """Time entries in the normalised schema of the XML scan, from so many ``files``.
 
     Project and milestone names depend on the part only, so they (and their
     normalised keys) are computed on the part table before the join instead of
     once per line item."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    source = F.concat(F.lit("times-"), (F.col("l_orderkey") % files).cast("string")) if files else F.lit("lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     n = _brand_number(F.col("p_brand"))
     names = part.select(
@@ -104,7 +105,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "project", "work_package_name",
         booked_on.alias("booked_on"),
         (F.col("l_quantity") * F.lit(0.25)).cast(S.HOURS).alias("hours"),
-        F.lit("lineitem").alias("source_file"),
+        source.alias("source_file"),
         S.month_start(booked_on).alias("month"),
         S.quarter_start(booked_on).alias("quarter"),
         "proj_norm", "ms_norm",
@@ -212,10 +213,11 @@ def adjustments(spark: SparkSession, sf_dir: str, quarter: str = REPORT_QUARTER,
         month_hours = e.groupBy("staff_name", "proj_norm", "ms_norm", "month").agg(
             F.sum("hours").cast(S.HOURS).alias("hours")
         )
-    rows = month_hours.select("staff_name", "proj_norm", "ms_norm", "month", "hours")
+    report = ["report"] if "report" in month_hours.columns else []
+    rows = month_hours.select(*report, "staff_name", "proj_norm", "ms_norm", "month", "hours")
     supp = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("staff_name"), "s_suppkey")
     givers = rows.join(supp, "staff_name").where(F.col("s_suppkey") % 3 == 0)
-    keys = ["proj_norm", "ms_norm", "month"]
+    keys = [*report, "proj_norm", "ms_norm", "month"]
     # The first other employee is the smallest name unless that is oneself, then
     # the second smallest: two aggregates per key, no pairs are formed.
     first = rows.groupBy(*keys).agg(F.min("staff_name").alias("first"))

@@ -210,6 +210,14 @@ def declared_entities(text):
                         F.regexp_extract_all(prolog, pattern, F.lit(2)).alias("value"))
 
 
+def _row_cells(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None, block: int) -> DataFrame:
+    rows, prologs = xml_scan.read_rows(spark, [paths] if isinstance(paths, str) else list(paths), block)
+    declared = prologs.select("source_file", declared_entities(F.col("prolog")).alias("declared")).where("size(declared) > 0")
+    rows = rows.withColumn("body", _plain_cdata(F.col("body"))).join(declared, "source_file", "left")
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return row_cells(rows.withColumn("declared", F.coalesce("declared", none)), entities)
+
+
 def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None,
                   block: int = xml_scan.BLOCK) -> DataFrame:
     """S3 + S5: every <row> of every file, its <cell name=..> texts by name (the
@@ -219,11 +227,15 @@ def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dic
     a row's cells are its own.  Documents that are truncated or unbalanced are an
     error when this is called, a row that can't be parsed is one when it is read.
     """
-    rows, prologs = xml_scan.read_rows(spark, [paths] if isinstance(paths, str) else list(paths), block)
-    declared = prologs.select("source_file", declared_entities(F.col("prolog")).alias("declared")).where("size(declared) > 0")
-    rows = rows.withColumn("body", _plain_cdata(F.col("body"))).join(declared, "source_file", "left")
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    return parse_rows(rows.withColumn("declared", F.coalesce("declared", none)), entities)
+    return valid_entries(_row_cells(spark, paths, entities, block))
+
+
+def scan_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None,
+                  block: int = xml_scan.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``read_time_xml`` and the account of what could not be read (``entry_account``),
+    both over rows that are parsed and landed once."""
+    cells = materialize(_row_cells(spark, paths, entities, block), "time-rows")
+    return valid_entries(cells), entry_account(cells)
 
 
 def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
@@ -238,6 +250,11 @@ def parse_row_fragments(frag: DataFrame, entities: dict[str, str] | None = None)
 
 def parse_rows(rows: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
     """Inner XML of rows (source_file, declared, body) -> normalised time entries."""
+    return valid_entries(row_cells(rows, entities))
+
+
+def row_cells(rows: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
+    """Inner XML of rows -> source_file, cells (map from name to text)."""
     body = F.aggregate("declared", F.col("body"), lambda b, e: F.replace(b, F.concat(F.lit("&"), e["name"], F.lit(";")), e["value"]))
     for name, repl in (entities or DTD_ENTITIES).items():
         body = F.replace(body, F.lit(f"&{name};"), F.lit(repl))
@@ -250,12 +267,51 @@ def parse_rows(rows: DataFrame, entities: dict[str, str] | None = None) -> DataF
         F.coalesce(F.col("r.cell"), F.array().cast("array<struct<_VALUE:string,_name:string>>")),
         lambda c: F.struct(c["_name"].alias("k"), F.coalesce(S.strip_unicode(c["_VALUE"]), F.lit("")).alias("v")),
     ))
-    d = parsed.select("source_file", cells.alias("cells"))
-    d = d.where(
-        (F.coalesce(F.element_at("cells", F.lit("staff_name")), F.lit("")) != "")
-        & F.map_contains_key("cells", F.lit("work_package_name"))
-        & F.map_contains_key("cells", F.lit("date"))
-    )
+    return parsed.select("source_file", cells.alias("cells"))
+
+
+def _lacks() -> dict:
+    """What makes a row no booking."""
+    return {
+        "no_staff": F.coalesce(F.element_at("cells", F.lit("staff_name")), F.lit("")) == "",
+        "no_package": ~F.map_contains_key("cells", F.lit("work_package_name")),
+        "no_date": ~F.map_contains_key("cells", F.lit("date")),
+    }
+
+
+def entry_account(cells: DataFrame) -> DataFrame:
+    """Per file what a report can't show: rows without cells, rows that P1 drops by
+    reason (the first that holds), and of the bookings those whose date is no date,
+    whose month token is unknown (read as January, D18), and whose hours are no number
+    (read as 0, F11)."""
+    empty = F.size("cells") == 0
+    lacks = _lacks()
+    valid = ~empty & ~lacks["no_staff"] & ~lacks["no_package"] & ~lacks["no_date"]
+    cell = lambda name: F.element_at("cells", F.lit(name))
+    count = lambda c: F.count(F.when(c, 1))
+    return cells.groupBy("source_file").agg(
+        F.count("*").alias("n_rows"), count(valid).alias("n_bookings"), count(empty).alias("no_cells"),
+        count(~empty & lacks["no_staff"]).alias("no_staff"),
+        count(~empty & ~lacks["no_staff"] & lacks["no_package"]).alias("no_package"),
+        count(~empty & ~lacks["no_staff"] & ~lacks["no_package"] & lacks["no_date"]).alias("no_date"),
+        count(valid & S.booking_date(cell("date")).isNull()).alias("date_unread"),
+        count(valid & S.month_token_unknown(cell("date"))).alias("month_unknown"),
+        count(valid & S.hours_unread(cell("number"))).alias("hours_unread"))
+
+
+def budget_account(lines: DataFrame) -> DataFrame:
+    """Per budget file and number column the texts that are no number, hence null."""
+    unread = [F.struct(F.lit(c).alias("column"), (S.strip_unicode(F.col(c)).isNotNull() & (S.strip_unicode(F.col(c)) != "")
+                                                  & S.de_number(c).isNull()).alias("unread"))
+              for c in ("soll_txt", "ist_txt", "budget_txt", "sollhonorar_txt", "billed_txt", "cost_txt")]
+    d = lines.select("file_path", F.inline(F.array(*unread)))
+    return d.groupBy("file_path", "column").agg(F.count(F.when(F.col("unread"), 1)).alias("n_unread"))
+
+
+def valid_entries(cells: DataFrame) -> DataFrame:
+    """The bookings among parsed rows (P1), normalised."""
+    lacks = _lacks()
+    d = cells.where(~(lacks["no_staff"] | lacks["no_package"] | lacks["no_date"]))
     d = d.select("source_file", *[F.element_at("cells", F.lit(c)).alias(c) for c in CELLS])
     d = d.withColumnRenamed("date", "date_text").withColumns({
         "booked_on": S.booking_date("date_text"),

@@ -44,8 +44,9 @@ def latest_quarter(spark: SparkSession, path: str) -> DataFrame:
 
 def land_entries(entries: DataFrame, path: str) -> list[date]:
     """Lands the entries of time files, each (month, file) replacing what was landed
-    of it before, and gives the months they hold now or held before.  A month's rows
-    go to a bounded number of tasks, sorted by day.  Entries without a date are in
+    of it before, and gives the months they hold now or held before.  Rows are
+    dealt by month and file, small ones together and large ones split (a rebalance by
+    measured sizes), and sorted by day.  Entries without a date are in
     no month and stay out, as they do of every report."""
     spark = entries.sparkSession
     entries = entries.where("month is not null").withColumn("file", F.hex(F.xxhash64("source_file")))
@@ -58,8 +59,7 @@ def land_entries(entries: DataFrame, path: str) -> list[date]:
         stale = [(date.fromisoformat(m[1]), m[2]) for m in folders if m and m[2] in files and date.fromisoformat(m[1]) not in months]
     for month, file in stale:  # a file that no longer holds a month it held
         _delete(spark, f"{path}/month={month}/file={file}")
-    spread = F.pmod(F.xxhash64("staff_name"), F.lit(8))
-    (entries.repartition("month", "file", spread).sortWithinPartitions("month", "file", "booked_on").write.mode("overwrite")
+    (entries.hint("rebalance", F.col("month"), F.col("file")).sortWithinPartitions("month", "file", "booked_on").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("month", "file").parquet(path))
     return sorted(months | {m for m, _ in stale})
 

@@ -488,3 +488,76 @@ def op12_run_length(spark, sf_dir: str) -> DataFrame:
     several = (pieces.where("n_pieces > 1").select(*names, "piece", lines.alias("lines"))
                .repartition("conv_id").sortWithinPartitions("conv_id", "piece"))
     return whole.union(several.mapInArrow(_hashed, whole.schema))
+
+
+# ---------- the contract in SQL: a recursive DP over single rows whose states are
+# texts of nine digits of cost and the letters so far, so that the least text wins
+
+def _more(state: str, cost: str, letter: str) -> str:
+    return f"lpad(CAST(CAST(substr({state}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}'"
+
+
+_FAR = "'900000000'"
+_BITS = "[0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]"
+_CRC32 = ("xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen({0}) + 1), "
+          "lambda i: CAST(ascii(substr({0}, i, 1)) AS UBIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), " + _BITS + "), "
+          "lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))")
+_IF = "CASE WHEN {} THEN {} ELSE " + _FAR + " END"
+
+OP12_SQL = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hurt AS (
+  SELECT *, CAST({_CRC32.format("name")} AS BIGINT) % 20 AS how FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hurt)),
+convs AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT g, turn, role, text, substr(role, 1, 1) AS initial,
+         row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged d JOIN convs c ON c.conv_id IS NOT DISTINCT FROM d.conv_id),
+seen AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS late, lag(initial) OVER (PARTITION BY g ORDER BY i) AS before
+  FROM placed),
+marked AS (
+  SELECT *, blank OR again AS gone, CASE WHEN late THEN 3 ELSE 0 END AS extra FROM seen),
+dp AS (
+  SELECT g, 0::BIGINT AS i, '000000000' AS e, {_FAR} AS s, {_FAR} AS u, {_FAR} AS a FROM convs
+  UNION ALL
+  SELECT g, i, {_more("e", "4", "D")},
+         least({_more("s", "4", "D")}, {_IF.format("NOT gone AND initial = 's'", _more("e", "extra", "K"))}),
+         least({_more("u", "4", "D")}, {_IF.format("NOT gone", f"least({_more('e', '3 + extra', 'R')}, {_more('s', '3 + extra', 'R')}, {_more('a', '3 + extra', 'R')})")},
+               {_IF.format("NOT gone AND initial = 'u'", f"least({_more('e', 'extra', 'K')}, {_more('s', 'extra', 'K')}, {_more('a', 'extra', 'K')})")}),
+         least({_more("a", "4", "D")}, {_IF.format("NOT gone", _more("u", "3 + extra", "R"))},
+               {_IF.format("NOT gone AND initial = 'a'", _more("u", "extra", "K"))})
+  FROM (SELECT g, m.i, e, s, u, least(a, {_more("u", "3", "I")}) AS a, gone, initial, extra
+        FROM (SELECT d.g, d.i, e, s, a, least(u, {_more("e", "3", "I")}, {_more("s", "3", "I")}, {_more("a", "3", "I")}) AS u FROM dp d) d
+        JOIN marked m USING (g) WHERE m.i = d.i + 1)),
+ends AS (
+  SELECT g, least(e, a, {_more(f"least(u, {_more('s', '3', 'I')})", "3", "I")}) AS best
+  FROM dp d WHERE d.i = (SELECT coalesce(max(m.i), 0) FROM marked m WHERE m.g = d.g)),
+letters AS (
+  SELECT g, pos, substr(best, CAST(9 + pos AS BIGINT), 1) AS letter
+  FROM (SELECT g, best, unnest(range(1, strlen(best) - 8)) AS pos FROM ends)),
+numbered AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS out
+  FROM letters WINDOW w AS (PARTITION BY g ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+edited AS (
+  SELECT n.g, pos, out, letter, m.role, CASE letter WHEN 'I' THEN '' ELSE m.text END AS text,
+         max(CASE WHEN out = 1 AND letter = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.g) AS system
+  FROM numbered n LEFT JOIN marked m ON m.g = n.g AND m.i = n.i AND n.letter <> 'I' WHERE letter <> 'D'),
+repaired AS (
+  SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (out - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                       chr(10) ORDER BY pos) AS lines FROM edited GROUP BY g),
+counts AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND late) AS truncated,
+         count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY g)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(substr(best, 1, 9) AS BIGINT) AS cost,
+       substr(best, 10) AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM convs JOIN ends USING (g) LEFT JOIN counts USING (g) LEFT JOIN repaired USING (g)"""

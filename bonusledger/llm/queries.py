@@ -32,4 +32,8 @@ QUERIES = {
     "op13_gnat": vector_codes.op13_gnat,
 }
 
-SQL = {"op5_suffix_automaton": decontaminate.OP5_SQL}
+SQL = {
+    "op5_suffix_automaton": decontaminate.OP5_SQL,
+    "op12_run_length": conversations.OP12_SQL,
+    "op13_gnat": vector_codes.OP13_SQL,
+}

@@ -274,3 +274,46 @@ def op13_gnat(spark, sf_dir: str, parts: int = 4, entries: int = 256, rounds: in
         "l", F.expr("try_cast(t as bigint)").alias("label_error"))
     return coded.join(labels, F.col("label").eqNullSafe(F.col("l")), "left").select(
         "vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+# ---------- the contract in SQL, by comparing every part with every entry
+
+def _sql(rounds: int = 4, entries: int = 256) -> str:
+    squares = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+
+    def assigned(r: int) -> str:
+        return f"""
+near{r} AS MATERIALIZED (
+  SELECT n, p, min({{'d': d, 'e': e}}) AS best
+  FROM (SELECT n, x.p, e, {squares} AS d FROM parts x JOIN book{r} b ON b.p = x.p) GROUP BY n, p)"""
+
+    steps = [assigned(0)]
+    for r in range(rounds):
+        steps.append(f"""
+sums{r} AS (
+  SELECT p, e, i, sum(v) AS s, count(*) AS k
+  FROM (SELECT x.p, best.e AS e, unnest(x.x) AS v, unnest(range(1, len(x.x) + 1)) AS i FROM parts x JOIN near{r} USING (n, p)) GROUP BY p, e, i),
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c
+  FROM book{r} b LEFT JOIN (SELECT p, e, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY i) AS c FROM sums{r} GROUP BY p, e) m USING (p, e))""")
+        steps.append(assigned(r + 1))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT n, p, v[CAST(p * len(v) // 4 + 1 AS BIGINT):CAST((p + 1) * len(v) // 4 AS BIGINT)] AS x
+  FROM (SELECT n, v, unnest(range(4)) AS p FROM kept)),
+book0 AS MATERIALIZED (SELECT p, n - 1 AS e, x AS c FROM parts WHERE n <= {entries}),{",".join(steps)},
+coded AS (
+  SELECT n, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY n),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (n), digest"""
+
+
+OP13_SQL = _sql()

@@ -269,6 +269,26 @@ def plan_pct(ist, soll) -> Column:
     )
 
 
+def list_items(text) -> Column:
+    """F17 on a column: comma list -> stripped non-empty items, none for null."""
+    items = F.transform(F.split(F.coalesce(_c(text), F.lit("")), ","), strip_unicode)
+    return F.filter(items, lambda x: x != "")
+
+
+def range_problem(start, end, quarterly) -> Column:
+    """P10 on columns: 'order' if a range begins after its end, 'span' if a quarter's
+    report does not cover a quarter's days, null if it is well."""
+    low, high = K.QUARTER_DAYS
+    return F.when(_c(start) > _c(end), "order").when(_c(quarterly) & ~F.datediff(_c(end), _c(start)).between(low, high), "span")
+
+
+def report_label(start, end, quarterly) -> Column:
+    """K5 on columns: 'Q3-2025' for a report of one quarter, else 'Report_<start>-<end>'."""
+    one = _c(quarterly) & (F.date_trunc("quarter", _c(start)) == F.date_trunc("quarter", _c(end)))
+    return F.when(one, F.concat(F.lit("Q"), F.quarter(_c(start)), F.lit("-"), F.year(_c(start)))).otherwise(
+        F.concat(F.lit("Report_"), F.date_format(_c(start), "yyyyMMdd"), F.lit("-"), F.date_format(_c(end), "yyyyMMdd")))
+
+
 def split_list(text: str | None) -> list[str]:
     """F17 (driver side): comma list -> stripped non-empty items."""
     if not text:

@@ -417,10 +417,15 @@ def cover_months(spark, sf_dir):
     return RP.cover_months(RU.month_totals(_rows_adj(spark, sf_dir, mh, plan)), mh.select("month").distinct())
 
 
+def _adjustments(spark, sf_dir):
+    """The adjustments as an input table: from landed hours, landed."""
+    return materialize(BR.adjustments(spark, sf_dir, QUARTER, _mh(spark, sf_dir)), "adjustments")
+
+
 def month_rows_one_employee(spark, sf_dir):
     """A report for one employee has the numbers over all staff."""
     cfg = RP.ReportConfig("quarterly", Q_START, date(1998, 9, 30), "monthly", employees=EMPLOYEES[:1])
-    d = RP.generate(cfg, _entries(spark, sf_dir), _lines(spark, sf_dir), BR.adjustments(spark, sf_dir, QUARTER),
+    d = RP.generate(cfg, _entries(spark, sf_dir), _lines(spark, sf_dir), _adjustments(spark, sf_dir),
                     BR.positions(spark, sf_dir))["month_rows"]
     return d.select("staff_name", "month", "proj_norm", "ms_norm", "hours", "soll", "ist", "pct", "eligible", "from_others",
                     F.round("revenue", 2).alias("revenue"), F.round("revenue_key", 2).alias("revenue_key"))
@@ -603,8 +608,12 @@ QUERIES.update({
 FLAGSHIP = month_rows
 
 
+import dataclasses  # noqa: E402
 import uuid  # noqa: E402
 
+from pyspark.sql import Window  # noqa: E402
+
+from .. import sinks as SI  # noqa: E402
 from ..functions import constants as K  # noqa: E402
 from ..session import run_folder  # noqa: E402
 from ..sources import files as FI  # noqa: E402
@@ -717,6 +726,62 @@ def bad_value_account(spark, sf_dir):
     return FI.entry_account(FI.row_cells(rows))
 
 
+def report_requests(spark, sf_dir):
+    """The orders as requests for reports: their filter lists, what is
+    wrong with their ranges, and the names of the results."""
+    configure(spark)
+    start = F.col("o_orderdate").cast("date")
+    d = BR.table(spark, sf_dir, "orders").select(
+        "o_orderkey", start.alias("start"), F.date_add(start, (F.col("o_custkey") % 120 - 3).cast("int")).alias("end"),
+        (F.col("o_orderkey") % 2 == 0).alias("quarterly"),
+        F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit(" ,, "), F.col("o_orderpriority"))).alias("text"))
+    return d.select("o_orderkey", F.array_join(S.list_items("text"), "|").alias("items"), S.range_problem("start", "end", "quarterly").alias("problem"),
+                    S.report_label("start", "end", "quarterly").alias("name"))
+
+
+def flex_without_bonus(spark, sf_dir):
+    """The component flags of the flexible report."""
+    cfg = dataclasses.replace(FLEX_WEEK, include_bonus_calc=False, include_summary_sheet=False, include_budget_overview=False)
+    tables = RP.generate(cfg, _entries(spark, sf_dir), _lines(spark, sf_dir), _adjustments(spark, sf_dir), BR.positions(spark, sf_dir))
+    if set(tables) & {"flex_summary", "budget_overview"} or "adj_h" in tables["flex_rows"].columns:
+        raise AssertionError("a table that was not asked for")
+    return tables["flex_block_totals"]
+
+
+def _back(spark, path, fmt, *of):
+    """Written rows with their place in the files, in the order of the files' names."""
+    d = spark.read.format(fmt).option("header", True).load(path)
+    d = d.withColumns({"_f": F.col("_metadata.file_name"), "_b": F.col("_metadata.file_block_start"), "_i": F.monotonically_increasing_id()})
+    window = Window.partitionBy(*of).orderBy("_f", "_b", "_i")
+    return d.withColumn("place", F.row_number().over(window)).drop("_f", "_b", "_i")
+
+
+def employee_export(spark, sf_dir):
+    """K1 / K2 / O1: the month sheets written per employee, sorted over files of 500
+    rows, and read again in the files' order."""
+    rows = S.rounded(_rows_adj(spark, sf_dir))
+    path = f"{run_folder(spark)}/export-{uuid.uuid4().hex}"
+    SI.write_employee_export(rows, path, totals=S.rounded(RU.month_totals(rows)), rows_per_file=500)
+    d = _back(spark, path, "csv", "staff_name")
+    return d.select("staff_name", "place", F.col("month").cast("date").alias("month"), F.col("Projekt").alias("proj_norm"),
+                    F.col("Meilenstein").alias("ms_norm"), *[F.col(f"`{c}`").cast(S.HOURS).alias(n) for n, c in SI.EXPORT_COLUMNS
+                                                             if n in ("soll", "hours", "adj_h")])
+
+
+def overview_table(spark, sf_dir):
+    """K3 / O1: the budget overview written in its order and read again."""
+    path = f"{run_folder(spark)}/overview-{uuid.uuid4().hex}"
+    SI.write_table(S.rounded(BU.budget_overview(BU.budget_records(_lines(spark, sf_dir)))), path, order=SI.SORTED["budget_overview"])
+    return _back(spark, path, "parquet").select("place", "lookup_id", "project", "top_milestone", "status", "remark", "available")
+
+
+def cover_table(spark, sf_dir):
+    """K4 / O1: the cover written in its order and read again."""
+    path = f"{run_folder(spark)}/cover-{uuid.uuid4().hex}"
+    SI.write_table(S.rounded(cover_months(spark, sf_dir)), path, order=SI.SORTED["cover_months"])
+    return _back(spark, path, "parquet")
+
+
 FILLERS = 130  # columns between the named ones
 
 
@@ -743,7 +808,8 @@ def budget_csv(spark, sf_dir):
 
 QUERIES.update({"xml_entries": xml_entries, "xml_documents": xml_documents, "budget_csv": budget_csv,
                 "landed_month_hours": landed_month_hours, "landed_latest_quarter": landed_latest_quarter,
-                "bad_value_account": bad_value_account})
+                "bad_value_account": bad_value_account, "report_requests": report_requests, "flex_without_bonus": flex_without_bonus,
+                "employee_export": employee_export, "overview_table": overview_table, "cover_table": cover_table})
 
 
 def _output(query):

@@ -932,6 +932,34 @@ SELECT source_file, count(*) AS n_rows, count(*) FILTER (valid) AS n_bookings, c
        count(*) FILTER (valid AND (ln = 3 OR ln = 1 AND k % 5 = 0)) AS hours_unread
 FROM r GROUP BY source_file"""
 
+SQL["report_requests"] = """
+WITH r AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 120 - 3 AS INTEGER) AS DATE) AS e,
+         o_orderkey % 2 = 0 AS quarterly, CASE WHEN o_custkey % 5 <> 0 THEN o_orderstatus || '|' || o_orderpriority ELSE '' END AS items
+  FROM orders)
+SELECT o_orderkey, items, CASE WHEN s > e THEN 'order' WHEN quarterly AND NOT date_diff('day', s, e) BETWEEN 85 AND 95 THEN 'span' END AS problem,
+       CASE WHEN quarterly AND date_trunc('quarter', s) = date_trunc('quarter', e)
+            THEN 'Q' || CAST(quarter(s) AS VARCHAR) || '-' || CAST(year(s) AS VARCHAR)
+            ELSE 'Report_' || strftime(s, '%Y%m%d') || '-' || strftime(e, '%Y%m%d') END AS name
+FROM r"""
+
+SQL["flex_without_bonus"] = _flex_sql(_WEEK_BLOCK, join=_WEEK_JOIN) + """
+SELECT staff_name, block_name, block_start, block_end, total_hours FROM ftot"""
+
+SQL["employee_export"] = RULES_ADJ + """,
+sheet AS (
+  SELECT staff_name, month, 0 AS line, proj_norm, ms_norm, CAST(soll AS DECIMAL(18,2)) AS soll, hours, adj_h FROM ra
+  UNION ALL SELECT staff_name, month, 1, NULL, 'Summe', NULL, total_hours, NULL FROM totals2
+  UNION ALL SELECT staff_name, month, 2, NULL, 'Bonusberechtigte Stunden', NULL, bonus_total, NULL FROM totals2
+  UNION ALL SELECT staff_name, month, 3, NULL, 'Bonusberechtigte Stunden Sonderprojekt', NULL, special_total, NULL FROM totals2)
+SELECT staff_name, CAST(row_number() OVER (PARTITION BY staff_name ORDER BY month, line, proj_norm, ms_norm) AS INTEGER) AS place,
+       month, proj_norm, ms_norm, soll, hours, CAST(adj_h AS DECIMAL(18,2)) AS adj_h
+FROM sheet"""
+
+SQL["overview_table"] = "SELECT CAST(row_number() OVER (ORDER BY lookup_id) AS INTEGER) AS place, lookup_id, project, top_milestone, " \
+    f"status, remark, available FROM ({SQL['budget_overview']})"
+SQL["cover_table"] = f"SELECT CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS place, * FROM ({SQL['cover_months']})"
+
 # a record with line breaks in a field takes three lines
 SQL["budget_csv"] = with_(BUDGET_LINES[:BUDGET_LINES.index("bl1 AS")].rstrip().rstrip(",")) + """
 SELECT CAST(sum(CASE WHEN package LIKE '%Position' THEN 3 ELSE 1 END) OVER (ORDER BY row_no)

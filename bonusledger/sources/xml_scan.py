@@ -25,13 +25,17 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 BLOCK = 1 << 20  # bytes of a block
 HEAD = 1 << 16  # bytes of a document in which its prolog ends
 TEXT, COMMENT, CDATA, PI, DOCTYPE, TAG, QUOTE, APOSTROPHE = range(8)
@@ -341,7 +345,8 @@ def _rows(batches):
                        ("at", pa.int64()), ("seq", pa.int32()), ("whole", pa.bool_()), ("encoding", pa.string()),
                        ("body", pa.binary())])
     for batch in batches:
-        for b in batch.to_pylist():
+        for i in range(batch.num_rows):  # a block at a time as Python objects
+            (b,) = batch.slice(i, 1).to_pylist()
             got = [{"source_file": b["source_file"], "row_at": k[0], "row_seq": k[1], "row_place": k[2], "at": b["at"],
                     "seq": b["seq"], "whole": whole, "encoding": b["encoding"], "body": body}
                    for k, whole, body in pieces(b) if body or not whole]
@@ -357,6 +362,7 @@ def _text(body, encoding):
 def read_rows(spark: SparkSession, paths: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows: source_file, body; prologs: source_file, prolog) of XML documents.
     The documents are checked when this is called."""
+    paths = list(dict.fromkeys(paths))
     raw = spark.read.option("lineSep", "<").text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"),
         F.col("value").cast("binary").alias("value"))

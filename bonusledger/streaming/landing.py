@@ -1,7 +1,9 @@
 """Incremental landing of time exports with Structured Streaming.
 
-New export files dropped into a folder are parsed exactly like the batch scan
-(``read_time_xml``) and appended to the month-partitioned landing table; the
+New export files dropped into a folder are cut at their rows' ends and appended to
+the month-partitioned landing table.  A stream sees pieces of files, so it reads
+UTF-8 documents without CDATA, own entities and nested rows, and does not check that
+a document is whole; ``sources.landed.land`` with the batch scan does all that.  The
 stream's checkpoint (in the shared checkpoint folder) records which files were
 taken, so a restarted or failed job neither loses nor duplicates entries.
 Reports then read the landing table with partition pruning.

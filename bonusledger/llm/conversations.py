@@ -504,7 +504,7 @@ _CRC32 = ("xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT
           "lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))")
 _IF = "CASE WHEN {} THEN {} ELSE " + _FAR + " END"
 
-OP12_SQL = f"""
+OP12_SQL = rf"""
 WITH RECURSIVE named AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
          coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),

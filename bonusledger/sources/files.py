@@ -267,7 +267,8 @@ def row_cells(rows: DataFrame, entities: dict[str, str] | None = None) -> DataFr
         F.coalesce(F.col("r.cell"), F.array().cast("array<struct<_VALUE:string,_name:string>>")),
         lambda c: F.struct(c["_name"].alias("k"), F.coalesce(S.strip_unicode(c["_VALUE"]), F.lit("")).alias("v")),
     ))
-    return parsed.select("source_file", cells.alias("cells"))
+    # given out by a generator, so that no filter on the cells is moved below it and parses every row again
+    return parsed.select("source_file", F.explode(F.array(cells)).alias("cells"))
 
 
 def _lacks() -> dict:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -51,11 +52,14 @@ _SUBSET_END = re.compile(rb"\]\s*+>")
 
 class Lexer:
     """Tags of 8-bit text from a state on: (opens, name, begin, end) and, after the
-    last, the ``state`` reached.  A name of None closes whatever is open."""
+    last, the ``state`` reached.  A name of None closes whatever is open.  ``starts``
+    and ``resumes`` tell where markup began and where text went on after it."""
 
     def __init__(self, text: bytes, state: int):
         self.text, self.state = text, state
         self.begin, self.closes = self._begin()
+        self.starts: list[int] = []
+        self.resumes = [] if self.begin is None else [self.begin]
 
     def _tag_end(self, at: int):
         """Inside a tag: end and whether it closes itself, or None and the state."""
@@ -97,6 +101,7 @@ class Lexer:
             at = s.find(b"<", at)
             if at < 0:
                 return
+            self.starts.append(at)
             m = _MARKUP.match(s, at)
             if m is None:
                 yield False, b"<", at, at  # no markup: an end tag that matches nothing
@@ -111,14 +116,16 @@ class Lexer:
                     end = len(s)
                 yield True, m[7], at, end
                 if m[9] and m[8].endswith(b"/"):
-                    yield False, m[7], end, end
+                    yield False, m[7], at, end
                 at = end
                 if not m[9]:
                     return
+                self.resumes.append(at)
             elif m[5] is not None:
                 # an end tag is not cut by a border, but for element names beyond ASCII in UTF-16
                 yield False, m[5] if m[6] else b"<", at, m.end()
                 at = m.end()
+                self.resumes.append(at)
             else:
                 kind = COMMENT if m[1] else CDATA if m[2] else PI if m[3] else DOCTYPE
                 if kind == DOCTYPE:
@@ -131,25 +138,51 @@ class Lexer:
                 if at < 0:
                     self.state = kind
                     return
+                self.resumes.append(at)
 
 
-def effect(text: bytes, state: int) -> list:
+def _reduced(tags, state: int) -> list:
     """[end state, names closed that were open before, [name, place] left open,
     first mismatch or null, elements begun at the lowest level]."""
-    lexer = Lexer(text, state)
     closes, opens, bad, base = [], [], None, 0
-    for begins, name, at, _ in lexer:
+    for begins, name, at, _ in tags:
         if begins:
             base += not opens
-            opens.append([name.decode("latin-1"), at])
+            opens.append((name, at))
         elif opens:
-            if name is not None and opens[-1][0] != name.decode("latin-1"):
-                bad = bad or f"</{name.decode('latin-1')}> after <{opens[-1][0]}>"
+            if name is not None and opens[-1][0] != name:
+                bad = bad or f"</{name.decode('latin-1')}> after <{opens[-1][0].decode('latin-1')}>"
             opens.pop()
         else:
             closes.append(None if name is None else name.decode("latin-1"))
             base = 0
-    return [lexer.state, closes, opens, bad, base]
+    return [state, closes, [[name.decode("latin-1"), at] for name, at in opens], bad, base]
+
+
+def effects_of(text: bytes, states) -> dict[int, list]:
+    """The effect of a block from each of the states.  From most of them the lexer
+    soon is where it is from plain text too, mostly at the first end of a section;
+    from there on the tags are the same and are not looked for again."""
+    plain = Lexer(text, TEXT)
+    tags = list(plain)
+    out = {}
+    for state in states:
+        if state == TEXT:
+            out[state] = _reduced(tags, plain.state)
+            continue
+        lexer = Lexer(text, state)
+        if lexer.begin is None:
+            out[state] = _reduced([], lexer.state)
+            continue
+        i = bisect_right(plain.resumes, lexer.begin) - 1
+        same = i >= 0 and (i >= len(plain.starts) or lexer.begin <= plain.starts[i])
+        if not same:
+            found = list(lexer)
+            out[state] = _reduced(found, lexer.state)
+            continue
+        left = tags[bisect_left(tags, lexer.begin, key=lambda t: t[2]):]
+        out[state] = _reduced([(False, None, 0, 0), *left] if lexer.closes else left, plain.state)
+    return out
 
 
 def aligned(block: bytes, form: str, before: bytes = b"x") -> bytes:
@@ -226,7 +259,7 @@ def _read_blocks(size: int):
             for form in forms(block):
                 text = units(block, form)
                 states = (TEXT,) if first else (TEXT, COMMENT, CDATA, PI, DOCTYPE) if form == "8" else range(8)
-                found[form] = {s: effect(text, s) for s in states}
+                found[form] = effects_of(text, states)
             yield pa.RecordBatch.from_pylist([{
                 "source_file": file, "at": at, "seq": seq, "size": len(block), "last": block[-1:].hex(),
                 "effects": json.dumps(found),

@@ -45,7 +45,11 @@ def blocks_of(raw, cuts):
     rows = []
     for i, block in enumerate(out):
         states = (0,) if i == 0 else range(8)
-        found = {f: {s: xml_scan.effect(xml_scan.units(block, f), s) for s in states} for f in xml_scan.forms(block)}
+        found = {f: xml_scan.effects_of(xml_scan.units(block, f), states) for f in xml_scan.forms(block)}
+        for f, effects in found.items():  # shared tags change nothing
+            for s, effect in effects.items():
+                lexer = xml_scan.Lexer(xml_scan.units(block, f), s)
+                assert xml_scan._reduced(list(lexer), lexer.state) == effect
         rows.append({"source_file": "f", "at": 0, "seq": i, "size": len(block), "last": block[-1:].hex(), "effects": json.dumps(found),
                      "head": block[:xml_scan.HEAD], "block": block})
     return rows

@@ -304,9 +304,19 @@ def generate(cfg: ReportConfig, entries: DataFrame, lines: DataFrame, adjustment
     """Quarterly + by month + one quarter -> standard report over the
     filtered entries and all three months of the quarter; project / employee ->
     summaries; otherwise the flexible report.  Component flags apply everywhere
-    (D21).  ``account`` (of ``scan_time_xml``) is one of the report's tables."""
-    out = _generate(cfg, require_rows(entries), lines, adjustments, positions)
-    return out if account is None else out | {"booking_account": account}
+    (D21).  With ``account`` (of ``scan_time_xml``) it and the budget's account are
+    tables of the report."""
+    return _with_accounts(_generate(cfg, require_rows(entries), lines, adjustments, positions), account)
+
+
+def _with_accounts(out: dict[str, DataFrame], account: DataFrame | None) -> dict[str, DataFrame]:
+    """A report with the accounts of unreadable values, if they are asked for."""
+    budget = out.pop("budget_account", None)
+    if account is not None:
+        out["booking_account"] = account
+        if budget is not None:
+            out["budget_account"] = budget
+    return out
 
 
 def _generate(cfg, entries, lines, adjustments, positions):
@@ -351,4 +361,4 @@ def quarterly_job(entries: DataFrame, lines: DataFrame, adjustments: DataFrame,
             latest = entries.groupBy(BK.REPORT).agg(F.max("quarter").alias("quarter"))
             picked = entries.join(latest, [BK.REPORT, "quarter"])
     out = standard_report(BK.in_quarter(entries, q) if picked is None else picked, lines, adjustments, positions, None)
-    return q, out if account is None else out | {"booking_account": account}
+    return q, _with_accounts(out, account)

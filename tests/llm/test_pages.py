@@ -1,5 +1,6 @@
 """Operators on pages and embeddings against plain Python on small tables."""
 
+import json
 import random
 from collections import Counter
 
@@ -74,6 +75,96 @@ def test_marked_layout_around_the_article(spark, layout):
     assert {r["page_id"]: r["text"] for r in rows} == {i: f"h {i}\none {i}" for i in range(4)}
 
 
+def site(spark, body, n=6, host="h"):
+    """Texts of n pages whose varying text is in {0}."""
+    pages = [(i, f"http://{host}/{i}", f"<html><body>{body.replace('{0}', f'varying words of page number {i} and more of them')}</body></html>")
+             for i in range(n)]
+    rows = wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r["text"].replace(f"varying words of page number {r['page_id']} and more of them", "{0}") for r in rows}
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ('<article><h2 id="menu-design">Menus</h2><p>{0}</p><h2 id="comments-on-kant">Kant</h2><section id="social-history"><p>s {0}</p></section>'
+     '<p class="widget-intro">w</p></article>', "Menus\n{0}\nKant\ns {0}\nw"),
+    ('<article><p>{0}</p><section><article class="comment"><p>c {0}</p></article></section></article>', "{0}"),
+    ('<main><article><p>{0}</p></article><article class="related"><p>r {0}</p></article></main>', "{0}"),
+    ('<article class="post sponsored"><p>{0}</p></article>', "{0}"),
+    ("<form action=/><input type=hidden value=v><div class=menu>m</div><article><h1>h</h1><p>{0}</p></article><footer>f</footer></form>", "h\n{0}"),
+    ("<form><input><div><h1>h</h1><p>{0}</p></div></form><footer>f</footer>", "h\n{0}"),
+    ("<article><p>{0}</p><form><p>name</p><input></form></article>", "{0}"),
+    ("<div class=topnav><p>n {0}</p></div><div class=cookieBanner>c {0}</div><div class=alert>a</div><div><p>{0}</p></div>"
+     "<ol class=commentlist><li>x {0}</li></ol>", "{0}"),
+    ('<article><p>a {0} <a class="ad" href=x>Buy <b>now</b></a> b</p><p class=ad>Buy</p><span class="sponsored">S<span>t</span>u</span><p>c</p></article>',
+     "a {0} b\nc"),
+    ("<article><p>{0} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=o>fallback</object></p></article>", "{0} x=1 and fallback"),
+    ('<article><p>{0} <a class=ad>Buy<p>next</p></article>', "{0}\nnext")])
+def test_contract_of_main_text(spark, body, text):
+    assert site(spark, body) == {text}
+    assert site(spark, body, 1) == {text}
+
+
+def test_template_texts_go_by_alignment(spark, monkeypatch):
+    box = '<div class="zq"><h3>Follow us</h3><p>Get our weekly letter</p></div>'
+    body = f"<article>{box}<h2>Summary</h2><p>{{0}}</p><section><h2>Steps</h2><p>s {{0}}</p></section>{box}<div><p>d {{0}}</p></div></article>"
+    want = "Summary\n{0}\nSteps\ns {0}\nd {0}"
+    assert site(spark, body) == {want}
+    whole = f"Follow us\nGet our weekly letter\nSummary\n{{0}}\nSteps\ns {{0}}\nFollow us\nGet our weekly letter\nd {{0}}"
+    assert site(spark, body, wrappers.LEAST - 1) == {whole}  # too few pages to tell
+    # an alignment that puts the page's items at the wrong places tells nothing apart
+    right = wrappers.places
+    monkeypatch.setattr(wrappers, "places", lambda w, items: right(w, items)[::-1])
+    assert site(spark, body) != {want}
+
+
+def test_copies_are_no_template(spark):
+    page = "<article><h1>h</h1><div class=story><p>one long story that is the same on all pages</p></div><p>{0}</p></article>"
+    same = [(i, "http://h/", page.replace("{0}", "x")) for i in range(50)] + [(50, "http://h/", page.replace("{0}", "y"))]
+    near = [(i, "http://h/", page.replace("{0}", str(i))) for i in range(9)]
+    for rows in (same, near):
+        got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert all(r["text"].startswith("h\none long story that is the same on all pages\n") for r in got)
+
+
+def test_template_against_plain_reading():
+    """Random pages of one wrapper: what ``templates`` says against a plain count over all pages."""
+    r = random.Random(5)
+    for _ in range(60):
+        kinds = [r.choice(["const", "vary", "bare"]) for _ in range(r.randrange(1, 6))]
+        rows = []
+        for i in range(r.randrange(3, 7)):
+            parts = [f"<section class=s{'abcdef'[k]}><h3>t{k}</h3><p>{'same' if kind == 'const' else f'text {i}'}</p></section>" if kind != "bare"
+                     else f"<p>bare {i} with many words so that the article is longer than its template parts are</p>" for k, kind in enumerate(kinds)]
+            rows.append("<article><p>first words of the article, long enough for all parts " + f"{i} " * 60 + "</p>" + "".join(parts) + "</article>")
+        pages = [wrappers._stream(p) for p in rows]
+        whole = wrappers._merge(sorted({p[0] for p in pages}))
+        wrapper = json.loads(whole)
+        texts = {}
+        for stream, _, content, marks in pages:
+            at = wrappers.places(wrapper, json.loads(stream))
+            for m in marks:
+                texts.setdefault((at[m["k"]], m["path"]), set()).add((content, m["sig"], m["n"]))
+        found = {k: (len({s for _, s, _ in v}) == 1, len({c for c, _, _ in v}), max(n for _, _, n in v)) for k, v in texts.items()}
+        paths = wrappers.content_slots(wrapper, {})
+        gone = wrappers.templates(wrapper, paths, found, len({p[2] for p in pages}), 10_000)
+        rule = set(paths), wrapper, set(gone)
+        for i, page in enumerate(rows):
+            plain = ["first words of the article, long enough for all parts " + " ".join([str(i)] * 60)]
+            for k, kind in enumerate(kinds):
+                distinct = len({p[2] for p in pages})
+                if kind == "bare":
+                    plain.append(f"bare {i} with many words so that the article is longer than its template parts are")
+                elif kind == "vary" or distinct < wrappers.LEAST:
+                    plain += [f"t{k}", "same" if kind == "const" else f"text {i}"]
+            assert wrappers.main_text(page, rule) == "\n".join(plain)
+
+
+def test_places():
+    w = ["n", ["?", ["h"]], ["+", ["p", "q"]], "f"]
+    assert wrappers.places(w, ["n", "p", "q", "f"]) == [0, 2, 2, 3]
+    assert wrappers.places(w, ["h", "x", ["+", ["p"]], "f", "n"]) == [1, -1, 2, 3, -1]
+    assert wrappers.places([], ["a"]) == [-1] and wrappers.places(w, []) == []
+
+
 def test_marked_parts_beside_the_article():
     paths = ["body/main/p", "body/div.related/article/p", "body/div.header/nav/article/p"]
     assert wrappers.content_slots(paths, {p: 99 for p in paths[1:]}) == paths[:1]

@@ -7,9 +7,9 @@ pattern is good.  These posteriors label a bounded sample, on which a hashed
 linear scorer over character-shape n-grams and word statistics is trained; the
 scorer then decides on every document.
 
-Toxicity is a verdict of its own, since abuse stands in good prose too: a document
-is toxic by share and count of insults and slurs over its whole text.  It does not
-enter the quality, and it rejects a document whatever its quality.
+Toxicity is a verdict of its own, since abuse stands in good prose too: see
+``toxicity``.  It does not enter the quality, and it rejects a document whatever its
+quality.
 
 Null and empty texts score 0 and are rejected.  Equal texts get equal scores.  On
 an empty table nothing is trained and no row comes out.
@@ -17,16 +17,15 @@ an empty table nothing is trained and no row comes out.
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import toxicity
 from .common import small
+from .weak import reliabilities, train
 
 SAMPLE = 6000  # documents the scorer is trained on, at most
 DIMS = 2048
@@ -36,33 +35,6 @@ STOP = frozenset(
     "der die das und ist in den von zu mit sich des auf ein eine nicht dem im "
     "le la les de des et un une du en que qui dans pour sur au par est pas "
     "el los las y del se por con para su al lo como es".encode().split())
-# Insults of the same languages.  Words that also have a harmless use
-# (trash) or a harmless twin in another of the languages (con, bete) count only
-# where the text has another one, or are left out.
-SLURS = (
-    "asshole assholes bastard bastards bitch bitches bullshit cunt cunts dickhead dipshit dumbass dumbfuck fag faggot faggots "
-    "fucker fuckers fucking fuckwit imbecile imbeciles jackass kike motherfucker motherfuckers nigger niggers paki pisshead prick "
-    "retard retarded retards scumbag scumbags shithead slut sluts spic subhuman tranny twat twats wanker wankers whore whores "
-    "arschloch arschlöcher dreckskerl dreckskerle dreckssau dummkopf fotze hackfresse hurensohn hurensöhne kanake kanaken "
-    "miststück missgeburt schlampe schlampen schwachkopf schwuchtel schwuchteln spasti untermensch untermenschen vollidiot "
-    "vollidioten vollpfosten vollspast wichser "
-    "bougnoule bougnoules connard connards connasse connasses crétin crétins encule enculé enculés enfoiré enfoirés pouffiasse "
-    "pédé pédés salaud salauds salopard salopards salope salopes trouduc youpin "
-    "cabrón cabrones gilipollas hijoputa hijueputa imbécil imbéciles malnacido malparido maricón maricones mierdoso pendejo "
-    "pendejos putas soplapollas subnormal subnormales sudaca sudacas zorras").split()
-INSULTS = (
-    "abomination clown clowns coward cowards creep creeps cretin cretins crybaby degenerate degenerates deplorable disgusting "
-    "dumb fatso filth filthy fool fools freak freaks garbage halfwit hideous idiot idiotic idiots ignoramus jerk jerks lame "
-    "laughable loathsome loser losers lowlife lunatic maggot maggots moron moronic morons nitwit parasite parasites pathetic "
-    "pig pigs psycho repulsive revolting scum shit shitty sicko simpleton stupid stupidity suck sucks swine trash ugly vermin "
-    "vile weirdo worthless wretch "
-    "abschaum armselig bekloppt blödmann depp deppen drecksack dumm dumme dummer ekelhaft erbärmlich feigling gesindel "
-    "hirnlos idioten idiotin lächerlich nichtsnutz pack penner scheiße scheiss schwein schweine trottel ungeziefer verlierer "
-    "versager wertlos widerlich "
-    "abruti abrutie abrutis bouffon bouffons débile débiles dégoûtant dégoûtante idiote idiotes lamentable merde minable "
-    "minables ordure ordures pitoyable pourriture raclure répugnant stupide stupides vermine "
-    "asqueroso asquerosa basura cobarde cobardes despreciable escoria estúpida estúpidas estúpido estúpidos fracasado "
-    "fracasados idiotas inútil inútiles mierda miserable patético patética payaso payasos repugnante tonto tontos").split()
 _KINDS = [(b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b" \t", 3),
           (b"\n\r", 4), (b".", 5), (b",", 6), (b"!", 7), (b"?", 8), (b"#", 9), (b"$", 10), (b"%", 11), (b"&", 12),
           (b"*", 13), (b"|", 14), (b"\"'", 15), (b":;", 16), (b"-_", 17), (b"()[]{}", 18), (b"<>", 19), (b"/\\", 20),
@@ -74,16 +46,6 @@ for _chars, _k in _KINDS:
 _SYMBOLS = np.array([0] * 7 + [1] + [0] + [1] * 6 + [0] * 4 + [1, 0, 0, 1, 0], bool)
 
 
-def _spelt(listed: list[str]) -> frozenset:
-    """The words as bytes whose A-Z are lower-cased, also of capitals and of split accents."""
-    forms = {f(w) for w in listed for f in (str, str.upper, str.capitalize)}
-    return frozenset(unicodedata.normalize(k, w).encode().lower() for w in forms for k in ("NFC", "NFD"))
-
-
-_SLURS, _INSULTS = _spelt(SLURS), _spelt(SLURS + INSULTS)
-_LETTERS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_QUOTES = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\xa0-\xbf]|\xe3\x80[\x80-\xbf]")
-TOXIC_SHARE = 0.004  # of the words, from two insults on
 LABELLERS = ("symbols", "capitals", "repeats", "runs", "pairs", "top_word", "line_ends", "separators", "word_length",
              "stop_words", "marked_words")
 
@@ -95,16 +57,6 @@ def _vote(value: float, good: float, bad: float) -> int:
     return 1 if value >= good else -1 if value <= bad else 0
 
 
-def is_toxic(text: bytes | None) -> bool:
-    """Whether insults make up ``TOXIC_SHARE`` of the words and are two at least, or
-    a slur is one word of a hundred or fewer."""
-    seq = _QUOTES.sub(b" ", (text or b"").lower()).translate(_LETTERS).split()
-    hits = [w for w in seq if w in _INSULTS]
-    if len(hits) > 1 and len(hits) >= TOXIC_SHARE * len(seq):
-        return True
-    return len(hits) == 1 and len(seq) <= 100 and hits[0] in _SLURS
-
-
 def profile(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Votes of the labellers, and the hashed features (places and values)."""
     cls = _CLASS[np.frombuffer(text, np.uint8)]
@@ -158,50 +110,6 @@ def profile(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
     return votes, np.concatenate([at, more]), np.concatenate([value, np.full(len(more), 0.5)])
 
 
-def reliabilities(patterns: list[tuple[list[int], int]], rounds: int = 100) -> tuple[np.ndarray, list[float]]:
-    """Two-class expectation-maximisation over (votes, documents).  Returns the
-    probability of each vote given class (labeller, class, vote + 1) and the
-    posterior of good for each pattern."""
-    v = np.array([p for p, _ in patterns]) + 1
-    n = np.array([c for _, c in patterns], float)
-    k = v.shape[1]
-    # a defect that one labeller sees begins as heavier than what others don't see
-    post = 1 / (1 + np.exp(3.0 * (v == 0).sum(1) - (v == 2).sum(1)))
-    table = np.zeros((k, 2, 3))
-    for _ in range(rounds):
-        prior = np.clip((n * post).sum() / n.sum(), 0.01, 0.99)
-        for c, weight in enumerate((n * (1 - post), n * post)):
-            for j in range(k):
-                table[j, c] = np.bincount(v[:, j], weight, 3) + 1.0
-                table[j, c, 1] = 0  # an abstention says nothing
-                table[j, c] /= table[j, c].sum()
-        table[:, :, 1] = 1.0
-        logs = np.log(table)
-        good = np.log(prior) + sum(logs[j, 1, v[:, j]] for j in range(k))
-        bad = np.log(1 - prior) + sum(logs[j, 0, v[:, j]] for j in range(k))
-        post = 1 / (1 + np.exp(np.clip(bad - good, -50, 50)))
-    return table, post.tolist()
-
-
-def _train(rows: list, posterior: dict[tuple, float], steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression towards the posteriors; each class weighs the same."""
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
-    y = np.array([posterior[tuple(r["votes"])] for r in rows], np.float32)
-    weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum())).astype(np.float32)
-    w, b = np.zeros(DIMS, np.float32), 0.0
-    m, s = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        e = (p - y) * weight
-        g = np.append(x.T @ e + 1e-5 * w, e.sum())
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-        w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
-    return w, b
-
-
 PROFILE = T.StructType([
     T.StructField("order", T.LongType()), T.StructField("votes", T.ArrayType(T.IntegerType())),
     T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))])
@@ -216,7 +124,7 @@ def _profiles(docs: DataFrame, text: str, features: bool) -> DataFrame:
                 pa.array([g[1].tolist() if features else [] for g in got], pa.list_(pa.int32())),
                 pa.array([g[2].tolist() if features else [] for g in got], pa.list_(pa.float32()))], PROFILE.names)
 
-    order = F.xxhash64(*docs.columns)
+    order = F.xxhash64(text)  # other columns say nothing
     return docs.select(order, F.col(text).cast("binary")).mapInArrow(run, PROFILE)
 
 
@@ -231,43 +139,47 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict | Non
     table, post = reliabilities([(list(r["votes"]), r["count"]) for r in patterns])
     posterior = {tuple(r["votes"]): p for r, p in zip(patterns, post, strict=True)}
     share = int(min(1.0, 1.3 * sample / total + 0.001) * 1_000_000)
-    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) < share)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share)
     rows = _profiles(some, text, True).orderBy("order", "votes").limit(sample).collect()
-    w, b = _train(rows, posterior)
+    w, b = train(rows, posterior, DIMS)
     return {"weights": w, "bias": b, "reliabilities": dict(zip(LABELLERS, table.tolist(), strict=True))}
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text", out: str = "quality", toxic: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, model: dict | None, text: str = "text", out: str = "quality", toxic: str = "toxic",
+          abuse: dict | None = None) -> DataFrame:
     """``docs`` with the probability of good in column ``out`` and the toxicity
-    verdict in ``toxic`` (columns of those names give way)."""
+    verdict of the model ``abuse`` in ``toxic`` (columns of those names give way)."""
     docs = docs.drop(out, toxic)
     if model is None:  # no document has text
         return docs.withColumn(out, F.lit(0.0)).withColumn(toxic, F.lit(False))
     w, b = model["weights"].astype(float), model["bias"]
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType()), T.StructField(toxic, T.BooleanType())])
+    verdict = toxicity.judge(abuse)
 
     def run(batches):
         for batch in small(batches):
-            p, abuse = [], []
+            p, bad = [], []
             for t in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist():
-                abuse.append(is_toxic(t))
+                bad.append(verdict(t))
                 if not t:
                     p.append(0.0)
                     continue
                 _, at, value = profile(t)
                 p.append(float(1 / (1 + np.exp(-(w[at] @ value + b)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(abuse, pa.bool_())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(bad, pa.bool_())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that the scorer accepts and that are not toxic, columns as given."""
-    scored = score(docs, fit(docs, text), text, "__quality", "__toxic")
+def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
+    """The documents that the scorer accepts and that are not toxic, columns as given.
+    ``labels`` (doc_id, toxic) teach what is toxic; without them the lists decide."""
+    scored = score(docs, fit(docs, text), text, "__quality", "__toxic", toxicity.fit(docs, labels, text))
     return scored.where((F.col("__quality") >= least) & ~F.col("__toxic")).drop("__quality", "__toxic")
 
 
 def op8_weak_labels(spark, sf_dir: str) -> DataFrame:
     """Score and decision of quality, and the toxicity verdict, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs)).select("doc_id", "quality", (F.col("quality") >= 0.5).alias("kept"), "toxic")
+    abuse = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return score(docs, fit(docs), abuse=abuse).select("doc_id", "quality", (F.col("quality") >= 0.5).alias("kept"), "toxic")

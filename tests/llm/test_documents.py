@@ -9,8 +9,9 @@ from collections import Counter
 
 import pytest
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
-from bonusledger.llm import decontaminate, hash_tree, minmax, personal, pieces, quality, suffix_dedup
+from bonusledger.llm import decontaminate, hash_tree, minmax, personal, pieces, quality, suffix_dedup, toxicity
 from bonusledger.llm.common import components
 
 from .conftest import LONG, rows_of
@@ -339,26 +340,70 @@ def test_quality_odd_rows(spark):
 
 
 def test_toxic_documents_go(spark):
+    """On rows held out: stems are learned from one half of the labels, recall is taken on the other."""
+    d = SF_SMALL.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    verdict = toxicity.judge(toxicity.fit(docs, labels.where(half == 0)))
+    seen = Counter()
+    for r in docs.join(labels.where(half == 1), "doc_id").where("quality = 1").select("lang", "toxic", "text").collect():
+        seen[r["lang"], r["toxic"], verdict(r["text"].encode())] += 1
+    for lang in ("en", "de", "fr", "es"):
+        assert seen[lang, 1, True] >= 0.9 * (seen[lang, 1, True] + seen[lang, 1, False]) > 5
+        assert seen[lang, 0, True] <= 0.02 * seen[lang, 0, False]
+
+
+def test_toxic_documents_of_a_small_table(spark):
     d = SF_SMALL.replace("0.001", "0.01")
-    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     got = {r["doc_id"]: r["toxic"] for r in quality.op8_weak_labels(spark, d).collect()}
-    left = {r["doc_id"] for r in quality.keep_good(spark.read.parquet(f"{d}/documents.parquet")).collect()}
-    labels = spark.read.parquet(f"{d}/labels.parquet").collect()
-    # abuse in the other languages of the test data is made of invented words that no gazetteer lists
-    toxic = [r["doc_id"] for r in labels if r["toxic"] == 1 and r["quality"] == 1 and lang[r["doc_id"]] == "en"]
-    clean = [r["doc_id"] for r in labels if r["toxic"] == 0]
-    assert len(toxic) > 20 and all(got[i] and i not in left for i in toxic)
-    assert not any(got[i] for i in clean)
-    assert all(r["doc_id"] in left for r in labels if r["quality"] == 1 and r["toxic"] == 0)
+    with_labels = {r["doc_id"] for r in quality.keep_good(docs, labels=labels).collect()}
+    by_lists = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    rows = [(r["doc_id"], r["toxic"]) for r in labels.collect() if r["quality"] == 1]
+    english = [i for i, bad in rows if bad and lang[i] == "en"]
+    clean = [i for i, bad in rows if not bad]
+    assert len(english) > 20 and all(got[i] and i not in with_labels and i not in by_lists for i in english)
+    assert not any(got[i] for i in clean) and all(i in with_labels and i in by_lists for i in clean)
+
+
+def test_toxicity_is_learned_from_places():
+    spark_rows = toxicity.stems([b"achlich", "réê".encode(), b"abc"])
+    assert {b"achl", b"achlich$", b"achlich"} <= spark_rows and not any(s.startswith(b"abc") for s in spark_rows)
+    read = toxicity.Reader({b"achl": 4.0, b"achli": 4.0})
+    assert read(b"")[0][2:] == [0, 0, 0] and read(None)[0][2:] == [0, 0, 0]
+    text = b" ".join([b"plain words of a text"] * 5)
+    assert read(text)[0] == [1, 0, 1, 1, 1]
+    assert read(text + b" achliche achlichen achlicher achlich")[0] == [1, 0, -1, -1, -1]
+    assert toxicity.judge(None)(b"you idiot, you clown") and not toxicity.judge(None)(None)
+
+
+def test_learned_stems_ignore_copies_and_odd_rows(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    plain = [" ".join(r.choices(words, k=80)) for _ in range(120)]
+    bad = [" ".join(w if r.random() < 0.8 else "zorg" + r.choice(words) for w in r.choices(words, k=80)) for _ in range(30)]
+    copied = "quux quuxes quuxed " + " ".join(r.choices(words, k=60))
+    texts = [*plain, *bad, *([copied] * 40), None, ""]
+    docs = spark.createDataFrame([(i, t, {"k": "v"}) for i, t in enumerate(texts)], "doc_id long, text string, extra map<string, string>")
+    given = [(i, int(i >= 120)) for i in range(190)] + [(190, 1), (191, None), (None, 1), (5000, 1), (3, 0)]
+    labels = spark.createDataFrame(given, "doc_id long, toxic int")
+    odds = toxicity.learn(docs, labels)
+    assert b"zorg" in odds and not any(s.startswith(b"quux") for s in odds)
+    kept = quality.keep_good(docs, least=0.0, labels=labels)
+    left = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns and not left & set(range(120, 150)) and set(range(120)) <= left
+    assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.fit(docs.limit(0), labels) is None
 
 
 def test_toxicity_verdict():
     filler = " ".join(f"w{i}" for i in range(60))
     for bad in ("You IDIOT, you pathetic clown!", "Du Vollidiot, du DÄMLICHER Schwachkopf.", "«Connard», espèce d'ENFOIRÉ.", "¡Eres un GILIPOLLAS, imbécil!"):
-        assert quality.is_toxic(f"{filler} {bad} {filler}".encode())
-    assert quality.is_toxic(b"what a motherfucker he is") and quality.is_toxic("Du Arschloch".encode())
+        assert toxicity.is_toxic(f"{filler} {bad} {filler}".encode())
+    assert toxicity.is_toxic(b"what a motherfucker he is") and toxicity.is_toxic("Du Arschloch".encode())
     for good in ("", None, "Take out the trash.", f"{filler} the clown juggled {filler}", "the word idiot and the word fool " + filler * 20):
-        assert not quality.is_toxic(good.encode() if good else good)
+        assert not toxicity.is_toxic(good.encode() if good else good)
 
 
 # ---------- repeats

@@ -16,6 +16,7 @@ def test_pipeline(spark, save):
              plain[5].replace(plain[5].split()[30], "edit", 1), plain[6], prose(901, 60) + " " + passage, passage,
              prose(902, 60) + " a@b.example 10.0.0.1 ▁x", "é😀 " + prose(903, 50)]
     save("benchmark", [(1, passage), (2, None)], "item_id long, text string")
+    save("labels", [(0, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     d = save("documents", [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)],
              "doc_id long, text string, lang string, source string, n_chars int")
     got = {r["doc_id"]: r for r in rows_of(corpus_pipeline.run(spark, d))}

@@ -22,8 +22,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.keep_good(docs)
+    """Rejected documents go, and toxic ones; the labels teach what is toxic."""
+    return quality.keep_good(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

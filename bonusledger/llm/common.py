@@ -1,34 +1,22 @@
-"""Shared pieces of the operators in this subpackage: the shared folder, landed
-tables, and connected components on Spark."""
+"""Shared pieces of the operators in this subpackage: landed tables, and connected components on Spark."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, from ``spark.checkpoint.dir``.  Only a
-    local session without one gets a scratch folder; on a cluster a missing
-    setting is an error, because a machine-local folder would lose files."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..session import run_folder
 
 
 def land(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: the lineage is cut on
-    reliable storage and its exact size is known to the optimiser."""
+    """Writes ``df`` to the application's folder below ``spark.checkpoint.dir`` and reads
+    it back: the lineage is cut on reliable storage and its exact size is known to the
+    optimiser.  ``session.cleanup`` removes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, shared_dir, small
+from ..session import run_folder
+from .common import land, small
 
 LENGTH, K = 200, 48
 GROUP = 100_000  # windows of one minimizer that one task sorts at most
@@ -259,17 +261,21 @@ def _counted_repeats(snippets: DataFrame, length: int) -> DataFrame:
     return windows.where("copies = 1").join(again, "w").select("key", "from", (F.col("from") + length).alias("to"))
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+@contextmanager
+def distinct_texts(docs: DataFrame, text: str):
     """(key, body, copies) per distinct text, as a table bucketed by key, so that
-    joins on key move no text."""
+    joins on key move no text.  The table leaves the catalog at the end."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.unhex(F.md5(body)).alias("key"), body.alias("body")).groupBy("key").agg(
         F.first("body").alias("body"), F.count("*").alias("copies"))
     name = f"llm_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (rows.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "key").saveAsTable(name))
-    return spark.table(name)
+    (rows.write.option("path", f"{run_folder(spark)}/{name}").option("compression", "zstd").bucketBy(n, "key").saveAsTable(name))
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -327,18 +333,20 @@ def _keyed(docs: DataFrame, text: str, kept: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of cut characters go)."""
-    kept = _kept(distinct_texts(docs, text), length, "key binary, __text string", ["key", "__text"],
-                 lambda body, ranges: (_without(body, ranges).decode("utf-8", "ignore"),))
-    out = _keyed(docs, text, land(kept, "repeat-texts"))
+    with distinct_texts(docs, text) as texts:
+        kept = land(_kept(texts, length, "key binary, __text string", ["key", "__text"],
+                          lambda body, ranges: (_without(body, ranges).decode("utf-8", "ignore"),)), "repeat-texts")
+    out = _keyed(docs, text, kept)
     return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__text"))).drop("__text").select(docs.columns)
 
 
 def op9_two_stage(spark, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by repeated strings of 200 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    kept = land(_kept(
-        distinct_texts(docs, "text"), LENGTH, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-        ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        lambda body, ranges: (len(body), sum(b - a for a, b in ranges), len(ranges),
-                              hashlib.sha256(_without(body, ranges)).hexdigest())), "repeat-kept")
+    with distinct_texts(docs, "text") as texts:
+        kept = land(_kept(
+            texts, LENGTH, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+            ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            lambda body, ranges: (len(body), sum(b - a for a, b in ranges), len(ranges),
+                                  hashlib.sha256(_without(body, ranges)).hexdigest())), "repeat-kept")
     return _keyed(docs, "text", kept).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from conftest import SF_SMALL
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bonusledger.llm import decontaminate, hash_tree, minmax, personal, pieces, quality, suffix_dedup, toxicity
 from bonusledger.llm.common import components
+from bonusledger.session import cleanup, run_folder
 
 from .conftest import LONG, rows_of
 
@@ -463,3 +465,11 @@ def test_two_stage_order():
         assert sorted(order) == list(range(0, 700, 3))
         full = body + bytes(276)
         assert [full[i:i + 20] for i in order] == sorted(full[i:i + 20] for i in order)
+
+
+def test_nothing_is_left_behind(spark, save):
+    d = save("documents", [(i, LONG[:3000], "en", "s", 3000) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars int")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert {r["n_removed"] for r in suffix_dedup.op9_two_stage(spark, d).collect()} == {3000}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert cleanup(spark) and not Path(run_folder(spark)).exists()

@@ -34,6 +34,7 @@ SAMPLE = 6000  # documents of each side of the posterior that the scorer is trai
 PLACES, ODDS = 8, 3.0  # different words that a stem follows in toxic rows at least, and its log odds
 SHARE, CLEAN = 0.012, 0.004  # learned log odds a word from which a text seems toxic, up to which it seems clean
 DIMS = 1024
+HELD = 50_000  # stems that a task holds before it gives them on
 LABELLERS = ("insults", "slurs", "stem_share", "stem_count", "stem_spread")
 
 
@@ -124,17 +125,16 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in small(batches):
             for bad, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, seq = bucket(t or b""), letters(t)
-                for before, w in set(zip([b"", *seq], seq, strict=False)):
+                for before, w in zip([b"", *seq], seq, strict=False):
                     place = bucket(before)
-                    for s in stems([w]):
-                        if (s, place, bad) not in seen:
-                            seen.add((s, place, bad))
-                            got.append((s, place, bad, doc))
-                    got.append((b"", bucket(before + b" " + w), bad, doc))
-                if len(got) > 500_000:
-                    yield pack(got)
-                    got.clear()
-                    seen.clear()
+                    for s, at in [(b"", bucket(before + b" " + w)), *((s, place) for s in stems([w]))]:
+                        if (s, at, bad) not in seen:
+                            seen.add((s, at, bad))
+                            got.append((s, at, bad, doc))
+                    if len(got) > HELD:
+                        yield pack(got)
+                        got.clear()
+                        seen.clear()
         if got:
             yield pack(got)
 

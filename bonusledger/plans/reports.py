@@ -23,6 +23,7 @@ from ..sources.files import budget_account, require_rows
 
 REPORT_TYPES = ("quarterly", "custom_period", "monthly", "yearly", "project", "employee")
 GROUPINGS = ("month", "period", "week", "none")
+ROWS_A_TASK = 50_000  # day hours that a task of a flexible report holds
 # The names the API has for them.
 GROUPING_ALIASES = {"monthly": "month", "weekly": "week"}
 
@@ -185,11 +186,19 @@ def flex_rows(daily: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments:
 
     ``daily`` has the hours per employee, day and key (landed once); blocks, weeks
     and quarters are rolled up from that.  An adjustment of a month stands in the last
-    block in which the employee booked on the key in that month."""
+    block in which the employee booked on the key in that month.
+
+    Adjustments and quarter hours grow with the bookings, so they are merged, never
+    broadcast: the landed hours are a small file for their rows and would pass as a
+    small table.  Sorts take memory by the rows of a task, so rows are dealt to as many
+    tasks as their number asks for."""
     e = BK.assign_blocks(daily, cfg.time_grouping, cfg.start_date, cfg.end_date)
     if cfg.exclude_special_projects:  # P9, second pass
         e = e.where(~S.is_special_project("proj_norm"))
     blocks, report = ["block_name", "block_start", "block_end"], BK.report_of(daily)
+    n = daily.count() // ROWS_A_TASK + 1
+    dealt = lambda d, *by: d.repartition(n, *by) if n > 1 else d
+    e = dealt(e, *report, "staff_name", *RU.KEY)
     bh = e.groupBy(*report, "staff_name", *blocks, *RU.KEY).agg(F.sum("hours").cast(S.EXACT).alias("hours"))
     # Whole-quarter hours of the filtered data, per employee and key
     qh = e.groupBy(*report, "staff_name", *RU.KEY, F.col("quarter").alias("block_quarter")).agg(
@@ -199,14 +208,15 @@ def flex_rows(daily: DataFrame, plan: DataFrame, cfg: ReportConfig, adjustments:
     given = [*BK.report_of(daily, adjustments), "staff_name", *RU.KEY, "month"]
     adj = adjustments.groupBy(*given).agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
     last = e.groupBy(*who, "month").agg(F.max("block_start").alias("block_start"))
-    adj = adj.join(last, given).groupBy(*who, "block_start").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
+    adj = adj.join(dealt(last, *given).hint("merge"), given).groupBy(*who, "block_start").agg(F.sum("adj_h").cast(S.EXACT).alias("adj_h"))
     billing = resolved(bh.select(*RU.KEY)).select(*RU.KEY, F.col("billing_j3").alias("billing"))
     d = (
-        bh.join(adj, [*who, "block_start"], "left").join(billing, RU.KEY, "left")
+        dealt(bh, *who, "block_start").join(adj.hint("merge"), [*who, "block_start"], "left")
+        .join(billing, RU.KEY, "left")
         .withColumn("block_quarter", S.quarter_start("block_start"))
         .join(p, RU.KEY, "left")
-        .join(qh, [*who, "block_quarter"], "left")
     )
+    d = dealt(d, *who, "block_quarter").join(qh.hint("merge"), [*who, "block_quarter"], "left")
     ms = F.col("ms_norm")
     special = S.is_special_project("proj_norm")
     in_m = RU._in(ms, K.MONTHLY_BUDGETS)

@@ -6,7 +6,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from bonusledger.operators import bookings as BK
+from bonusledger.operators import rules as RU
 from bonusledger.plans import reports as R
+from bonusledger.session import materialize
 from bonusledger.sources import bridge as BR
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +114,21 @@ def test_flexible_adjustments(spark, inputs):
         assert rows.where(F.col("billing") != "Unbekannt").count() > 0 and "position" in rows.columns
 
 
+@pytest.mark.parametrize("rows_a_task", [R.ROWS_A_TASK, 40])
+def test_flexible_rows_broadcast_nothing_that_grows(spark, inputs, monkeypatch, rows_a_task):
+    monkeypatch.setattr(R, "ROWS_A_TASK", rows_a_task)
+    entries, lines, adj, _ = inputs
+    cfg = R.ReportConfig("custom_period", date(1998, 7, 1), date(1998, 9, 30), "week")
+    adj = materialize(adj, "adjustments")
+    daily = BK.landed_day_hours(R.filtered_entries(entries, cfg))
+    plan, records, pmap, _ = R.budget_of(lines)
+    rows = R.flex_rows(daily, plan, cfg, adj, lambda keys: RU.landed_budget(RU.resolve_budget(keys, records, pmap)))
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [staff_name" not in text and text.count("SortMergeJoin [staff_name") >= 3
+    assert rows.agg(F.sum("hours")).first()[0] == daily.agg(F.sum("hours")).first()[0]
+    assert rows.agg(F.sum("adj_h")).first()[0] == adj.agg(F.sum("adj_h")).first()[0]
+
+
 def test_revenue_totals_add_up(spark, inputs):
     entries, lines, adj, pos = inputs
     _, t = R.quarterly_job(entries, lines, adj, pos, requested="1998Q3")

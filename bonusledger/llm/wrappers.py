@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,8 @@ from .common import land, small
 
 GROUP = 256  # streams that one task aligns
 LEAST = 3  # pages of different content on which a template text stands
-LARGEST = 1_000_000  # items times items; longer differences are made optional whole, which keeps all slots
+LARGEST = math.inf  # items times items from which on differences are made optional whole; none by default, all are aligned
+KEPT = 512  # rows of an alignment's table that are held
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title select svg annotation iframe canvas".split())
@@ -234,6 +237,29 @@ def _joined(a, b):
     return ["?", inner]
 
 
+def _rows(n: int, last: np.ndarray, above):
+    """Rows 0 to n of a table whose row n is ``last`` and whose row i is made by
+    ``above`` from i and row i + 1.  About ``KEPT`` rows are held and those between
+    made again, so streams of any length are aligned in the memory of some rows."""
+    step, held, row = n // KEPT + 1, {n: last}, last
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            held[i] = row
+    for low in range(0, n, step):
+        part = [held[min(low + step, n)]]
+        for i in range(min(low + step, n) - 1, low, -1):
+            part.append(above(i, part[-1]))
+        yield held[low]
+        yield from part[:0:-1]
+    yield last
+
+
+def _upto(row: np.ndarray) -> np.ndarray:
+    """The greatest value from each place on, and a 0 behind the last."""
+    return np.append(np.maximum.accumulate(row[::-1])[::-1], 0)
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of both: a longest common subsequence of names is kept and the
     rest becomes optional."""
@@ -256,21 +282,25 @@ def align(a: list, b: list) -> list:
                 more.append(item)
         return fold(a[:head] + [i if isinstance(i, list) and i[0] == "?" else ["?", [i]] for i in x + more]
                     + (a[len(a) - tail:] if tail else []))
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if nx[i] == ny[j] else max(best[i + 1][j], best[i][j + 1])
+    names: dict[str, int] = {}
+    ix, iy = (np.array([names.setdefault(v, len(names)) for v in n], np.int32) for n in (nx, ny))
+    # per row i and place j the length of the longest common subsequence of x[i:] and y[j:]
+    best = _rows(len(x), np.zeros(len(y) + 1, np.int32), lambda i, after: _upto(np.where(iy == ix[i], after[1:] + 1, after[:-1])))
+    here, after = next(best), next(best, None)
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and nx[i] == ny[j]:
-            out.append(_joined(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(x[i] if isinstance(x[i], list) and x[i][0] == "?" else ["?", [x[i]]])
-            i += 1
-        else:
+        both = i < len(x) and j < len(y) and nx[i] == ny[j]
+        if not both and i < len(x) and j < len(y) and after[j] < here[j + 1] or i == len(x):
             out.append(y[j] if isinstance(y[j], list) and y[j][0] == "?" else ["?", [y[j]]])
             j += 1
+            continue
+        if both:
+            out.append(_joined(x[i], y[j]))
+            j += 1
+        else:
+            out.append(x[i] if isinstance(x[i], list) and x[i][0] == "?" else ["?", [x[i]]])
+        i += 1
+        here, after = after, next(best, None)
     return fold(a[:head] + out + (a[len(a) - tail:] if tail else []))
 
 
@@ -288,28 +318,34 @@ def places(wrapper: list, items: list) -> list[int]:
     have = [set(slots([w])) for w in wrapper]
     need = [set(slots([i])) for i in items]
     n, m = len(items), len(wrapper)
-    if n * m > LARGEST:
-        first: dict[str, int] = {}
-        for w, names in enumerate(have):
-            for name in names:
-                first.setdefault(name, w)
-        return [first.get(_name(i), -1) for i in items]
     step = [0 if isinstance(w, list) else 1 for w in wrapper]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for k in range(n - 1, -1, -1):
-        here, after = best[k], best[k + 1]
-        for w in range(m - 1, -1, -1):
-            here[w] = max(here[w + 1], after[w], 1 + after[w + step[w]] if need[k] <= have[w] else 0)
+    at: dict[str, list[int]] = {}
+    for w, names in enumerate(have):
+        for name in names:
+            at.setdefault(name, []).append(w)
+    ahead = np.arange(m) + np.array(step, int)
+
+    def above(k, after):
+        found = np.zeros(m, np.int32)
+        for name in need[k]:
+            found[at.get(name, [])] += 1
+        return _upto(np.maximum(after[:-1], np.where(found == len(need[k]), 1 + after[ahead], 0)))
+
+    # per item k and place w how many of items[k:] can be aligned with wrapper[w:]
+    best = _rows(n, np.zeros(m + 1, np.int32), above)
+    here, after = next(best), next(best, None)
     out, k, w = [], 0, 0
     while k < n:
-        if w < m and need[k] <= have[w] and best[k][w] == 1 + best[k + 1][w + step[w]]:
+        if w < m and need[k] <= have[w] and here[w] == 1 + after[w + step[w]]:
             out.append(w)
-            k, w = k + 1, w + step[w]
-        elif w < m and best[k][w] == best[k][w + 1]:
+            w += step[w]
+        elif w < m and here[w] == here[w + 1]:
             w += 1
+            continue
         else:
             out.append(-1)
-            k += 1
+        k += 1
+        here, after = after, next(best, None)
     return out
 
 

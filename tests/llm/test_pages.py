@@ -198,6 +198,56 @@ def test_alignment_of_long_streams_keeps_all_slots(monkeypatch):
     assert wrappers.align(x, ["article/p", "n"]) == [["?", ["h"]], ["?", ["article/p"]], ["?", ["n"]]]
 
 
+def test_alignment_does_not_go_by_size(monkeypatch):
+    """Long streams are aligned like short ones: by a plain table of common subsequences."""
+    def plain_align(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                out.append(x[i])
+                i, j = i + 1, j + 1
+            elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+                out.append(["?", [x[i]]])
+                i += 1
+            else:
+                out.append(["?", [y[j]]])
+                j += 1
+        return wrappers.fold(out)
+
+    def plain_places(wrapper, items):
+        have, need = ([set(wrappers.slots([i])) for i in of] for of in (wrapper, items))
+        n, m, step = len(items), len(wrapper), [0 if isinstance(w, list) else 1 for w in wrapper]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for k in range(n - 1, -1, -1):
+            for w in range(m - 1, -1, -1):
+                best[k][w] = max(best[k][w + 1], best[k + 1][w], 1 + best[k + 1][w + step[w]] if need[k] <= have[w] else 0)
+        out, k, w = [], 0, 0
+        while k < n:
+            if w < m and need[k] <= have[w] and best[k][w] == 1 + best[k + 1][w + step[w]]:
+                out.append(w)
+                k, w = k + 1, w + step[w]
+            elif w < m and best[k][w] == best[k][w + 1]:
+                w += 1
+            else:
+                out.append(-1)
+                k += 1
+        return out
+
+    r = random.Random(9)
+    some = lambda n, kinds: [f"p{r.randrange(kinds)}" for _ in range(n)]
+    for kept, n in [(512, 12), (2, 12), (3, 40), (1, 7)] * 40 + [(512, 1300)]:
+        monkeypatch.setattr(wrappers, "KEPT", kept)
+        x, y = (["a" if n < 99 else "a0", *some(r.randrange(n // 2, n) if n < 99 else n, 4 if n < 99 else 400)] for _ in range(2))
+        y[0], x[-1], y[-1] = "b", "c", "d"  # no common ends
+        assert wrappers.align(x, y) == plain_align(x, y)
+        wrapper, items = wrappers.align(x, y), wrappers.fold(some(n, 4 if n < 99 else 400))
+        assert wrappers.places(wrapper, items) == plain_places(wrapper, items)
+
+
 # ---------- embeddings
 
 def brute_links(rows, least=0.93):

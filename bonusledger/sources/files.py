@@ -199,15 +199,16 @@ def _plain_cdata(text):
     end = lambda p: F.instr(p, "]]>")
     parts = F.transform(F.split(text, r"<!\[CDATA\[", -1), lambda p, i: F.when((i == 0) | (end(p) == 0), p).otherwise(
         F.concat(esc(F.substr(p, F.lit(1), end(p) - 1)), F.substr(p, end(p) + 3))))
-    return F.regexp_replace(F.array_join(parts, ""), "(?s)<!--.*?-->", "")
+    plain = ~F.contains(text, F.lit("<![CDATA[")) & ~F.contains(text, F.lit("<!--"))  # most rows
+    return F.when(plain, text).otherwise(F.regexp_replace(F.array_join(parts, ""), "(?s)<!--.*?-->", ""))
 
 
 def declared_entities(text):
     """[(name, replacement)] of a document's prolog, as an array of structs."""
     prolog = F.regexp_extract(text, r"(?s)<!DOCTYPE[^\[>]*\[(.*?)\]\s*>", 1)
-    pattern = F.lit(r"""<!ENTITY\s+([^\s%"']+)\s+["']([^"']*)["']\s*>""")
-    return F.arrays_zip(F.regexp_extract_all(prolog, pattern, F.lit(1)).alias("name"),
-                        F.regexp_extract_all(prolog, pattern, F.lit(2)).alias("value"))
+    pattern = r"""<!ENTITY\s+([^\s%"']+)\s+["']([^"']*)["']\s*>"""
+    return F.transform(F.regexp_extract_all(prolog, F.lit(pattern), F.lit(0)), lambda e: F.struct(
+        F.regexp_extract(e, pattern, 1).alias("name"), F.regexp_extract(e, pattern, 2).alias("value")))
 
 
 def _row_cells(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None, block: int) -> DataFrame:
@@ -263,9 +264,11 @@ def row_cells(rows: DataFrame, entities: dict[str, str] | None = None) -> DataFr
     bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
     message = F.concat(F.lit("row that is not XML in "), F.col("source_file"), F.lit(": "), F.substring("xml", 1, 200))
     parsed = parsed.withColumn("r", F.when(bad, F.raise_error(message)).otherwise(F.col("r")))
+    # the pattern spares texts that have nothing to strip the search for white space
+    strip = lambda v: F.when(v.rlike(r"(?s)^[!-~](?:.*[!-~])?\z"), v).otherwise(S.strip_unicode(v))
     cells = F.map_from_entries(F.transform(
         F.coalesce(F.col("r.cell"), F.array().cast("array<struct<_VALUE:string,_name:string>>")),
-        lambda c: F.struct(c["_name"].alias("k"), F.coalesce(S.strip_unicode(c["_VALUE"]), F.lit("")).alias("v")),
+        lambda c: F.struct(c["_name"].alias("k"), F.coalesce(strip(c["_VALUE"]), F.lit("")).alias("v")),
     ))
     # given out by a generator, so that no filter on the cells is moved below it and parses every row again
     return parsed.select("source_file", F.explode(F.array(cells)).alias("cells"))

@@ -8,6 +8,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from bonusledger.sources import files
 
@@ -201,3 +202,17 @@ def test_budget_files_of_any_width(spark, tmp_path):
 def test_budget_lines_may_end_in_carriage_returns(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes(export(eol="\r").encode("utf-16"))
     assert [(r["row_no"], r["package"]) for r in budget(spark, tmp_path / "c.csv")] == [(2, "(p) 4 Brücke"), (3, "• 4.1 Pfähle")]
+
+
+def test_rows_are_spared_needless_passes(spark):
+    """What has no CDATA, comment or white space at its ends is not rewritten, and a
+    document's prolog is looked for once; odd texts read as before."""
+    text = F.col("t")
+    assert str(files.declared_entities(text)).count("DOCTYPE") == 1 and "contains" in str(files._plain_cdata(text))
+    values = ["x", "", " ", "a b", " a ", "\u00a0x\u2003", "x\u0085", "\n1\n", "ö", " ö", "<![CDATA[ a<b ]]>", "a<!-- b -->c", "<!-- b -->", "&e;&f;&lt;"]
+    rows = [(f"<!DOCTYPE x [<!ENTITY e '1'> <!ENTITY f \"<b/>2\" >]><d>{v}</d>", f'<cell name="v">{v}</cell>') for v in values]
+    d = spark.createDataFrame(rows, "t string, body string").select(
+        F.lit("f").alias("source_file"), files.declared_entities(text).alias("declared"), files._plain_cdata(F.col("body")).alias("body"))
+    assert [r["cells"]["v"] for r in files.row_cells(d).collect()] == [
+        "x", "", "", "a b", "a", "x", "x", "1", "ö", "ö", "a<b", "ac", "", "2<"]
+    assert [tuple(e) for e in d.first()["declared"]] == [("e", "1"), ("f", "<b/>2")]

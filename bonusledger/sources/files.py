@@ -212,11 +212,13 @@ def declared_entities(text):
 
 
 def _row_cells(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None, block: int) -> DataFrame:
-    rows, prologs = xml_scan.read_rows(spark, [paths] if isinstance(paths, str) else list(paths), block)
+    entities = entities or DTD_ENTITIES
+    rows, prologs = xml_scan.read_rows(spark, [paths] if isinstance(paths, str) else list(paths), block, entities)
+    plain, rows = rows.where("body is null").select("source_file", "cells"), rows.where("body is not null")
     declared = prologs.select("source_file", declared_entities(F.col("prolog")).alias("declared")).where("size(declared) > 0")
     rows = rows.withColumn("body", _plain_cdata(F.col("body"))).join(declared, "source_file", "left")
     none = F.array().cast("array<struct<name:string,value:string>>")
-    return row_cells(rows.withColumn("declared", F.coalesce("declared", none)), entities)
+    return plain.union(row_cells(rows.withColumn("declared", F.coalesce("declared", none)), entities))
 
 
 def read_time_xml(spark: SparkSession, paths: str | Sequence[str], entities: dict[str, str] | None = None,

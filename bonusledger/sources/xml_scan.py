@@ -12,8 +12,12 @@ phases, as a prefix sum has:
    gives every block its true state and its open elements, and it checks the
    document: end tags that match, one root, nothing open at the end.  A truncated
    or unbalanced document is an error that names the file.
-3. Each block, now with its state, gives out the text of its rows; a row that
-   reaches over a border is put together from its pieces by row.
+3. Each block, now with its state, gives out its rows; a row that reaches over a
+   border is put together from its pieces by row.  Rows of nothing but cells are
+   given out as cells, the others as text.
+
+Splits are read up to the ends of rows ("</row>") if a file's begin holds one, else
+from "<" to "<", which any document has but which makes many small records.
 
 Rows may be nested at any depth: text belongs to the innermost open row.  Encodings
 are those of 8-bit supersets of ASCII and UTF-16, where a block is lexed for both
@@ -26,9 +30,12 @@ from __future__ import annotations
 import json
 import re
 import sys
-from bisect import bisect_left, bisect_right
+from array import array
+from bisect import bisect_left
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +45,7 @@ from ..session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 BLOCK = 1 << 20  # bytes of a block
+ROW = b"row"
 HEAD = 1 << 16  # bytes of a document in which its prolog ends
 TEXT, COMMENT, CDATA, PI, DOCTYPE, TAG, QUOTE, APOSTROPHE = range(8)
 _IN_TAG = (TAG, QUOTE, APOSTROPHE)
@@ -46,6 +54,14 @@ _ATTRIBUTES = rb"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+"
 _MARKUP = re.compile(
     rb"<(?:(!--)|(!\[CDATA\[)|(\?)|(!DOCTYPE)|/([^\s>]*+)[^>]*+(>)?|([^\s/>!?<\"'=]++)(" + _ATTRIBUTES + rb")(>)?)")
 _REST = re.compile(_ATTRIBUTES + rb"(>)?")
+# an element of texts, CDATA sections, comments and elements without elements in them, as one match; its loop is
+# not possessive, since re loses marks of groups in such loops, and there is one way to match it all the same
+_NAME = rb"[^\s/>!?<\"'=]++"
+_PLAIN_ATTRIBUTES = rb"[^\"'<>]*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^\"'<>]*+)*+"
+_SECTION = rb"<!(?:\[CDATA\[[^\]]*+(?:\](?!\]>)[^\]]*+)*+\]\]>|--[^-]*+(?:-(?!->)[^-]*+)*+-->)"
+_LEAF = rb"<(" + _NAME + rb")" + _PLAIN_ATTRIBUTES + rb">(?:(?<=/>)|(?<!/>)[^<]*+(?:" + _SECTION + rb"[^<]*+)*+</\3\s*+>)"
+_ELEMENT = re.compile(
+    rb"<(" + _NAME + rb")" + _PLAIN_ATTRIBUTES + rb">(?<!/>)([^<]*+(?:(?:" + _LEAF + rb"|" + _SECTION + rb")[^<]*+)*)</\1\s*+>")
 _SUBSET = re.compile(rb"[^\[>]*+([\[>])")
 _SUBSET_END = re.compile(rb"\]\s*+>")
 
@@ -53,13 +69,14 @@ _SUBSET_END = re.compile(rb"\]\s*+>")
 class Lexer:
     """Tags of 8-bit text from a state on: (opens, name, begin, end) and, after the
     last, the ``state`` reached.  A name of None closes whatever is open.  ``starts``
-    and ``resumes`` tell where markup began and where text went on after it."""
+    tells where markup began."""
 
-    def __init__(self, text: bytes, state: int):
-        self.text, self.state = text, state
+    def __init__(self, text: bytes, state: int, row: bytes | None = None):
+        """Elements that hold little are gone over at once, so that tags within them
+        are left out, but for those that hold a ``row``."""
+        self.text, self.state, self.inner = text, state, row and b"<" + row
         self.begin, self.closes = self._begin()
         self.starts: list[int] = []
-        self.resumes = [] if self.begin is None else [self.begin]
 
     def _tag_end(self, at: int):
         """Inside a tag: end and whether it closes itself, or None and the state."""
@@ -102,6 +119,12 @@ class Lexer:
             if at < 0:
                 return
             self.starts.append(at)
+            m = _ELEMENT.match(s, at)
+            if m and not (self.inner and s.find(self.inner, *m.span(2)) >= 0):
+                yield True, m[1], at, m.start(2)
+                yield False, m[1], m.end(2), m.end()
+                at = m.end()
+                continue
             m = _MARKUP.match(s, at)
             if m is None:
                 yield False, b"<", at, at  # no markup: an end tag that matches nothing
@@ -120,12 +143,10 @@ class Lexer:
                 at = end
                 if not m[9]:
                     return
-                self.resumes.append(at)
             elif m[5] is not None:
                 # an end tag is not cut by a border, but for element names beyond ASCII in UTF-16
                 yield False, m[5] if m[6] else b"<", at, m.end()
                 at = m.end()
-                self.resumes.append(at)
             else:
                 kind = COMMENT if m[1] else CDATA if m[2] else PI if m[3] else DOCTYPE
                 if kind == DOCTYPE:
@@ -138,7 +159,6 @@ class Lexer:
                 if at < 0:
                     self.state = kind
                     return
-                self.resumes.append(at)
 
 
 def _reduced(tags, state: int) -> list:
@@ -159,29 +179,46 @@ def _reduced(tags, state: int) -> list:
     return [state, closes, [[name.decode("latin-1"), at] for name, at in opens], bad, base]
 
 
-def effects_of(text: bytes, states) -> dict[int, list]:
+def row_tags(tags, state: int, row: bytes) -> bytes:
+    """What ``pieces`` needs of a block's tags, if it begins in plain text: the state
+    at the end, and [1 for a begin and 2 more for a row, begin, end] for each."""
+    out = [state]
+    for begins, name, at, end in tags:
+        if not begins and len(out) > 3 and out[-3] == 1:  # an element without rows in it
+            del out[-3:]
+        else:
+            out += begins + 2 * (begins and name == row), at, end
+    return array("i", out).tobytes()
+
+
+def effects_of(text: bytes, states, plain: Lexer | None = None, tags: list | None = None) -> dict[int, list]:
     """The effect of a block from each of the states.  From most of them the lexer
-    soon is where it is from plain text too, mostly at the first end of a section;
-    from there on the tags are the same and are not looked for again."""
-    plain = Lexer(text, TEXT)
-    tags = list(plain)
-    out = {}
+    soon is where it is from plain text too, at the begin of the same markup; from
+    there on the tags are the same and are not looked for again.  ``tags`` are those
+    that ``plain``, a lexer from plain text, has given."""
+    if plain is None:
+        plain = Lexer(text, TEXT)
+        tags = list(plain)
+    starts = set(plain.starts)
+    out, known = {}, {}
     for state in states:
+        lexer = plain if state == TEXT else Lexer(text, state)
+        key = lexer.begin, lexer.closes
         if state == TEXT:
             out[state] = _reduced(tags, plain.state)
-            continue
-        lexer = Lexer(text, state)
-        if lexer.begin is None:
+        elif lexer.begin is None:
             out[state] = _reduced([], lexer.state)
-            continue
-        i = bisect_right(plain.resumes, lexer.begin) - 1
-        same = i >= 0 and (i >= len(plain.starts) or lexer.begin <= plain.starts[i])
-        if not same:
-            found = list(lexer)
-            out[state] = _reduced(found, lexer.state)
-            continue
-        left = tags[bisect_left(tags, lexer.begin, key=lambda t: t[2]):]
-        out[state] = _reduced([(False, None, 0, 0), *left] if lexer.closes else left, plain.state)
+        elif key in known:
+            out[state] = known[key]
+        else:
+            found, end = [], None
+            for tag in lexer:
+                if tag[1] is not None and tag[2] in starts:
+                    found += tags[bisect_left(tags, tag[2], key=lambda t: t[2]):]
+                    end = plain.state
+                    break
+                found.append(tag)
+            out[state] = known[key] = _reduced(found, lexer.state if end is None else end)
     return out
 
 
@@ -232,41 +269,58 @@ def encoding_of(head: bytes) -> str:
     return name
 
 
-_BLOCKS = "source_file string, at long, seq int, size long, last string, effects string, head binary, block binary"
+_BLOCKS = "source_file string, at long, seq int, size long, last string, effects string, tags binary, head binary, block binary"
 
 
-def _read_blocks(size: int):
+def _read_blocks(size: int, sep: bytes):
+    """Blocks of the records that ``sep`` parts.  A split but a file's first begins
+    with it.  Blocks within a split begin at a "<" or after the end of a row."""
+    ends = sep != b"<"
+
     def run(batches):
+        def records():
+            for batch in batches:
+                files, ats, values = batch.columns
+                # a batch holds few splits
+                begins = [0, *(i for i in range(1, len(ats)) if ats[i] != ats[i - 1] or files[i] != files[i - 1])] if (
+                    len(ats) and (pc.min_max(ats)["min"] != pc.min_max(ats)["max"] or pc.min_max(files)["min"] != pc.min_max(files)["max"])
+                ) else [0][:len(ats)]
+                for i, j in zip(begins, [*begins[1:], len(ats)], strict=True):
+                    yield (files[i].as_py(), ats[i].as_py()), values.slice(i, j - i).to_pylist()
+
         def blocks():
             now, seq, parts, n = None, 0, [], 0
-            for batch in batches:
-                for key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if key[:2] != now or n >= size:
+            for key, values in records():
+                for value in values:
+                    if key != now or n >= size:
                         if now is not None:
-                            yield now, seq, b"<".join(parts)
-                        seq = seq + 1 if key[:2] == now else 0
-                        # every block but a document's first begins at a "<"
-                        parts = [] if key[1] == 0 and not seq else [b""]
-                        now, n = key[:2], 0
-                    parts.append(key[2])
-                    n += len(key[2]) + 1
+                            yield now, seq, sep.join(parts) + (sep if ends and key == now else b"")
+                        seq = seq + 1 if key == now else 0
+                        parts = [] if seq and ends or key[1] == 0 and not seq else [b""]
+                        now, n = key, 0
+                    parts.append(value)
+                    n += len(value) + len(sep)
             if now is not None:
-                yield now, seq, b"<".join(parts)
+                yield now, seq, sep.join(parts)
 
         for (file, at), seq, block in blocks():
             first, near = at == 0 and not seq, at + seq * size < HEAD
-            found = {}
+            found, of_rows = {}, None
             for form in forms(block):
                 text = units(block, form)
                 states = (TEXT,) if first else (TEXT, COMMENT, CDATA, PI, DOCTYPE) if form == "8" else range(8)
-                found[form] = effects_of(text, states)
+                plain = Lexer(text, TEXT, ROW)
+                tags = list(plain)
+                found[form] = effects_of(text, states, plain, tags)
+                if form == "8":
+                    of_rows = row_tags(tags, plain.state, ROW)
             yield pa.RecordBatch.from_pylist([{
                 "source_file": file, "at": at, "seq": seq, "size": len(block), "last": block[-1:].hex(),
-                "effects": json.dumps(found),
+                "effects": json.dumps(found), "tags": of_rows,
                 "head": block[:HEAD] if near else None, "block": block}], arrow)
 
     fields = [("source_file", pa.string()), ("at", pa.int64()), ("seq", pa.int32()), ("size", pa.int64()),
-              ("last", pa.string()), ("effects", pa.string()), ("head", pa.binary()), ("block", pa.binary())]
+              ("last", pa.string()), ("effects", pa.string()), ("tags", pa.binary()), ("head", pa.binary()), ("block", pa.binary())]
     arrow = pa.schema(fields)
     return run
 
@@ -290,6 +344,7 @@ def compose(blocks: list[dict]) -> list[dict]:
     if next(iter(begin), None) is None and begin.state == DOCTYPE and len(head) == HEAD:
         no(f"its prolog does not end within {HEAD} bytes")
     prolog = head.decode(_CODECS[encoding], "replace")
+    declared = json.dumps(declared_entities(prolog))
     state, stack, offset, before, roots, out = TEXT, [], 0, "", 0, []
     for b in blocks:
         form = "8" if encoding[:6] != "UTF-16" else f"{encoding[6]}{offset % 2}"
@@ -300,7 +355,7 @@ def compose(blocks: list[dict]) -> list[dict]:
         if str(state) not in effects[form]:
             no("a tag holds a <")
         out.append({"source_file": file, "at": b["at"], "seq": b["seq"], "form": form, "encoding": encoding, "state": state,
-                    "stack": json.dumps(stack), "before": before, "prolog": None if out else prolog})
+                    "stack": json.dumps(stack), "before": before, "declared": declared, "prolog": None if out else prolog})
         state, closes, opens, bad, base = effects[form][str(state)]
         if bad:
             no(bad)
@@ -323,9 +378,9 @@ def compose(blocks: list[dict]) -> list[dict]:
     return out
 
 
-_STARTS = "source_file string, at long, seq int, form string, encoding string, state int, stack string, before string, prolog string"
-_PIECES = ("source_file string, row_at long, row_seq int, row_place long, at long, seq int, whole boolean, "
-           "encoding string, body binary")
+_STARTS = "source_file string, at long, seq int, form string, encoding string, state int, stack string, before string, declared string, prolog string"
+_PIECES = ("source_file string, row_at long, row_seq int, row_place long, at long, seq int, kind int, "
+           "encoding string, body binary, cells map<string,string>")
 
 
 def _composed(table):
@@ -333,57 +388,189 @@ def _composed(table):
     return pa.Table.from_pylist(compose(blocks), pa.schema([
         ("source_file", pa.string()), ("at", pa.int64()), ("seq", pa.int32()), ("form", pa.string()),
         ("encoding", pa.string()), ("state", pa.int32()), ("stack", pa.string()),
-        ("before", pa.string()), ("prolog", pa.string())]))
-
-
-def pieces(b: dict, row: str = "row"):
-    """(row's key, whole, bytes) of the rows that a block holds or goes on with."""
-    block, text = aligned(b["block"], b["form"], bytes.fromhex(b["before"])), units(b["block"], b["form"])
-    wide = 1 if b["form"] == "8" else 2
-    lexer = Lexer(text, b["state"])
-    stack = [[name, (at, seq, place) if name == row else None] for name, at, seq, place in json.loads(b["stack"])]
-    rows = [[key, False, []] for _, key in stack if key]  # key, whether it begins here, segments
-    tag, begin = row.encode(), 0
-    if rows and stack[-1][1] and b["state"] in _IN_TAG:
+        ("before", pa.string()), ("declared", pa.string()), ("prolog", pa.string())]))
+
+
+def pieces(b: dict, row: bytes = ROW):
+    """(row's key, whole, bytes) of the rows that a block holds or goes on with.
+    ``tags`` of a block are those of a lexer from plain text (``row_tags``)."""
+    block, wide = aligned(b["block"], b["form"], bytes.fromhex(b["before"])), 1 if b["form"] == "8" else 2
+    if b.get("tags") and b["form"] == "8" and b["state"] == TEXT:
+        tags = array("i", b["tags"])
+        first, ends, length = 0, tags[0], len(block)
+        tags = zip(tags[1::3], tags[2::3], tags[3::3], strict=True)
+    else:
+        text = units(b["block"], b["form"])
+        lexer, length = Lexer(text, b["state"], row), len(text)
+        first, found = lexer.begin, list(lexer)
+        ends = lexer.state
+        tags = ((begins + 2 * (begins and name == row), at, end) for begins, name, at, end in found)
+    stack = [(at, seq, place) if name == row.decode() else None for name, at, seq, place in json.loads(b["stack"])]
+    rows = [[key, False, []] for key in stack if key]  # key, whether it begins here, segments
+    begin = 0
+    if rows and stack[-1] and b["state"] in _IN_TAG:
         # the rest of the row's own begin tag, which a border has cut
-        begin = len(text) if lexer.begin is None else lexer.begin
+        begin = length if first is None else first
 
     def cut(end):
         return block[begin * wide:len(block) if end is None else end * wide]
 
-    for begins, name, at, end in lexer:
-        if begins:
+    for kind, at, end in tags:
+        if kind:
             key = None
-            if name == tag:
+            if kind == 3:
                 if rows:
                     rows[-1][2].append(cut(at))
                 key, begin = (b["at"], b["seq"], at), end
                 rows.append([key, True, []])
-            stack.append([None, key])
+            stack.append(key)
         else:
-            _, key = stack.pop()
+            key = stack.pop()
             if key:
                 key, whole, segments = rows.pop()
                 segments.append(cut(at))
                 yield key, whole, b"".join(segments)
                 begin = end
     for i, (key, _, segments) in enumerate(rows):
-        if i == len(rows) - 1 and not (stack[-1][1] and lexer.state in _IN_TAG):
+        if i == len(rows) - 1 and not (stack[-1] and ends in _IN_TAG):
             segments.append(cut(None))
         yield key, False, b"".join(segments)
 
 
-def _rows(batches):
-    arrow = pa.schema([("source_file", pa.string()), ("row_at", pa.int64()), ("row_seq", pa.int32()), ("row_place", pa.int64()),
-                       ("at", pa.int64()), ("seq", pa.int32()), ("whole", pa.bool_()), ("encoding", pa.string()),
-                       ("body", pa.binary())])
-    for batch in batches:
-        for i in range(batch.num_rows):  # a block at a time as Python objects
-            (b,) = batch.slice(i, 1).to_pylist()
-            got = [{"source_file": b["source_file"], "row_at": k[0], "row_seq": k[1], "row_place": k[2], "at": b["at"],
-                    "seq": b["seq"], "whole": whole, "encoding": b["encoding"], "body": body}
-                   for k, whole, body in pieces(b) if body or not whole]
-            yield pa.RecordBatch.from_pylist(got, arrow)
+_DOCTYPE = re.compile(r"(?s)<!DOCTYPE[^\[>]*\[(.*?)\]\s*>", re.A)
+_ENTITY = re.compile(r"""<!ENTITY\s+([^\s%"']+)\s+["']([^"']*)["']\s*>""", re.A)
+_CELL = re.compile(
+    r"""[ \t\n]*+<cell((?:[ \t\n]++[A-Za-z_][A-Za-z0-9_.-]*+[ \t\n]*+=[ \t\n]*+(?:"[^"<&\x00-\x1f]*+"|'[^'<&\x00-\x1f]*+'))*+)[ \t\n]*+>"""
+    r"""((?:[^<\x00-\x08\x0b-\x1f\ufffe\uffff]++|<!\[CDATA\[(?:[^\]\x00-\x08\x0b-\x1f\ufffe\uffff]++|\](?!\]>))*+\]\]>)*+)"""
+    r"""</cell[ \t\n]*+>[ \t\n]*+"""
+    r"""|[ \t\n]*+<(?!(?i:cell)>)([A-Za-z][A-Za-z0-9_.-]*+)>[^<&\]\x00-\x08\x0b-\x1f\ufffe\uffff]*+</\3[ \t\n]*+>[ \t\n]*+"""
+    r"""|([\s\S])""")
+_CELL_ATTRIBUTE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*+)[ \t\n]*+=[ \t\n]*+(?:"([^"]*+)"|'([^']*+)')""")
+_REFERENCE = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]{1,7})|#x([0-9a-fA-F]{1,6}));")
+_PREDEFINED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def declared_entities(prolog: str) -> list[list[str]]:
+    """[name, replacement] of a document's prolog, as ``files.declared_entities``."""
+    m = _DOCTYPE.search(prolog)
+    return [[e[1], e[2]] for e in _ENTITY.finditer(m[1])] if m else []
+
+
+class _Odd(ValueError):
+    """A row that is left to the XML parser."""
+
+
+def _referred(m):
+    if m[1]:
+        return _PREDEFINED[m[1]]
+    c = int(m[2]) if m[2] else int(m[3], 16)
+    if not (c in (9, 10, 13) or 32 <= c < 0xD800 or 0xE000 <= c < 0xFFFE or 0x10000 <= c < 0x110000):
+        raise _Odd
+    return chr(c)
+
+
+def _resolved(text: str, entities) -> str:
+    """Character data outside CDATA sections without its references."""
+    if "&" in text:
+        for name, value in entities:
+            text = text.replace(f"&{name};", value)
+        if "<" in text or _REFERENCE.sub("", text).find("&") >= 0:
+            raise _Odd
+    if "]]>" in text:
+        raise _Odd
+    return _REFERENCE.sub(_referred, text) if "&" in text else text
+
+
+def _cell_name(attributes: str) -> str:
+    found = _CELL_ATTRIBUTE.findall(attributes)
+    names = [name for name, _, _ in found]
+    if names.count("name") != 1 or len(set(names)) < len(names) or any(n != "name" and n.lower() in ("name", "value") for n in names):
+        raise _Odd
+    return next(v or w for name, v, w in found if name == "name")
+
+
+def plain_cells(body: str, entities, names: dict | None = None) -> dict[str, str] | None:
+    """The cells of a row that holds nothing but cells of text and CDATA sections (and
+    maybe other elements of mere text), by name, as the XML parser reads them, and stripped; else None.  ``entities``
+    are put in one after another.  ``names`` keeps names by their attributes."""
+    names, cells = {} if names is None else names, {}
+    marked = "&" in body or "]]>" in body
+    try:
+        for attributes, text, other, odd in _CELL.findall(body):
+            if odd:
+                return None
+            if other:  # an element that is no cell
+                continue
+            name = names.get(attributes)
+            if name is None:
+                if len(names) >= 1000:
+                    names.clear()
+                name = names[attributes] = _cell_name(attributes)
+            if not marked:
+                pass
+            elif "<" in text:
+                first, *parts = text.split("<![CDATA[")
+                out = [_resolved(first, entities)]
+                for part in parts:
+                    section, rest = part.split("]]>", 1)
+                    out += section, _resolved(rest, entities)
+                text = "".join(out)
+            elif "&" in text or "]]>" in text:
+                text = _resolved(text, entities)
+            cells[name] = text.strip()
+    except _Odd:
+        return None
+    return cells or None
+
+
+def _rows(entities):
+    """Rows of blocks: plain ones (kind 0) as cells, other whole ones (1) and those
+    that a border cuts (2) as bytes."""
+    entities = list(entities.items())
+
+    def run(batches):
+        text = pa.map_(pa.string(), pa.string())
+        arrow = pa.schema([("source_file", pa.string()), ("row_at", pa.int64()), ("row_seq", pa.int32()), ("row_place", pa.int64()),
+                           ("at", pa.int64()), ("seq", pa.int32()), ("kind", pa.int32()), ("encoding", pa.string()),
+                           ("body", pa.binary()), ("cells", text)])
+
+        def batch_of(b, kind, n, keys, bodies, cells):
+            constant = lambda v, t: pa.repeat(pa.scalar(v, t), n)
+            return pa.RecordBatch.from_arrays([
+                constant(b["source_file"], pa.string()), *[pa.array([k[i] for k in keys], t) if keys else pa.nulls(n, t) for i, t in enumerate(
+                    (pa.int64(), pa.int32(), pa.int64()))],
+                constant(b["at"], pa.int64()), constant(b["seq"], pa.int32()), constant(kind, pa.int32()), constant(b["encoding"], pa.string()),
+                pa.array(bodies, pa.binary()) if bodies else pa.nulls(n, pa.binary()), cells or pa.nulls(n, text)], schema=arrow)
+
+        names = {}
+        for batch in batches:
+            for i in range(batch.num_rows):  # a block at a time as Python objects
+                (b,) = batch.slice(i, 1).to_pylist()
+                codec, known = _CODECS[b["encoding"]], [*map(tuple, json.loads(b["declared"])), *entities]
+                ends, keys, values, whole, cut = [0], [], [], [], []
+                for key, begins, body in pieces(b):
+                    if not begins:
+                        cut.append((key, body))
+                    elif body:
+                        try:
+                            cells = plain_cells(body.decode(codec), known, names)
+                        except UnicodeDecodeError:
+                            cells = None
+                        if cells is None:
+                            whole.append(body)
+                        else:
+                            keys += cells
+                            values += cells.values()
+                            ends.append(len(keys))
+                if len(ends) > 1:
+                    cells = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+                    yield batch_of(b, 0, len(ends) - 1, None, None, cells)
+                if whole:
+                    yield batch_of(b, 1, len(whole), None, whole, None)
+                if cut:
+                    yield batch_of(b, 2, len(cut), [k for k, _ in cut], [body for _, body in cut], None)
+
+    return run
 
 
 def _text(body, encoding):
@@ -392,25 +579,75 @@ def _text(body, encoding):
             .otherwise(F.decode(body, "windows-1252")))
 
 
-def read_rows(spark: SparkSession, paths: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows: source_file, body; prologs: source_file, prolog) of XML documents.
-    The documents are checked when this is called."""
+_ROW_END = b"</row>"
+
+
+def _of_rows(spark: SparkSession, files: list[str]) -> list[bool]:
+    """Whether splits of a file are read up to the ends of rows: one is in its begin,
+    and none is its very end, which the reader of records leaves out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    utils = jvm.org.apache.commons.io.IOUtils
+
+    def part(fs, path, at, n):
+        stream = fs.open(path)
+        try:
+            stream.seek(at)
+            return bytes(utils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+    def one(file):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        fs = path.getFileSystem(conf)
+        size = fs.getFileStatus(path).getLen()
+        head = part(fs, path, 0, min(HEAD, size))
+        end = min(len(_ROW_END), size)
+        return _ROW_END in head and b"\0" not in head and part(fs, path, size - end, end) != _ROW_END
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(one, files))
+
+
+def read_rows(spark: SparkSession, paths: list[str], block: int = BLOCK,
+              entities: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: source_file, body, cells; prologs: source_file, prolog) of XML documents.
+    A row of nothing but cells has ``cells``, its texts by name, any other its
+    ``body``.  The documents are checked when this is called."""
     paths = list(dict.fromkeys(paths))
-    raw = spark.read.option("lineSep", "<").text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"),
-        F.col("value").cast("binary").alias("value"))
-    blocks = materialize(raw.mapInArrow(_read_blocks(block), _BLOCKS), "xml-blocks")
-    starts = materialize(blocks.drop("block").groupBy("source_file").applyInArrow(_composed, _STARTS), "xml-states")
-    if starts.where("prolog is not null").count() < len(raw.inputFiles()):
+
+    def records(sep: bytes):
+        return spark.read.option("lineSep", sep.decode()).text(paths).select(
+            F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"),
+            F.col("value").cast("binary").alias("value"))
+
+    def blocks_of(raw, sep):
+        return raw.mapInArrow(_read_blocks(block, sep), _BLOCKS)
+
+    raw = records(_ROW_END)
+    files = list(raw.inputFiles())
+    of_rows = _of_rows(spark, files)
+    if all(of_rows):
+        blocks = blocks_of(raw, _ROW_END)
+    elif not any(of_rows):
+        blocks = blocks_of(records(b"<"), b"<")
+    else:
+        few = sum(of_rows) * 2 < len(files)
+        named = F.col("source_file").isin([f for f, r in zip(files, of_rows, strict=True) if r == few])
+        blocks = blocks_of(raw.where(named if few else ~named), _ROW_END).union(
+            blocks_of(records(b"<").where(~named if few else named), b"<"))
+    blocks = materialize(blocks, "xml-blocks")
+    starts = materialize(blocks.drop("block", "tags").groupBy("source_file").applyInArrow(_composed, _STARTS), "xml-states")
+    if starts.where("prolog is not null").count() < len(files):
         seen = {r["source_file"] for r in starts.where("prolog is not null").select("source_file").toLocalIterator()}
-        raise ValueError(f"not a whole XML document: {min(set(raw.inputFiles()) - seen)}: it is empty")
-    known = blocks.select("source_file", "at", "seq", "block").join(starts.drop("prolog"), ["source_file", "at", "seq"])
-    cut = materialize(known.mapInArrow(_rows, _PIECES), "xml-rows")
+        raise ValueError(f"not a whole XML document: {min(set(files) - seen)}: it is empty")
+    known = blocks.select("source_file", "at", "seq", "tags", "block").join(starts.drop("prolog"), ["source_file", "at", "seq"])
+    cut = materialize(known.mapInArrow(_rows(entities or {}), _PIECES), "xml-rows")
     place = F.struct("at", "seq", "body")
-    joined = cut.where("not whole").groupBy("source_file", "row_at", "row_seq", "row_place", "encoding").agg(
+    joined = cut.where("kind = 2").groupBy("source_file", "row_at", "row_seq", "row_place", "encoding").agg(
         F.sort_array(F.collect_list(place)).alias("parts"))
     joined = joined.select("source_file", "encoding", F.aggregate(
         "parts", F.lit(b""), lambda all_, p: F.concat(all_, p["body"])).alias("body"))
-    rows = cut.where("whole").select("source_file", "encoding", "body").union(joined)
-    return (rows.select("source_file", _text(F.col("body"), F.col("encoding")).alias("body")),
-            starts.where("prolog is not null").select("source_file", "prolog"))
+    rows = cut.where("kind = 1").select("source_file", "encoding", "body").union(joined)
+    rows = rows.select("source_file", _text(F.col("body"), F.col("encoding")).alias("body"), F.lit(None).cast("map<string,string>").alias("cells"))
+    plain = cut.where("kind = 0").select("source_file", F.lit(None).cast("string").alias("body"), "cells")
+    return plain.union(rows), starts.where("prolog is not null").select("source_file", "prolog")

@@ -141,3 +141,32 @@ def test_landed_tables_are_in_one_folder_that_cleanup_removes(spark):
     assert t.count() == 3 and session.run_folder(spark) in t.inputFiles()[0]
     path = session.run_folder(spark).removeprefix("file://")
     assert os.path.isdir(path) and session.cleanup(spark) and not os.path.isdir(path)
+
+
+def test_sheets_are_written_and_read_in_batches(spark, tmp_path):
+    """Not more than so many folders reach the driver at once: a write and a listing
+    for every few employees; all rows are there, in order, with names of any kind."""
+    from datetime import date
+
+    names = [*(f"S{i:02}" for i in range(23)), "007", "ä#% {x}=/:?*[^]'\"\\y", "Big"]
+    data = [(n, date(2025, 1 + i % 3, 1), f"P{(i * 7) % 101:03}", f"M{i}") for n in names for i in range(700 if n == "Big" else 7)]
+    rows = spark.createDataFrame(data, "staff_name string, month date, proj_norm string, ms_norm string").repartition(5)
+    for kind in ("soll", "ist", "hours", "pct"):
+        rows = rows.withColumn(kind, F.lit(1))
+    frames, sheets = sinks.in_files(sinks.export_rows(rows), "month", "Projekt", "Meilenstein", rows_per_file=50, folders=4)
+    sizes = [(d.select("staff_name").distinct().count(), d.count(), d.rdd.getNumPartitions()) for d in frames]
+    assert sum(s[0] for s in sizes) == len(names) and max(s[0] for s in sizes) <= 4 and len(sizes) == 7
+    assert sum(s[1] for s in sizes) == len(data) and max(s[2] for s in sizes) <= 2  # small files share a task
+    out = str(tmp_path / "export")
+    sheets = sinks.write_employee_export(rows, out, rows_per_file=50, folders=4)
+    assert len([d for d in os.listdir(out) if d.startswith("staff_name=")]) == len(names)
+    assert sorted(sinks.folder_of(staff_name=n) for n in names) == sorted(d for d in os.listdir(out) if d.startswith("staff_name="))
+    assert len(files_of(f"{out}/staff_name=Big")) == 14
+    columns = ", ".join(f"`{c}` string" for c in ("month", *(c for _, c in sinks.EXPORT_COLUMNS)))
+    back = sinks.read_sheets(spark, out, sheets, "csv", columns).orderBy("file_name", "file_block_start", "at").collect()
+    for name in names:
+        got = [(r["month"], r["Projekt"], r["Meilenstein"]) for r in back if r["staff_name"] == name]
+        assert got == sorted((str(m), p, s) for n, m, p, s in data if n == name), name
+    before = sorted(os.listdir(out))
+    sinks.write_employee_export(rows, out, mode="ignore", rows_per_file=50, folders=4)
+    assert sorted(os.listdir(out)) == before and len(files_of(f"{out}/staff_name=Big")) == 14
